@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from timeloom.llm import quality_rules, simhash
+from timeloom.llm import decontam, mixing, quality_rules, simhash, token_output
 
 QUERIES = {
+    "op3_decontamination": decontam.op3,
     "op5_simhash": simhash.op5,
+    "op6_token_output": token_output.op6,
     "op8_quality_rules": quality_rules.op8,
+    "op10_mixing": mixing.op10,
 }
 ORACLES = {
+    "op3_decontamination": decontam.SQL,
     "op8_quality_rules": quality_rules.SQL,
 }
