@@ -55,6 +55,33 @@ def words_of(text: Column) -> Column:
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, WS_RE))
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once a row, wherever the expression ends up."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def repeat_words(w: Column) -> Column:
+    """Words inside 5-word windows that the array w holds twice or more.
+
+    Windows are compared by 64-bit hash, in the order of (hash, position), where equal ones are neighbours; only texts
+    with such a window sort. Each window then counts the words up to the next one, five at most.
+    """
+    grams = F.transform(F.sequence(F.lit(0), F.size(w) - 5), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(5)]))
+    in_order = lambda g: F.sort_array(F.transform(g, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    is_dup = lambda s, x, k: F.coalesce(F.get(s, k - 1)["h"] == x["h"], F.lit(False)) | F.coalesce(F.get(s, k + 1)["h"] == x["h"], F.lit(False))
+    found = lambda s: F.sort_array(F.transform(F.filter(s, lambda x, k: is_dup(s, x, k)), lambda x: x["i"]))
+    each = lambda p: F.transform(p, lambda x, k: F.least(F.lit(5), F.coalesce(F.get(p, k + 1), x + 5) - x).cast("long"))
+    covered = lambda p: F.aggregate(each(p), F.lit(0).cast("long"), lambda a, x: a + x)
+    none = F.lit(0).cast("long")
+    counted = let(grams, lambda g: F.when(F.size(F.array_distinct(g)) < F.size(g), let(in_order(g), lambda s: let(found(s), covered))).otherwise(none))
+    return F.when(F.size(w) >= 6, counted).otherwise(none)
+
+
+def keep_rows(judged: DataFrame) -> DataFrame:
+    """The kept rows; the condition isn't deterministic for Catalyst, so it stays above the projection that computes it."""
+    return judged.filter(F.when(F.monotonically_increasing_id() >= 0, F.col("kept")))
+
+
 def _pct(part: Column, pct: int, whole: Column) -> Column:
     return part * 100 > whole * pct
 
@@ -82,43 +109,28 @@ def _line_fails(x: Column, r: LineRules) -> Column:
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: LineRules = RULES, carry: tuple[str, ...] = ()) -> DataFrame:
     """id, the counts of the base rules, base_failed, kept, n_lines, n_removed_lines, clean_text; then struct `carried` if asked for.
 
-    The steps are separate projections, so that arrays used inside lambdas are columns, computed once a row.
+    Arrays used inside lambdas are bound by `let`, so a predicate on a result that Catalyst copies below the projection
+    costs the work twice at most; `keep_rows` avoids that too.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     carried = [F.struct(*carry).alias("carried")] if carry else []
     passed = ["carried"] if carry else []
     d = docs.select(F.col(id_col).alias("doc_id"), text.alias("t"), *carried)
-    d = d.select("doc_id", "t", *passed, words_of(F.col("t")).alias("w"), F.split("t", "\n", -1).alias("lines"))
-    grams = F.when(
-        F.size("w") >= 6,
-        F.transform(F.sequence(F.lit(0), F.size("w") - 5), lambda i: F.xxhash64(*[F.col("w")[i + k] for k in range(5)])),
-    )
-    judged = F.transform("lines", lambda s: F.struct(s.alias("line"), F.btrim(s, F.lit(WS_CHARS)).alias("trimmed"), words_of(s).alias("words")))
+    judged = F.transform(F.split("t", "\n", -1), lambda s: F.struct(s.alias("line"), F.btrim(s, F.lit(WS_CHARS)).alias("trimmed"), words_of(s).alias("words")))
     judged = F.transform(judged, lambda x: F.struct(x["line"].alias("line"), (x["trimmed"] != "").alias("filled"), F.length(F.array_join(x["words"], "")).alias("chars"), F.when(x["trimmed"] != "", _line_fails(x, rules)).otherwise(False).alias("fails")))
-    d = d.select("doc_id", "t", "w", *passed, grams.alias("g"), judged.alias("lines"))
-    # Positions whose window occurs again: neighbours in the order of (hash, position). Only texts with such a window sort.
-    pairs = F.when(
-        F.size(F.array_distinct("g")) < F.size("g"),
-        F.sort_array(F.transform("g", lambda h, i: F.struct(h.alias("h"), i.alias("i")))),
-    )
-    d = d.select("doc_id", "t", "w", "lines", *passed, pairs.alias("s"))
-    dup = lambda x, k: (F.get("s", k - 1)["h"] == x["h"]) | (F.get("s", k + 1)["h"] == x["h"])
-    found = F.sort_array(F.transform(F.filter("s", lambda x, k: F.coalesce(dup(x, k), F.lit(False))), lambda x: x["i"]))
-    d = d.select("doc_id", "t", "w", "lines", *passed, found.alias("p"))
-    covered = F.aggregate(
-        F.transform("p", lambda x, k: F.least(F.lit(5), F.coalesce(F.get("p", k + 1), x + 5) - x).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x
-    )
+    words = let(words_of(F.col("t")), lambda w: F.struct(F.size(w).cast("long").alias("n"), repeat_words(w).alias("repeated")))
+    d = d.select("doc_id", "t", *passed, words.alias("w"), judged.alias("lines"))
     filled = F.filter("lines", lambda x: x["filled"])
     kept_lines = F.filter("lines", lambda x: ~x["fails"])
     total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x["chars"])
     d = d.select(
         "doc_id",
         *passed,
-        F.size("w").cast("long").alias("n_words"),
+        F.col("w.n").alias("n_words"),
         total(F.col("lines")).alias("word_chars"),
         (F.length("t") - F.length(F.regexp_replace("t", SYMBOLS_RE, ""))).cast("long").alias("n_symbols"),
         (F.size(filled) - F.size(F.array_distinct(F.transform(filled, lambda x: x["line"])))).cast("long").alias("n_dup_lines"),
-        F.coalesce(covered, F.lit(0).cast("long")).alias("n_repeat_words"),
+        F.col("w.repeated").alias("n_repeat_words"),
         F.size(filled).cast("long").alias("n_lines"),
         F.size(F.filter("lines", lambda x: x["fails"])).cast("long").alias("n_removed_lines"),
         total(kept_lines).alias("kept_chars"),
