@@ -15,7 +15,7 @@ from timeloom.llm.common import materialise, table
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules keep, without the lines that failed; n_chars follows the text."""
-    judged = quality_rules.quality_rules(docs, carry=tuple(docs.columns)).filter("kept")
+    judged = quality_rules.keep_rows(quality_rules.quality_rules(docs, carry=tuple(docs.columns)))
     new = {"text": F.col("clean_text"), "n_chars": F.length("clean_text").cast("long")}
     return judged.select(*[new[c].alias(c) if c in new else F.col(f"carried.{c}").alias(c) for c in docs.columns])
 
