@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from timeloom.llm import decontam, mixing, quality_rules, simhash, token_output
+from timeloom.llm import decontam, language_id, mixing, quality_classifier, quality_rules, simhash, token_output, toxicity
 
 QUERIES = {
+    "op1_language_id": language_id.op1,
     "op3_decontamination": decontam.op3,
     "op5_simhash": simhash.op5,
     "op6_token_output": token_output.op6,
+    "op7_toxicity": toxicity.op7,
     "op8_quality_rules": quality_rules.op8,
+    "op9_quality_classifier": quality_classifier.op9,
     "op10_mixing": mixing.op10,
 }
 ORACLES = {
