@@ -14,6 +14,7 @@ labelled row, or with one label only, every score is the share of label 1 (0.0 w
 
 from __future__ import annotations
 
+import itertools
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,14 +35,14 @@ class Toxicity:
     dim: int = 8
     sizes: tuple[int, ...] = (3, 4, 5)
     segment: int = 32
-    per_class: int = 2500
+    per_class: int = 3000
     max_bytes: int = 6000
     min_docs: int = 5  #: subwords of fewer texts of the sample teach nothing, so that single texts aren't learned by heart
-    epochs: int = 8
+    epochs: int = 5
     rate: float = 0.5
-    refine: int = 2  #: rounds over segments
+    refine: int = 4  #: rounds over segments
     clean: int = 2  #: clean segments drawn for each worst segment
-    held_out: int = 5  #: one in so many of the sample fits the calibration
+    held_out: int = 4  #: one in so many of the sample fits the calibration
     flagged: float = 0.004  #: clean texts that may score 0.5 or more
     chunk_bytes: int = 1 << 19
 
@@ -103,47 +104,45 @@ def fit(texts: list[str], labels: np.ndarray, p: Toxicity = PARAMS) -> Model:
         share = float(labels.mean()) if len(labels) else 0.0
         return Model(np.zeros(p.buckets), 0.0, 0.0, float(np.clip(np.log(max(share, 1e-18) / max(1 - share, 1e-18)), -40, 40)))
     rng = np.random.default_rng(11)
-    bag, owner = [], []
-    data, offsets = utf8(pa.array(texts))
-    for i, j in chunks(offsets, p.chunk_bytes):
-        b, seg, text = segments(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], p)
-        cuts = np.searchsorted(seg, np.arange(len(text) + 1))
-        for k in range(len(text)):
-            u, c = np.unique(b[cuts[k] : cuts[k + 1]], return_counts=True)
-            if len(u):
-                bag.append((u.astype(np.int32), (c / c.sum()).astype(np.float32)))
-                owner.append(i + text[k])
-    owner = np.array(owner, np.int64)
-    sizes = np.array([len(u) for u, _ in bag])
-    all_u, all_w = np.concatenate([u for u, _ in bag]), np.concatenate([w for _, w in bag])
-    begin = np.cumsum(sizes) - sizes
     learn = rng.random(len(labels)) >= 1 / p.held_out
-    cuts = np.searchsorted(owner, np.arange(len(labels) + 1))
-    docs = [np.unique(all_u[begin[i] : begin[j - 1] + sizes[j - 1]]) if j > i else all_u[:0] for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
-    common = np.bincount(np.concatenate(docs), minlength=p.buckets) >= p.min_docs
-    docs = [u[common[u]] for u in docs]
-    bag = [(u[k], w[k]) for u, w in bag for k in (common[u],)]
-    all_w = np.where(common[all_u], all_w, np.float32(0))
+    data, offsets = utf8(pa.array(texts))
+    parts = [(i, j, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]) for i, j in chunks(offsets, p.chunk_bytes)]
     # whole texts first, each different subword weighing alike
+    bag: list[np.ndarray] = []
+    for i, j, d, o in parts:
+        b, seg, text = segments(d, o, p)
+        cuts = np.searchsorted(text[seg], np.arange(j - i + 1))
+        bag += [np.unique(b[x:y]).astype(np.int32) for x, y in itertools.pairwise(cuts.tolist())]
+    common = np.bincount(np.concatenate(bag), minlength=p.buckets) >= p.min_docs
+    bag = [u[common[u]] for u in bag]
     chosen = np.flatnonzero(learn)
-    weight, bias = train([(docs[k], np.full(len(docs[k]), 1 / max(len(docs[k]), 1), np.float32)) for k in chosen], labels[chosen], 2, p.buckets, p.dim, p.epochs, p.rate)
-    rounds = p.refine
-    for r in range(rounds):
-        w1 = (weight[:, 1] - weight[:, 0]).astype(np.float32)
-        z = np.add.reduceat(w1[all_u] * all_w, begin) + (bias[1] - bias[0])
-        best = np.full(len(labels), -np.inf)
-        np.maximum.at(best, owner, z)
-        top = np.flatnonzero((z >= best[owner]) & learn[owner])
-        clean = np.flatnonzero((labels[owner] == 0) & learn[owner])
-        more = rng.choice(clean, min(len(clean), p.clean * len(top)), replace=False)
-        pick = np.unique(np.concatenate((top, more)))
-        weight, bias = train([bag[k] for k in pick], labels[owner[pick]], 2, p.buckets, p.dim, p.epochs, p.rate, seed=13 + r)
+    weight, bias = train([(bag[k], np.full(len(bag[k]), 1 / max(len(bag[k]), 1), np.float32)) for k in chosen], labels[chosen], 2, p.buckets, p.dim, p.epochs, p.rate)
+    del bag
+    # then segments: of each text the worst one, of clean texts others too; only these are held
+    for r in range(p.refine):
+        w1, picked, of = weight[:, 1] - weight[:, 0], [], []
+        for i, j, d, o in parts:
+            b, seg, text = segments(d, o, p)
+            n = np.bincount(seg, minlength=len(text))
+            z = np.where(n > 0, np.bincount(seg, weights=w1[b], minlength=len(text)) / np.maximum(n, 1), -np.inf)
+            order = np.lexsort((z, text))
+            pick = order[np.searchsorted(text[order], np.arange(j - i), side="right") - 1]
+            clean = np.flatnonzero((labels[i:j] == 0)[text])
+            if len(clean):
+                pick = np.unique(np.concatenate((pick, rng.choice(clean, min(len(clean), p.clean * (j - i)), replace=False))))
+            pick = pick[learn[i + text[pick]]]
+            cuts = np.searchsorted(seg, np.stack((pick, pick + 1)))
+            for x, y, t in zip(*cuts.tolist(), text[pick].tolist(), strict=True):
+                u, c = np.unique(b[x:y], return_counts=True)
+                ok = common[u]
+                if ok.any():
+                    picked.append((u[ok].astype(np.int32), (c[ok] / (y - x)).astype(np.float32)))
+                    of.append(labels[i + t])
+        weight, bias = train(picked, np.array(of), 2, p.buckets, p.dim, p.epochs, p.rate, seed=13 + r)
     w1, b1 = (weight[:, 1] - weight[:, 0]).astype(np.float64), float(bias[1] - bias[0])
-    z = np.add.reduceat(w1[all_u] * all_w, begin) + b1
-    best = np.full(len(labels), b1)
-    np.maximum.at(best, owner, z)
+    z = np.concatenate([worst(w1, b1, d, o, p) for _, _, d, o in parts])
     cal = ~learn if len(np.unique(labels[~learn])) == 2 else learn
-    a, b = calibrate(best[cal], labels[cal], p.flagged)
+    a, b = calibrate(z[cal], labels[cal], p.flagged)
     return Model(w1, b1, a, b)
 
 
