@@ -68,42 +68,67 @@ def _byte_letters() -> dict[int, str]:
 class WordEncoder:
     """ids of white-space separated words as little-endian bytes, one table a worker."""
 
-    #: One or two pieces whose normal form needs no tables: letters of ASCII and Latin-1, then marks of ASCII.
-    _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([!#$%&*+,./:;=?@^_|~()\[\]{}\\\-\"]*)")
+    #: Words of one or two pieces whose normal form needs no tables (letters of ASCII and Latin-1, then marks of ASCII), or others.
+    _PLAIN = re.compile(r"([a-zß-öø-ÿ]*)([!#$%&*+,./:;=?@^_|~()\[\]{}\\\-\"]*) |([^ ]+) ")
 
     def __init__(self, path: str, keep: int):
+        import json
+
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.keep = Tokenizer.from_file(path), keep
-        self.model, self.letters = self.tokenizer.model, _byte_letters()
+        self.tokenizer, self.keep, self.letters = Tokenizer.from_file(path), keep, _byte_letters()
+        # the same model for pieces that are normal and apart already: many in one call, each ended by an id of an end of word
+        bare = json.loads(self.tokenizer.to_str())
+        end = bare["model"]["end_of_word_suffix"] or "</w>"
+        vocabulary = bare["model"]["vocab"]
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for k, i in vocabulary.items() if k.endswith(end)]] = True
+        bare |= {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "post_processor": None, "added_tokens": []}
+        self.bare = Tokenizer.from_str(json.dumps(bare))
         self.new: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-
-    def _piece(self, s: str) -> bytes:
-        out = self.pieces.get(s)
-        if out is None:
-            if len(self.pieces) >= self.keep:
-                self.pieces.clear()
-            letters = s.encode().decode("latin1").translate(self.letters)
-            out = self.pieces[s] = np.array([t.id for t in self.model.tokenize(letters)], "<i4").tobytes() if s else b""
-        return out
-
-    def _word(self, w: bytes) -> bytes:
-        s = w.decode()
-        m = self._PLAIN.fullmatch(s)
-        if m is None:
-            return np.array(self.tokenizer.encode(s, add_special_tokens=False).ids, "<i4").tobytes()
-        return self._piece(m[1].lower()) + self._piece(m[2])
+        self.pieces: dict[str, bytes] = {"": b""}
+
+    def _learn_pieces(self, pieces: list[str]) -> None:
+        if len(self.pieces) + len(pieces) > self.keep:
+            self.pieces = {"": b""}
+        letters = " ".join(pieces).encode().decode("latin1").translate(self.letters).replace(self.letters[32], " ")
+        ids = np.array(self.bare.encode_batch_fast([letters], add_special_tokens=False)[0].ids, "<i4")
+        last = np.flatnonzero(self.ends[ids]) + 1
+        assert len(last) == len(pieces), "a piece isn't one word for this tokenizer"
+        raw, cut = ids.tobytes(), [0, *(4 * last).tolist()]
+        self.pieces.update(zip(pieces, map(raw.__getitem__, map(slice, cut[:-1], cut[1:])), strict=True))
+
+    def _learn(self, words: list[bytes]) -> dict[bytes, bytes]:
+        # a lower-cased capital of Latin-1 is a small letter of Latin-1, and no other letter's is, but for two signs
+        text = (b" ".join(words) + b" ").decode()
+        parts = self._PLAIN.findall(text.lower())
+        if "\u212a" in text or "\u212b" in text or len(parts) != len(words):
+            return {w: np.array(self.tokenizer.encode(w.decode(), add_special_tokens=False).ids, "<i4").tobytes() for w in words}
+        for _ in range(2):
+            unknown = ({x for x, _, _ in parts} | {y for _, y, _ in parts}).difference(self.pieces)
+            if unknown:
+                self._learn_pieces(list(unknown))  # may empty the table first; then what it held is learned again
+        p = self.pieces
+        found = {w: p[x] + p[y] for w, (x, y, z) in zip(words, parts, strict=True) if not z}
+        for w, (_, _, z) in zip(words, parts, strict=True):
+            if z:
+                found[w] = np.array(self.tokenizer.encode(w.decode(), add_special_tokens=False).ids, "<i4").tobytes()
+        return found
 
     def encode(self, words: list[bytes]) -> list[bytes]:
-        missing = set(words).difference(self.new)
-        if len(self.new) + len(missing) > self.keep:
-            self.old, self.new = self.new, {}
-            missing = set(words)
-        for w in missing:
-            self.new[w] = self.old.get(w) or self._word(w)
-        return list(map(self.new.__getitem__, words))
+        coded = list(map(self.new.get, words))
+        gaps = [i for i, c in enumerate(coded) if c is None]
+        if gaps:
+            missing = {words[i] for i in gaps}
+            found = {w: c for w in missing if (c := self.old.get(w)) is not None}
+            found |= self._learn([w for w in missing if w not in found])
+            if len(self.new) + len(found) > self.keep:
+                self.old, self.new = self.new, {}
+            self.new |= found
+            for i in gaps:
+                coded[i] = found[words[i]]
+        return coded
 
 
 _encoders: dict[tuple[str, int], WordEncoder] = {}
