@@ -59,7 +59,7 @@ def search_dialogue(lines: DataFrame, query: str, k: int = 8, least: float = 0.6
     found = d.filter(F.col("__n").contains(q)).withColumn("__s", F.lit(1.0))
     asked = F.array_distinct(words(F.lit(q)))
     share = F.when(F.size(asked) > 0, F.size(F.array_intersect(asked, words(F.col("__n")))) / F.size(asked)).otherwise(0.0)
-    rest = d.filter(~F.col("__n").contains(q)).withColumn("__s", F.greatest(share, window_ratio(F.lit(q), F.col("__n"))))
+    rest = d.filter(~F.col("__n").contains(q)).withColumn("__s", F.greatest(share, window_ratio(least)(F.lit(q), F.col("__n"))))
     out = found.unionByName(rest).filter(F.col("__s") >= least).withColumn("score", F.round("__s", 2)).drop("__n", "__s")
     return out.orderBy(F.desc("score"), "start_ms", "id").limit(k)
 
