@@ -77,9 +77,9 @@ def repeat_words(w: Column) -> Column:
     return F.when(F.size(w) >= 6, counted).otherwise(none)
 
 
-def keep_rows(judged: DataFrame) -> DataFrame:
-    """The kept rows; the condition isn't deterministic for Catalyst, so it stays above the projection that computes it."""
-    return judged.filter(F.when(F.monotonically_increasing_id() >= 0, F.col("kept")))
+def computed(df: DataFrame, *columns) -> DataFrame:
+    """select(), as a generator of one row: Catalyst neither copies its expressions into later steps nor moves filters below it."""
+    return df.select(F.inline(F.array(F.struct(*columns))))
 
 
 def _pct(part: Column, pct: int, whole: Column) -> Column:
@@ -109,8 +109,8 @@ def _line_fails(x: Column, r: LineRules) -> Column:
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: LineRules = RULES, carry: tuple[str, ...] = ()) -> DataFrame:
     """id, the counts of the base rules, base_failed, kept, n_lines, n_removed_lines, clean_text; then struct `carried` if asked for.
 
-    Arrays used inside lambdas are bound by `let`, so a predicate on a result that Catalyst copies below the projection
-    costs the work twice at most; `keep_rows` avoids that too.
+    Arrays used inside lambdas are bound by `let`, and each step is `computed`, so everything is computed once a row whatever
+    a caller selects or filters.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     carried = [F.struct(*carry).alias("carried")] if carry else []
@@ -119,11 +119,12 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     judged = F.transform(F.split("t", "\n", -1), lambda s: F.struct(s.alias("line"), F.btrim(s, F.lit(WS_CHARS)).alias("trimmed"), words_of(s).alias("words")))
     judged = F.transform(judged, lambda x: F.struct(x["line"].alias("line"), (x["trimmed"] != "").alias("filled"), F.length(F.array_join(x["words"], "")).alias("chars"), F.when(x["trimmed"] != "", _line_fails(x, rules)).otherwise(False).alias("fails")))
     words = let(words_of(F.col("t")), lambda w: F.struct(F.size(w).cast("long").alias("n"), repeat_words(w).alias("repeated")))
-    d = d.select("doc_id", "t", *passed, words.alias("w"), judged.alias("lines"))
+    d = computed(d, "doc_id", "t", *passed, words.alias("w"), judged.alias("lines"))
     filled = F.filter("lines", lambda x: x["filled"])
     kept_lines = F.filter("lines", lambda x: ~x["fails"])
     total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x["chars"])
-    d = d.select(
+    d = computed(
+        d,
         "doc_id",
         *passed,
         F.col("w.n").alias("n_words"),
