@@ -15,7 +15,7 @@ from timeloom.llm.common import materialise, table
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules keep, without the lines that failed; n_chars follows the text."""
-    judged = quality_rules.keep_rows(quality_rules.quality_rules(docs, carry=tuple(docs.columns)))
+    judged = quality_rules.quality_rules(docs, carry=tuple(docs.columns)).filter("kept")
     new = {"text": F.col("clean_text"), "n_chars": F.length("clean_text").cast("long")}
     return judged.select(*[new[c].alias(c) if c in new else F.col(f"carried.{c}").alias(c) for c in docs.columns])
 
@@ -25,7 +25,8 @@ def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = materialise(simhash.near_duplicates(docs).select("doc_id", "component_id"), "dedup")
     chosen = found.filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n"))
     repeated = not chosen.filter("n > 1").isEmpty()
-    kept = docs.join(chosen.select("doc_id"), "doc_id", "left_semi").select(docs.columns)
+    # the ids grow with the corpus: never broadcast, the same plan at every size
+    kept = docs.join(chosen.select("doc_id").hint("merge"), "doc_id", "left_semi").select(docs.columns)
     if repeated:  # rows that share an id: the first by content
         order = Window.partitionBy("doc_id").orderBy(*[c for c in docs.columns if c != "doc_id"])
         kept = kept.withColumn("__k", F.row_number().over(order)).filter("__k = 1").drop("__k")
