@@ -6,8 +6,8 @@ so metadata and token columns are read apart, and page indexes with small row gr
 Offsets over the whole output need only the sums of the shards, taken from the metadata columns.
 
 The texts are range-partitioned by id (one shuffle of the texts, which are smaller than their ids), then encoded where they
-land. White space ends words for the tokenizer, so each different word is encoded once a worker and kept in a bounded table;
-the property test compares with whole-text encoding.
+land. White space ends words for the tokenizer, and runs of letters and of marks are split, so each different piece is encoded
+once a chunk and kept in a bounded table of the worker; the property test compares with whole-text encoding.
 
 Defined results: a null or empty text is just the end id. Rows are ordered by id (null first), then by text, so repeated
 rows are neighbours. An empty table gives an empty table. Columns other than the id and the text are not read.
@@ -16,7 +16,6 @@ rows are neighbours. An empty table gives an empty table. Columns other than the
 from __future__ import annotations
 
 import itertools
-import re
 import uuid
 import zlib
 from dataclasses import dataclass
@@ -26,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from timeloom.llm.common import arrow_map, chunks, shared_dir, table, utf8
+from timeloom.llm.common import arrow_map, chunks, mix64, shared_dir, table, utf8
 
 
 @dataclass(frozen=True)
@@ -38,8 +37,8 @@ class TokenFormat:
     row_group_bytes: int = 32 << 20
     page_bytes: int = 256 << 10
     page_rows: int = 1000
-    known_words: int = 250_000  #: words kept in each of the two generations of a worker's table
-    chunk_bytes: int = 2 << 20
+    known_words: int = 300_000  #: pieces kept in each of the two generations of a worker's table
+    chunk_bytes: int = 4 << 20
 
     def options(self) -> dict[str, str]:
         plain = {f"parquet.enable.dictionary#{c}": "false" for c in ("doc_id", "n_tokens", "shard_start")}
@@ -65,11 +64,8 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) if b in visible else chr(next(rest)) for b in range(256)}
 
 
-class WordEncoder:
-    """ids of white-space separated words as little-endian bytes, one table a worker."""
-
-    #: Words of one or two pieces whose normal form needs no tables (letters of ASCII and Latin-1, then marks of ASCII), or others.
-    _PLAIN = re.compile(r"([a-zß-öø-ÿ]*)([!#$%&*+,./:;=?@^_|~()\[\]{}\\\-\"]*) |([^ ]+) ")
+class PieceEncoder:
+    """ids of pieces as little-endian bytes, one table a worker. A key that starts with a zero byte is a whole word, in raw form."""
 
     def __init__(self, path: str, keep: int):
         import json
@@ -87,54 +83,39 @@ class WordEncoder:
         self.bare = Tokenizer.from_str(json.dumps(bare))
         self.new: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
-        self.pieces: dict[str, bytes] = {"": b""}
-
-    def _learn_pieces(self, pieces: list[str]) -> None:
-        if len(self.pieces) + len(pieces) > self.keep:
-            self.pieces = {"": b""}
-        letters = " ".join(pieces).encode().decode("latin1").translate(self.letters).replace(self.letters[32], " ")
-        ids = np.array(self.bare.encode_batch_fast([letters], add_special_tokens=False)[0].ids, "<i4")
-        last = np.flatnonzero(self.ends[ids]) + 1
-        assert len(last) == len(pieces), "a piece isn't one word for this tokenizer"
-        raw, cut = ids.tobytes(), [0, *(4 * last).tolist()]
-        self.pieces.update(zip(pieces, map(raw.__getitem__, map(slice, cut[:-1], cut[1:])), strict=True))
-
-    def _learn(self, words: list[bytes]) -> dict[bytes, bytes]:
-        # a lower-cased capital of Latin-1 is a small letter of Latin-1, and no other letter's is, but for two signs
-        text = (b" ".join(words) + b" ").decode()
-        parts = self._PLAIN.findall(text.lower())
-        if "\u212a" in text or "\u212b" in text or len(parts) != len(words):
-            return {w: np.array(self.tokenizer.encode(w.decode(), add_special_tokens=False).ids, "<i4").tobytes() for w in words}
-        for _ in range(2):
-            unknown = ({x for x, _, _ in parts} | {y for _, y, _ in parts}).difference(self.pieces)
-            if unknown:
-                self._learn_pieces(list(unknown))  # may empty the table first; then what it held is learned again
-        p = self.pieces
-        found = {w: p[x] + p[y] for w, (x, y, z) in zip(words, parts, strict=True) if not z}
-        for w, (_, _, z) in zip(words, parts, strict=True):
-            if z:
-                found[w] = np.array(self.tokenizer.encode(w.decode(), add_special_tokens=False).ids, "<i4").tobytes()
-        return found
-
-    def encode(self, words: list[bytes]) -> list[bytes]:
-        coded = list(map(self.new.get, words))
+
+    def _learn(self, keys: list[bytes]) -> dict[bytes, bytes]:
+        out = {k: np.array(self.tokenizer.encode(k[1:].decode(), add_special_tokens=False).ids, "<i4").tobytes() for k in keys if not k[0]}
+        pieces = [k for k in keys if k[0]]
+        if pieces:
+            letters = b" ".join(pieces).decode("latin1").translate(self.letters).replace(self.letters[32], " ")
+            ids = np.array(self.bare.encode_batch_fast([letters], add_special_tokens=False)[0].ids, "<i4")
+            last = np.flatnonzero(self.ends[ids]) + 1
+            assert len(last) == len(pieces), "a piece isn't one word for this tokenizer"
+            raw, cut = ids.tobytes(), [0, *(4 * last).tolist()]
+            out.update(zip(pieces, map(raw.__getitem__, map(slice, cut[:-1], cut[1:])), strict=True))
+        return out
+
+    def encode(self, keys: list[bytes]) -> list[bytes]:
+        """keys: all different."""
+        coded = list(map(self.new.get, keys))
         gaps = [i for i, c in enumerate(coded) if c is None]
         if gaps:
-            missing = {words[i] for i in gaps}
-            found = {w: c for w in missing if (c := self.old.get(w)) is not None}
-            found |= self._learn([w for w in missing if w not in found])
+            missing = [keys[i] for i in gaps]
+            found = {k: c for k in missing if (c := self.old.get(k)) is not None}
+            found |= self._learn([k for k in missing if k not in found])
             if len(self.new) + len(found) > self.keep:
                 self.old, self.new = self.new, {}
             self.new |= found
-            for i in gaps:
-                coded[i] = found[words[i]]
+            for i, k in zip(gaps, missing, strict=True):
+                coded[i] = found[k]
         return coded
 
 
-_encoders: dict[tuple[str, int], WordEncoder] = {}
+_encoders: dict[tuple[str, int], PieceEncoder] = {}
 
 
-def encoder(name: str, keep: int) -> WordEncoder:
+def encoder(name: str, keep: int) -> PieceEncoder:
     """The worker's encoder; tasks that follow in the same process find its table filled."""
     key = (name, keep)
     if key not in _encoders:
@@ -147,33 +128,105 @@ def encoder(name: str, keep: int) -> WordEncoder:
 
             path = public_tokenizers.path(name)
         _encoders.clear()
-        _encoders[key] = WordEncoder(path, keep)
+        _encoders[key] = PieceEncoder(path, keep)
     return _encoders[key]
 
 
+# Bytes by what the tokenizer's split does with them: white space, ASCII letters, ASCII marks that stand for themselves; all
+# others (digits, apostrophes, angle brackets, controls, UTF-8 but for Latin-1 letters) leave their word to the tokenizer itself.
+_SPACE, _LETTER, _MARK = (np.zeros(256, bool) for _ in range(3))
+_SPACE[[32, 9, 10, 11, 12, 13]] = True
+_LETTER[65:91] = _LETTER[97:123] = True
+_MARK[list(b'!#$%&*+,./:;=?@^_|~()[]{}\\-"')] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
+
+def pieces(data: np.ndarray, offsets: np.ndarray):
+    """(bytes, start, end, raw word?) of the runs of letters and of marks, in lower case; words with other bytes whole and raw."""
+    space = _SPACE[data]
+    inside = np.concatenate((~space, [False]))
+    edge = np.zeros(len(inside), bool)
+    edge[offsets] = True
+    before = np.concatenate(([False], inside[:-1]))
+    first, past = inside & (~before | edge), before & (~inside | edge)
+    starts, ends = np.flatnonzero(first), np.flatnonzero(past)
+    # U+00C0 to U+00FF but for two signs: C3 and a second byte
+    lead = np.concatenate(((data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] != 0x97) & (data[1:] != 0xB7), [False]))[: len(data)]
+    second = np.concatenate(([False], lead[:-1]))[: len(data)]
+    letter = _LETTER[data] | lead | second
+    low = _LOWER[data]
+    low[second & (data <= 0x9E)] += 32
+    odd = np.concatenate(([0], np.cumsum(~(letter | _MARK[data] | space))))
+    raw = odd[ends] > odd[starts]
+    delta = np.zeros(len(data) + 1, np.int8)
+    delta[starts[raw]] += 1
+    delta[ends[raw]] -= 1
+    raw = np.cumsum(delta, dtype=np.int8) > 0
+    turn = np.zeros(len(inside), bool)
+    turn[1 : len(data)] = (letter[1:] != letter[:-1]) & inside[1:-1] & before[1:-1] & ~edge[1:-1] & ~raw[1:-1]
+    starts, ends = np.flatnonzero(first | turn), np.flatnonzero(past | turn)
+    return np.where(raw[:-1], data, low), starts, ends, raw[starts]
+
+
+def distinct_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+    """(index of the first of each different word, number of its word for each): by a hash of 8 bytes at a time.
+
+    Words that share a hash are compared by kind, length, first and last 8 bytes; None if any differ.
+    """
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    at = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    lengths = 2 * (ends - starts) + kind
+    low = np.concatenate(((np.uint64(1) << (8 * np.arange(8, dtype=np.uint64))) - np.uint64(1), [np.uint64(0xFFFFFFFFFFFFFFFF)]))
+    n = ends - starts
+    first = at[starts] & low[np.minimum(n, 8)]
+    h = mix64(first + lengths.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    more, k = np.flatnonzero(n > 8), 8
+    while len(more):
+        h[more] = mix64(h[more] * np.uint64(0xC2B2AE3D27D4EB4F) + (at[starts[more] + k] & low[np.minimum(n[more] - k, 8)]))
+        k += 8
+        more = more[n[more] > k]
+    _, one, number = np.unique(h, return_index=True, return_inverse=True)
+    last = at[np.maximum(ends - 8, starts)] & low[np.minimum(n, 8)]
+    rep = one[number]
+    same = (lengths[rep] == lengths) & (first[rep] == first) & (last[rep] == last)
+    return (one, number) if same.all() else None
+
+
+def encode_texts(e: PieceEncoder, data: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """ids of all texts, each with the end id, and how many each has. Python sees each different piece of the chunk once."""
+    n = len(offsets) - 1
+    buf, starts, ends, raw = pieces(data, offsets)
+    text = np.searchsorted(offsets, starts, side="right") - 1
+    found = distinct_words(buf, starts, ends, raw)
+    one, number = found if found else np.unique([buf[x:y].tobytes() + bytes([r]) for x, y, r in zip(starts, ends, raw, strict=True)], return_index=True, return_inverse=True)[1:]
+    b = buf.tobytes()
+    coded = e.encode([b"\0" + b[x:y] if r else b[x:y] for x, y, r in zip(starts[one].tolist(), ends[one].tolist(), raw[one].tolist(), strict=True)])
+    flat = np.frombuffer(b"".join(coded), "<i4")
+    sizes = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
+    place = np.cumsum(sizes) - sizes
+    per = sizes[number]
+    total = int(per.sum())
+    came = np.cumsum(per) - per
+    out = np.full(total + n, end_id, np.int32)
+    step = np.arange(total)
+    out[step + np.repeat(text, per)] = flat[step + np.repeat(place[number] - came, per)]
+    return out, np.bincount(text, weights=per, minlength=n).astype(np.int64) + 1
+
+
 def token_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p: TokenFormat = FORMAT) -> DataFrame:
     """doc_id, tokens, n_tokens, shard_start, shard: in partitions of ascending ids."""
     d = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     d = d.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    end = np.array([p.end_id], "<i4").tobytes()
 
     def run(batches):
         before, e = 0, encoder(p.tokenizer, p.known_words)
         for b in batches:
             data, offsets = utf8(b.column(1))
             for i, j in chunks(offsets, p.chunk_bytes):
-                raw, o = data[offsets[i] : offsets[j]].tobytes(), (offsets[i : j + 1] - offsets[i]).tolist()
-                words = [raw[x:y].split() for x, y in itertools.pairwise(o)]
-                coded = e.encode(list(itertools.chain.from_iterable(words)))
-                values, sizes, at = [], [], 0
-                for w in words:
-                    text = b"".join(coded[at : at + len(w)])
-                    at += len(w)
-                    values += (text, end)
-                    sizes.append(len(text) // 4 + 1)
-                n = np.array(sizes, np.int64)
+                values, n = encode_texts(e, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], p.end_id)
                 ends = np.cumsum(n)
-                tokens = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(np.frombuffer(b"".join(values), "<i4")))
+                tokens = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(values))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), tokens, pa.array(n), pa.array(before + ends - n)], ["doc_id", "tokens", "n_tokens", "shard_start"])
                 before += int(ends[-1])
 
