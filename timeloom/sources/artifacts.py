@@ -89,7 +89,7 @@ def wav_slices(files: DataFrame, spans: DataFrame) -> DataFrame:
                         errors.append(None)
                 except (ValueError, EOFError, wave.Error, struct.error) as x:
                     samples.append(None)
-                    errors.append(str(x))
+                    errors.append(str(x) or type(x).__name__)
             yield pd.DataFrame({"path": b["path"], "start_ms": b["start_ms"], "end_ms": b["end_ms"], "samples": samples, "error": errors})
 
     return joined.select("path", "content", "start_ms", "end_ms").mapInPandas(run, out)
