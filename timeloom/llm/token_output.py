@@ -37,8 +37,8 @@ class TokenFormat:
     row_group_bytes: int = 32 << 20
     page_bytes: int = 256 << 10
     page_rows: int = 1000
-    known_words: int = 300_000  #: pieces kept in each of the two generations of a worker's table
-    chunk_bytes: int = 4 << 20
+    known_words: int = 200_000  #: pieces kept in each of the two generations of a worker's table
+    chunk_bytes: int = 2 << 20
 
     def options(self) -> dict[str, str]:
         plain = {f"parquet.enable.dictionary#{c}": "false" for c in ("doc_id", "n_tokens", "shard_start")}
