@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tests.conftest import SF, same
-from timeloom.llm import common, decontam, html_extract, language_id, mixing, quality_classifier, quality_rules, registry, simhash, toxicity
+from timeloom.llm import common, decontam, html_extract, language_id, license_scan, mixing, quality_classifier, quality_rules, registry, simhash, toxicity
 from timeloom.llm import token_output as to
 
 ODD = [(1, None, "a"), (2, "", None), (3, " \n\t ", "a"), (4, "x", "b"), (4, "x", "b"), (5, "word " * 30000, "a"), (None, "some text here", "a"), (6, "Ünï ñ 中文 1 2", "b")]
@@ -231,3 +231,17 @@ def test_html_pages(spark):
     rows = [(1, None, None), (1, "http://www.a.example/x", "<div class=c><p>Some words here. More words.</p></div>"), (2, "http://m.a.example/y", ""), (3, "odd", "plain text")]
     got = html_extract.extract_pages(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()
     assert sorted((r.page_id, r.text) for r in got) == [(1, ""), (1, "Some words here. More words."), (2, ""), (3, "plain text")]
+
+
+def test_license_scan(spark, odd, empty):
+    t = license_scan.Templates(license_scan.TEMPLATES, license_scan.PARAMS)
+    mit = license_scan.TEMPLATES["MIT"][2].replace("free of charge", "free of any charge").replace(", to deal", ",\nto deal")
+    text = "Some words.\n" + mit + "\nLICENSED under the apache licence, version 3.1\nLicensed under the Apache License, version 2.1\nmore"
+    rows = license_scan.scan(spark.createDataFrame([(1, text)], "doc_id bigint, text string")).first()
+    assert rows.licenses == "Apache-2.0,MIT" and rows.n_matches == 2 and [(x.first_line, x.last_line) for x in rows.spans] == [(1, 2), (4, 4)]
+    docs = common.table(spark, SF, "documents").select("doc_id", "text").toPandas()
+    got = license_scan.op4(spark, SF).toPandas().set_index("doc_id")
+    for i, x in zip(docs.doc_id, docs.text, strict=True):
+        want = license_scan.scan_text(x, None, t)  # every line, every run
+        assert got.n_matches[i] == len(want) and got.licenses[i] == ",".join(sorted({w[1] for w in want}))
+    assert license_scan.scan(odd).count() == len(ODD) and license_scan.scan(empty).count() == 0

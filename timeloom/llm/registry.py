@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from timeloom.llm import decontam, html_extract, language_id, mixing, quality_classifier, quality_rules, simhash, token_output, toxicity
+from timeloom.llm import decontam, html_extract, language_id, license_scan, mixing, quality_classifier, quality_rules, simhash, token_output, toxicity
 
 QUERIES = {
     "op1_language_id": language_id.op1,
     "op2_html_extraction": html_extract.op2,
     "op3_decontamination": decontam.op3,
+    "op4_license_scan": license_scan.op4,
     "op5_simhash": simhash.op5,
     "op6_token_output": token_output.op6,
     "op7_toxicity": toxicity.op7,
