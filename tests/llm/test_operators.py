@@ -235,7 +235,7 @@ def test_html_pages(spark):
 
 def test_license_scan(spark, odd, empty):
     t = license_scan.Templates(license_scan.TEMPLATES, license_scan.PARAMS)
-    mit = license_scan.TEMPLATES["MIT"][2].replace("free of charge", "free of any charge").replace(", to deal", ",\nto deal")
+    mit = license_scan.TEMPLATES["MIT"][3].replace("free of charge", "free of any charge").replace(", to deal", ",\nto deal")
     text = "Some words.\n" + mit + "\nLICENSED under the apache licence, version 3.1\nLicensed under the Apache License, version 2.1\nmore"
     rows = license_scan.scan(spark.createDataFrame([(1, text)], "doc_id bigint, text string")).first()
     assert rows.licenses == "Apache-2.0,MIT" and rows.n_matches == 2 and [(x.first_line, x.last_line) for x in rows.spans] == [(1, 2), (4, 4)]
