@@ -8,8 +8,8 @@ Training, on a bounded sample (`per_class`, `max_bytes`): first whole texts; the
 teaches with its worst segment and a clean text with its worst and one more, which finds the words that make texts toxic.
 The last part of the sample isn't learned from; it fits the scale and offset that make scores probabilities.
 
-Defined results: null and empty texts have one empty segment: the score of the bias alone, mapped like any other. Without any
-labelled row, or with one label only, every score is the share of label 1 (0.0 without rows). Other columns are not read.
+Defined results: texts without a subword (null and empty ones too) say nothing and score as the median of the clean texts set
+aside, below 0.5. Without any labelled row, or with one label only, every score is the share of label 1 (0.0 without rows). Other columns are not read.
 """
 
 from __future__ import annotations
@@ -33,8 +33,8 @@ class Toxicity:
 
     buckets: int = 1 << 17
     dim: int = 8
-    sizes: tuple[int, ...] = (3, 4, 5)
-    segment: int = 32
+    sizes: tuple[int, ...] = (3, 4, 5, 6, 7)  #: in bytes, of which a letter outside ASCII takes two or more
+    segment: int = 12  #: a word or two, so that the words around one don't dilute it
     per_class: int = 3000
     max_bytes: int = 6000
     min_docs: int = 5  #: subwords of fewer texts of the sample teach nothing, so that single texts aren't learned by heart
@@ -52,14 +52,16 @@ PARAMS = Toxicity()
 
 @dataclass
 class Model:
-    """weight of each bucket and bias (log-odds), then scale and offset of the calibration."""
+    """weight of each bucket and bias (log-odds), then scale and offset of the calibration; log-odds of texts without subwords."""
 
     weight: np.ndarray
     bias: float
     scale: float
     offset: float
+    empty: float = 0.0
 
     def score(self, z: np.ndarray) -> np.ndarray:
+        z = np.where(np.isnan(z), self.empty, z)
         return 1 / (1 + np.exp(-np.clip(self.scale * z + self.offset, -40, 40)))
 
 
@@ -89,13 +91,13 @@ _SPACE[65:91] = _SPACE[97:123] = _SPACE[128:] = False
 
 
 def worst(weight: np.ndarray, bias: float, data: np.ndarray, offsets: np.ndarray, p: Toxicity) -> np.ndarray:
-    """Highest log-odds of any segment of each text."""
+    """Highest log-odds of any segment of each text; NaN without subwords."""
     b, seg, text = segments(data, offsets, p)
     n = np.bincount(seg, minlength=len(text))
     z = np.bincount(seg, weights=weight[b], minlength=len(text)) / np.maximum(n, 1) + bias
     z[n == 0] = -np.inf  # a segment inside a long word: only the word's first one counts
     out = np.maximum.reduceat(z, np.searchsorted(text, np.arange(len(offsets) - 1)))
-    return np.where(np.isfinite(out), out, bias)
+    return np.where(np.isfinite(out), out, np.nan)
 
 
 def fit(texts: list[str], labels: np.ndarray, p: Toxicity = PARAMS) -> Model:
@@ -141,9 +143,13 @@ def fit(texts: list[str], labels: np.ndarray, p: Toxicity = PARAMS) -> Model:
         weight, bias = train(picked, np.array(of), 2, p.buckets, p.dim, p.epochs, p.rate, seed=13 + r)
     w1, b1 = (weight[:, 1] - weight[:, 0]).astype(np.float64), float(bias[1] - bias[0])
     z = np.concatenate([worst(w1, b1, d, o, p) for _, _, d, o in parts])
-    cal = ~learn if len(np.unique(labels[~learn])) == 2 else learn
+    said = ~np.isnan(z)
+    clean = next((k for k in (~learn & said & (labels == 0), said & (labels == 0)) if k.any()), None)
+    if clean is None:  # no clean text has a subword: the share of label 1 is all there is
+        return Model(np.zeros(p.buckets), 0.0, 0.0, float(np.log(labels.mean() / (1 - labels.mean()))))
+    cal = said & (~learn if (~learn & clean).any() else True)
     a, b = calibrate(z[cal], labels[cal], p.flagged)
-    return Model(w1, b1, a, b)
+    return Model(w1, b1, a, b, float(np.median(z[clean])))
 
 
 def calibrate(z: np.ndarray, y: np.ndarray, flagged: float) -> tuple[float, float]:
