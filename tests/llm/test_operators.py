@@ -206,6 +206,7 @@ def test_toxicity_learns_misspellings(spark):
     s = [r.score for r in toxicity.score_texts(spark.createDataFrame(list(enumerate(test)), "doc_id int, text string"), m).orderBy("doc_id").collect()]
     assert s[1] >= 0.5 > s[2] and s[2] == s[3] and all(0 <= x <= 1 for x in s)
     assert toxicity.fit([], np.array([])).score(np.zeros(1))[0] < 1e-6
+    assert all(not toxicity.fit(["1 2", "3", "4", "horribad"], np.array([0, 0, 0, 1])).score(np.array([z]))[0] >= 0.5 for z in (np.nan, 9.0))  # no clean text has a subword
 
 
 def test_classifiers_odd(odd, empty):
