@@ -216,3 +216,22 @@ def test_entry_and_schemas(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
     assert dataclasses.replace(DEFAULTS, chunk_ms=1).chunk_ms == 1
+
+
+def test_window_ratio_equals_plain_loop():
+    import difflib
+    import random
+
+    import pandas as pd
+
+    from timeloom.functions.fuzzy import alike, ratio_of, window_ratio
+
+    rng = random.Random(3)
+    lines = ["".join(rng.choice("abcé 😀") for _ in range(rng.randrange(0, 60))) for _ in range(200)]
+    for q in ("abcab é", "a", "b😀b c abca"):
+        step, got = max(len(q) // 4, 1), window_ratio(0.5).func(pd.Series([q] * len(lines)), pd.Series(lines))
+        for t, g in zip(lines, got, strict=True):
+            want = max(difflib.SequenceMatcher(None, q, t[i : i + len(q)]).ratio() for i in range(0, max(len(t) - len(q), 0) + 1, step))
+            assert g == want if want >= 0.5 else g < 0.5
+    for a, b in zip(lines, lines[1:], strict=False):
+        assert alike(a, b, 0.4) == (ratio_of(a, b) >= 0.4) and alike(a, b, 0.4, strict=True) == (ratio_of(a, b) > 0.4)

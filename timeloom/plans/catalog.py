@@ -328,13 +328,13 @@ def gap_collapse(spark, sf):
 @query("text_collapse")
 def text_collapse(spark, sf):
     c = read(spark, sf, "conversations")
-    return folds.collapse_text(c.select(F.col("conv_id").alias("video_id"), (F.col("turn") * 2000).alias("ts_ms"), F.substring("text", 1, 60).alias("text"), (F.col("turn") * 2000 + 2000).alias("shot_end_ms"))).withColumn("frames", F.array_join("frames", ","))
+    return folds.collapse_text(c.select(F.col("conv_id").alias("video_id"), (F.col("turn") * 2000).alias("ts_ms"), "text", (F.col("turn") * 2000 + 2000).alias("shot_end_ms"))).withColumn("frames", F.array_join("frames", ","))
 
 
 @query("near_duplicate_notes")
 def near_duplicate_notes(spark, sf):
     c = read(spark, sf, "conversations")
-    return folds.distinct_notes(c.select("conv_id", F.col("turn").alias("pos"), F.substring("text", 1, 300).alias("text")), "conv_id")
+    return folds.distinct_notes(c.select("conv_id", F.col("turn").alias("pos"), "text"), "conv_id")
 
 
 @query(
@@ -557,13 +557,18 @@ def clean_description(spark, sf):
     return read(spark, sf, "documents").select("doc_id", F.md5(tx.clean_description(F.concat(F.lit("The image shows "), F.coalesce("text", F.lit("")), F.lit(" Overall, the mood is calm.")))).alias("description"))
 
 
+_OCR = r"""CASE WHEN len(regexp_extract_all(t, '[A-Za-z]{2,}')) >= 2 OR regexp_matches(t, '[A-Za-z]{4,}') THEN t ELSE '' END"""
+
+
 @query(
     "clean_ocr",
-    r"""WITH d AS (SELECT item_id, trim(regexp_replace(replace(left(text, CAST(item_id % 9 AS BIGINT)), '<s>', ''), '\s+', ' ', 'g')) AS t FROM benchmark)
-SELECT item_id, CASE WHEN len(regexp_extract_all(t, '[A-Za-z]{2,}')) >= 2 OR regexp_matches(t, '[A-Za-z]{4,}') THEN t ELSE '' END AS ocr FROM d""",
+    # whole texts, and the same with every word of three letters or more made one letter, which leaves readings to be refused
+    rf"""WITH r AS (SELECT item_id, text AS a, regexp_replace(text, '[A-Za-z]{{3,}}', 'x', 'g') AS b FROM benchmark),
+d AS (SELECT item_id, trim(regexp_replace(replace(a, '<s>', ''), '\s+', ' ', 'g')) AS a, trim(regexp_replace(replace(b, '<s>', ''), '\s+', ' ', 'g')) AS b FROM r)
+SELECT item_id, {_OCR.replace("(t,", "(a,").replace("THEN t", "THEN a")} AS ocr, {_OCR.replace("(t,", "(b,").replace("THEN t", "THEN b")} AS poor FROM d""",
 )
 def clean_ocr(spark, sf):
-    return read(spark, sf, "benchmark").select("item_id", tx.clean_ocr(F.expr("left(text, cast(item_id % 9 as int))")).alias("ocr"))
+    return read(spark, sf, "benchmark").select("item_id", tx.clean_ocr(F.col("text")).alias("ocr"), tx.clean_ocr(F.regexp_replace("text", "[A-Za-z]{3,}", "x")).alias("poor"))
 
 
 _STOP = "['" + "','".join(tx.STOP_WORDS) + "']"
