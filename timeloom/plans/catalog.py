@@ -562,13 +562,13 @@ _OCR = r"""CASE WHEN len(regexp_extract_all(t, '[A-Za-z]{2,}')) >= 2 OR regexp_m
 
 @query(
     "clean_ocr",
-    # whole texts, and the same with every word of three letters or more made one letter, which leaves readings to be refused
-    rf"""WITH r AS (SELECT item_id, text AS a, regexp_replace(text, '[A-Za-z]{{3,}}', 'x', 'g') AS b FROM benchmark),
+    # whole texts, and the same with every word made one letter, which is to be refused
+    rf"""WITH r AS (SELECT item_id, text AS a, regexp_replace(text, '[A-Za-z]{{2,}}', 'x', 'g') AS b FROM benchmark),
 d AS (SELECT item_id, trim(regexp_replace(replace(a, '<s>', ''), '\s+', ' ', 'g')) AS a, trim(regexp_replace(replace(b, '<s>', ''), '\s+', ' ', 'g')) AS b FROM r)
 SELECT item_id, {_OCR.replace("(t,", "(a,").replace("THEN t", "THEN a")} AS ocr, {_OCR.replace("(t,", "(b,").replace("THEN t", "THEN b")} AS poor FROM d""",
 )
 def clean_ocr(spark, sf):
-    return read(spark, sf, "benchmark").select("item_id", tx.clean_ocr(F.col("text")).alias("ocr"), tx.clean_ocr(F.regexp_replace("text", "[A-Za-z]{3,}", "x")).alias("poor"))
+    return read(spark, sf, "benchmark").select("item_id", tx.clean_ocr(F.col("text")).alias("ocr"), tx.clean_ocr(F.regexp_replace("text", "[A-Za-z]{2,}", "x")).alias("poor"))
 
 
 _STOP = "['" + "','".join(tx.STOP_WORDS) + "']"
