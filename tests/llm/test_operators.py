@@ -246,3 +246,58 @@ def test_license_scan(spark, odd, empty):
         want = license_scan.scan_text(x, None, t)  # every line, every run
         assert got.n_matches[i] == len(want) and got.licenses[i] == ",".join(sorted({w[1] for w in want}))
     assert license_scan.scan(odd).count() == len(ODD) and license_scan.scan(empty).count() == 0
+
+
+def brute_matches(text, t):
+    """Every run of words against every template."""
+    w = license_scan.words_of(text)
+    apart = lambda ranked: [x for i, x in enumerate(ranked) if i in _apart([(y[2], y[3]) for y in ranked])]
+    found = []
+    for name, b in t.all:
+        own = [(license_scan.bigrams(w[i:j]), i, j) for i in range(len(w)) for j in range(i + 1, len(w) + 1)]
+        runs = [((g & b).total(), s, i, j, name) for g, i, j in own if (s := license_scan.dice(g, b)) >= t.p.threshold]
+        found += apart(sorted(runs, key=lambda x: (-x[1], x[2] - x[3], x[2])))
+    return [(x[1], x[4]) for x in sorted(apart(sorted(found, key=lambda x: (-x[0], -x[1], *x[2:]))), key=lambda x: x[2])]
+
+
+def _apart(runs):
+    out = []
+    for k, (i, j) in enumerate(runs):
+        if all(j <= runs[m][0] or runs[m][1] <= i for m in out):
+            out.append(k)
+    return out
+
+
+def test_license_scan_within_lines(spark):
+    mit = license_scan.TEMPLATES["MIT"][3]
+    rows = [
+        (1, "Copyright 2023 Acme Corp. All rights reserved.", "Proprietary", 1.0, [(0, 0)]),
+        (2, "Parser module by Ann Lee. Licensed under the Apache License, Version 2.0.", "Apache-2.0", 1.0, [(0, 0)]),
+        (3, "We thank all who helped. " * 30 + mit + " And so the story went on." * 30, "MIT", 1.0, [(0, 0)]),
+        (4, "word " * 5000 + "all rights reserved " + "word " * 5000 + "Released under the MIT License. " + "word " * 5000, "MIT,Proprietary", 1.0, [(0, 0), (0, 0)]),
+        (5, "One line.\nBy Ann Lee, licensed under the\nApache License, Version 2.0, in 2020", "Apache-2.0", 1.0, [(1, 2)]),
+        (6, "all rights were reserved, licensed under the sea", "", 0.0, []),
+    ]
+    got = {r.doc_id: r for r in license_scan.scan(spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string")).collect()}
+    for i, _, names, score, lines in rows:
+        assert (got[i].licenses, got[i].best_score, [(x.first_line, x.last_line) for x in got[i].spans], got[i].n_matches) == (names, score, lines, len(lines))
+
+
+def test_license_scan_brute():
+    t = license_scan.Templates(license_scan.TEMPLATES | {"One": ("Copyleft",)}, license_scan.PARAMS)
+    rng = random.Random(1)
+    short = [x for v in license_scan.TEMPLATES.values() for x in v if len(x) < 130]
+    texts = []
+    for _ in range(25):
+        w = []
+        for _ in range(3):
+            x = rng.choice(short).split()
+            for _ in range(rng.randrange(3)):
+                x[rng.randrange(len(x))] = rng.choice(["foo", "the", "License", "copyleft"])
+            w += x + rng.choices(["foo", "the", "a", "license"], k=rng.randrange(4))
+        texts.append(" ".join(w))
+    data, offsets = common.utf8(pa.array(texts))
+    near = license_scan.candidates(data, offsets, t)
+    for k, x in enumerate(texts):
+        got = license_scan.scan_text(x, near.get(k, []), t)
+        assert [(s, n) for s, n, _, _ in got] == brute_matches(x, t) and got == license_scan.scan_text(x, None, t)

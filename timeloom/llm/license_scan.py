@@ -1,17 +1,22 @@
 """Licence scan: normalised text compared with licence templates by the Dice coefficient over word bigrams.
 
-A passage is a run of whole lines. Words are normalised (lower case, letters and digits only; years and numbers are one word "0"), and
-passage and template are compared as multisets of bigrams: 2 * shared / (size + size), a match from `threshold` on. Pruning never loses
-a match: by the coefficient a match's size lies within [t / (2 - t), (2 - t) / t] times the template's; and it shares at least t / 2
-of its own bigrams with the template, so one of its lines does, which numpy finds for whole Arrow batches from hashes. Only
-runs around such lines are compared, by their real words. Of overlapping matches the best stays.
+A passage is any run of words, wherever its lines begin and end. Words are normalised (lower case, letters and digits only; years and
+numbers are one word "0"), and passage and template are compared as multisets of bigrams: 2 * shared / (size + size), a match from
+`threshold` on. Pruning never loses a match: by the coefficient a match's size is at most (2 - t) / t times the template's, and it
+shares at least t / (2 - t) of the template's bigrams. So that many bigrams of the template stand within that many words, which numpy
+finds for whole Arrow batches from hashes; only texts with such places are compared, by their real words. Every passage there that
+begins and ends with a shared bigram is scored; others have a better one inside.
+
+Of overlapping passages like one template the best score stays, then the longer one; of overlapping matches of several templates the one
+that shares most bigrams stays, then the best score (a long notice holds the short ones).
 
 Defined results: a null or empty text has no match (licenses "", best_score 0.0). Rows are judged one by one: repeated rows get equal
-results and an empty table gives an empty table. A line of one word counts as one bigram of its own. Other columns are not read.
+results and an empty table gives an empty table. A template of one word counts as one bigram of its own. Other columns are not read.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from dataclasses import dataclass
@@ -86,14 +91,30 @@ def dice(a: Counter, b: Counter) -> float:
 class Templates:
     def __init__(self, texts: dict[str, tuple[str, ...]], p: Scan):
         self.p = p
-        self.all = sorted(((k, bigrams(words_of(t))) for k, v in texts.items() for t in v), key=lambda x: x[1].total())
-        self.words = {w for _, b in self.all for g in b for w in g if w}
-        self.pairs = {g for _, b in self.all for g in b}
-        t = p.threshold
-        self.bounds = [(b.total() * t / (2 - t), b.total() * (2 - t) / t) for _, b in self.all]
-        self.largest = max((hi for _, hi in self.bounds), default=0)
-        #: Words of the templates as one pattern: a line without half its words among them can't match.
-        self.hashes = np.unique(np.array([_hash(w) for w in self.words], np.uint64))
+        both = sorted(((k, bigrams(words_of(t))) for k, v in texts.items() for t in v), key=lambda x: x[1].total())
+        self.all = [(k, b) for k, b in both if b]
+        t, slack = p.threshold, 1e-9  # for rounding
+        self.sizes = [b.total() for _, b in self.all]
+        self.most = [int(n * (2 - t) / t + slack) for n in self.sizes]
+        self.least = [max(1, math.ceil(n * t / (2 - t) - slack)) for n in self.sizes]
+        self.largest = max(self.most, default=0)
+        pairs = sorted({g for _, b in self.all for g in b})
+        self.pairs = {g: i for i, g in enumerate(pairs)}
+        self.counts = np.array([[b[g] for g in pairs] for _, b in self.all], np.int64).reshape(len(self.all), len(pairs))
+        # the same by hashes, which may be equal for different words
+        words = {w: _hash(w) for g in pairs for w in g if w}
+        self.hashes = np.unique(np.array(list(words.values()), np.uint64))
+        at = {w: int(np.searchsorted(self.hashes, np.uint64(h))) for w, h in words.items()}
+        n = len(self.hashes)
+        grid = np.full((n, n + 1), -1, np.int32)  # last column: a word alone
+        for a, b in pairs:
+            i, j = at[a], at[b] if b else n
+            grid[i, j] = grid.max(initial=-1) + 1 if grid[i, j] < 0 else grid[i, j]
+        self.grid = grid
+        self.has = np.zeros((len(self.all), int(grid.max(initial=-1)) + 1), bool)
+        for k, (_, c) in enumerate(self.all):
+            for a, b in c:
+                self.has[k, grid[at[a], at[b] if b else n]] = True
 
 
 def _hash(w: str) -> int:
@@ -126,64 +147,98 @@ def _word_hashes(data: np.ndarray, offsets: np.ndarray):
     return np.where(kind[starts] == 2, np.uint64(1), h), starts
 
 
-def candidate_lines(data: np.ndarray, offsets: np.ndarray, t: Templates) -> dict[int, list[int]]:
-    """Texts that have lines with enough of the templates' words: text -> numbers of those lines.
-
-    A line that shares t / 2 of its bigrams with a template has at least as large a share of its words, less one half a bigram.
-    """
+def candidates(data: np.ndarray, offsets: np.ndarray, t: Templates) -> dict[int, list[int]]:
+    """Texts that can have a match -> numbers of the templates: as many of the template's bigrams as a match shares, no farther apart than its size."""
     h, starts = _word_hashes(data, offsets)
-    if not len(h):
+    if not len(h) or not len(t.hashes):
         return {}
-    breaks = np.flatnonzero(data == 10)
-    line = np.searchsorted(breaks, starts) + np.searchsorted(offsets, starts, side="right") - 1  # distinct for each text and line
     at = np.minimum(np.searchsorted(t.hashes, h), len(t.hashes) - 1)
-    known = (t.hashes[at] == h).astype(np.int64)
-    first = np.flatnonzero(np.concatenate(([True], line[1:] != line[:-1])))
-    n = np.diff(np.concatenate((first, [len(h)])))
-    good = first[np.add.reduceat(known, first) >= t.p.threshold / 2 * np.maximum(n - 1, 1)]
+    known = t.hashes[at] == h
     out: dict[int, list[int]] = {}
-    for s in starts[good].tolist():
-        k = int(np.searchsorted(offsets, s, side="right")) - 1
-        out.setdefault(k, []).append(int(np.searchsorted(breaks, s) - np.searchsorted(breaks, offsets[k])))
+
+    def places(first: np.ndarray, pair: np.ndarray):
+        first, pair = first[pair >= 0], pair[pair >= 0]
+        text = np.searchsorted(offsets, starts[first], side="right") - 1
+        return first, pair, text
+
+    one = np.flatnonzero(known)
+    two = one[:-1][np.diff(one) == 1]
+    alone = places(one, t.grid[at[one], -1])
+    first, pair, text = places(two, t.grid[at[two], at[two + 1]])
+    inside = starts[first + 1] < offsets[text + 1]
+    first, pair, text = first[inside], pair[inside], text[inside]
+    place = first + text * (t.largest + 1)  # no window reaches into the next text
+    for k, (_, b) in enumerate(t.all):
+        if any(not y for _, y in b):
+            found = alone[2][t.has[k, alone[1]]]
+        else:
+            own = np.flatnonzero(t.has[k, pair])
+            near = place[own]
+            s = t.least[k] - 1
+            found = text[own[: max(len(own) - s, 0)][near[s:] - near[: max(len(near) - s, 0)] < t.most[k]]]
+        for x in np.unique(found).tolist():
+            out.setdefault(x, []).append(k)
+    return out
+
+
+def passages(place: np.ndarray, pair: np.ndarray, k: int, t: Templates) -> list[tuple[int, float, int, int]]:
+    """(shared, score, first, last bigram) of the best passages like template k; place and pair: the text's bigrams that the template has."""
+    n, most, total, s = len(place), t.most[k], t.sizes[k], t.least[k] - 1
+    rows = np.flatnonzero(place[s:] - place[: max(n - s, 0)] < most)
+    if not len(rows):
+        return []
+    # a bigram counts in passages that begin after its equal as many places before as the template has of it
+    order = np.argsort(pair, kind="stable")
+    many = t.counts[k][pair[order]]
+    i = np.arange(n) - many
+    before = np.full(n, -1)
+    before[order] = np.where((i >= 0) & (pair[order[np.maximum(i, 0)]] == pair[order]), order[np.maximum(i, 0)], -1)
+    reach = np.searchsorted(place, place + most) - np.arange(n)
+    found = []
+    for r in range(0, len(rows), 2048):
+        a = rows[r : r + 2048, None]
+        b = a + np.arange(int(reach[a].max()))
+        inside = b < a + reach[a]
+        b = np.minimum(b, n - 1)
+        counts = inside & (before[b] < a)
+        shared = np.cumsum(counts, axis=1)
+        size = place[b] - place[a] + 1
+        score = 2 * shared / (size + total)
+        x, y = np.nonzero(counts & (score >= t.p.threshold))
+        found.append((shared[x, y], score[x, y], place[a[x, 0]], place[b[x, y]]))
+    shared, score, first, last = (np.concatenate(c) for c in zip(*found, strict=True))
+    best = np.lexsort((first, first - last, -score))
+    return _apart(list(zip(*(c[best].tolist() for c in (shared, score, first, last)), strict=True)))
+
+
+def _apart(ranked: list[tuple]) -> list[tuple]:
+    """Those of (shared, score, first bigram, last bigram, ...) that share no word with an earlier one."""
+    taken = bytearray(max((x[3] for x in ranked), default=0) + 2)
+    out = []
+    for x in ranked:
+        if taken.find(1, x[2], x[3] + 2) < 0:
+            taken[x[2] : x[3] + 2] = b"\1" * (x[3] + 2 - x[2])
+            out.append(x)
     return out
 
 
 def scan_text(text: str, near: list[int] | None, t: Templates) -> list[tuple[float, str, int, int]]:
-    """(score, licence, first line, last line) of the best matches that don't overlap; near: lines one of which each match holds."""
-    lines = [words_of(x) for x in text.split("\n")]
-    near = set(range(len(lines)) if near is None else near)
-    # a line that can be in a match around a near line: within the largest size on either side
+    """(score, licence, first line, last line) of the best matches that don't overlap; near: numbers of the templates to compare, None for all."""
+    low = text.translate(_LOWER_TEXT)
+    spans = [(m.start(), "0" if m[0][0].isascii() and m[0][0].isdigit() else m[0]) for m in _WORD.finditer(low)]
+    words = [w for _, w in spans]
+    pairs = np.array([t.pairs.get(g, -1) for g in zip(words, words[1:], strict=False)], np.int64)
+    known = np.flatnonzero(pairs >= 0)
     found = []
-    starts: set[int] = set()
-    for k in near:
-        size, i = 0, k
-        while i >= 0 and size <= t.largest + 2:
-            starts.add(i)
-            i -= 1
-            size += max(len(lines[i]), 1) if i >= 0 else 0
-    for i in sorted(starts):
-        words: list[str] = []
-        if not lines[i]:
+    for k in range(len(t.all)) if near is None else near:
+        name, b = t.all[k]
+        if alone := next((x for x, y in b if not y), None):
+            found += [(1, 1.0, i, i - 1, name) for i, w in enumerate(words) if w == alone]
             continue
-        for j in range(i, len(lines)):
-            words += lines[j]
-            size = max(len(words) - 1, 1)
-            if size > t.largest:
-                break
-            if not lines[j] or not any(i <= k <= j for k in near):
-                continue
-            own = None
-            for (name, b), (lo, hi) in zip(t.all, t.bounds, strict=True):
-                if lo <= size <= hi:
-                    own = own or bigrams(words)
-                    s = dice(own, b)
-                    if s >= t.p.threshold:
-                        found.append((s, name, i, j))
-    out: list[tuple[float, str, int, int]] = []
-    for x in sorted(found, key=lambda x: (-x[0], x[2], x[3], x[1])):
-        if all(x[3] < y[2] or y[3] < x[2] for y in out):
-            out.append(x)
-    return sorted(out, key=lambda x: x[2])
+        own = known[t.counts[k][pairs[known]] > 0]
+        found += [(*x, name) for x in passages(own, pairs[own], k, t)]
+    out = _apart(sorted(found, key=lambda x: (-x[0], -x[1], x[2], x[3], x[4])))
+    return [(s, name, text.count("\n", 0, spans[i][0]), text.count("\n", 0, spans[j + 1][0])) for _, s, i, j, name in sorted(out, key=lambda x: x[2])]
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict = TEMPLATES, p: Scan = PARAMS) -> DataFrame:
@@ -197,7 +252,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
             data, offsets = utf8(b.column(1))
             rows: list[list] = [[] for _ in range(b.num_rows)]
             for i, j in chunks(offsets, p.chunk_bytes):
-                for k, near in candidate_lines(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], t).items():
+                for k, near in candidates(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], t).items():
                     rows[i + k] = scan_text(data[offsets[i + k] : offsets[i + k + 1]].tobytes().decode(), near, t)
             yield pa.RecordBatch.from_arrays(
                 [
