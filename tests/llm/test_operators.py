@@ -301,3 +301,28 @@ def test_license_scan_brute():
     for k, x in enumerate(texts):
         got = license_scan.scan_text(x, near.get(k, []), t)
         assert [(s, n) for s, n, _, _ in got] == brute_matches(x, t) and got == license_scan.scan_text(x, None, t)
+
+
+PROSE = "A sentence that says something new. " * 8
+
+
+def own_text(page):
+    v = html_extract.vote(page)
+    return html_extract.extract(page, frozenset([v[0]] if v else []))
+
+
+@pytest.mark.parametrize("cls", ["content with-sidebar", "has-header", "no-sidebar page", "widget", "notice"])
+def test_html_wrappers_named_by_parts(cls):
+    assert own_text(f'<body><nav><a href=x>Menu</a></nav><div class="{cls}"><p>{PROSE}</p></div></body>') == PROSE.strip()
+
+
+def test_html_parts_inside_article():
+    page = f"""<article><h1>T</h1><p>{PROSE}</p><section id="related-work"><h2>Related work</h2><p>Earlier work is here.</p></section><h2 id="search">Search</h2>
+    <p class="notice">Mind this.</p><section id="comments"><h2>Comments</h2><p>They begin with a hash sign.</p></section><div title="the hidden cost" data-x='class="ad"'>Cost text.</div>
+    <div class="related"><a href=x>Other page</a></div><div class="share">Share</div><div class="ad">Buy this now.</div><div class="post-comments"><p>Nice post! {PROSE * 3}</p></div><div hidden>Unseen.</div></article>"""
+    assert own_text(page).split("\n") == ["T", PROSE.strip(), "Related work", "Earlier work is here.", "Search", "Mind this.", "Comments", "They begin with a hash sign.", "Cost text."]
+
+
+def test_html_fallbacks():
+    assert own_text(f"<form id=aspnetForm><div class=search>Search</div><div><p>{PROSE}</p></div></form>") == PROSE.strip()
+    assert own_text("<div class=notice>Only this</div>") == "Only this" and own_text("<nav>x</nav>") == ""

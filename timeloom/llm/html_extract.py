@@ -9,9 +9,12 @@
    none of them falls back on its own best container.
 
 Inside the chosen containers the text is that of all blocks but those in parts that are never main text (scripts, styles,
-navigation, headers and footers of the page, asides, forms, and elements whose class or id names an advert, menu, notice, share bar
-or reader comments). Character references are decoded, white space inside a block is one space, blocks are trimmed and
-joined by a line feed; nothing else is dropped or cut.
+navigation, headers and footers of the page, asides, forms, hidden elements, and elements with a class, id or role that is as a whole
+the name of an advert, menu, notice, share bar or reader comments). Such names alone prove little, so a named part (or form) that holds
+most of the page's sentence text stays, unless it is of reader comments or an advert beside an article element; one named like a menu, header, notice, search or list of related
+pages goes only if most of its text is links, list items or labels; an id that repeats its heading is a mark to link to; and a page
+all of whose text has such names is read as if it had none. Named parts have no vote. Character references are decoded, white space inside
+a block is one space, blocks are trimmed and joined by a line feed; nothing else is dropped or cut.
 
 Defined results: a null or empty page has the text "" (n_chars 0); a page without any container too. A null or odd URL is the host "".
 Repeated pages vote each and get equal texts; an empty table gives an empty table. Other columns are not read.
@@ -21,7 +24,8 @@ from __future__ import annotations
 
 import html
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -46,13 +50,28 @@ CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr"
 #: A paragraph ends where one of these begins.
 ENDS_P = BLOCK - {"br"}
 INLINE = frozenset("a abbr b bdi bdo big cite code del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
-#: Words in a class, id or role of parts around an article.
-BOILER = re.compile(
-    r"(?:^|[^a-z])(?:ads?|advert\w*|banner|breadcrumbs?|byline-share|comments?|commentlist|consent|cookies?|disqus|disclaimer|footer|gdpr|header|login|masthead|menu|modal|nav|navbar|navigation|"
-    r"newsletter|notice|pagination|pager|popup|promo\w*|recommended|related|replies|respond|search|share|sharing|sidebar|signup|skip|social|sponsor\w*|subscribe|toolbar|topbar|widget)(?:$|[^a-z])"
+#: Words that name parts around an article: reader comments; adverts and offers; parts that are known by their links or lists.
+COMMENTS = frozenset("comment comments commentlist disqus replies respond".split())
+OWN = frozenset("ad ads consent cookie cookies gdpr login modal newsletter popup signup subscribe".split())
+NAMED = frozenset(
+    "banner breadcrumb breadcrumbs disclaimer footer header masthead menu nav navbar navigation notice pagination pager recommended related search share sharing sidebar skip "
+    "social toolbar topbar widget".split()
 )
+#: Words that may stand beside them; any other word (with-sidebar, no-header, related-work) makes it another name.
+BESIDE = frozenset(
+    "a area bar block body bottom box btn button buttons byline cat center column container count desktop div form global group holder home icon icons inner item items js label large left level link links list "
+    "main middle mobile module outer overlay panel page pages picks policy posts primary right row secondary section show site slot small sub text thread to top unit wrap wrapper".split()
+)
+#: Words before a name that isn't of a headline's place or of a layout.
+BEFORE = frozenset("article content entry in post story".split())
+#: Elements whose names say nothing about the text (these only if they name adverts or comments by class).
+TEXTUAL = frozenset("p pre blockquote figure figcaption dt dd".split())
+NEVER_PART = frozenset("html body article main h1 h2 h3 h4 h5 h6".split())
+_CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
+_LETTERS = re.compile(r"[a-z]+")
+_PROSE = re.compile(r"[.!?\u2026\u3002\uff01\uff1f\u0964\u061f]")
 _TAG = re.compile(r"<(?:!--.*?(?:-->|$)|!\[CDATA\[(.*?)(?:\]\]>|$)|[!?][^>]*(?:>|$)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$))", re.S)
-_ATTR = re.compile(r"(?:^|\s)(class|id|role|hidden|style|aria-hidden|itemprop)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_ATTR = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)(?:\"|$)|'([^']*)(?:'|$)|([^\s>]+)))?")
 _SPACES = re.compile(r"\s+")
 
 
@@ -68,14 +87,36 @@ class Extract:
 PARAMS = Extract()
 
 
-@dataclass
+@dataclass(eq=False)
 class Node:
     tag: str
     path: str
     parent: Node | None
     skip: bool
     link: bool
-    blocks: list = field(default_factory=list)
+    kind: str = ""  #: of a part: comments, own, named or form
+    part: Node | None = None  #: innermost part, the node itself included
+    name: str = ""  #: id of a part that only its id names
+    first: str | None = None
+    chars: int = 0
+    prose: int = 0
+    marked: bool = False  #: a part with text of an article or main element
+
+
+@lru_cache(1 << 16)
+def _kind(token: str) -> str:
+    """Kind of part that a class, id or role names as a whole, or ""."""
+    words = _LETTERS.findall(_CAMEL.sub("-", token).lower())
+    kinds = ["comments" if w in COMMENTS else "own" if w in OWN or w.startswith(("advert", "promo", "sponsor")) else "named" if w in NAMED else "" for w in words]
+    before = BEFORE if words and kinds[-1] and words[-1] not in ("header", "sidebar") else frozenset()
+    if not any(kinds) or any(not k and w not in BESIDE and w not in before for w, k in zip(words, kinds, strict=True)):
+        return ""
+    return next(k for k in ("comments", "own", "named") if k in kinds)
+
+
+def _kinds(text: str) -> str:
+    found = {_kind(x) for x in text.split()}
+    return next((k for k in ("comments", "own", "named") if k in found), "")
 
 
 def host_of(url: str | None) -> str:
@@ -89,23 +130,16 @@ def _step(tag: str, cls: str) -> str:
     return ".".join([tag, *words])
 
 
-def parse(page: str) -> list[tuple[str, Node]]:
-    """(text, innermost element) of each block in page order, text without its character references."""
+def parse(page: str) -> tuple[list[list[tuple[str, Node]]], list[Node]]:
+    """(raw text, innermost element) of each piece of each block in page order; the parts."""
     root = Node("", "", None, False, False)
-    stack, out, pieces = [root], [], []
+    stack, out, pieces, parts = [root], [], [], []
     at, raw_end = 0, None
     lower = None
 
     def flush():
         if pieces:
-            # a block that is wholly inside links counts as link text
-            text = _SPACES.sub(" ", html.unescape("".join(t for t, _ in pieces))).strip()
-            if text:
-                owner = pieces[0][1]
-                linked = sum(len(t) for t, n in pieces if n.link) * 2 > sum(len(t) for t, _ in pieces)
-                while owner.tag in INLINE:
-                    owner = owner.parent
-                out.append((text, owner, linked))
+            out.append(pieces.copy())
             pieces.clear()
 
     def push(text):
@@ -163,25 +197,116 @@ def parse(page: str) -> list[tuple[str, Node]]:
             at = n if raw_end >= n or close < 0 else close + 1
             continue
         up = stack[-1]
-        cls = names = ""
-        hidden = False
+        found: dict[str, str] = {}
         if m[4]:
             for a in _ATTR.finditer(m[4]):
-                key, value = a[1].lower(), a[2] or a[3] or a[4] or ""
-                if key == "class":
-                    cls = value
-                if key in ("class", "id", "role"):
-                    names += " " + value.lower()
-                elif key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none", value, re.I):
-                    hidden = True
+                found.setdefault(a[1].lower(), a[2] or a[3] or a[4] or "")  # the first of a name counts
+        cls = found.get("class", "")
+        hidden = bool(found) and ("hidden" in found or found.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", found.get("style", ""), re.I) is not None)
         path = up.path
         if tag in CONTAINER or tag in SKIP or tag == "header":
             path = f"{path}>{_step(tag, cls)}" if path else _step(tag, cls)
-        boiler = bool(names) and tag not in ("html", "body", "article", "main") and BOILER.search(names) is not None
         head = tag == "header" and not any(x.tag in ("article", "main") for x in stack)
-        stack.append(Node(tag, path, up, up.skip or hidden or tag in SKIP or boiler or head, up.link or tag == "a"))
+        node = Node(tag, path, up, up.skip or hidden or tag in SKIP and tag != "form" or head, up.link or tag == "a", part=up.part)
+        if not node.skip:
+            node.kind = _part(tag, found, node)
+            if node.kind:
+                node.part = node
+                parts.append(node)
+        stack.append(node)
     flush()
-    return out
+    return out, parts
+
+
+def _part(tag: str, found: dict[str, str], node: Node) -> str:
+    if tag in NEVER_PART or not found:
+        return "form" if tag == "form" else ""
+    kind = _kinds(f"{found.get('class', '')} {found.get('role', '')}")
+    if tag in TEXTUAL:
+        return kind if kind in ("comments", "own") else ""
+    if not kind and (kind := _kinds(found.get("id", ""))):
+        node.name = found["id"]
+    return "form" if tag == "form" and kind != "comments" else kind
+
+
+def _plain(pieces: list[tuple[str, Node]]) -> tuple[str, bool]:
+    """Text of a block, and whether most of it is links."""
+    text = _SPACES.sub(" ", html.unescape("".join(t for t, _ in pieces))).strip()
+    return text, sum(len(t) for t, n in pieces if n.link) * 2 > sum(len(t) for t, _ in pieces)
+
+
+def _in_article(node: Node | None) -> bool:
+    while node is not None and node.tag not in ("article", "main"):
+        node = node.parent
+    return node is not None
+
+
+def _chain(node: Node):
+    part = node.part
+    while part is not None:
+        yield part
+        part = part.parent.part
+
+
+class Page:
+    """Blocks of a page, (text, innermost element, mostly links?), as the vote and the extraction see them."""
+
+    def __init__(self, page: str | None):
+        raw, parts = parse(page or "")
+        self.raw = [(*_plain(pieces), pieces) for pieces in raw]
+        if parts:
+            self._judge(parts)
+        #: Parts that may hold no vote, and those that are no text.
+        self.silent = {id(x) for x in parts if x.kind}
+        self.dropped = {id(x) for x in parts if x.kind in ("comments", "own", "form") or x.kind and 2 * x.prose < x.chars}
+        self.text = self._blocks(self.dropped)
+        if not self.text:  # names said that all of the page is something else
+            forms = {id(x) for x in parts if x.kind == "form"}
+            self.silent, self.dropped, self.text = forms, forms, self._blocks(forms)
+        self.voting = (self._blocks(self.silent) if self.silent != self.dropped else self.text) or self.text
+
+    def _blocks(self, without: set[int]) -> list[tuple[str, Node, bool]]:
+        out = []
+        for text, linked, pieces in self.raw:
+            if without and any(n.part is not None for _, n in pieces):
+                pieces = [(t, n) for t, n in pieces if not any(id(x) in without for x in _chain(n))]
+                text, linked = _plain(pieces)
+            if text:
+                owner = pieces[0][1]
+                while owner.tag in INLINE:
+                    owner = owner.parent
+                out.append((text, owner, linked))
+        return out
+
+    def _judge(self, parts: list[Node]) -> None:
+        """What the text of parts says about them: kind "" for those that are none."""
+        for text, _, pieces in self.raw:
+            if text:
+                for x in _chain(pieces[0][1]):
+                    x.first = text if x.first is None else x.first
+        slug = lambda v: "".join(c for c in v.lower() if c.isalnum())
+        for x in parts:
+            if x.name and x.kind != "form" and slug(x.name) == slug(x.first or ""):
+                x.kind = "named"
+        total, marked = 0, False
+        for text, linked, pieces in self.raw:
+            prose = not linked and (len(text) >= 40 or _PROSE.search(text) is not None)
+            for t, n in pieces:
+                chain = list(_chain(n)) if n.part is not None else ()
+                size = 0 if n.tag in ("h1", "h2", "h3", "h4", "h5", "h6") else len(t.strip())
+                if not size or chain and any(x.kind == "comments" for x in chain):
+                    continue
+                total += size if prose and not n.link else 0
+                main = _in_article(n)
+                marked = marked or main
+                for x in chain:
+                    x.marked = x.marked or main
+                    x.chars += size
+                    x.prose += size if prose and not n.link else 0
+        for x in parts:
+            beside = x.kind == "own" and marked and not x.marked  # an advert longer than the article
+            if x.kind != "comments" and 2 * x.prose > total and not beside:
+                x.kind = ""
 
 
 def _end_of(lower: str, tag: str, at: int) -> int:
@@ -213,19 +338,19 @@ def containers(blocks: list) -> list[tuple[float, Node]]:
 
 def vote(page: str | None, p: Extract = PARAMS) -> tuple[str, float] | None:
     """(path, score) of the page's best container."""
-    best = containers(parse(page or ""))
+    best = containers(Page(page).voting)
     return (_short(best[0][1].path, p.depth), best[0][0]) if best and best[0][0] > 0 else None
 
 
 def extract(page: str | None, paths: frozenset[str], p: Extract = PARAMS) -> str:
     """Main text of a page by its host's winning paths."""
-    blocks = parse(page or "")
-    if not blocks:
+    whole = Page(page)
+    if not whole.text:
         return ""
 
     def within(wanted) -> list[str]:
         out = []
-        for text, node, _ in blocks:
+        for text, node, _ in whole.text:
             while node is not None and not wanted(node):
                 node = node.parent
             if node is not None:
@@ -234,8 +359,8 @@ def extract(page: str | None, paths: frozenset[str], p: Extract = PARAMS) -> str
 
     text = within(lambda n: n.tag in CONTAINER and _short(n.path, p.depth) in paths) if paths else []
     if not text:
-        best = containers(blocks)
-        text = within(lambda n: n is best[0][1]) if best else [t for t, _, _ in blocks]
+        best = containers(whole.voting)
+        text = within(lambda n: n is best[0][1]) if best else [t for t, _, _ in whole.text]
     return "\n".join(text)
 
 
