@@ -326,3 +326,29 @@ def test_html_parts_inside_article():
 def test_html_fallbacks():
     assert own_text(f"<form id=aspnetForm><div class=search>Search</div><div><p>{PROSE}</p></div></form>") == PROSE.strip()
     assert own_text("<div class=notice>Only this</div>") == "Only this" and own_text("<nav>x</nav>") == ""
+
+
+HEAD, LEAD, BODY = "A headline of some fifty characters for this page", "The lead says what it is about. " * 6, "\n".join([PROSE.strip()] * 10)
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<nav><a href=x>Home</a></nav><article><h1>{h}</h1><p>{l}</p><div class='entry-content'>{b}</div></article>",
+        "<nav>{n}</nav><div class=page><h1>{h}</h1><p>{l}</p><div class='entry-content'>{b}</div></div><footer>{n}</footer>",
+        "<body><nav>{n}</nav><h1>{h}</h1><p>{l}</p><div class=text>{b}</div><div><ul><li><a href=x>Other page of the site</a></ul></div>",
+        "<main><h1>{h}</h1><p>{l}</p><article><div>{b}</div></article></main><div><p>A teaser. It is short.</p></div>",
+        "<article><header><h1>{h}</h1></header><section><p>{l}</p></section><section><div>{b}</div></section></article>",
+    ],
+)
+def test_html_headline_and_lead_outside_body(page):
+    page = page.format(h=HEAD, l=LEAD, b="".join(f"<p>{x}</p>" for x in BODY.split("\n")), n="<a href=x>Menu</a> " * 40)
+    text = own_text(page).split("\n")
+    assert text[:12] == [HEAD, LEAD.strip(), *BODY.split("\n")]
+    assert not any("Menu" in x or "teaser" in x for x in text)
+
+
+def test_html_frame_of_links_stays_out():
+    rest = "<div><a href=x>One</a></div><div><a href=x>Another page</a></div><footer>Imprint of the firm</footer><p>Made here.</p>"
+    page = f"<body><div class=text><h1>{HEAD}</h1><p>{PROSE}</p></div>{rest}"
+    assert own_text(page) == f"{HEAD}\n{PROSE.strip()}"

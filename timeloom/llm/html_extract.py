@@ -2,7 +2,8 @@
 
 1. Each page is cut into text blocks; a block's text belongs to its container elements. A container's generalised path is the
    chain of its ancestors as tag.class (digits in classes read as #, hosts without www. or m.). Containers are scored by the
-   text they hold in sentences, against the text in links, forms and parts named like menus, notices or comments.
+   text they hold in sentences, against the text in links, forms and parts named like menus, notices or comments. The best one is
+   widened to the article element around it and to containers that add more text than links and skipped parts, as a headline and lead.
 2. Spark aggregates the scores by (host, path), after a partial sum in each task, so a hot host costs no more; each page gives one
    vote, to its best container, so the table has at most as many rows as there are pages. The winner has the most votes.
 3. Pages are read again with their host's winning paths (as many as `paths` with `min_share` of the votes); a page that has
@@ -24,6 +25,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -130,10 +132,10 @@ def _step(tag: str, cls: str) -> str:
     return ".".join([tag, *words])
 
 
-def parse(page: str) -> tuple[list[list[tuple[str, Node]]], list[Node]]:
-    """(raw text, innermost element) of each piece of each block in page order; the parts."""
+def parse(page: str) -> tuple[list[list[tuple[str, Node]]], list[Node], list[tuple[Node, int]]]:
+    """(raw text, innermost element) of each piece of each block in page order; the parts; element and length of skipped text."""
     root = Node("", "", None, False, False)
-    stack, out, pieces, parts = [root], [], [], []
+    stack, out, pieces, parts, skipped = [root], [], [], [], []
     at, raw_end = 0, None
     lower = None
 
@@ -146,6 +148,8 @@ def parse(page: str) -> tuple[list[list[tuple[str, Node]]], list[Node]]:
         node = stack[-1]
         if text and not node.skip:
             pieces.append((text, node))
+        elif text:
+            skipped.append((node, len(text.strip())))
 
     n = len(page)
     while at < n:
@@ -215,7 +219,7 @@ def parse(page: str) -> tuple[list[list[tuple[str, Node]]], list[Node]]:
                 parts.append(node)
         stack.append(node)
     flush()
-    return out, parts
+    return out, parts, skipped
 
 
 def _part(tag: str, found: dict[str, str], node: Node) -> str:
@@ -235,10 +239,14 @@ def _plain(pieces: list[tuple[str, Node]]) -> tuple[str, bool]:
     return text, sum(len(t) for t, n in pieces if n.link) * 2 > sum(len(t) for t, _ in pieces)
 
 
-def _in_article(node: Node | None) -> bool:
-    while node is not None and node.tag not in ("article", "main"):
+def _up(node: Node | None):
+    while node is not None:
+        yield node
         node = node.parent
-    return node is not None
+
+
+def _in_article(node: Node) -> bool:
+    return any(x.tag in ("article", "main") for x in _up(node))
 
 
 def _chain(node: Node):
@@ -252,7 +260,7 @@ class Page:
     """Blocks of a page, (text, innermost element, mostly links?), as the vote and the extraction see them."""
 
     def __init__(self, page: str | None):
-        raw, parts = parse(page or "")
+        raw, parts, self.skipped = parse(page or "")
         self.raw = [(*_plain(pieces), pieces) for pieces in raw]
         if parts:
             self._judge(parts)
@@ -263,6 +271,7 @@ class Page:
         if not self.text:  # names said that all of the page is something else
             forms = {id(x) for x in parts if x.kind == "form"}
             self.silent, self.dropped, self.text = forms, forms, self._blocks(forms)
+        self.skipped += [(n, len(t.strip())) for _, _, pieces in self.raw for t, n in pieces if any(id(x) in self.dropped for x in _chain(n))] if self.dropped else []
         self.voting = (self._blocks(self.silent) if self.silent != self.dropped else self.text) or self.text
 
     def _blocks(self, without: set[int]) -> list[tuple[str, Node, bool]]:
@@ -336,10 +345,47 @@ def containers(blocks: list) -> list[tuple[float, Node]]:
     return sorted(((s * (1.3 if n.tag in ("article", "main") else 1.0), n) for s, n in scores.values()), key=lambda x: -x[0])
 
 
+def _around(node: Node | None, those: set[int]) -> Node | None:
+    while node is not None and id(node) not in those:
+        node = node.parent
+    return node
+
+
+def widen(host: Node, whole: Page) -> Node:
+    """The article around the best container, then the outermost container that adds more text than links and skipped parts.
+
+    Skipped parts don't count where the headline is added; from an article or main element only a headline or main leads out.
+    """
+    host = next((x for x in _up(host) if x.tag == "article"), host)
+    above = [x for x in _up(host.parent) if x.tag in CONTAINER]
+    if not above:
+        return host
+    rings = {id(x) for x in (host, *above)}
+    plain, bare, heads = Counter(), Counter(), set()  # by innermost ring
+    for text, node, linked in whole.text:
+        ring = _around(node, rings)
+        if ring is not None:
+            plain[id(ring)] += -len(text) if linked else len(text)
+            if node.tag == "h1":
+                heads.add(id(ring))
+    for node, size in whole.skipped:
+        ring = _around(node, rings)
+        if ring is not None:
+            bare[id(ring)] += size
+    best, gain, lost, head = host, 0, 0, False
+    for x in above:
+        gain, lost, head = gain + plain[id(x)], lost + bare[id(x)], head or id(x) in heads and id(host) not in heads
+        if gain > (0 if head else lost) and (head or x.tag == "main" or host.tag not in ("article", "main")):
+            heads |= {id(host)} if head else set()
+            best, gain, lost, head = x, 0, 0, False
+    return best
+
+
 def vote(page: str | None, p: Extract = PARAMS) -> tuple[str, float] | None:
-    """(path, score) of the page's best container."""
-    best = containers(Page(page).voting)
-    return (_short(best[0][1].path, p.depth), best[0][0]) if best and best[0][0] > 0 else None
+    """(path, score) of the page's best container, widened."""
+    whole = Page(page)
+    best = containers(whole.voting)
+    return (_short(widen(best[0][1], whole).path, p.depth), best[0][0]) if best and best[0][0] > 0 else None
 
 
 def extract(page: str | None, paths: frozenset[str], p: Extract = PARAMS) -> str:
@@ -360,7 +406,8 @@ def extract(page: str | None, paths: frozenset[str], p: Extract = PARAMS) -> str
     text = within(lambda n: n.tag in CONTAINER and _short(n.path, p.depth) in paths) if paths else []
     if not text:
         best = containers(whole.voting)
-        text = within(lambda n: n is best[0][1]) if best else [t for t, _, _ in whole.text]
+        host = widen(best[0][1], whole) if best else None
+        text = within(lambda n: n is host) if best else [t for t, _, _ in whole.text]
     return "\n".join(text)
 
 
