@@ -6,7 +6,7 @@ All but the last return the columns of documents.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from timeloom.llm import decontam, mixing, quality_rules, simhash, token_output
@@ -21,16 +21,17 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near duplicates, that of the smallest id; rows without an id all stay."""
-    found = materialise(simhash.near_duplicates(docs).select("doc_id", "component_id"), "dedup")
-    chosen = found.filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n"))
+    """One document of each component of near duplicates: that of the smallest id (null last), of rows that share it the first by hash."""
+    rest = [F.col(c) for c in docs.columns if c != "doc_id"]
+    # rows are known by id and 128 bits of their content, as ids may be null or shared by different texts
+    key = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.xxhash64(*rest).alias("h"), F.xxhash64(F.lit(1), *rest).alias("g"))
+    keyed = docs.withColumn("__key", key)
+    found = materialise(simhash.near_duplicates(keyed, id_col="__key").select("doc_id", "component_id"), "dedup")
+    chosen = found.filter("doc_id = component_id").groupBy(F.col("doc_id").alias("__key")).agg(F.count("*").alias("n"))
     repeated = not chosen.filter("n > 1").isEmpty()
-    # the ids grow with the corpus: never broadcast, the same plan at every size
-    kept = docs.join(chosen.select("doc_id").hint("merge"), "doc_id", "left_semi").select(docs.columns)
-    if repeated:  # rows that share an id: the first by content
-        order = Window.partitionBy("doc_id").orderBy(*[c for c in docs.columns if c != "doc_id"])
-        kept = kept.withColumn("__k", F.row_number().over(order)).filter("__k = 1").drop("__k")
-    return kept.unionByName(docs.filter("doc_id is null"))
+    # the keys grow with the corpus: never broadcast, the same plan at every size
+    kept = keyed.join(chosen.select("__key").hint("merge"), "__key", "left_semi").select(docs.columns)
+    return kept.dropDuplicates() if repeated else kept  # only wholly equal rows share a key
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

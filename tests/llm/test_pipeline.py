@@ -1,5 +1,7 @@
 """The pipeline stage by stage against plain versions."""
 
+import random
+
 import corpus_pipeline
 from tests.conftest import SF
 from timeloom.llm import decontam, quality_rules, simhash
@@ -36,3 +38,14 @@ def test_pipeline_odd(spark):
         for _, stage in corpus_pipeline.STAGES:
             d = materialise(stage(spark, d, SF), "test")
         assert d.count() <= 2
+
+
+def test_dedup_shared_and_null_ids(spark):
+    rng = random.Random(5)
+    x, y, z, w = (" ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(60)) for _ in range(4))
+    rows = [(7, x, "a"), (7, y, "a"), (3, y, "b"), (None, z, "a"), (None, z, "a"), (None, z, "b"), (None, w, None), (9, w, "a"), (9, w, "a"), (7, x, "a")]
+    docs = spark.createDataFrame([(i, t, "en", s, len(t)) for i, t, s in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = corpus_pipeline.dedup(spark, docs, SF)
+    assert got.columns == docs.columns
+    kept = [(r.doc_id, r.text) for r in got.collect()]
+    assert sorted(kept, key=str) == sorted([(7, x), (3, y), (None, z), (9, w)], key=str)
