@@ -235,3 +235,11 @@ def test_window_ratio_equals_plain_loop():
             assert g == want if want >= 0.5 else g < 0.5
     for a, b in zip(lines, lines[1:], strict=False):
         assert alike(a, b, 0.4) == (ratio_of(a, b) >= 0.4) and alike(a, b, 0.4, strict=True) == (ratio_of(a, b) > 0.4)
+
+
+def test_tag_scores_more_tags_than_are_broadcast(spark):
+    n = retrieval.TAGS_BROADCAST + 200
+    tags = spark.range(n).selectExpr("cast(id as string) tag", "array(cast(id as float), 1f) tag_embedding")
+    scenes = spark.range(3).selectExpr("'v' video_id", "id scene", "array(1f, cast(id as float)) embedding", "map('1', 0.9d) tags")
+    got = retrieval.tag_scores(scenes, tags)
+    assert got.count() == 3 * n and got.select("tag").distinct().count() == n

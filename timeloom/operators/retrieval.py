@@ -13,6 +13,9 @@ from timeloom.operators.intervals import in_window
 from timeloom.operators.windows import ordinal_rank, thin
 
 
+TAGS_BROADCAST = 1000
+
+
 def search_moments(items: DataFrame, query: str, vector: list[float], k: int = 10, kinds: list[str] | None = None, s: Settings = DEFAULTS) -> DataFrame:
     """Best items by cosine plus keyword bonus, rounded before the sort as the order depends on it; item position breaks ties.
 
@@ -41,8 +44,12 @@ def get_range(rows: DataFrame, start: int, end: int, limit: int = DEFAULTS.range
 
 
 def tag_scores(scenes: DataFrame, tags: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
-    """Blend of a scene's own confidence with its rank by cosine among the video's scenes, for each tag (a small fixed table)."""
-    pairs = scenes.crossJoin(F.broadcast(tags.limit(1000)))  # tags: a vocabulary, bounded here
+    """Blend of a scene's own confidence with its rank by cosine among the video's scenes, for each tag.
+
+    Up to `TAGS_BROADCAST` tags, a vocabulary, are broadcast; more are crossed partition by partition. No tag is dropped.
+    """
+    few = tags.limit(TAGS_BROADCAST + 1).count() <= TAGS_BROADCAST
+    pairs = scenes.crossJoin(F.broadcast(tags)) if few else scenes.hint("shuffle_replicate_nl").crossJoin(tags)
     x = pairs.select("video_id", "scene", "tag", F.coalesce(F.try_element_at("tags", F.col("tag")), F.lit(0.0)).alias("confidence"), F.round(dot(F.col("embedding"), F.col("tag_embedding")), 6).alias("sim"))
     return ordinal_rank(x, ["video_id", "tag"], "sim", "scene").withColumn("score", tag_blend(F.col("confidence"), F.col("rank"), s))
 
