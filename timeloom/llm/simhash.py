@@ -6,12 +6,15 @@ fingerprint -> distinct fingerprints -> cells -> links -> connected components:
 2. Equal fingerprints are aggregated first, so a group of copies of any size is one row from here on.
 3. The 64 bits are cut into m blocks. Two fingerprints within `radius` bits agree on at least m - radius whole blocks, so
    every link lies in a cell of fingerprints equal on some choice of m - radius blocks. m is chosen so that a cell holds
-   few fingerprints; every m is exact. A cell with more than `cell_rows` is cut into parts, and each pair of parts is
-   compared by another task: no row is dropped.
+   few fingerprints; every m is exact. A cell with more than `max_cell_rows` is cut by the same rule over the bits its members
+   need not share (`refine` more blocks than the radius), which thins it unless they truly are alike; a cell that stays
+   too large is cut into parts, and each pair of parts is compared by another task: no row is dropped.
 4. A cell is compared bit-sliced: plane t holds bit t of 64 fingerprints in a word; XOR with the query's bit gives 64
    mismatch bits at once, added into carry-save counters; words in which all distances exceed the radius are abandoned.
    A cell returns a spanning forest of its links (fewer rows than members), never its pairs.
-5. Components come from alternating large-star and small-star steps on those edges, each written to the shared folder.
+5. Components come from alternating large-star and small-star steps on those edges, each written to the shared folder. Stars and
+   components of very many members, and fingerprints of very many copies, are joined by broadcast of at most a bounded number of
+   them, so none is gathered in a task.
 
 Defined results: a null or empty text, or one without words, has fingerprint 0 and is linked like any other. component_id
 is the smallest non-null id reachable (null if no row of the component has one). Repeated rows appear as often as
@@ -30,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from timeloom.llm.common import arrow_map, materialise, table, utf8
+from timeloom.llm.common import arrow_map, discard, materialise, skewed_join, table, utf8
 
 ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -46,6 +49,7 @@ class SimHash:
     max_blocks: int = 8
     min_cell_rows: int = 256  #: a cell is never cut into parts smaller than this
     max_cell_rows: int = 8192  #: ... nor kept whole beyond this
+    refine: int = 2  #: a cell too large is cut by so many more blocks of its other bits than the radius
 
 
 PARAMS = SimHash()
@@ -193,32 +197,61 @@ def block_masks(n: int, p: SimHash) -> list[int]:
     m = p.radius + 1
     while m < p.max_blocks and n / 2 ** (64 * (m - p.radius) // m) > p.cell_target:
         m += 1
-    cuts = [64 * k // m for k in range(m + 1)]
-    blocks = [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in itertools.pairwise(cuts)]
-    return [sum(c) for c in itertools.combinations(blocks, m - p.radius)]
+    return _blocks(list(range(64)), m, p.radius)
 
 
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def _blocks(bits: list[int], m: int, radius: int) -> list[int]:
+    """One mask for each choice of m - radius of the m blocks that the bits (numbers, ascending) are cut into."""
+    cuts = [len(bits) * k // m for k in range(m + 1)]
+    blocks = [sum(1 << x for x in bits[a:b]) for a, b in itertools.pairwise(cuts)]
+    return [sum(c) for c in itertools.combinations(blocks, m - radius)]
+
+
+def _cells(rows: DataFrame, masks: list[list[int]]) -> DataFrame:
+    """fp, m, key for each mask of the row's group (column g: number of the mask that made its cell)."""
+    one = lambda g, k, x: F.struct((F.lit(1000 * g + k)).alias("m"), F.col("fp").bitwiseAND(F.lit(_signed(x))).alias("key"))
+    of = F.array(*[F.array(*[one(g, k, x) for k, x in enumerate(own)]) for g, own in enumerate(masks)])
+    return rows.select("fp", F.explode(F.get(of, F.col("g"))).alias("c")).select("fp", "c.m", "c.key")
+
+
+def _heavy(rows: DataFrame, most: int) -> DataFrame:
+    """m, key, k: the cells with more than `most` rows, and how many parts they make."""
+    return materialise(rows.groupBy("m", "key").count().filter(F.col("count") > most).select("m", "key", F.ceil(F.col("count") / most).cast("int").alias("k")), "simhash-heavy")
+
+
+def _parts(rows: DataFrame, heavy: DataFrame) -> DataFrame:
+    """rows with k, 1 outside heavy cells; the heaviest cells, at most 4096, are joined by broadcast, so none is gathered in a task."""
+    total = heavy.agg(F.sum("k")).first()[0] or 0
+    big = F.broadcast(heavy.filter(F.col("k") * 4096 > total))
+    rest = rows.join(big.select("m", "key"), ["m", "key"], "left_anti").join(heavy, ["m", "key"], "left")
+    return rows.join(big, ["m", "key"]).unionByName(rest).withColumn("k", F.coalesce("k", F.lit(1)))
+
+
 def edges(fps: DataFrame, n: int, p: SimHash = PARAMS) -> DataFrame:
     """a, b (a > b): a spanning forest of the links in every cell. fps: n distinct values of column fp."""
     spark = fps.sparkSession
     masks = block_masks(n, p)
-    table_of = F.array(*[F.struct(F.lit(k).alias("m"), F.col("fp").bitwiseAND(F.lit(_signed(x))).alias("key")) for k, x in enumerate(masks)])
-    rows = fps.select("fp", F.explode(table_of).alias("c")).select("fp", "c.m", "c.key")
+    rows = _cells(fps.select("fp", F.lit(0).alias("g")), [masks])
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     most = min(p.max_cell_rows, max(p.min_cell_rows, n * len(masks) // parts))
-    heavy = rows.groupBy("m", "key").count().filter(F.col("count") > most).select("m", "key", F.ceil(F.col("count") / most).cast("int").alias("k"))
-    heavy = materialise(heavy, "simhash-heavy")
+    heavy = _heavy(rows, most)
+    plain = lambda d: d.select("m", "key", F.lit(0).alias("x"), F.lit(0).alias("y"), "fp")
     if heavy.isEmpty():
-        cells = rows.select("m", "key", F.lit(0).alias("x"), F.lit(0).alias("y"), "fp")
+        cells = plain(rows)
     else:
-        part = F.pmod(F.xxhash64("fp"), F.col("k").cast("bigint")).cast("int")
-        rows = rows.join(heavy, ["m", "key"], "left").select("m", "key", "fp", F.coalesce("k", F.lit(1)).alias("k"), F.coalesce(part, F.lit(0)).alias("part"))
-        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-        cells = rows.select("m", "key", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), "fp")
+        # links in a heavy cell lie in cells of its other bits: the group is the mask, so cells of different masks keep apart
+        rows = _parts(rows, heavy)
+        cells = plain(rows.filter("k = 1"))
+        inner = [_blocks([t for t in range(64) if not x >> t & 1], p.radius + p.refine, p.radius) for x in masks]
+        deep = _cells(rows.filter("k > 1").select("fp", F.col("m").alias("g")), [[x | y for y in own] for x, own in zip(masks, inner, strict=True)])
+        deep = deep.select("fp", (F.col("m") + 1000).alias("m"), "key")
+        deep = _parts(deep, _heavy(deep, most)).withColumn("part", F.pmod(F.xxhash64("fp"), F.col("k").cast("bigint")).cast("int"))
+        deep = deep.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+        cells = cells.unionByName(deep.select("m", "key", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), "fp"))
     cells = cells.repartition("m", "key", "x", "y").sortWithinPartitions("m", "key", "x", "y", "fp")
 
     def compare(held: list[pa.RecordBatch]):
@@ -251,10 +284,18 @@ def edges(fps: DataFrame, n: int, p: SimHash = PARAMS) -> DataFrame:
     return arrow_map(cells, run, "a bigint, b bigint").distinct()
 
 
+def _stars(e: DataFrame, least: DataFrame) -> DataFrame:
+    """e (a, b) with the least neighbour m of a. least: a, m, n (rows of a in e); stars with very many rows are joined by broadcast."""
+    total = least.agg(F.sum("n")).first()[0] or 0
+    big = F.broadcast(least.filter((F.col("n") > 1000) & (F.col("n") * 4096 > total)).select("a", "m"))  # at most 4096
+    return e.join(big, "a").unionByName(e.join(big, "a", "left_anti").join(least.select("a", "m"), "a"))
+
+
 def components(links: DataFrame, name: str = "stars") -> DataFrame:
     """node, root: the smallest node of each component, for every node of links (a, b) that isn't a root itself.
 
-    Alternating large-star and small-star steps; each round is four aggregations of at most as many rows as there are links.
+    Alternating large-star and small-star steps; each round is four aggregations of at most as many rows as there are links. The
+    tables of a round are deleted when the next one is written.
     """
     e = materialise(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), name)
     before = None
@@ -264,13 +305,13 @@ def components(links: DataFrame, name: str = "stars") -> DataFrame:
             return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
         before = state
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        large = materialise(large, name)
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        near = materialise(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n")), name)
+        large = materialise(_stars(both, near).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct(), name)
+        far = materialise(large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")), name)
         # the star's centre itself (a, m) comes from the aggregate, once a node
-        moved = large.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        e = materialise(moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), name)
+        moved = _stars(large, far).filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        last, e = e, materialise(moved.unionByName(far.select("a", F.col("m").alias("b"))).distinct(), name)
+        discard(last, near, large, far)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p: SimHash = PARAMS) -> DataFrame:
@@ -281,8 +322,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labelled = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
     labelled = materialise(labelled, "simhash-labels")
     least = labelled.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    whole = materialise(labelled.join(least, "root").select("fp", "component_id"), "simhash-components")
-    return each.join(whole, "fp").select("doc_id", "fp", "component_id")
+    whole = materialise(skewed_join(labelled, least, "root").select("fp", "component_id"), "simhash-components")
+    discard(nodes, labelled)
+    return skewed_join(each, whole, "fp").select("doc_id", "fp", "component_id")
 
 
 def op5(spark, sf_dir: str) -> DataFrame:
