@@ -8,26 +8,30 @@ the benchmark (128 bits of hash). Benchmark items shorter than n words are one s
 position, which is winnowing with a window of one.
 
 The documents stream through one Arrow pass without any shuffle, so hot passages and hot sources cost no more than others.
-The benchmark is the stated query set: its size is measured first and it is cut into blocks of at most `block_bytes`,
-each broadcast in turn; with several blocks, hits found so far travel with the document.
+The benchmark is the stated query set: its size is measured first and it is cut into blocks of about `block_bytes` (long items into
+pieces that overlap by n - 1 words, equal rows taken once), each broadcast in turn; with several blocks, the documents are numbered and
+written once, each block returns only the numbers, masks and items of documents it hits, and these are joined at the end.
 
 Defined results: null or empty texts have no words (n_words 0, not contaminated); benchmark items without words are
 ignored; items that share an id count once; a null item id is written as an empty string. Repeated documents get equal
-results; an empty benchmark hits nothing. Other columns pass through or are not read.
+results; an empty benchmark hits nothing. Other columns pass through, whatever their names, or are not read. Of a very long text
+whole arrays by word are held, by byte only a few bytes each.
 """
 
 from __future__ import annotations
 
 import hashlib
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from timeloom.llm.common import arrow_map, chunks, materialise, mix64, powers, table, utf8
+from timeloom.llm.common import arrow_map, by_runs, chunks, materialise, mix64, powers, table, utf8
 
 
 @dataclass(frozen=True)
@@ -47,6 +51,7 @@ _LOWER[65:91] += 32
 _IS_WORD = np.zeros(256, bool)
 _IS_WORD[48:58] = _IS_WORD[97:123] = _IS_WORD[128:] = True
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -63,12 +68,14 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 def word_hashes(low: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
     """A polynomial hash of each word's bytes, finalised."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    lengths = ends - starts
-    at = np.arange(int(lengths.sum())) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    value = (low[at + np.repeat(starts, lengths)].astype(np.uint64) + np.uint64(1)) * powers(base, int(lengths.max()))[at]
-    return mix64(np.add.reduceat(value, np.cumsum(lengths) - lengths) + lengths.astype(np.uint64))
+
+    def some(starts, ends):
+        lengths = ends - starts
+        at = np.arange(int(lengths.sum())) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        value = (low[at + np.repeat(starts, lengths)].astype(np.uint64) + np.uint64(1)) * powers(base, int(lengths.max()))[at]
+        return mix64(np.add.reduceat(value, np.cumsum(lengths) - lengths) + lengths.astype(np.uint64))
+
+    return by_runs(some, starts, ends)
 
 
 def gram_hashes(h: np.ndarray, k: int, base: int) -> np.ndarray:
@@ -126,6 +133,11 @@ class Index:
             begin = np.flatnonzero(new)
             self.spans[n] = (one[begin], two[begin], np.concatenate((begin, [len(one)])), item)
 
+    def items_of(self, spans: np.ndarray) -> list[str]:
+        """Ids, sorted, of the items that hold any of the spans (length, number)."""
+        lists = [self.spans[n][3][self.spans[n][2][k] : self.spans[n][2][k + 1]] for n, k in spans.tolist()]
+        return sorted({self.ids[i] for i in np.unique(np.concatenate(lists)).tolist()})
+
 
 def _find(keys: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Index of each x in the sorted keys, -1 if absent."""
@@ -136,7 +148,7 @@ def _find(keys: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 def find_hits(data: np.ndarray, offsets: np.ndarray, index: Index):
-    """n_words of each text; then mask of hit words, text number of each word; then (text, item) pairs found."""
+    """n_words of each text; then mask of hit words; then (text, length, number) of the different spans found, by text."""
     p = index.p
     low, starts, ends, text = word_spans(data, offsets)
     n_words = np.bincount(text, minlength=len(offsets) - 1)
@@ -144,7 +156,7 @@ def find_hits(data: np.ndarray, offsets: np.ndarray, index: Index):
     pairs: list[np.ndarray] = []
     first = word_hashes(low, starts, ends, _BASES[0])
     second = None
-    for n, (one, two, begin, item) in index.spans.items():
+    for n, (one, two, _, _) in index.spans.items():
         m = len(text) - n + 1
         if m <= 0:
             continue
@@ -179,12 +191,10 @@ def find_hits(data: np.ndarray, offsets: np.ndarray, index: Index):
         at, found = at[good], found[good]
         np.add.at(hit, at, 1)
         np.add.at(hit, at + n, -1)
-        seen = np.unique(np.stack((text[at], found), 1), axis=0)
-        lengths = begin[seen[:, 1] + 1] - begin[seen[:, 1]]
-        where = np.repeat(begin[seen[:, 1]] - (np.cumsum(lengths) - lengths), lengths) + np.arange(int(lengths.sum()))
-        pairs.append(np.unique(np.stack((np.repeat(seen[:, 0], lengths), item[where]), 1), axis=0))
+        pairs.append(np.unique(np.stack((text[at], np.full(len(at), n), found), 1), axis=0))
     mask = np.cumsum(hit[:-1]) > 0
-    return n_words, mask, text, np.concatenate(pairs) if pairs else np.zeros((0, 2), np.int64)
+    spans = np.concatenate(pairs) if pairs else np.zeros((0, 3), np.int64)
+    return n_words, mask, spans[np.argsort(spans[:, 0], kind="stable")]
 
 
 def gram_rows(h: np.ndarray, base: int) -> np.ndarray:
@@ -195,60 +205,71 @@ def gram_rows(h: np.ndarray, base: int) -> np.ndarray:
     return mix64(out)
 
 
-_STATE = T.StructType([T.StructField("__hit", T.BinaryType()), T.StructField("__items", T.ArrayType(T.StringType()))])
 _DIGEST = T.StructType(
     [T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("n_items", T.LongType()), T.StructField("items_sha256", T.StringType()), T.StructField("contaminated", T.BooleanType())]
 )
 
 
-def _pass(docs: DataFrame, index, p: Winnow, keep: list[str], first: bool, last: bool, only_clean: bool) -> DataFrame:
-    """One block of the benchmark over all documents; column 0 of docs is the text."""
-    schema = T.StructType([*([] if last else [docs.schema["__text"]]), *[docs.schema[c] for c in keep], *([] if only_clean else _DIGEST if last else _STATE)])
+def _hits(texts: pa.Array, index: Index):
+    """n_words, mask of hit words and ids of the items found of each text in turn; texts that share their spans share the list."""
+    p = index.p
+    data, offsets = utf8(texts)
+    for i, j in chunks(offsets, p.chunk_bytes):
+        n_words, mask, spans = find_hits(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], index)
+        cuts, ends = np.searchsorted(spans[:, 0], np.arange(j - i + 1)), np.cumsum(n_words)
+        known: dict[bytes, list[str]] = {b"": []}
+        for d in range(j - i):
+            own = spans[cuts[d] : cuts[d + 1], 1:]
+            if (key := own.tobytes()) not in known:
+                known[key] = index.items_of(own)
+            yield int(n_words[d]), mask[ends[d] - n_words[d] : ends[d]], known[key]
+
+
+def _digest(rows, p: Winnow) -> list[pa.Array]:
+    """Columns of _DIGEST from rows of (n_words, mask, items)."""
+    out: list[list] = [[] for _ in range(5)]
+    for n_words, mask, items in rows:
+        n_hit = int(mask.sum())
+        for k, x in enumerate((n_words, n_hit, len(items), hashlib.sha256(",".join(items).encode()).hexdigest(), n_hit > 0 and p.share * n_hit >= n_words)):
+            out[k].append(x)
+    return [pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_()), strict=True)]
+
+
+def _judged(docs: DataFrame, rows_of, p: Winnow, only_clean: bool, known: int) -> DataFrame:
+    """docs (t, `known` columns for rows_of, then the kept ones) with the digest of rows_of(batch); or the clean rows alone."""
+    kept = docs.columns[known:]
+    schema = T.StructType([*[docs.schema[c] for c in kept], *([] if only_clean else _DIGEST)])
 
     def run(batches):
-        index_ = index.value
         for b in batches:
-            data, offsets = utf8(b.column(0))
-            old = (b.column("__hit"), b.column("__items")) if not first else None
-            out: list[list] = [[] for _ in range(5)]
-            state: list[list] = [[], []]
-            for i, j in chunks(offsets, p.chunk_bytes):
-                n_words, mask, _, pairs = find_hits(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], index_)
-                ends = np.cumsum(n_words)
-                items: list[set] = [set() for _ in range(j - i)]
-                for d, it in pairs.tolist():
-                    items[d].add(index_.ids[it])
-                for d in range(j - i):
-                    m = mask[ends[d] - n_words[d] : ends[d]]
-                    if old is not None:
-                        if before := old[0][i + d].as_py():
-                            m = m | np.unpackbits(np.frombuffer(before, np.uint8), count=len(m)).astype(bool)
-                            items[d].update(old[1][i + d].as_py())
-                    if not last:
-                        state[0].append(np.packbits(m).tobytes() if items[d] else None)
-                        state[1].append(sorted(items[d]))
-                        continue
-                    n_hit, n = int(m.sum()), int(n_words[d])
-                    out[0].append(n)
-                    out[1].append(n_hit)
-                    out[2].append(len(items[d]))
-                    out[3].append(hashlib.sha256(",".join(sorted(items[d])).encode()).hexdigest())
-                    out[4].append(n_hit > 0 and p.share * n_hit >= n)
-            cols = [b.column(c) for c in keep]
+            digest = _digest(rows_of(b), p)
+            cols = [b.column(c) for c in kept]
             if only_clean:
-                clean = pa.array([not x for x in out[4]], pa.bool_())
-                yield pa.RecordBatch.from_arrays([c.filter(clean) for c in cols], keep)
-            elif last:
-                yield pa.RecordBatch.from_arrays([*cols, *[pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_()), strict=True)]], [*keep, *_DIGEST.names])
+                clean = pc.invert(digest[4])
+                yield pa.RecordBatch.from_arrays([c.filter(clean) for c in cols], kept)
             else:
-                yield pa.RecordBatch.from_arrays([b.column(0), *cols, pa.array(state[0], pa.binary()), pa.array(state[1], pa.list_(pa.string()))], ["__text", *keep, "__hit", "__items"])
+                yield pa.RecordBatch.from_arrays([*cols, *digest], schema.names)
 
     return arrow_map(docs, run, schema)
 
 
+def _merged(b: pa.RecordBatch):
+    """rows_of for texts with the masks and items that the blocks found."""
+    data, offsets = utf8(b.column("t"))
+    n_words = np.bincount(word_spans(data, offsets)[3], minlength=b.num_rows)
+    for n, masks, items in zip(n_words.tolist(), b.column("hits").to_pylist(), b.column("items").to_pylist(), strict=True):
+        mask = np.zeros(n, bool)
+        for m in masks or ():
+            mask |= np.unpackbits(np.frombuffer(m, np.uint8), count=n).astype(bool)
+        yield n, mask, sorted(set(items or ()))
+
+
 def blocks(benchmark: DataFrame, item_col: str, text_col: str, p: Winnow) -> list[DataFrame]:
-    """The benchmark in parts of about block_bytes each, by a measured size."""
-    b = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).filter("text <> ''")
+    """The benchmark in parts of about block_bytes each, by a measured size; no item or repeated row is longer than an eighth of it."""
+    b = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).filter("text <> ''").distinct()
+    w, step = F.regexp_extract_all("text", F.lit(_ANY_CASE), F.lit(0)), max(p.block_bytes // 128, 1)
+    bound = F.transform(F.array(w), lambda w: F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - p.n, F.lit(0)), F.lit(step)), lambda s: F.array_join(F.slice(w, s + 1, F.lit(step + p.n - 1)), " ")))
+    b = b.select("id", F.explode(F.when(F.octet_length("text") > p.block_bytes // 8, F.get(bound, F.lit(0))).otherwise(F.array("text"))).alias("text"))
     total = b.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     n = -(-total // p.block_bytes)
     if n <= 1:
@@ -261,15 +282,32 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "tex
     """Columns `keep` of docs with n_words, n_hit, n_items, items_sha256 and contaminated; only_clean: just the clean rows of docs."""
     keep = docs.columns if keep is None else keep
     assert only_clean or not set(keep) & set(_DIGEST.names), "name the columns to keep: some clash with the results"
-    d = docs.select(F.col(text_col).alias("__text"), *keep)
+    sc, names = docs.sparkSession.sparkContext, [f"c{k}" for k in range(len(keep))]
+    d = docs.select(F.col(text_col).alias("t"), *[F.col(c).alias(n) for c, n in zip(keep, names, strict=True)])
     parts = blocks(benchmark, item_col, item_text, p)
-    for k, part in enumerate(parts):
-        index = docs.sparkSession.sparkContext.broadcast(Index([(r[0], r[1]) for r in part.collect()], p))
-        last = k == len(parts) - 1
-        d = _pass(d, index, p, keep, k == 0, last, only_clean and last)
-        if not last:
-            d = materialise(d, "decontam-hits")
-    return d
+    index_of = lambda part: sc.broadcast(Index([(r[0], r[1]) for r in part.collect()], p))
+    if len(parts) == 1:
+        index = index_of(parts[0])
+        out = _judged(d, lambda b: _hits(b.column(0), index.value), p, only_clean, 1)
+    else:
+        d = materialise(d.select(F.monotonically_increasing_id().alias("r"), "*"), "decontam-docs")
+        found = [materialise(_found(d.select("r", "t"), index), "decontam-hits") for index in map(index_of, parts)]
+        # a document has one row a block at most
+        merged = reduce(DataFrame.unionByName, found).groupBy("r").agg(F.collect_list("hit").alias("hits"), F.flatten(F.collect_list("items")).alias("items"))
+        out = _judged(d.join(merged, "r", "left").select("t", "hits", "items", *names), _merged, p, only_clean, 3)
+    return out.toDF(*keep, *([] if only_clean else _DIGEST.names))
+
+
+def _found(texts: DataFrame, index) -> DataFrame:
+    """r, hit (mask of words, a bit each), items of the texts that a block of the benchmark hits."""
+
+    def run(batches):
+        for b in batches:
+            rows = [(k, np.packbits(mask).tobytes(), items) for k, (_, mask, items) in enumerate(_hits(b.column(1), index.value)) if items]
+            at = pa.array([k for k, _, _ in rows], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), pa.array([m for _, m, _ in rows], pa.binary()), pa.array([x for _, _, x in rows], pa.list_(pa.string()))], ["r", "hit", "items"])
+
+    return arrow_map(texts, run, "r bigint, hit binary, items array<string>")
 
 
 def op3(spark, sf_dir: str) -> DataFrame:
