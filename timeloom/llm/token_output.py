@@ -6,17 +6,19 @@ so metadata and token columns are read apart, and page indexes with small row gr
 Offsets over the whole output need only the sums of the shards, taken from the metadata columns.
 
 The texts are range-partitioned by id (one shuffle of the texts, which are smaller than their ids), then encoded where they
-land. White space ends words for the tokenizer, and runs of letters and of marks are split, so each different piece is encoded
-once a chunk and kept in a bounded table of the worker; the property test compares with whole-text encoding.
-
-Defined results: a null or empty text is just the end id. Rows are ordered by id (null first), then by text, so repeated
-rows are neighbours. An empty table gives an empty table. Columns other than the id and the text are not read.
+land. Rows of one id are ranged by a hash of their text and equal rows by a seeded random number, so an id of very many rows
+is dealt to many tasks. With the normaliser and split this module knows (`_KNOWN`), white space ends words and runs of letters and
+of marks are split, so each different piece is encoded once a chunk and kept in a bounded table of the worker; the property test
+compares with whole-text encoding. Other tokenizers encode whole texts.
+
+Defined results: a null or empty text is just the end id. Rows are ordered by id (null first), then by a hash of the text, so repeated
+rows are neighbours. An empty table gives an empty table. Columns other than the id and the text are not read. Texts longer than
+`chunk_bytes` are cut at white space while they are encoded; without any, memory grows with the text.
 """
 
 from __future__ import annotations
 
 import itertools
-import uuid
 import zlib
 from dataclasses import dataclass
 
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from timeloom.llm.common import arrow_map, chunks, mix64, shared_dir, table, utf8
+from timeloom.llm.common import arrow_map, chunks, cut_long, mix64, scratch, table, utf8
 
 
 @dataclass(frozen=True)
@@ -64,6 +66,19 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) if b in visible else chr(next(rest)) for b in range(256)}
 
 
+# The parts of a tokenizer file that `pieces` and `distinct_words` follow.
+_KNOWN = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+)
+
+
 class PieceEncoder:
     """ids of pieces as little-endian bytes, one table a worker. A key that starts with a zero byte is a whole word, in raw form."""
 
@@ -75,7 +90,10 @@ class PieceEncoder:
         self.tokenizer, self.keep, self.letters = Tokenizer.from_file(path), keep, _byte_letters()
         # the same model for pieces that are normal and apart already: many in one call, each ended by an id of an end of word
         bare = json.loads(self.tokenizer.to_str())
-        end = bare["model"]["end_of_word_suffix"] or "</w>"
+        end = bare["model"].get("end_of_word_suffix")
+        self.by_pieces = bool(end) and (bare["normalizer"], bare["pre_tokenizer"]) == _KNOWN
+        if not self.by_pieces:
+            return
         vocabulary = bare["model"]["vocab"]
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for k, i in vocabulary.items() if k.endswith(end)]] = True
@@ -196,6 +214,10 @@ def distinct_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, kind:
 def encode_texts(e: PieceEncoder, data: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """ids of all texts, each with the end id, and how many each has. Python sees each different piece of the chunk once."""
     n = len(offsets) - 1
+    if not e.by_pieces:
+        raw, cuts = data.tobytes(), offsets.tolist()
+        ids = [np.array([*x.ids, end_id], np.int32) for x in e.tokenizer.encode_batch([raw[i:j].decode() for i, j in itertools.pairwise(cuts)], add_special_tokens=False)]
+        return np.concatenate(ids or [np.zeros(0, np.int32)]), np.array([len(x) for x in ids], np.int64)
     buf, starts, ends, raw = pieces(data, offsets)
     text = np.searchsorted(offsets, starts, side="right") - 1
     found = distinct_words(buf, starts, ends, raw)
@@ -214,17 +236,29 @@ def encode_texts(e: PieceEncoder, data: np.ndarray, offsets: np.ndarray, end_id:
     return out, np.bincount(text, weights=per, minlength=n).astype(np.int64) + 1
 
 
+def encode_chunk(e: PieceEncoder, data: np.ndarray, offsets: np.ndarray, p: TokenFormat) -> tuple[np.ndarray, np.ndarray]:
+    """encode_texts; a chunk that is one long text goes through it in parts, whose end ids but the last are dropped."""
+    parts, _ = cut_long(data, offsets, p.chunk_bytes) if e.by_pieces else (offsets, None)
+    if len(parts) == len(offsets):
+        return encode_texts(e, data, offsets, p.end_id)
+    assert len(offsets) == 2
+    ids = [encode_texts(e, data[a:b], np.array([0, b - a]), p.end_id)[0][:-1] for a, b in itertools.pairwise(parts.tolist())]
+    values = np.concatenate([*ids, np.array([p.end_id], np.int32)])
+    return values, np.array([len(values)])
+
+
 def token_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p: TokenFormat = FORMAT) -> DataFrame:
     """doc_id, tokens, n_tokens, shard_start, shard: in partitions of ascending ids."""
     d = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    d = d.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    d = d.withColumns({"h": F.xxhash64("text"), "r": F.rand(7)})
+    d = d.repartitionByRange("doc_id", "h", "r").sortWithinPartitions("doc_id", "h", "text").select("doc_id", "text")
 
     def run(batches):
         before, e = 0, encoder(p.tokenizer, p.known_words)
         for b in batches:
             data, offsets = utf8(b.column(1))
             for i, j in chunks(offsets, p.chunk_bytes):
-                values, n = encode_texts(e, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], p.end_id)
+                values, n = encode_chunk(e, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], p)
                 ends = np.cumsum(n)
                 tokens = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(values))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), tokens, pa.array(n), pa.array(before + ends - n)], ["doc_id", "tokens", "n_tokens", "shard_start"])
@@ -278,7 +312,7 @@ def digests(spark: SparkSession, path: str) -> DataFrame:
 def encode_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p: TokenFormat = FORMAT) -> DataFrame:
     """Write the token files to the shared folder and return their digests."""
     spark = docs.sparkSession
-    path = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    path = scratch(spark, "tokens")
     write_tokens(docs, path, id_col, text_col, p)
     return digests(spark, path)
 
