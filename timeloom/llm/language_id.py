@@ -5,7 +5,8 @@ the rejection threshold, the lowest score at which at most `max_error` of the ac
 predictions below it, and those of texts without any subword seen in training.
 
 Defined results: a null text, or one without a letter, is `und` with score 0.0 (rejected). Without any labelled row every text is
-`und`. Rows with a null id are never learned from; held_out is false for them. Other columns are not read.
+`und`. Rows with a null id are never learned from; held_out is false for them. Other columns are not read. Very long texts are
+summed in parts, with the same result.
 """
 
 from __future__ import annotations

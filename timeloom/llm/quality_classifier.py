@@ -8,7 +8,8 @@ Training takes a bounded sample (`per_class`, `max_bytes`); classes weigh alike
 classes' shares among all labelled rows.
 
 Defined results: null and empty texts have no features: the score of the offset. Without labelled rows, or with one label only,
-every score is the share of label 1 (0.0 without rows). Other columns are not read.
+every score is the share of label 1 (0.0 without rows). Other columns are not read. Of very long texts whole arrays by word are held,
+but by byte only a few bytes each.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from timeloom.llm.common import arrow_map, chunks, crc_mod, mix64, powers, table, utf8
+from timeloom.llm.common import arrow_map, by_runs, chunks, crc_mod, mix64, powers, table, utf8
 from timeloom.llm.sampling import labelled_sample
 
 
@@ -52,11 +53,16 @@ _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _BASE = 0x9E3779B97F4A7C15
 
 
-def _hashes(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+def _hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Hash of each run of values."""
-    first = np.cumsum(lengths) - lengths
-    at = np.arange(len(values)) - np.repeat(first, lengths)
-    return mix64(np.add.reduceat((values.astype(np.uint64) + np.uint64(1)) * powers(_BASE, int(lengths.max()))[at], first))
+
+    def some(starts, ends):
+        lengths = ends - starts
+        at = np.arange(int(lengths.sum())) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        x = (values[at + np.repeat(starts, lengths)].astype(np.uint64) + np.uint64(1)) * powers(_BASE, int(lengths.max()))[at]
+        return mix64(np.add.reduceat(x, np.cumsum(lengths) - lengths))
+
+    return by_runs(some, starts, ends)
 
 
 def features(data: np.ndarray, offsets: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -71,14 +77,12 @@ def features(data: np.ndarray, offsets: np.ndarray, buckets: int) -> tuple[np.nd
     n_words = np.bincount(text, minlength=n)
     if not len(starts):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), n_words
-    lengths = ends - starts
-    bytes_ = data[inside[:-1]]
-    word = _hashes(_LOWER[bytes_], lengths)
-    shape = _SHAPE[bytes_]
-    first = np.cumsum(lengths) - lengths
-    new = np.concatenate(([True], shape[1:] != shape[:-1]))
-    new[first] = True
-    shape = _hashes(shape[new], np.add.reduceat(new.astype(np.int64), first))
+    word = _hashes(_LOWER[data], starts, ends)
+    shape = _SHAPE[data]
+    new = inside[:-1] & np.concatenate(([True], shape[1:] != shape[:-1]))
+    new[starts] = True
+    upto = np.concatenate(([0], np.cumsum(new)))
+    shape = _hashes(shape[new], upto[starts], upto[ends])
     pair = np.flatnonzero(text[1:] == text[:-1])
     mul = np.uint64(_BASE)
     same = word[pair] == word[pair + 1]

@@ -3,37 +3,58 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame | None, per_class: int, max_bytes: int) -> tuple[pa.Table, dict]:
+#: A class's draw is cut at one of these bounds of u, each 2 ** -(1 / 8) of the one before.
+_STEPS = 400
+
+
+def _drawn(rows: DataFrame, u: Column, per_class: int, classes: int) -> tuple[DataFrame, dict]:
+    """Of rows (label, ...) those of each class with the smallest u, down to the bound that leaves per_class of them at least; counts of the classes.
+
+    u of the rows is binned and counted first, so that only drawn rows travel; classes beyond the `classes` largest are left out.
+    """
+    bin_ = F.least(F.floor(-8 * F.log2(F.greatest(u, F.lit(2.0**-60)))), F.lit(_STEPS)).cast("int")
+    hist = rows.groupBy("label", bin_.alias("bin")).agg(F.count("*").alias("n"))
+    largest = rows.groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(classes)
+    hist = hist.join(F.broadcast(largest.select("label")), "label")
+    least: dict = {}
+    counts: dict = {}
+    for label, b, n in sorted(map(tuple, hist.collect()), key=lambda r: -r[1]):
+        if counts.get(label, 0) < 1.1 * per_class:
+            least[label] = b  # bins count down from the smallest u
+        counts[label] = counts.get(label, 0) + n
+    if not least:
+        return rows.limit(0), {}
+    bound = F.create_map(*[F.lit(x) for kv in least.items() for x in kv])
+    return rows.filter(bin_ >= F.try_element_at(bound, F.col("label"))), counts
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame | None, per_class: int, max_bytes: int, classes: int = 500) -> tuple[pa.Table, dict]:
     """(text, label; rows of each label in all) of at most per_class documents of each label, of texts with 1 to max_bytes bytes, on the driver.
 
-    docs: doc_id, text (and label, without labels); labels: doc_id, label. Rows with a null id, text or label are left out.
-    Rows are drawn by a hash of the id, in proportion to per_class over the class's count, so that only drawn rows travel; ids are
-    drawn before any text is read. Equal texts of one class are taken once.
+    docs: doc_id, text (and label, without labels); labels: doc_id, label. Rows with a null id, text or label are left out, and labels
+    beyond the `classes` most frequent. Labels are drawn by a hash of the id, then their rows by a hash of id and text, so that no id
+    of very many rows decides the sample; equal texts of one class are taken once, before they travel.
     """
-    base = (docs if labels is None else labels).filter("doc_id is not null and label is not null")
-    u = F.xxhash64("doc_id", F.lit("sample")).bitwiseAND(F.lit((1 << 53) - 1)) / F.lit(float(1 << 53))
-    counts = [(r[0], r[1]) for r in base.groupBy("label").count().collect()]
-    draw = F.lit(False)
-    for label, n in counts:
-        draw = draw | ((F.col("label") == F.lit(label)) & (u < 1.2 * per_class / n))
-    most = 2 * per_class * max(len(counts), 1)
+    hashed = lambda *c: F.xxhash64(*c, F.lit("sample")).bitwiseAND(F.lit((1 << 53) - 1)) / F.lit(float(1 << 53))
+    short = F.octet_length("text").between(1, max_bytes)
+    counts = None
     if labels is None:
-        rows = base.filter(draw)
+        rows = docs.filter("doc_id is not null and label is not null").select("doc_id", "text", "label")
     else:
-        drawn = base.filter(draw).select("doc_id", "label").limit(most)  # a hard bound of what is broadcast
-        rows = docs.join(F.broadcast(drawn), "doc_id")
-    rows = rows.filter(F.octet_length("text").between(1, max_bytes)).select("text", "label", u.alias("u"))
-    t = rows.toArrow().sort_by([("u", "ascending"), ("text", "ascending")])
-    seen: set = set()
+        named, counts = _drawn(labels.filter("doc_id is not null and label is not null").select("doc_id", "label").distinct(), hashed("doc_id"), 2 * per_class, classes)
+        # at most a little over 2 * per_class ids a class
+        rows = docs.select("doc_id", "text").filter(short).join(F.broadcast(named), "doc_id")
+    rows, found = _drawn(rows if labels is not None else rows.filter(short), hashed("doc_id", "text"), per_class, classes)
+    u = F.min(hashed("doc_id", "text")).alias("u")
+    t = rows.groupBy("label", "text").agg(u).select("text", "label", "u").toArrow().sort_by([("u", "ascending"), ("text", "ascending")])
     taken: dict = {}
     keep = []
-    for k, (text, label) in enumerate(zip(t.column("text").to_pylist(), t.column("label").to_pylist(), strict=True)):
-        if taken.get(label, 0) < per_class and (h := hash((text, label))) not in seen:
-            seen.add(h)
+    for k, label in enumerate(t.column("label").to_pylist()):
+        if taken.get(label, 0) < per_class:
             taken[label] = taken.get(label, 0) + 1
             keep.append(k)
-    return t.take(keep).drop_columns(["u"]), dict(counts)
+    return t.take(keep).drop_columns(["u"]), found if counts is None else counts

@@ -8,13 +8,15 @@ from __future__ import annotations
 
 import numpy as np
 
-from timeloom.llm.common import mix64, powers
+from timeloom.llm.common import chunks, cut_long, mix64, powers
 
 _MAP = np.full(256, 32, np.uint8)
 _MAP[97:123] = np.arange(97, 123)
 _MAP[65:91] = np.arange(97, 123)
 _MAP[128:] = np.arange(128, 256)
 _BASE = 0x9E3779B97F4A7C15
+#: Bytes of text that are worked on at once, whatever the length of a text.
+PART = 1 << 19
 
 
 def subwords(data: np.ndarray, offsets: np.ndarray, sizes: tuple[int, ...], buckets: int, words: bool = True) -> tuple[np.ndarray, np.ndarray]:
@@ -72,11 +74,14 @@ def bags(data: np.ndarray, offsets: np.ndarray, sizes: tuple[int, ...], buckets:
 
 
 def averages(table: np.ndarray, data: np.ndarray, offsets: np.ndarray, sizes: tuple[int, ...], words: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """Mean row of table (buckets x k) over the subwords of each text, and how many there are."""
-    b, p = subwords(data, offsets, sizes, len(table), words)
-    text = np.searchsorted(text_starts(offsets), p, side="right") - 1
-    n = np.bincount(text, minlength=len(offsets) - 1)
-    sums = np.stack([np.bincount(text, weights=table[:, k][b], minlength=len(offsets) - 1) for k in range(table.shape[1])], 1)
+    """Mean row of table (buckets x k) over the subwords of each text, and how many there are. Texts over `PART` bytes are summed in parts, which no subword crosses."""
+    parts, owner = cut_long(data, offsets, PART)
+    n, sums = np.zeros(len(offsets) - 1, np.int64), np.zeros((len(offsets) - 1, table.shape[1]))
+    for i, j in chunks(parts, PART):
+        b, p = subwords(data[parts[i] : parts[j]], parts[i : j + 1] - parts[i], sizes, len(table), words)
+        text = owner[i + np.searchsorted(text_starts(parts[i : j + 1] - parts[i]), p, side="right") - 1]
+        n += np.bincount(text, minlength=len(n))
+        sums += np.stack([np.bincount(text, weights=table[:, k][b], minlength=len(n)) for k in range(table.shape[1])], 1)
     return sums / np.maximum(n, 1)[:, None], n
 
 
