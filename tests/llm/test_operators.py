@@ -405,3 +405,57 @@ def test_html_frame_of_links_stays_out():
     rest = "<div><a href=x>One</a></div><div><a href=x>Another page</a></div><footer>Imprint of the firm</footer><p>Made here.</p>"
     page = f"<body><div class=text><h1>{HEAD}</h1><p>{PROSE}</p></div>{rest}"
     assert own_text(page) == f"{HEAD}\n{PROSE.strip()}"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<div class="wrap has-sidebar"><p>{p}</p></div>', '<div class="post comments-open"><p>{p}</p></div>', '<div id="search-content"><p>{p}</p></div>',
+        "<form id=aspnetForm action=/x><article><p>{p}</p></article></form>", '<p title=5">{p}</p><p class="">', "<div data-x=a=\"b><p it's>{p}</p></div>", "<a href='/x?a=\"1'></a><p>{p}</p>",
+    ],
+)
+def test_html_wrapped_and_odd_quotes(page):
+    assert own_text("<body>" + page.format(p=PROSE) + "</body>") == PROSE.strip()
+
+
+def test_html_deep_nesting_is_linear():
+    import time
+
+    def seconds(n):
+        page = "".join(f'<div class="ad x{i}">Some text here. <b>More</b></section>' if i % 7 == 0 else "<div class=a>Some text here.</em>" for i in range(n))
+        began = time.process_time()
+        assert "Some text here." in own_text(page)
+        return time.process_time() - began
+
+    assert seconds(12000) < 12 * max(seconds(2000), 0.05)
+
+
+def test_html_odd_tables(spark):
+    kind = "page_id bigint, url string, html string, host string, paths string, text string"
+    good = f"<div class=c><p>{PROSE}</p></div><div class=d><p>Less of it.</p></div>"
+    rows = [(i, f"http://a.example/{i}", good, "h", "p", "t") for i in (1, 1, None, 2)] + [(3, "//B.example:80/x", f"<div class=c>{PROSE}</div>", "h", "p", "t"), (3, "//b.example/y", f"<div class=d>{PROSE}</div>", "h", "p", "t")]
+    got = html_extract.extract_pages(spark.createDataFrame(rows, kind)).collect()
+    assert sorted(str((r.page_id, r.text)) for r in got) == sorted(str((r[0], PROSE.strip())) for r in rows)
+    assert html_extract.extract_pages(spark.createDataFrame([], kind)).count() == 0
+    shuffled = html_extract.extract_pages(spark.createDataFrame(rows, kind), p=html_extract.Extract(broadcast_hosts=0)).collect()
+    assert sorted(map(str, shuffled)) == sorted(map(str, got))
+
+
+def test_html_every_page_by_the_winners(spark):
+    """The query against votes and winners worked out in Python."""
+    import re
+    from collections import Counter, defaultdict
+
+    pages = common.table(spark, SF, "pages").collect()
+    host = lambda u: re.sub(r"^(?:www\d*|m|amp|mobile)\.(?=.*\.)", "", (re.match(r"(?:\w+:)?//([^/:]*)", u or "") or ["", ""])[1].lower())
+    votes, scores = defaultdict(Counter), defaultdict(Counter)
+    for r in pages:
+        if v := html_extract.vote(r.html):
+            votes[host(r.url)][v[0]] += 1
+            scores[host(r.url)][v[0]] += v[1]
+    want = {}
+    for h, c in votes.items():
+        ranked = sorted(c, key=lambda p: (-c[p], -round(scores[h][p], 3), p))
+        want[h] = frozenset([p for p in ranked if c[p] >= 0.2 * c.total()][:4])
+    got = {r.page_id: r.text for r in html_extract.op2(spark, SF).collect()}
+    assert all(got[r.page_id] == html_extract.extract(r.html, want.get(host(r.url), frozenset())) for r in pages)

@@ -6,8 +6,8 @@
    widened to the article element around it and to containers that add more text than links and skipped parts, as a headline and lead.
 2. Spark aggregates the scores by (host, path), after a partial sum in each task, so a hot host costs no more; each page gives one
    vote, to its best container, so the table has at most as many rows as there are pages. The winner has the most votes.
-3. Pages are read again with their host's winning paths (as many as `paths` with `min_share` of the votes); a page that has
-   none of them falls back on its own best container.
+3. Pages are read again with their host's winning paths (as many as `paths` with `min_share` of the votes), which are broadcast up to
+   `broadcast_hosts` hosts; a page that has none of them falls back on its own best container.
 
 Inside the chosen containers the text is that of all blocks but those in parts that are never main text (scripts, styles,
 navigation, headers and footers of the page, asides, forms, hidden elements, and elements with a class, id or role that is as a whole
@@ -18,7 +18,8 @@ all of whose text has such names is read as if it had none. Named parts have no
 a block is one space, blocks are trimmed and joined by a line feed; nothing else is dropped or cut.
 
 Defined results: a null or empty page has the text "" (n_chars 0); a page without any container too. A null or odd URL is the host "".
-Repeated pages vote each and get equal texts; an empty table gives an empty table. Other columns are not read.
+Repeated pages vote each and get equal texts; an empty table gives an empty table. Equal votes go to the higher score, then to the first
+path by code point. Other columns are not read, whatever their names. Work on a page grows with its length, however deep it nests.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from timeloom.llm.common import arrow_map, materialise, table
+from timeloom.llm.common import arrow_map, discard, hot_keys, materialise, table
 
 # Element names of HTML, by how this module treats them.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -72,7 +73,8 @@ NEVER_PART = frozenset("html body article main h1 h2 h3 h4 h5 h6".split())
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _LETTERS = re.compile(r"[a-z]+")
 _PROSE = re.compile(r"[.!?\u2026\u3002\uff01\uff1f\u0964\u061f]")
-_TAG = re.compile(r"<(?:!--.*?(?:-->|$)|!\[CDATA\[(.*?)(?:\]\]>|$)|[!?][^>]*(?:>|$)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$))", re.S)
+# a quote opens a value only right after the equals sign; elsewhere it is a letter like others
+_TAG = re.compile(r"<(?:!--.*?(?:-->|$)|!\[CDATA\[(.*?)(?:\]\]>|$)|[!?][^>]*(?:>|$)|(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*(?:\"[^\"]*(?:\"|$)|'[^']*(?:'|$)|[^\s\"'>][^\s>]*)?)*)(?:>|$))", re.S)
 _ATTR = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)(?:\"|$)|'([^']*)(?:'|$)|([^\s>]+)))?")
 _SPACES = re.compile(r"\s+")
 
@@ -84,6 +86,7 @@ class Extract:
     min_share: float = 0.2  #: of a host's votes a path needs
     paths: int = 4  #: winning paths of a host at most
     depth: int = 8  #: last steps of a path
+    broadcast_hosts: int = 200_000  #: hosts whose winners are broadcast; more are joined by shuffle, hot hosts apart
 
 
 PARAMS = Extract()
@@ -92,10 +95,12 @@ PARAMS = Extract()
 @dataclass(eq=False)
 class Node:
     tag: str
-    path: str
+    steps: tuple[str, ...]  #: last steps of the path
     parent: Node | None
     skip: bool
     link: bool
+    article: bool = False  #: in an article or main element, or one itself
+    box: Node | None = None  #: innermost container, the node itself included
     kind: str = ""  #: of a part: comments, own, named or form
     part: Node | None = None  #: innermost part, the node itself included
     name: str = ""  #: id of a part that only its id names
@@ -103,6 +108,16 @@ class Node:
     chars: int = 0
     prose: int = 0
     marked: bool = False  #: a part with text of an article or main element
+    score: float = 0.0
+
+    @property
+    def path(self) -> str:
+        return ">".join(self.steps)
+
+    @property
+    def outer(self) -> Node | None:
+        """The part around a part."""
+        return self.parent.part
 
 
 @lru_cache(1 << 16)
@@ -121,21 +136,16 @@ def _kinds(text: str) -> str:
     return next((k for k in ("comments", "own", "named") if k in found), "")
 
 
-def host_of(url: str | None) -> str:
-    m = re.match(r"\s*(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", url or "", re.I)
-    name = m[1].lower() if m else ""
-    return re.sub(r"^(?:www\d*|m|amp|mobile)\.(?=.*\.)", "", name)
-
-
 def _step(tag: str, cls: str) -> str:
     words = sorted(set(re.sub(r"\d+", "#", cls.lower()).split()))
     return ".".join([tag, *words])
 
 
-def parse(page: str) -> tuple[list[list[tuple[str, Node]]], list[Node], list[tuple[Node, int]]]:
-    """(raw text, innermost element) of each piece of each block in page order; the parts; element and length of skipped text."""
-    root = Node("", "", None, False, False)
+def parse(page: str, depth: int = PARAMS.depth) -> tuple[list[list[tuple[str, Node]]], list[Node], list[tuple[Node, int]]]:
+    """(raw text, innermost element) of each piece of each block in page order; the parts, outer before inner; element and length of skipped text."""
+    root = Node("", (), None, False, False)
     stack, out, pieces, parts, skipped = [root], [], [], [], []
+    opened: Counter[str] = Counter()
     at, raw_end = 0, None
     lower = None
 
@@ -166,7 +176,7 @@ def parse(page: str) -> tuple[list[list[tuple[str, Node]]], list[Node], list[tup
             continue
         tag = m[3].lower()
         if m[2]:  # end tag
-            k = len(stack) - 1
+            k = len(stack) - 1 if opened[tag] else 0
             stop = tag not in BLOCK
             while k > 0 and stack[k].tag != tag:
                 if stop and stack[k].tag in BLOCK:
@@ -176,6 +186,7 @@ def parse(page: str) -> tuple[list[list[tuple[str, Node]]], list[Node], list[tup
             if tag in BLOCK:
                 flush()
             if k > 0:
+                opened.subtract(x.tag for x in stack[k:])
                 del stack[k:]
             continue
         if tag in BLOCK:
@@ -184,6 +195,7 @@ def parse(page: str) -> tuple[list[list[tuple[str, Node]]], list[Node], list[tup
                 for k in range(len(stack) - 1, 0, -1):
                     t = stack[k].tag
                     if t == "p" or t in CLOSES.get(tag, ()):
+                        opened.subtract(x.tag for x in stack[k:])
                         del stack[k:]
                         break
                     if t in BLOCK:
@@ -207,17 +219,18 @@ def parse(page: str) -> tuple[list[list[tuple[str, Node]]], list[Node], list[tup
                 found.setdefault(a[1].lower(), a[2] or a[3] or a[4] or "")  # the first of a name counts
         cls = found.get("class", "")
         hidden = bool(found) and ("hidden" in found or found.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", found.get("style", ""), re.I) is not None)
-        path = up.path
-        if tag in CONTAINER or tag in SKIP or tag == "header":
-            path = f"{path}>{_step(tag, cls)}" if path else _step(tag, cls)
-        head = tag == "header" and not any(x.tag in ("article", "main") for x in stack)
-        node = Node(tag, path, up, up.skip or hidden or tag in SKIP and tag != "form" or head, up.link or tag == "a", part=up.part)
+        steps = (*up.steps, _step(tag, cls))[-depth:] if tag in CONTAINER or tag in SKIP or tag == "header" else up.steps
+        article = up.article or tag in ("article", "main")
+        node = Node(tag, steps, up, up.skip or hidden or tag in SKIP and tag != "form" or tag == "header" and not article, up.link or tag == "a", article, up.box, part=up.part)
+        if tag in CONTAINER:
+            node.box = node
         if not node.skip:
             node.kind = _part(tag, found, node)
             if node.kind:
                 node.part = node
                 parts.append(node)
         stack.append(node)
+        opened[tag] += 1
     flush()
     return out, parts, skipped
 
@@ -245,23 +258,13 @@ def _up(node: Node | None):
         node = node.parent
 
 
-def _in_article(node: Node) -> bool:
-    return any(x.tag in ("article", "main") for x in _up(node))
-
-
-def _chain(node: Node):
-    part = node.part
-    while part is not None:
-        yield part
-        part = part.parent.part
-
-
 class Page:
     """Blocks of a page, (text, innermost element, mostly links?), as the vote and the extraction see them."""
 
     def __init__(self, page: str | None):
-        raw, parts, self.skipped = parse(page or "")
+        raw, self.parts, self.skipped = parse(page or "")
         self.raw = [(*_plain(pieces), pieces) for pieces in raw]
+        parts = self.parts
         if parts:
             self._judge(parts)
         #: Parts that may hold no vote, and those that are no text.
@@ -271,14 +274,24 @@ class Page:
         if not self.text:  # names said that all of the page is something else
             forms = {id(x) for x in parts if x.kind == "form"}
             self.silent, self.dropped, self.text = forms, forms, self._blocks(forms)
-        self.skipped += [(n, len(t.strip())) for _, _, pieces in self.raw for t, n in pieces if any(id(x) in self.dropped for x in _chain(n))] if self.dropped else []
+        if self.dropped:
+            gone = self._within(self.dropped)
+            self.skipped += [(n, len(t.strip())) for _, _, pieces in self.raw for t, n in pieces if id(n.part) in gone]
         self.voting = (self._blocks(self.silent) if self.silent != self.dropped else self.text) or self.text
 
+    def _within(self, those: set[int]) -> set[int]:
+        """Those parts and all inside them."""
+        out: set[int] = set()
+        for x in self.parts:
+            if id(x) in those or id(x.outer) in out:
+                out.add(id(x))
+        return out
+
     def _blocks(self, without: set[int]) -> list[tuple[str, Node, bool]]:
-        out = []
+        out, gone = [], self._within(without)
         for text, linked, pieces in self.raw:
-            if without and any(n.part is not None for _, n in pieces):
-                pieces = [(t, n) for t, n in pieces if not any(id(x) in without for x in _chain(n))]
+            if gone and any(id(n.part) in gone for _, n in pieces):
+                pieces = [(t, n) for t, n in pieces if id(n.part) not in gone]
                 text, linked = _plain(pieces)
             if text:
                 owner = pieces[0][1]
@@ -290,28 +303,30 @@ class Page:
     def _judge(self, parts: list[Node]) -> None:
         """What the text of parts says about them: kind "" for those that are none."""
         for text, _, pieces in self.raw:
-            if text:
-                for x in _chain(pieces[0][1]):
-                    x.first = text if x.first is None else x.first
+            x = pieces[0][1].part if text else None
+            while x is not None and x.first is None:  # the parts around one that has a first text have one
+                x.first, x = text, x.outer
         slug = lambda v: "".join(c for c in v.lower() if c.isalnum())
         for x in parts:
             if x.name and x.kind != "form" and slug(x.name) == slug(x.first or ""):
                 x.kind = "named"
+        of_comments = self._within({id(x) for x in parts if x.kind == "comments"})
         total, marked = 0, False
         for text, linked, pieces in self.raw:
             prose = not linked and (len(text) >= 40 or _PROSE.search(text) is not None)
             for t, n in pieces:
-                chain = list(_chain(n)) if n.part is not None else ()
                 size = 0 if n.tag in ("h1", "h2", "h3", "h4", "h5", "h6") else len(t.strip())
-                if not size or chain and any(x.kind == "comments" for x in chain):
+                if not size or id(n.part) in of_comments:
                     continue
-                total += size if prose and not n.link else 0
-                main = _in_article(n)
-                marked = marked or main
-                for x in chain:
-                    x.marked = x.marked or main
-                    x.chars += size
-                    x.prose += size if prose and not n.link else 0
+                told = size if prose and not n.link else 0
+                total += told
+                marked = marked or n.article
+                if n.part is not None:
+                    x = n.part
+                    x.marked, x.chars, x.prose = x.marked or n.article, x.chars + size, x.prose + told
+        for x in reversed(parts):
+            if x.outer is not None:
+                x.outer.marked, x.outer.chars, x.outer.prose = x.outer.marked or x.marked, x.outer.chars + x.chars, x.outer.prose + x.prose
         for x in parts:
             beside = x.kind == "own" and marked and not x.marked  # an advert longer than the article
             if x.kind != "comments" and 2 * x.prose > total and not beside:
@@ -327,28 +342,43 @@ def _end_of(lower: str, tag: str, at: int) -> int:
     return len(lower)
 
 
-def _short(path: str, depth: int) -> str:
-    return ">".join(path.split(">")[-depth:])
-
-
 def containers(blocks: list) -> list[tuple[float, Node]]:
     """Score of each container that holds text: its own blocks in full, those of inner containers in part."""
-    scores: dict[int, list] = {}
+    found: dict[int, Node] = {}
     for text, node, linked in blocks:
         points = -0.5 * len(text) if linked else len(text) + 20 * sum(text.count(c) for c in ".!?,")
-        share = 1.0
-        while node is not None:
-            if node.tag in CONTAINER:
-                scores.setdefault(id(node), [0.0, node])[0] += points * share
-                share *= 1.0 if node.tag in ("td", "blockquote") else 0.6
-            node = node.parent
-    return sorted(((s * (1.3 if n.tag in ("article", "main") else 1.0), n) for s, n in scores.values()), key=lambda x: -x[0])
-
-
-def _around(node: Node | None, those: set[int]) -> Node | None:
-    while node is not None and id(node) not in those:
+        box, new = node.box, []
+        if box is None:
+            continue
+        x = box
+        while x is not None and id(x) not in found:  # containers around a known one are known
+            x.score = 0.0
+            found[id(x)] = x
+            new.append(x)
+            x = x.parent.box
+        box.score += points
+    inner: dict[int, int] = Counter(id(x.parent.box) for x in found.values() if x.parent.box is not None)
+    ready = [x for k, x in found.items() if k not in inner]
+    while ready:  # from the innermost out
+        x = ready.pop()
+        up = x.parent.box
+        if up is not None:
+            up.score += x.score * (1.0 if x.tag in ("td", "blockquote") else 0.6)
+            inner[id(up)] -= 1
+            if not inner[id(up)]:
+                ready.append(up)
+    return sorted(((x.score * (1.3 if x.tag in ("article", "main") else 1.0), x) for x in found.values()), key=lambda x: -x[0])
+
+
+def _around(node: Node | None, those: set[int], known: dict[int, Node | None]) -> Node | None:
+    """The innermost of those elements around a node, itself included; known: what was found before."""
+    seen = []
+    while node is not None and id(node) not in those and id(node) not in known:
+        seen.append(id(node))
         node = node.parent
-    return node
+    out = known[id(node)] if id(node) in known else node
+    known |= dict.fromkeys(seen, out)
+    return out
 
 
 def widen(host: Node, whole: Page) -> Node:
@@ -362,14 +392,15 @@ def widen(host: Node, whole: Page) -> Node:
         return host
     rings = {id(x) for x in (host, *above)}
     plain, bare, heads = Counter(), Counter(), set()  # by innermost ring
+    known: dict[int, Node | None] = {}
     for text, node, linked in whole.text:
-        ring = _around(node, rings)
+        ring = _around(node, rings, known)
         if ring is not None:
             plain[id(ring)] += -len(text) if linked else len(text)
             if node.tag == "h1":
                 heads.add(id(ring))
     for node, size in whole.skipped:
-        ring = _around(node, rings)
+        ring = _around(node, rings, known)
         if ring is not None:
             bare[id(ring)] += size
     best, gain, lost, head = host, 0, 0, False
@@ -381,29 +412,36 @@ def widen(host: Node, whole: Page) -> Node:
     return best
 
 
-def vote(page: str | None, p: Extract = PARAMS) -> tuple[str, float] | None:
+def vote(page: str | None) -> tuple[str, float] | None:
     """(path, score) of the page's best container, widened."""
     whole = Page(page)
     best = containers(whole.voting)
-    return (_short(widen(best[0][1], whole).path, p.depth), best[0][0]) if best and best[0][0] > 0 else None
+    return (widen(best[0][1], whole).path, best[0][0]) if best and best[0][0] > 0 else None
 
 
-def extract(page: str | None, paths: frozenset[str], p: Extract = PARAMS) -> str:
+def extract(page: str | None, paths: frozenset[str]) -> str:
     """Main text of a page by its host's winning paths."""
     whole = Page(page)
     if not whole.text:
         return ""
 
     def within(wanted) -> list[str]:
-        out = []
-        for text, node, _ in whole.text:
-            while node is not None and not wanted(node):
+        chosen: dict[int, bool] = {0: False}
+
+        def inside(node) -> bool:
+            seen = []
+            while (key := id(node) if node is not None else 0) not in chosen:
+                seen.append(key)
+                if wanted(node):
+                    chosen[key] = True
+                    break
                 node = node.parent
-            if node is not None:
-                out.append(text)
-        return out
+            chosen.update(dict.fromkeys(seen, chosen[key]))
+            return chosen[key]
+
+        return [text for text, node, _ in whole.text if inside(node)]
 
-    text = within(lambda n: n.tag in CONTAINER and _short(n.path, p.depth) in paths) if paths else []
+    text = within(lambda n: n.tag in CONTAINER and n.path in paths) if paths else []
     if not text:
         best = containers(whole.voting)
         host = widen(best[0][1], whole) if best else None
@@ -411,40 +449,47 @@ def extract(page: str | None, paths: frozenset[str], p: Extract = PARAMS) -> str
     return "\n".join(text)
 
 
+def host_of(url) -> F.Column:
+    """Host in lower case, without user, port and a leading www., m., amp. or mobile.; "" for anything else."""
+    name = F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"(?i)^\s*(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
+    return F.regexp_replace(name, r"^(?:www\d*|m|amp|mobile)\.(?=.*\.)", "")
+
+
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", p: Extract = PARAMS) -> DataFrame:
-    """page_id, url, text."""
-    d = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).alias("html"))
+    """page_id, url, text. The pages are parsed twice: for the votes, and for the texts."""
+    url = F.col(url_col).cast("string")
+    d = pages.select(F.col(id_col).alias("page_id"), url.alias("url"), host_of(url).alias("host"), F.col(html_col).alias("html"))
 
     def votes(batches):
         for b in batches:
-            urls, texts = b.column(0).to_pylist(), b.column(1)
-            host, path, score = [], [], []
-            for k, u in enumerate(urls):
-                v = vote(texts[k].as_py(), p)
-                if v:
-                    host.append(host_of(u))
-                    path.append(v[0])
-                    score.append(v[1])
-            yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(path, pa.string()), pa.array(score, pa.float64())], ["host", "path", "score"])
-
-    counted = arrow_map(d.select("url", "html"), votes, "host string, path string, score double").groupBy("host", "path").agg(F.count("*").alias("votes"), F.sum("score").alias("score"))
+            found = [(k, v) for k, x in enumerate(b.column(1)) if (v := vote(x.as_py()))]
+            host = b.column(0).take(pa.array([k for k, _ in found], pa.int64()))
+            yield pa.RecordBatch.from_arrays([host, pa.array([v[0] for _, v in found], pa.string()), pa.array([v[1] for _, v in found], pa.float64())], ["host", "path", "score"])
+
+    counted = arrow_map(d.select("host", "html"), votes, "host string, path string, score double").groupBy("host", "path").agg(F.count("*").alias("votes"), F.sum("score").alias("score"))
+    counted = materialise(counted, "html-votes")
     whole = counted.groupBy("host").agg(F.sum("votes").alias("all"))
     # at most 1 / min_share paths a host are left to be ranked
     best = counted.join(whole, "host").filter(F.col("votes") >= p.min_share * F.col("all"))
     hosts = best.groupBy("host").agg(F.array_sort(F.collect_list(F.struct((-F.col("votes")).alias("v"), (-F.round("score", 3)).alias("s"), "path"))).alias("ranked"))
     chosen = F.transform(F.slice("ranked", 1, p.paths), lambda x: x["path"])
     winners = materialise(hosts.select("host", chosen.alias("paths")), "html-paths")
-    host = F.regexp_replace(F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"(?i)^\s*(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1)), r"^(?:www\d*|m|amp|mobile)\.(?=.*\.)", "")
-    joined = d.withColumn("host", host).join(winners, "host", "left").select("page_id", "url", "html", "paths")
+    discard(counted)
+    if winners.count() <= p.broadcast_hosts:
+        joined = d.join(F.broadcast(winners), "host", "left")
+    else:
+        hot = F.broadcast(hot_keys(d.select("host"), ["host"]))
+        few = F.broadcast(hot.join(winners, "host", "left"))
+        joined = d.join(few, "host").unionByName(d.join(hot, "host", "left_anti").join(winners, "host", "left"))
 
     def texts(batches):
         for b in batches:
-            pages_, paths = b.column(2), b.column(3).to_pylist()
-            out = [extract(pages_[k].as_py(), frozenset(x or ()), p) for k, x in enumerate(paths)]
+            paths = b.column(3).to_pylist()
+            out = [extract(x.as_py(), frozenset(y or ())) for x, y in zip(b.column(2), paths, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string())], ["page_id", "url", "text"])
 
     kind = dict(d.dtypes)["page_id"]
-    return arrow_map(joined, texts, f"page_id {kind}, url string, text string")
+    return arrow_map(joined.select("page_id", "url", "html", "paths"), texts, f"page_id {kind}, url string, text string")
 
 
 def op2(spark, sf_dir: str) -> DataFrame:
