@@ -289,7 +289,7 @@ def test_html_pages(spark):
 
 def test_license_scan(spark, odd, empty):
     t = license_scan.Templates(license_scan.TEMPLATES, license_scan.PARAMS)
-    mit = license_scan.TEMPLATES["MIT"][3].replace("free of charge", "free of any charge").replace(", to deal", ",\nto deal")
+    mit = license_scan._MIT_GRANT.replace("free of charge", "free of any charge").replace(", to deal", ",\nto deal")
     text = "Some words.\n" + mit + "\nLICENSED under the apache licence, version 3.1\nLicensed under the Apache License, version 2.1\nmore"
     rows = license_scan.scan(spark.createDataFrame([(1, text)], "doc_id bigint, text string")).first()
     assert rows.licenses == "Apache-2.0,MIT" and rows.n_matches == 2 and [(x.first_line, x.last_line) for x in rows.spans] == [(1, 2), (4, 4)]
@@ -301,6 +301,16 @@ def test_license_scan(spark, odd, empty):
     assert license_scan.scan(odd).count() == len(ODD) and license_scan.scan(empty).count() == 0
 
 
+def test_license_scan_whole_texts(spark, tmp_path):
+    full = {k: license_scan.TEMPLATES[k][-1] for k in ("MIT", "BSD-2-Clause", "BSD-3-Clause", "ISC")}
+    (tmp_path / "Made-up-1.0.txt").write_text(" ".join(f"clause{'abcdefghij'[i % 10]}{'klmnop'[i % 6]} holds" for i in range(400)))
+    templates = license_scan.read_templates(spark, str(tmp_path))
+    texts = [("Copyright 2021 A. Person.\n" + t.replace(". ", ".\n") + "\nThe program follows.", k) for k, t in full.items()] + [("x " + templates["Made-up-1.0"][0] + " y", "Made-up-1.0")]
+    texts += [(t, k) for k in ("GPL", "LGPL", "AGPL") for t in (license_scan.TEMPLATES[k][0],)]
+    got = {r.doc_id: r for r in license_scan.scan(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id int, text string"), templates=templates).collect()}
+    assert [(got[i].licenses, round(got[i].best_score, 6)) for i in range(len(texts))] == [(k, 1.0) for _, k in texts]
+
+
 def brute_matches(text, t):
     """Every run of words against every template."""
     w = license_scan.words_of(text)
@@ -322,7 +332,7 @@ def _apart(runs):
 
 
 def test_license_scan_within_lines(spark):
-    mit = license_scan.TEMPLATES["MIT"][3]
+    mit = license_scan._MIT_GRANT
     rows = [
         (1, "Copyright 2023 Acme Corp. All rights reserved.", "Proprietary", 1.0, [(0, 0)]),
         (2, "Parser module by Ann Lee. Licensed under the Apache License, Version 2.0.", "Apache-2.0", 1.0, [(0, 0)]),

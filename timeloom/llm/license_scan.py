@@ -11,11 +11,13 @@ Of overlapping passages like one template the best score stays, then the longer
 that shares most bigrams stays, then the best score (a long notice holds the short ones).
 
 Defined results: a null or empty text has no match (licenses "", best_score 0.0). Rows are judged one by one: repeated rows get equal
-results and an empty table gives an empty table. A template of one word counts as one bigram of its own. Other columns are not read.
+results and an empty table gives an empty table. A template of one word counts as one bigram of its own. Other columns are not read. A text is
+compared where template bigrams stand close; work there grows with its length, times the template's length for long runs of one licence.
 """
 
 from __future__ import annotations
 
+import bisect
 import math
 import re
 from collections import Counter
@@ -29,6 +31,28 @@ from pyspark.sql import functions as F
 from timeloom.llm.common import arrow_map, chunks, table, utf8
 
 # Notices and texts of common public licences.
+_MIT_GRANT = 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:'
+_MIT_NOTICE = "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."
+_MIT_DISCLAIMER = ' THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'
+_BSD_TERMS = 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.'
+_BSD_THIRD = ' 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.'
+_BSD_DISCLAIMER = ' THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'
+_ISC_GRANT = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."
+_ISC_DISCLAIMER = ' THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.'
+#: Kinds of the GNU licences; their versions aren't told apart, as numbers are one word.
+_GNU = {"GPL": "General", "LGPL": "Lesser General", "AGPL": "Affero General"}
+
+
+def _gnu_notices(kind: str) -> tuple[str, ...]:
+    name = f"GNU {kind} Public License"
+    return (
+        f"This program is free software: you can redistribute it and/or modify it under the terms of the {name} as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        f"This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the {name} for more details.",
+        f"Licensed under the {name}, version 3.",
+        f"This work is licensed under the {name}, version 3.",
+    )
+
+
 TEMPLATES = {
     "Apache-2.0": (
         "Licensed under the Apache License, Version 2.0.",
@@ -39,19 +63,18 @@ TEMPLATES = {
         "Licensed under the MIT License.",
         "Released under the MIT License.",
         "This project is licensed under the terms of the MIT license.",
-        'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:',
-        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        _MIT_GRANT,
+        _MIT_NOTICE,
+        _MIT_GRANT + " " + _MIT_NOTICE + _MIT_DISCLAIMER,
     ),
     "BSD": (
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
         "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
     ),
-    "ISC": ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",),
-    "GPL": (
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-        "Licensed under the GNU General Public License, version 3.",
-        "This work is licensed under the GNU General Public License, version 3.",
-    ),
+    "BSD-2-Clause": (_BSD_TERMS + _BSD_DISCLAIMER,),
+    "BSD-3-Clause": (_BSD_TERMS + _BSD_THIRD + _BSD_DISCLAIMER,),
+    "ISC": (_ISC_GRANT, _ISC_GRANT + _ISC_DISCLAIMER),
+    **{name: _gnu_notices(x) for name, x in _GNU.items()},
     "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",),
     "CC-BY-4.0": ("This work is licensed under a Creative Commons Attribution 4.0 International License.", "Licensed under CC BY 4.0."),
     "CC-BY-NC-4.0": ("This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "Licensed under CC BY-NC 4.0."),
@@ -195,8 +218,9 @@ def passages(place: np.ndarray, pair: np.ndarray, k: int, t: Templates) -> list[
     before[order] = np.where((i >= 0) & (pair[order[np.maximum(i, 0)]] == pair[order]), order[np.maximum(i, 0)], -1)
     reach = np.searchsorted(place, place + most) - np.arange(n)
     found = []
-    for r in range(0, len(rows), 2048):
-        a = rows[r : r + 2048, None]
+    at_once = max(1, (1 << 21) // int(reach.max()))
+    for r in range(0, len(rows), at_once):
+        a = rows[r : r + at_once, None]
         b = a + np.arange(int(reach[a].max()))
         inside = b < a + reach[a]
         b = np.minimum(b, n - 1)
@@ -238,7 +262,18 @@ def scan_text(text: str, near: list[int] | None, t: Templates) -> list[tuple[flo
         own = known[t.counts[k][pairs[known]] > 0]
         found += [(*x, name) for x in passages(own, pairs[own], k, t)]
     out = _apart(sorted(found, key=lambda x: (-x[0], -x[1], x[2], x[3], x[4])))
-    return [(s, name, text.count("\n", 0, spans[i][0]), text.count("\n", 0, spans[j + 1][0])) for _, s, i, j, name in sorted(out, key=lambda x: x[2])]
+    breaks = [k for k, c in enumerate(text) if c == "\n"] if out else []
+    line = lambda word: bisect.bisect_left(breaks, spans[word][0])
+    return [(s, name, line(i), line(j + 1)) for _, s, i, j, name in sorted(out, key=lambda x: x[2])]
+
+
+def read_templates(spark, path: str) -> dict[str, tuple[str, ...]]:
+    """TEMPLATES with whole licences from a folder of text files, named by the file without its ending: a handful of files, read by the driver."""
+    files = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.txt)?$", 1).alias("name"), "value").orderBy("name").collect()
+    out = dict(TEMPLATES)
+    for name, text in files:
+        out[name] = (*out.get(name, ()), text)
+    return out
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict = TEMPLATES, p: Scan = PARAMS) -> DataFrame:
@@ -246,8 +281,10 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     span = pa.struct([("license", pa.string()), ("score", pa.float64()), ("first_line", pa.int32()), ("last_line", pa.int32())])
 
+    held = docs.sparkSession.sparkContext.broadcast(Templates(templates, p))
+
     def run(batches):
-        t = Templates(templates, p)
+        t = held.value
         for b in batches:
             data, offsets = utf8(b.column(1))
             rows: list[list] = [[] for _ in range(b.num_rows)]
