@@ -1,16 +1,19 @@
 """Corpus pipeline: quality rules, near-duplicates, decontamination, mixing, token output.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again for the next one.
-All but the last return the columns of documents.
+All but the last return the columns of documents, and any further columns of the input, whatever their names.
+
+Defined results: documents with a null or empty text fail the quality rules; null and repeated ids are as good as others: rows are known by
+their content, and of wholly equal rows one stays; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from timeloom.llm import decontam, mixing, quality_rules, simhash, token_output
-from timeloom.llm.common import materialise, table
+from timeloom.llm.common import discard, fresh, materialise, table
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,14 +27,16 @@ def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near duplicates: that of the smallest id (null last), of rows that share it the first by hash."""
     rest = [F.col(c) for c in docs.columns if c != "doc_id"]
     # rows are known by id and 128 bits of their content, as ids may be null or shared by different texts
-    key = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.xxhash64(*rest).alias("h"), F.xxhash64(F.lit(1), *rest).alias("g"))
-    keyed = docs.withColumn("__key", key)
-    found = materialise(simhash.near_duplicates(keyed, id_col="__key").select("doc_id", "component_id"), "dedup")
-    chosen = found.filter("doc_id = component_id").groupBy(F.col("doc_id").alias("__key")).agg(F.count("*").alias("n"))
-    repeated = not chosen.filter("n > 1").isEmpty()
-    # the keys grow with the corpus: never broadcast, the same plan at every size
-    kept = keyed.join(chosen.select("__key").hint("merge"), "__key", "left_semi").select(docs.columns)
-    return kept.dropDuplicates() if repeated else kept  # only wholly equal rows share a key
+    key, rank = fresh(docs.columns, "key"), fresh(docs.columns, "rank")
+    parts = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.xxhash64(*rest).alias("h"), F.xxhash64(F.lit(1), *rest).alias("g"))
+    # of the type it is read back with, nullable fields included, so that rank and join share one shuffle
+    keyed = docs.withColumn(key, parts.cast(f"struct<no_id: boolean, doc_id: {dict(docs.dtypes)['doc_id']}, h: bigint, g: bigint>"))
+    found = materialise(simhash.near_duplicates(keyed, id_col=key), "dedup")
+    chosen = found.filter("doc_id = component_id").select(F.col("doc_id").alias(key)).distinct()
+    # equal rows share a key: each task sends one of them on, so copies of any number are not gathered; the keys grow with the corpus
+    # and are never broadcast
+    one = keyed.withColumn(rank, F.row_number().over(Window.partitionBy(key).orderBy(F.col(key)["h"]))).filter(F.col(rank) == 1)
+    return one.join(chosen.hint("merge"), key, "left_semi").select(docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,10 +61,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents; each stage's table is deleted when the next one is written."""
+    docs, last = table(spark, sf_dir, "documents"), None
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = materialise(docs, f"stage-{k + 1}")
+        if last is not None:  # the last stage has written its tokens
+            discard(last)
+        last = docs
     return docs

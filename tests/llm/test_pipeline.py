@@ -1,10 +1,17 @@
-"""The pipeline stage by stage against plain versions."""
+"""The pipeline stage by stage: against the operators, and against plain versions."""
 
 import random
+import zlib
+from collections import Counter
+
+import numpy as np
 
 import corpus_pipeline
 from tests.conftest import SF
+from tests.llm import plain
+from tests.llm.test_operators import brute_targets, whole_ids
 from timeloom.llm import decontam, quality_rules, simhash
+from timeloom.llm import token_output as to
 from timeloom.llm.common import materialise, table
 
 
@@ -49,3 +56,58 @@ def test_dedup_shared_and_null_ids(spark):
     assert got.columns == docs.columns
     kept = [(r.doc_id, r.text) for r in got.collect()]
     assert sorted(kept, key=str) == sorted([(7, x), (3, y), (None, z), (9, w)], key=str)
+
+
+KIND = "doc_id bigint, text string, lang string, source string, n_chars bigint, key string, __text string, row string, h string"
+
+
+def test_pipeline_plain(spark):
+    """Rows, texts, copies and token digests of all stages against Python; with clashing columns, null ids, nulls and copies."""
+    rng = random.Random(3)
+    own = [tuple(r) for r in table(spark, SF, "documents").select("doc_id", "text", "lang", "source", "n_chars").collect()]
+    items = [r.text for r in table(spark, SF, "benchmark").collect()]
+    sentence = lambda: " ".join(rng.choice(["alder", "birch", "cedar", "damson", "elm", "fir", "gorse", "hazel"]) + str(rng.randrange(999)) for _ in range(12)) + ".\n"
+    prose = lambda n: "".join(sentence() for _ in range(n))
+    a, b = prose(8), prose(8)
+    more = [(9001, a), (9002, a), (9002, b), (9001, b), (None, a), (None, prose(6)), (9003, prose(5) + items[0] + "\n" + "Home | About | Log in\n"), (9004, None), (9005, ""), (9006, prose(400))]
+    rows = [(*r, "k", "t", "r", "h") for r in own + [(i, t, "en", rng.choice(["s1", None]), 0) for i, t in more]]
+    docs = spark.createDataFrame(rows, KIND)
+    tables = []
+    for _, stage in corpus_pipeline.STAGES:
+        docs = materialise(stage(spark, docs, SF), "test")
+        tables.append([tuple(r) for r in docs.collect()])
+    cleaned, unique, safe, mixed, tokens = tables
+    of = lambda those: Counter(those)
+    want = [(i, t, lang, src, len(t), *x) for i, text, lang, src, _, *x in rows if (t := plain.clean(text)) is not None]
+    assert of(cleaned) == of(want)
+    group = plain.groups([plain.fingerprint(r[1]) for r in want])
+    kept = Counter((r[0], r[1]) for r in unique)
+    assert sum(kept.values()) == len(set(group))
+    for g in set(group):
+        mine = [r for r, k in zip(want, group, strict=True) if k == g]
+        least = min((r[0] is None, r[0] or 0) for r in mine)
+        chosen = [r for r in mine if kept[(r[0], r[1])]]
+        assert chosen and all((r[0] is None, r[0] or 0) == least for r in chosen)
+    assert of(safe) == of(r for r in unique if not plain.contaminated(r[1], items))
+    size = lambda r: len(plain.words(r[1]))
+    sizes = Counter()
+    for r in safe:
+        sizes[r[3]] += size(r)
+    goal = brute_targets(dict(sizes))
+    copies = of(mixed)
+    assert set(copies) <= set(safe) and all(copies[r] <= 2 * n for r, n in of(safe).items())
+    for s in sizes:
+        mine = [r for r in safe if r[3] == s]
+        assert abs(sum(size(r) for r in mixed if r[3] == s) - goal[s]) <= max(map(size, mine))
+    ordered = sorted(mixed, key=lambda r: (r[0] is not None, r[0] or 0))
+    ids = [np.array(x, "<u4") for x in whole_ids(to.encoder("word_bpe_49k.json", 50), [r[1] for r in ordered])]
+    assert of((t[0], t[2], t[3]) for t in tokens) == of((r[0], len(x), zlib.crc32(x.tobytes())) for r, x in zip(ordered, ids, strict=True))
+    tokens.sort(key=lambda t: t[1])
+    assert [t[0] for t in tokens] == [r[0] for r in ordered] and [t[1] for t in tokens] == (np.cumsum([t[2] for t in tokens]) - [t[2] for t in tokens]).tolist()
+
+
+def test_pipeline_empty_with_clashing_columns(spark):
+    docs = spark.createDataFrame([], KIND)
+    for name, stage in corpus_pipeline.STAGES:
+        docs = materialise(stage(spark, docs, SF), "test")
+        assert docs.count() == 0 and (name == "token output" or docs.columns == [c.split()[0] for c in KIND.split(", ")])
