@@ -6,7 +6,8 @@ words in a very long text count as much as in a short one. Misspelt words share
 
 Training, on a bounded sample (`per_class`, `max_bytes`): first whole texts; then segments, where a toxic text
 teaches with its worst segment and a clean text with its worst and one more, which finds the words that make texts toxic.
-The last part of the sample isn't learned from; it fits the scale and offset that make scores probabilities.
+A part of the sample isn't learned from; it sets the cut: the log-odds above which a share `flagged` of its clean texts lies score
+0.5 or more. Scores rise with the log-odds but aren't calibrated probabilities.
 
 Defined results: texts without a subword (null and empty ones too) say nothing and score as the median of the clean texts set
 aside, below 0.5. Without any labelled row, or with one label only, every score is the share of label 1 (0.0 without rows). Other columns are not read.
@@ -22,28 +23,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from timeloom.llm.common import arrow_map, chunks, crc_mod, table, utf8
+from timeloom.llm.common import arrow_map, chunks, crc_mod, cut_long, table, utf8
 from timeloom.llm.sampling import labelled_sample
 from timeloom.llm.subwords import subwords, text_starts, train
 
 
 @dataclass(frozen=True)
 class Toxicity:
-    """Production parameters."""
+    """Production parameters; sizes, segment, min_docs, refine and flagged are those that toxicity_search returned."""
 
     buckets: int = 1 << 17
     dim: int = 8
     sizes: tuple[int, ...] = (3, 4, 5, 6, 7)  #: in bytes, of which a letter outside ASCII takes two or more
-    segment: int = 12  #: a word or two, so that the words around one don't dilute it
+    segment: int = 8  #: about a word, so that the words around one don't dilute it
     per_class: int = 3000
     max_bytes: int = 6000
-    min_docs: int = 5  #: subwords of fewer texts of the sample teach nothing, so that single texts aren't learned by heart
+    min_docs: int = 3  #: subwords of fewer texts of the sample teach nothing, so that single texts aren't learned by heart
     epochs: int = 5
     rate: float = 0.5
-    refine: int = 4  #: rounds over segments
+    refine: int = 8  #: rounds over segments
     clean: int = 2  #: clean segments drawn for each worst segment
     held_out: int = 4  #: one in so many of the sample fits the calibration
-    flagged: float = 0.004  #: clean texts that may score 0.5 or more
+    flagged: float = 0.003  #: clean texts that may score 0.5 or more
     chunk_bytes: int = 1 << 19
 
 
@@ -91,22 +92,32 @@ _SPACE[65:91] = _SPACE[97:123] = _SPACE[128:] = False
 
 
 def worst(weight: np.ndarray, bias: float, data: np.ndarray, offsets: np.ndarray, p: Toxicity) -> np.ndarray:
-    """Highest log-odds of any segment of each text; NaN without subwords."""
-    b, seg, text = segments(data, offsets, p)
-    n = np.bincount(seg, minlength=len(text))
-    z = np.bincount(seg, weights=weight[b], minlength=len(text)) / np.maximum(n, 1) + bias
-    z[n == 0] = -np.inf  # a segment inside a long word: only the word's first one counts
-    out = np.maximum.reduceat(z, np.searchsorted(text, np.arange(len(offsets) - 1)))
-    return np.where(np.isfinite(out), out, np.nan)
+    """Highest log-odds of any segment of each text; NaN without subwords. Texts over chunk_bytes are cut at white space, where segments begin anew."""
+    parts, owner = cut_long(data, offsets, p.chunk_bytes)
+    best = np.full(len(offsets) - 1, -np.inf)
+    for i, j in chunks(parts, p.chunk_bytes):
+        b, seg, text = segments(data[parts[i] : parts[j]], parts[i : j + 1] - parts[i], p)
+        n = np.bincount(seg, minlength=len(text))
+        z = np.bincount(seg, weights=weight[b], minlength=len(text)) / np.maximum(n, 1) + bias
+        z[n == 0] = -np.inf  # a segment inside a long word: only the word's first one counts
+        np.maximum.at(best, owner[i:j], np.maximum.reduceat(z, np.searchsorted(text, np.arange(j - i))))
+    return np.where(np.isfinite(best), best, np.nan)
 
 
 def fit(texts: list[str], labels: np.ndarray, p: Toxicity = PARAMS) -> Model:
     labels = np.asarray(labels, np.int64)
-    if not len(labels) or labels.min() == labels.max():
+    found = learn(texts, labels, p) if len(labels) and labels.min() < labels.max() else None
+    if found is None:  # one label only, or no clean text with a subword: the share of label 1 is all there is
         share = float(labels.mean()) if len(labels) else 0.0
         return Model(np.zeros(p.buckets), 0.0, 0.0, float(np.clip(np.log(max(share, 1e-18) / max(1 - share, 1e-18)), -40, 40)))
+    weight, bias, z, y, empty = found
+    return Model(weight, bias, *calibrate(z, y, p.flagged), empty)
+
+
+def learn(texts: list[str], labels: np.ndarray, p: Toxicity = PARAMS) -> tuple[np.ndarray, float, np.ndarray, np.ndarray, float] | None:
+    """Weights and bias; log-odds and labels of the texts set aside; log-odds of the median clean text of them."""
     rng = np.random.default_rng(11)
-    learn = rng.random(len(labels)) >= 1 / p.held_out
+    taught = rng.random(len(labels)) >= 1 / p.held_out
     data, offsets = utf8(pa.array(texts))
     parts = [(i, j, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]) for i, j in chunks(offsets, p.chunk_bytes)]
     # whole texts first, each different subword weighing alike
@@ -117,7 +128,7 @@ def fit(texts: list[str], labels: np.ndarray, p: Toxicity = PARAMS) -> Model:
         bag += [np.unique(b[x:y]).astype(np.int32) for x, y in itertools.pairwise(cuts.tolist())]
     common = np.bincount(np.concatenate(bag), minlength=p.buckets) >= p.min_docs
     bag = [u[common[u]] for u in bag]
-    chosen = np.flatnonzero(learn)
+    chosen = np.flatnonzero(taught)
     weight, bias = train([(bag[k], np.full(len(bag[k]), 1 / max(len(bag[k]), 1), np.float32)) for k in chosen], labels[chosen], 2, p.buckets, p.dim, p.epochs, p.rate)
     del bag
     # then segments: of each text the worst one, of clean texts others too; only these are held
@@ -132,7 +143,7 @@ def fit(texts: list[str], labels: np.ndarray, p: Toxicity = PARAMS) -> Model:
             clean = np.flatnonzero((labels[i:j] == 0)[text])
             if len(clean):
                 pick = np.unique(np.concatenate((pick, rng.choice(clean, min(len(clean), p.clean * (j - i)), replace=False))))
-            pick = pick[learn[i + text[pick]]]
+            pick = pick[taught[i + text[pick]]]
             cuts = np.searchsorted(seg, np.stack((pick, pick + 1)))
             for x, y, t in zip(*cuts.tolist(), text[pick].tolist(), strict=True):
                 u, c = np.unique(b[x:y], return_counts=True)
@@ -144,12 +155,11 @@ def fit(texts: list[str], labels: np.ndarray, p: Toxicity = PARAMS) -> Model:
     w1, b1 = (weight[:, 1] - weight[:, 0]).astype(np.float64), float(bias[1] - bias[0])
     z = np.concatenate([worst(w1, b1, d, o, p) for _, _, d, o in parts])
     said = ~np.isnan(z)
-    clean = next((k for k in (~learn & said & (labels == 0), said & (labels == 0)) if k.any()), None)
-    if clean is None:  # no clean text has a subword: the share of label 1 is all there is
-        return Model(np.zeros(p.buckets), 0.0, 0.0, float(np.log(labels.mean() / (1 - labels.mean()))))
-    cal = said & (~learn if (~learn & clean).any() else True)
-    a, b = calibrate(z[cal], labels[cal], p.flagged)
-    return Model(w1, b1, a, b, float(np.median(z[clean])))
+    clean = next((k for k in (~taught & said & (labels == 0), said & (labels == 0)) if k.any()), None)
+    if clean is None:
+        return None
+    cal = said & (~taught if (~taught & clean).any() else True)
+    return w1, b1, z[cal], labels[cal], float(np.median(z[clean]))
 
 
 def calibrate(z: np.ndarray, y: np.ndarray, flagged: float) -> tuple[float, float]:
@@ -171,8 +181,7 @@ def score_texts(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
         m = held.value
         for b in batches:
             data, offsets = utf8(b.column(1))
-            z = [worst(m.weight, m.bias, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], p) for i, j in chunks(offsets, p.chunk_bytes)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(m.score(np.concatenate(z)) if z else np.zeros(0))], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(m.score(worst(m.weight, m.bias, data, offsets, p)))], ["doc_id", "score"])
 
     return arrow_map(d, run, f"doc_id {dict(d.dtypes)['doc_id']}, score double")
 
