@@ -11,7 +11,7 @@ from timeloom.config import DEFAULTS
 from timeloom.functions import text as tx
 from timeloom.functions import timecode as tc
 from timeloom.operators import aggregates, folds, grounding, intervals, retrieval, windows
-from timeloom.plans.agent import ask, to_call
+from timeloom.plans.agent import ask, parse_ms, to_call
 from timeloom.plans.stages import Stage, run_stages
 from timeloom.sources import artifacts, sinks
 from timeloom.sources.subtitles import parse_srt
@@ -174,10 +174,14 @@ def test_agent():
         def generate_json(self, system, prompt):
             return self.replies.pop(0)
 
-    tools = {"search_moments": lambda query: (query, [1000], [(0, 5, query)])}
+    tools = {"search_moments": lambda query: (query, [1000], [(query, 0, 5)])}
     a = ask("q", [], tools, Model({"action": "search_moments", "query": "x"}, {"action": "answer", "answer": "yes"}))
     assert a.text == "yes" and a.times == [1000] and len(a.calls) == 1
-    assert to_call({"action": "find_scenes_by_tag", "tag": "nope"}) == {"action": "search_moments", "query": "nope"}
+    assert to_call({"action": "find_scenes_by_tag", "tag": "nope"}) is None is to_call({"action": "search_dialogue", "query": " "}) is to_call({"action": "answer", "query": "x"})
+    assert to_call({"action": "find_scenes_by_tag", "tag": "nope", "query": " x "}) == {"action": "search_moments", "query": "x"}
+    assert to_call({"action": "find_scenes_by_tag", "tag": "fight", "query": "x"}) == {"action": "find_scenes_by_tag", "tag": "fight"}
+    assert to_call({"action": "get_range", "start": "x"}) is None and to_call({"action": "get_characters"}) == {"action": "get_characters"}
+    assert [parse_ms(x) for x in ("1:42:50", "95.5", "x", None, "1e999", "nan")] == [6170000, 95500, None, None, None, None]
     assert to_call({"action": "get_range", "start": "0:10", "end": "x"}) == {"action": "get_range", "start_ms": 10000, "end_ms": 40000}
 
 

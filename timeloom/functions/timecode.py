@@ -55,4 +55,35 @@ def frame_name(ms: Column) -> Column:
 
 
 def midpoint(start: Column, end: Column) -> Column:
-    return F.floor((start + end) / 2).cast("bigint")
+    """Half of the sum, rounded down, in integers throughout."""
+    return F.shiftright((start + end).cast("bigint"), 1)
+
+
+def parse_time_strict(text: Column) -> Column:
+    """parse_time that fails on anything it can't read."""
+    t = parse_time(text)
+    return F.when(t.isNull(), F.raise_error(F.concat(F.lit("not a time: "), F.coalesce(text, F.lit("null")))).cast("bigint")).otherwise(t)
+
+
+def parse_time_rounded(text: Column) -> Column:
+    """As a player's address bar has it: rounded to the nearest ms instead of truncated."""
+    parts = F.transform(F.split(F.trim(text), ":"), lambda p: F.trim(p).try_cast("double"))
+    seconds = F.aggregate(parts, F.lit(0.0), lambda a, p: a * 60 + p)
+    return F.when(F.trim(text) != "", F.floor(seconds * 1000 + 0.5).try_cast("bigint"))
+
+
+def time_tags(text: Column) -> Column:
+    """Times in brackets, [a] or [a-b]: array of struct(start_ms, end_ms), end null for one time."""
+    found = F.regexp_extract_all(text, F.lit(r"\[(\d+(?::\d{2}){1,2}(?:\s*[-\x{2013}]\s*\d+(?::\d{2}){1,2})?)\]"), F.lit(1))
+    both = F.transform(found, lambda x: F.split(x, r"\s*[-\x{2013}]\s*"))
+    return F.transform(both, lambda x: F.struct(parse_time_rounded(F.get(x, F.lit(0))).alias("start_ms"), parse_time_rounded(F.get(x, F.lit(1))).alias("end_ms")))
+
+
+def progress_fraction(out_time_us: Column, duration_ms: Column) -> Column:
+    """Share of a job done by its clock in microseconds: 1 at most, null without a duration."""
+    return F.when(duration_ms > 0, F.least(out_time_us / 1000 / duration_ms, F.lit(1.0)))
+
+
+def utc_text(ts: Column) -> Column:
+    """A timestamp as ISO-8601 text of whole seconds; for sessions in UTC."""
+    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ssXXX")

@@ -32,17 +32,29 @@ def tag_stats(tags: DataFrame, vocabulary: tuple[str, ...] = TAGS, threshold: fl
 
 
 def character_rollup(scenes: DataFrame) -> DataFrame:
-    """Names of scenes (video_id, scene, start_ms, end_ms, name) by lower case: as first written, scenes in order with repeats, first and last time."""
-    order = F.struct("start_ms", "scene")
+    """Names of scenes (video_id, scene, start_ms, end_ms, name) by lower case: as written in the first scene, scenes in order with repeats, first and last time."""
+    order = F.struct("scene", "start_ms", "name")
     return scenes.filter("trim(name) <> ''").groupBy("video_id", F.lower("name").alias("key")).agg(
         F.min_by("name", order).alias("name"), F.count("*").alias("n_scenes"), F.array_sort(F.collect_list("scene")).alias("scenes"), F.min_by("start_ms", order).alias("first_ms"), F.max("end_ms").alias("last_ms"),
     )
 
 
+#: A character that a word is made of, for names and lines alike.
+WORD_CHAR = r"[\p{L}\p{N}_]"
+
+
 def mention_counts(names: DataFrame, lines: DataFrame) -> DataFrame:
-    """Lines that mention each one-word name: an equality join on words instead of a pattern for each name and line."""
-    w = lines.select("video_id", "id", F.explode(F.array_distinct(F.transform(F.split(F.lower("text"), r"[^\p{L}\p{N}_]+"), lambda x: x))).alias("key"))
-    return names.join(w, ["video_id", "key"], "left").groupBy("video_id", "key").agg(F.count("id").alias("mentions"))
+    """Lines that mention each name (key, lower case) as whole words: an equality join on the name's first word, then the name between word ends.
+
+    names: video_id, key; lines: video_id, id, text. Names without a word are in no line.
+    """
+    first = F.regexp_extract("key", f"({WORD_CHAR}+)", 1)
+    n = names.select("video_id", "key", first.alias("word")).distinct()
+    w = lines.select("video_id", "id", F.lower("text").alias("line")).withColumn("word", F.explode(F.array_distinct(F.regexp_extract_all("line", F.lit(f"{WORD_CHAR}+"), F.lit(0)))))
+    plain = F.col("key") == F.col("word")  # a name of one word needs no pattern
+    edge = F.concat(F.lit(f"(?<!{WORD_CHAR})\\Q"), F.replace(F.col("key"), F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit(f"\\E(?!{WORD_CHAR})"))
+    hit = n.filter("word <> ''").join(w, ["video_id", "word"]).filter(plain | F.regexp_like(F.col("line"), edge))
+    return names.select("video_id", "key").join(hit.groupBy("video_id", "key").agg(F.count_distinct("id").alias("mentions")), ["video_id", "key"], "left").na.fill(0, ["mentions"])
 
 
 def best_confidence(rows: DataFrame) -> DataFrame:

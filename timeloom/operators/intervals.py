@@ -19,13 +19,18 @@ def _deal(df: DataFrame, start: Column, last: Column, width: int) -> DataFrame:
 
 
 def overlap_join(a: DataFrame, b: DataFrame, width_ms: int, how: str = "inner") -> DataFrame:
-    """Rows of a and b (columns prefixed a_, b_) whose intervals overlap: a.start < b.end and b.start < a.end."""
+    """Rows of a and b (columns prefixed a_, b_) whose intervals overlap: a.start < b.end and b.start < a.end.
+
+    left_semi: the rows of a that overlap any of b, repeated ones as often as they come; the join is made on a's different intervals.
+    """
+    if how == "left_semi":
+        key = ["video_id", "start_ms", "end_ms"]
+        hit = overlap_join(a.select(*key).distinct(), b.select(*key).distinct(), width_ms).select([F.col(f"a_{c}").alias(c) for c in key]).distinct()
+        return a.join(hit, key, "left_semi").select([F.col(c).alias(f"a_{c}") for c in a.columns])
     x = _deal(a.select([F.col(c).alias(f"a_{c}") for c in a.columns]), F.col("a_start_ms"), F.col("a_end_ms") - 1, width_ms)
     y = _deal(b.select([F.col(c).alias(f"b_{c}") for c in b.columns]), F.col("b_start_ms"), F.col("b_end_ms") - 1, width_ms)
     x, y = x.withColumnRenamed("__first", "__fa"), y.withColumnRenamed("__first", "__fb").withColumnRenamed("__bucket", "__other")
     on = (F.col("a_video_id") == F.col("b_video_id")) & (F.col("__bucket") == F.col("__other")) & (F.col("a_start_ms") < F.col("b_end_ms")) & (F.col("b_start_ms") < F.col("a_end_ms"))
-    if how == "left_semi":
-        return x.join(y, on, "left_semi").drop("__fa", "__bucket").distinct()
     return x.join(y, on & (F.col("__bucket") == F.greatest("__fa", "__fb"))).drop("__fa", "__fb", "__bucket", "__other")
 
 
@@ -45,13 +50,27 @@ def owned_rows(rows: DataFrame, chunks: DataFrame) -> DataFrame:
     return rows.join(c, ["video_id", "chunk_id"]).filter((mid >= F.col("core_start_ms")) & ((mid < F.col("core_end_ms")) | F.col("is_last"))).drop("core_start_ms", "core_end_ms", "is_last")
 
 
-def nearest(unplaced: DataFrame, spans: DataFrame, at: Column) -> DataFrame:
-    """For each row the span of its video nearest to `at` (0 inside, else to either edge; the earliest on ties)."""
-    s = spans.select(F.col("video_id"), F.col("shot"), F.col("start_ms").alias("b_start_ms"), F.col("end_ms").alias("b_end_ms"))
-    x = unplaced.withColumn("__at", at)
-    d = F.when((F.col("b_start_ms") <= F.col("__at")) & (F.col("__at") < F.col("b_end_ms")), 0).otherwise(F.least(F.abs(F.col("__at") - F.col("b_start_ms")), F.abs(F.col("__at") - F.col("b_end_ms"))))
-    best = F.min(F.struct(d.alias("distance"), F.col("shot")))
-    return x.join(s, "video_id").groupBy(*unplaced.columns).agg(best.alias("best")).select(*unplaced.columns, "best.shot", "best.distance")
+def nearest(unplaced: DataFrame, spans: DataFrame, at: Column, width_ms: int) -> DataFrame:
+    """For each row the span of its video nearest to `at` (0 inside, else to either edge; the earliest on ties).
+
+    The span that holds the point comes from the bucketed join; of the others only the last to end and the next to begin can be nearest,
+    which two passes over the sorted edges find: no row meets all spans of its video.
+    """
+    s = spans.select("video_id", "shot", "start_ms", "end_ms")
+    x = unplaced.withColumn("__pt", at.cast("bigint"))
+    points = x.select("video_id", "__pt").distinct()
+    inside = point_join(points, s, "__pt", width_ms).groupBy("video_id", "__pt").agg(F.min("b_shot").alias("__in"))
+    edge = lambda c, k: s.groupBy("video_id", F.col(c).alias("t")).agg(F.min("shot").alias("shot")).select("video_id", "t", F.lit(k).alias("k"), F.struct("t", "shot").alias("edge"))
+    none = F.lit(None).cast(edge("end_ms", 0).schema["edge"].dataType)
+    marks = points.select("video_id", F.col("__pt").alias("t"), F.lit(1).alias("k"), none.alias("edge"))
+    seen = lambda w: F.last("edge", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    video = Window.partitionBy("video_id")
+    ended = marks.unionByName(edge("end_ms", 0)).withColumn("__e", seen(video.orderBy("t", "k"))).filter("k = 1").select("video_id", F.col("t").alias("__pt"), "__e")
+    begun = marks.unionByName(edge("start_ms", 2)).withColumn("__b", seen(video.orderBy(F.desc("t"), F.desc("k")))).filter("k = 1").select("video_id", F.col("t").alias("__pt"), "__b")
+    near = lambda d, shot: F.when(shot.isNotNull(), F.struct(d.cast("bigint").alias("distance"), shot.alias("shot")))
+    best = F.least(near(F.lit(0), F.col("__in")), near(F.col("__pt") - F.col("__e.t"), F.col("__e.shot")), near(F.col("__b.t") - F.col("__pt"), F.col("__b.shot")))
+    found = inside.join(ended, ["video_id", "__pt"]).join(begun, ["video_id", "__pt"]).select("video_id", "__pt", best.alias("best"))
+    return x.join(found, ["video_id", "__pt"]).filter("best is not null").select(*unplaced.columns, "best.shot", "best.distance")
 
 
 def shot_end(points: DataFrame, shots: DataFrame, at: str, width_ms: int) -> DataFrame:
@@ -67,14 +86,35 @@ def scene_at(rows: DataFrame, scenes: DataFrame, width_ms: int) -> DataFrame:
     return x.withColumn("scene", F.coalesce("b_scene", F.when(F.col("__mid") >= F.col("last.end_ms"), F.col("last.scene")))).drop("b_scene", "b_start_ms", "b_end_ms", "last", "__mid")
 
 
-def in_window(df: DataFrame, start: int, end: int) -> DataFrame:
-    """Rows that overlap a window; an empty window is a second long."""
-    end = end if end > start else start + 1000
-    return df.filter((F.col("start_ms") < end) & (F.col("end_ms") > start))
+def in_window(df: DataFrame, start: int | None = None, end: int | None = None) -> DataFrame:
+    """Rows that overlap a window, open where a bound is None; an empty window is a second long."""
+    if start is not None and end is not None and end <= start:
+        end = start + 1000
+    for bound in (None if end is None else F.col("start_ms") < end, None if start is None else F.col("end_ms") > start):
+        df = df if bound is None else df.filter(bound)
+    return df
+
+
+def clip(spans: DataFrame, windows: DataFrame) -> DataFrame:
+    """Spans (video_id, chunk_id, start_ms, end_ms) cut to their chunk's padded window (video_id, id, start_ms, end_ms, duration_ms).
+
+    Empty ones go; clipped_start and clipped_end mark edges that touch the window where the movie goes on.
+    """
+    w = windows.select("video_id", F.col("id").alias("chunk_id"), F.col("start_ms").alias("__s"), F.col("end_ms").alias("__e"), F.col("duration_ms").alias("__d"))
+    x = spans.join(w, ["video_id", "chunk_id"]).withColumns({"start_ms": F.greatest("start_ms", "__s"), "end_ms": F.least("end_ms", "__e")}).filter("end_ms > start_ms")
+    flags = {"clipped_start": (F.col("start_ms") == F.col("__s")) & (F.col("__s") > 0), "clipped_end": (F.col("end_ms") == F.col("__e")) & (F.col("__e") < F.col("__d"))}
+    return x.withColumns(flags).drop("__s", "__e", "__d")
+
 
+def unverified(citations: DataFrame, evidence: DataFrame, s: Settings = DEFAULTS, asked: DataFrame | None = None, width_ms: int = 600_000) -> DataFrame:
+    """Cited times with no evidence within the tolerance, nor inside a span (video_id, start_ms, end_ms) that was asked for, ends included.
 
-def unverified(citations: DataFrame, evidence: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
-    """Cited times with no evidence within the tolerance; evidence is bucketed by the tolerance, so this is an equality join."""
+    Evidence is bucketed by the tolerance and spans by `width_ms`, so these are equality joins.
+    """
+    if asked is not None:
+        y = _deal(asked.select(F.col("video_id").alias("q_video"), F.col("start_ms").alias("q_start"), F.col("end_ms").alias("q_end")), F.col("q_start"), F.col("q_end"), width_ms)
+        inside = (F.col("video_id") == F.col("q_video")) & (F.floor(F.col("ts_ms") / width_ms) == F.col("__bucket")) & (F.col("q_start") <= F.col("ts_ms")) & (F.col("ts_ms") <= F.col("q_end"))
+        citations = citations.join(y, inside, "left_anti")
     w = s.citation_tolerance_ms
     e = evidence.select(F.col("video_id").alias("e_video"), F.col("ts_ms").alias("e_ts"), F.explode(F.array(*[F.floor(F.col("ts_ms") / w) + k for k in (-1, 0, 1)])).alias("e_bucket"))
     on = (F.col("video_id") == F.col("e_video")) & (F.floor(F.col("ts_ms") / w) == F.col("e_bucket")) & (F.abs(F.col("ts_ms") - F.col("e_ts")) <= w)

@@ -133,7 +133,7 @@ def unplaced_nearest(spark, sf):
     e = spans(spark, sf).select("video_id", "id", "start_ms", "end_ms", "kind")
     a, s = of_kind(e, "click"), of_kind(e, "view").withColumnRenamed("id", "shot")
     placed = intervals.overlap_join(a, s.withColumnRenamed("shot", "id"), 2 * HOUR, "left_semi").select(F.col("a_id").alias("id"))
-    return intervals.nearest(a.join(placed, "id", "left_anti").select("video_id", "id", "start_ms", "end_ms"), s, tc.midpoint(F.col("start_ms"), F.col("end_ms"))).select("video_id", "id", "shot", "distance")
+    return intervals.nearest(a.join(placed, "id", "left_anti").select("video_id", "id", "start_ms", "end_ms"), s, tc.midpoint(F.col("start_ms"), F.col("end_ms")), 2 * HOUR).select("video_id", "id", "shot", "distance")
 
 
 @query(
@@ -223,7 +223,7 @@ def first_words(spark, sf) -> DataFrame:
 
 @query(
     "character_rollup",
-    f"""WITH {_NAMES} SELECT video_id, lower(name) AS key, arg_min(name, {{'s': start_ms, 'k': scene}}) AS name, count(*) AS n_scenes, array_to_string(list_sort(list(scene)), ',') AS scenes, min(start_ms) AS first_ms, max(end_ms) AS last_ms
+    f"""WITH {_NAMES} SELECT video_id, lower(name) AS key, arg_min(name, {{'s': scene, 'k': start_ms}}) AS name, count(*) AS n_scenes, array_to_string(list_sort(list(scene)), ',') AS scenes, min(start_ms) AS first_ms, max(end_ms) AS last_ms
 FROM n WHERE trim(name) <> '' GROUP BY video_id, lower(name)""",
 )
 def character_rollup(spark, sf):
@@ -325,16 +325,20 @@ def gap_collapse(spark, sf):
     return folds.gap_sessions(spans(spark, sf).select("video_id", "id", F.col("start_ms").alias("ts_ms")), 4 * HOUR)
 
 
+def frames(spark, sf) -> DataFrame:
+    """documents as readings of frames: 25 frames of 3 s a video, 5 a shot."""
+    d, k = read(spark, sf, "documents"), F.pmod("doc_id", F.lit(25))
+    return d.select(F.floor(F.col("doc_id") / 25).alias("video_id"), (k * 3000).alias("ts_ms"), "text", ((F.floor(k / 5) + 1) * 15000).alias("shot_end_ms"))
+
+
 @query("text_collapse")
 def text_collapse(spark, sf):
-    c = read(spark, sf, "conversations")
-    return folds.collapse_text(c.select(F.col("conv_id").alias("video_id"), (F.col("turn") * 2000).alias("ts_ms"), "text", (F.col("turn") * 2000 + 2000).alias("shot_end_ms"))).withColumn("frames", F.array_join("frames", ","))
+    return folds.collapse_text(frames(spark, sf)).withColumn("frames", F.array_join("frames", ","))
 
 
 @query("near_duplicate_notes")
 def near_duplicate_notes(spark, sf):
-    c = read(spark, sf, "conversations")
-    return folds.distinct_notes(c.select("conv_id", F.col("turn").alias("pos"), "text"), "conv_id")
+    return folds.distinct_notes(frames(spark, sf).select("video_id", F.col("ts_ms").alias("pos"), "text"), "video_id")
 
 
 @query(
@@ -374,7 +378,8 @@ _Q = "q AS (SELECT embedding AS b FROM embeddings WHERE vec_id = 0)"
 
 
 def query_vector(spark, sf) -> list[float]:
-    return read(spark, sf, "embeddings").filter("vec_id = 0").first()["embedding"]
+    row = read(spark, sf, "embeddings").filter("vec_id = 0").first()
+    return row["embedding"] if row else [0.0] * 64
 
 
 @query(
@@ -526,10 +531,12 @@ def unverified_times(spark, sf):
 @query(
     "pick_sources",
     f"""WITH {IV}, i AS (SELECT video_id AS answer_id, id % 3 AS step, id AS pos, kind AS label, start_ms, end_ms FROM iv WHERE kind <> 'error'), c AS (SELECT video_id AS answer_id, start_ms AS ts FROM iv WHERE kind = 'error' AND video_id % 2 = 0),
-u AS (SELECT * FROM i QUALIFY row_number() OVER (PARTITION BY answer_id, start_ms, end_ms, label ORDER BY step, pos) = 1),
-h AS (SELECT * FROM u WHERE EXISTS (SELECT 1 FROM c WHERE c.answer_id = u.answer_id AND u.start_ms - 2000 <= ts AND ts <= u.end_ms + 2000)),
-f AS (SELECT * FROM u WHERE answer_id NOT IN (SELECT answer_id FROM h) QUALIFY row_number() OVER (PARTITION BY answer_id, step ORDER BY pos) <= 3)
-SELECT answer_id, step, pos, label, start_ms, end_ms FROM (SELECT * FROM h UNION ALL SELECT * FROM f) QUALIFY row_number() OVER (PARTITION BY answer_id ORDER BY step, pos) <= 6""",
+n AS (SELECT *, row_number() OVER (PARTITION BY answer_id, step ORDER BY pos) AS n FROM i),
+h AS (SELECT * FROM n WHERE EXISTS (SELECT 1 FROM c WHERE c.answer_id = n.answer_id AND n.start_ms - 2000 <= ts AND ts <= n.end_ms + 2000)),
+f AS (SELECT * FROM n WHERE n <= 3 AND answer_id NOT IN (SELECT answer_id FROM h)),
+u AS (SELECT * FROM (SELECT * FROM h UNION ALL SELECT * FROM f) QUALIFY row_number() OVER (PARTITION BY answer_id, start_ms, end_ms, label ORDER BY step, pos) = 1),
+t AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY answer_id ORDER BY step, pos) <= 6)
+SELECT answer_id, step, pos, label, start_ms, end_ms, CAST(row_number() OVER (PARTITION BY answer_id ORDER BY start_ms, step, pos) AS INTEGER) AS place FROM t""",
 )
 def pick_sources(spark, sf):
     e = spans(spark, sf)
@@ -563,12 +570,12 @@ _OCR = r"""CASE WHEN len(regexp_extract_all(t, '[A-Za-z]{2,}')) >= 2 OR regexp_m
 @query(
     "clean_ocr",
     # whole texts, and the same with every word made one letter, which is to be refused
-    rf"""WITH r AS (SELECT item_id, text AS a, regexp_replace(text, '[A-Za-z]{{2,}}', 'x', 'g') AS b FROM benchmark),
-d AS (SELECT item_id, trim(regexp_replace(replace(a, '<s>', ''), '\s+', ' ', 'g')) AS a, trim(regexp_replace(replace(b, '<s>', ''), '\s+', ' ', 'g')) AS b FROM r)
-SELECT item_id, {_OCR.replace("(t,", "(a,").replace("THEN t", "THEN a")} AS ocr, {_OCR.replace("(t,", "(b,").replace("THEN t", "THEN b")} AS poor FROM d""",
+    rf"""WITH r AS (SELECT doc_id, coalesce(text, '') AS a, regexp_replace(coalesce(text, ''), '[A-Za-z]{{2,}}', 'x', 'g') AS b FROM documents),
+d AS (SELECT doc_id, trim(regexp_replace(replace(a, '<s>', ''), '\s+', ' ', 'g')) AS a, trim(regexp_replace(replace(b, '<s>', ''), '\s+', ' ', 'g')) AS b FROM r)
+SELECT doc_id, md5({_OCR.replace("(t,", "(a,").replace("THEN t", "THEN a")}) AS ocr, md5({_OCR.replace("(t,", "(b,").replace("THEN t", "THEN b")}) AS poor FROM d""",
 )
 def clean_ocr(spark, sf):
-    return read(spark, sf, "benchmark").select("item_id", tx.clean_ocr(F.col("text")).alias("ocr"), tx.clean_ocr(F.regexp_replace("text", "[A-Za-z]{2,}", "x")).alias("poor"))
+    return read(spark, sf, "documents").select("doc_id", F.md5(tx.clean_ocr(F.col("text"))).alias("ocr"), F.md5(tx.clean_ocr(F.regexp_replace("text", "[A-Za-z]{2,}", "x"))).alias("poor"))
 
 
 _STOP = "['" + "','".join(tx.STOP_WORDS) + "']"
@@ -576,10 +583,10 @@ _STOP = "['" + "','".join(tx.STOP_WORDS) + "']"
 
 @query(
     "keywords",
-    rf"""SELECT item_id, array_to_string(list_sort(list_distinct(list_filter(list_transform(list_filter(regexp_extract_all(text, '[\p{{L}}\p{{N}}_''-]+'), lambda w: length(w) >= 3), lambda w: lower(w)), lambda w: NOT list_contains({_STOP}, w)))), ',') AS keys FROM benchmark""",
+    rf"""SELECT doc_id, md5(array_to_string(list_sort(list_distinct(list_filter(list_transform(list_filter(regexp_extract_all(coalesce(text, ''), '[\p{{L}}\p{{N}}_''-]+'), lambda w: length(w) >= 3), lambda w: lower(w)), lambda w: NOT list_contains({_STOP}, w)))), ',')) AS keys FROM documents""",
 )
 def keywords(spark, sf):
-    return read(spark, sf, "benchmark").select("item_id", F.array_join(F.sort_array(tx.keywords(F.col("text"))), ",").alias("keys"))
+    return read(spark, sf, "documents").select("doc_id", F.md5(F.array_join(F.sort_array(tx.keywords(F.coalesce("text", F.lit("")))), ",")).alias("keys"))
 
 
 @query(
@@ -624,7 +631,7 @@ def pending_anti(spark, sf):
 def embed_hash(spark, sf):
     from timeloom.models import hash_embedding
 
-    return read(spark, sf, "conversations").select("conv_id", "turn", F.array_join(F.transform(hash_embedding(F.col("text")), lambda x: F.round(x, 4).cast("string")), ",").alias("embedding"))
+    return read(spark, sf, "documents").select("doc_id", F.array_join(F.transform(hash_embedding(F.coalesce("text", F.lit(""))), lambda x: F.round(x, 4).cast("string")), ",").alias("embedding"))
 
 
 @query("tag_blend", "SELECT event_id AS id, round(0.6::DOUBLE * (event_id % 10) / 10 + (1 - 0.6::DOUBLE) * ((event_id % 7) / 7.0::DOUBLE), 3) AS score FROM events")
