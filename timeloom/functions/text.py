@@ -85,8 +85,58 @@ def tags_over(tags: Column, threshold: float) -> Column:
     return F.map_keys(F.map_filter(tags, lambda _, v: v >= threshold))
 
 
-def scene_text(title: Column, description: Column, characters: Column, location: Column, mood: Column, events: Column, tags: Column) -> Column:
+def best_tags(tags: Column, threshold: float = 0.5, most: int | None = None, by_name: bool = False) -> Column:
+    """Names of the tags (map of confidences) at the threshold or above, best first; ties in the map's order, or by_name the last name first."""
+    entries = F.filter(F.transform(F.map_entries(tags), lambda e, i: F.struct(e["value"].alias("v"), i.alias("i"), e["key"].alias("k"))), lambda x: x["v"] >= threshold)
+    if by_name:
+        ranked = F.transform(F.sort_array(F.transform(entries, lambda x: F.struct(x["v"], x["k"])), asc=False), lambda x: x["k"])
+    else:
+        ranked = F.transform(F.sort_array(F.transform(entries, lambda x: F.struct((-x["v"]).alias("v"), x["i"], x["k"]))), lambda x: x["k"])
+    return ranked if most is None else F.slice(ranked, 1, most)
+
+
+def scene_text(title: Column, description: Column, events: Column, characters: Column, location: Column, time_of_day: Column, mood: Column, tags: Column) -> Column:
     """Paragraph that stands for a scene in the index; parts that are missing leave no trace."""
-    ranked = F.transform(F.array_sort(F.transform(F.map_entries(F.map_filter(tags, lambda _, v: v >= 0.5)), lambda e: F.struct((-e["value"]).alias("v"), e["key"].alias("k")))), lambda x: x["k"])
-    part = lambda label, text: F.when(F.coalesce(text, F.lit("")) != "", F.concat(F.lit(label), text, F.lit(".")))
-    return F.concat_ws(" ", part("", title), F.when(description != "", description), part("Characters: ", F.array_join(characters, ", ")), part("Location: ", location), part("Mood: ", mood), part("Events: ", F.array_join(events, "; ")), part("Tags: ", F.array_join(ranked, ", ")))
+    told = lambda c: F.coalesce(c, F.lit("")) != ""
+    listed = lambda label, c, sep: F.when(F.size(c) > 0, F.concat(F.lit(label), F.array_join(c, sep), F.lit(".")))
+    names = F.transform(best_tags(tags), lambda k: F.replace(k, F.lit("_"), F.lit(" ")))
+    place = F.concat(F.lit("Location: "), location, F.lit(" ("), F.coalesce(time_of_day, F.lit("unknown")), F.lit(")."))
+    return F.concat_ws(
+        " ", F.when(told(title), F.concat(title, F.lit("."))), F.when(told(description), description), listed("Key moments: ", events, "; "), listed("Characters: ", characters, "; "),
+        F.when(told(location), place), F.when(told(mood), F.concat(F.lit("Mood: "), mood, F.lit("."))), listed("Tags: ", names, ", "),
+    )
+
+
+def tag_query(tag: Column, definitions: dict[str, str]) -> Column:
+    """What is embedded for a tag."""
+    known = F.create_map(*[F.lit(x) for kv in definitions.items() for x in kv]) if definitions else F.create_map().cast("map<string,string>")
+    return F.concat(F.lit("a movie scene with "), F.replace(tag, F.lit("_"), F.lit(" ")), F.lit(": "), F.coalesce(F.try_element_at(known, tag), F.lit("")))
+
+
+def cut_text(text: Column, most: int, mark: str = "") -> Column:
+    """The first `most` characters, with a mark where something was cut."""
+    return F.when(F.length(text) > most, F.concat(F.substring(text, 1, most), F.lit(mark))).otherwise(text)
+
+
+def mean_word_probability(words_: Column) -> Column:
+    """Mean of the words' probabilities, three places; null without words."""
+    known = F.filter(F.transform(words_, lambda w: w["prob"]), lambda p: p.isNotNull())
+    return F.when(F.size(known) > 0, F.round(F.aggregate(known, F.lit(0.0), lambda a, p: a + p) / F.size(known), 3))
+
+
+#: A video's id, and the endings of files that are taken in.
+VIDEO_ID = r"^[A-Za-z0-9_-]{1,64}$"
+MEDIA = ("mp4", "mkv", "mov", "avi", "webm", "m4v")
+
+
+def valid_id(video_id: Column) -> Column:
+    return F.coalesce(video_id.rlike(VIDEO_ID), F.lit(False))
+
+
+def valid_file(name: Column, endings: tuple[str, ...] = MEDIA) -> Column:
+    return F.lower(F.regexp_extract(name, r"\.([^./\\]+)$", 1)).isin(*endings)
+
+
+def new_video_id() -> Column:
+    """vid_ and eight hex digits; different in each row and run."""
+    return F.concat(F.lit("vid_"), F.substring(F.replace(F.uuid(), F.lit("-"), F.lit("")), 1, 8))

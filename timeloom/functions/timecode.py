@@ -72,10 +72,13 @@ def parse_time_rounded(text: Column) -> Column:
     return F.when(F.trim(text) != "", F.floor(seconds * 1000 + 0.5).try_cast("bigint"))
 
 
+#: Fixed value: how a moment or span is written in brackets.
+TAG_RE = r"\[(\d{1,2}:\d{2}(?::\d{2})?(?:\s*[-\x{2013}]\s*\d{1,2}:\d{2}(?::\d{2})?)?)\]"
+
+
 def time_tags(text: Column) -> Column:
     """Times in brackets, [a] or [a-b]: array of struct(start_ms, end_ms), end null for one time."""
-    found = F.regexp_extract_all(text, F.lit(r"\[(\d+(?::\d{2}){1,2}(?:\s*[-\x{2013}]\s*\d+(?::\d{2}){1,2})?)\]"), F.lit(1))
-    both = F.transform(found, lambda x: F.split(x, r"\s*[-\x{2013}]\s*"))
+    both = F.transform(F.regexp_extract_all(text, F.lit(TAG_RE), F.lit(1)), lambda x: F.split(x, r"\s*[-\x{2013}]\s*"))
     return F.transform(both, lambda x: F.struct(parse_time_rounded(F.get(x, F.lit(0))).alias("start_ms"), parse_time_rounded(F.get(x, F.lit(1))).alias("end_ms")))
 
 

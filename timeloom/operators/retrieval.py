@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from timeloom.config import DEFAULTS, TAGS, Settings
 from timeloom.functions.fuzzy import window_ratio
 from timeloom.functions.text import keyword_overlap, keywords, words
 from timeloom.functions.vectors import dot, search_score, tag_blend
-from timeloom.operators.intervals import in_window
+from timeloom.operators.intervals import in_window, scene_at
 from timeloom.operators.windows import ordinal_rank, thin
 
 
@@ -22,20 +22,21 @@ def search_moments(items: DataFrame, query: str, vector: list[float], k: int = 1
     The query's vector is a literal: the plan is one scan and a top-k, whatever the size of the index.
     """
     d = items if kinds is None else items.filter(F.col("kind").isin(kinds))
-    sim = dot(F.col("embedding"), F.array(*[F.lit(float(x)) for x in vector]))
+    wrong = F.raise_error(F.concat(F.lit(f"the query has {len(vector)} dimensions, an item "), F.size("embedding").cast("string"))).cast("double")
+    sim = F.when(F.size("embedding") == len(vector), dot(F.col("embedding"), F.array(*[F.lit(float(x)) for x in vector]))).when(F.col("embedding").isNotNull(), wrong)
     d = d.withColumn("__sim", sim).withColumn("similarity", F.round("__sim", 3))
     d = d.withColumn("score", search_score(F.col("__sim"), keyword_overlap(keywords(F.lit(query)), F.col("text")), s))
     return d.drop("__sim", "embedding").orderBy(F.desc("score"), "pos").limit(k)
 
 
 def find_by_tag(scenes: DataFrame, scores: DataFrame, tag: str, least: float = DEFAULTS.tag_threshold, vocabulary: tuple[str, ...] = TAGS) -> DataFrame:
-    """Story scenes by the score of a tag, the raw confidence where there is no score."""
+    """Story scenes with the score of a tag, the raw confidence where there is no score; place: best first within a video."""
     if tag not in vocabulary:
         raise ValueError(f"unknown tag {tag!r}")
     t = scores.filter(F.col("tag") == tag).select("video_id", "scene", "score")
     d = scenes.filter("error is null and not graphic").join(t, ["video_id", "scene"], "left")
     d = d.withColumn("score", F.coalesce("score", F.try_element_at("tags", F.lit(tag)), F.lit(0.0))).filter(F.col("score") >= least)
-    return d.orderBy(F.desc("score"), "video_id", "scene")
+    return d.withColumn("place", F.row_number().over(Window.partitionBy("video_id").orderBy(F.desc("score"), "scene")))
 
 
 def get_range(rows: DataFrame, start: int, end: int, limit: int = DEFAULTS.range_lines) -> DataFrame:
@@ -54,7 +55,7 @@ def tag_scores(scenes: DataFrame, tags: DataFrame, s: Settings = DEFAULTS) -> Da
     return ordinal_rank(x, ["video_id", "tag"], "sim", "scene").withColumn("score", tag_blend(F.col("confidence"), F.col("rank"), s))
 
 
-def search_dialogue(lines: DataFrame, query: str, k: int = 8, least: float = 0.65) -> DataFrame:
+def search_dialogue(lines: DataFrame, query: str, k: int = 8, least: float = 0.65, ties: tuple[str, ...] = ()) -> DataFrame:
     """Lines like a quote: 1.0 if it is contained; else the better of word overlap and best window ratio.
 
     Literal hits are split off first, so that only the rest goes through Python; the threshold takes the score before rounding.
@@ -68,13 +69,17 @@ def search_dialogue(lines: DataFrame, query: str, k: int = 8, least: float = 0.6
     share = F.when(F.size(asked) > 0, F.size(F.array_intersect(asked, words(F.col("__n")))) / F.size(asked)).otherwise(0.0)
     rest = d.filter(~F.col("__n").contains(q)).withColumn("__s", F.greatest(share, window_ratio(least)(F.lit(q), F.col("__n"))))
     out = found.unionByName(rest).filter(F.col("__s") >= least).withColumn("score", F.round("__s", 2)).drop("__n", "__s")
-    return out.orderBy(F.desc("score"), "start_ms", "id").limit(k)
+    return out.orderBy(F.desc("score"), "start_ms", "id", *ties).limit(k)
 
 
-def build_items(scenes: DataFrame, lines: DataFrame, texts: DataFrame) -> DataFrame:
-    """Scenes, reliable lines and on-screen texts (video_id, id, scene, start_ms, end_ms, text) as one list with positions."""
-    from pyspark.sql import Window
+def build_items(scenes: DataFrame, lines: DataFrame, texts: DataFrame, width_ms: int = 600_000) -> DataFrame:
+    """Everything worth searching, with positions: scenes that didn't fail, reliable lines, on-screen texts; blank ones are left out.
 
-    parts = [d.select("video_id", F.lit(rank).alias("__r"), F.col("id").cast("string").alias("id"), F.lit(kind).alias("kind"), "scene", "start_ms", "end_ms", "text") for rank, (kind, d) in enumerate((("scene", scenes), ("dialogue", lines), ("text", texts)))]
-    d = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    return d.withColumn("pos", F.row_number().over(Window.partitionBy("video_id").orderBy("__r", "start_ms", "id")) - 1).drop("__r")
+    scenes: video_id, scene, start_ms, end_ms, error, text (its scene_text); lines and texts: video_id, id, start_ms, end_ms, text.
+    """
+    story = scenes.filter("error is null").withColumn("id", F.col("scene").cast("string"))
+    placed = lambda d: scene_at(d.select("video_id", F.col("id").cast("string").alias("id"), "start_ms", "end_ms", F.trim("text").alias("text")).filter("text <> ''"), scenes.select("video_id", "scene", "start_ms", "end_ms"), width_ms)
+    parts = (("scene", story), ("dialogue", placed(lines.filter("reliable"))), ("text", placed(texts)))
+    rows = [d.select("video_id", F.lit(rank).alias("__r"), F.concat(F.lit(f"{kind}:"), F.col("id")).alias("id"), F.lit(kind).alias("kind"), "scene", "start_ms", "end_ms", "text", F.col("id").alias("ref")) for rank, (kind, d) in enumerate(parts)]
+    d = rows[0].unionByName(rows[1]).unionByName(rows[2])
+    return d.withColumn("pos", F.row_number().over(Window.partitionBy("video_id").orderBy("__r", "start_ms", "ref")) - 1).drop("__r")

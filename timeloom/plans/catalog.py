@@ -430,14 +430,14 @@ def search_moments(spark, sf):
 @query(
     "find_by_tag",
     """WITH s AS (SELECT vec_id, label, round(CAST(embedding[1] AS DOUBLE), 6) + 0.5 AS score FROM embeddings WHERE label = 1), e AS (SELECT vec_id, label, vec_id % 11 = 0 AS graphic FROM embeddings)
-SELECT e.vec_id AS scene, coalesce(s.score, CASE WHEN e.label = 2 THEN 0.7 END, 0.0) AS score FROM e LEFT JOIN s USING (vec_id) WHERE NOT graphic AND coalesce(s.score, CASE WHEN e.label = 2 THEN 0.7 END, 0.0) >= 0.5""",
+SELECT e.vec_id AS scene, coalesce(s.score, CASE WHEN e.label = 2 THEN 0.7 END, 0.0) AS score, CAST(row_number() OVER (ORDER BY coalesce(s.score, CASE WHEN e.label = 2 THEN 0.7 END, 0.0) DESC, e.vec_id) AS INTEGER) AS place FROM e LEFT JOIN s USING (vec_id) WHERE NOT graphic AND coalesce(s.score, CASE WHEN e.label = 2 THEN 0.7 END, 0.0) >= 0.5""",
 )
 def find_by_tag(spark, sf):
     e = read(spark, sf, "embeddings")
     scores = e.filter("label = 1").select(F.lit("v").alias("video_id"), F.col("vec_id").alias("scene"), F.lit("dialogue").alias("tag"), (F.round(F.col("embedding")[0].cast("double"), 6) + F.lit(0.5)).alias("score"))
     tags = F.when(F.col("label") == 2, F.create_map(F.lit("dialogue"), F.lit(0.7))).otherwise(F.create_map(F.lit("action"), F.lit(0.9)))
     scenes = e.select(F.lit("v").alias("video_id"), F.col("vec_id").alias("scene"), F.lit(None).cast("string").alias("error"), (F.col("vec_id") % 11 == 0).alias("graphic"), tags.alias("tags"))
-    return retrieval.find_by_tag(scenes, scores, "dialogue").select("scene", "score")
+    return retrieval.find_by_tag(scenes, scores, "dialogue").select("scene", "score", "place")
 
 
 _FROM, _TO = 1_704_200_000_000, 1_705_200_000_000
@@ -638,3 +638,6 @@ def embed_hash(spark, sf):
 def blend(spark, sf):
     e = read(spark, sf, "events")
     return e.select(F.col("event_id").alias("id"), tag_blend(F.col("event_id") % 10 / F.lit(10.0), F.col("event_id") % 7 / F.lit(7.0)).alias("score"))
+
+
+from timeloom.plans import catalog_more  # noqa: E402, F401 - adds its queries

@@ -8,7 +8,7 @@ import wave
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,7 +34,7 @@ def read_documents(spark: SparkSession, glob: str, kind: T.StructType) -> DataFr
     """Whole-file JSON documents, with the file's name; absent means empty."""
     if not _exists(spark, glob):
         return spark.createDataFrame([], kind).withColumn("file", F.lit(""))
-    return spark.read.schema(kind).option("multiLine", True).option("allowUnquotedControlChars", True).json(glob).withColumn("file", F.input_file_name())
+    return spark.read.schema(kind).option("multiLine", True).option("allowUnquotedControlChars", True).json(glob).withColumn("file", F.col("_metadata.file_path"))
 
 
 def load_segments(spark: SparkSession, glob: str) -> DataFrame:
@@ -113,7 +113,28 @@ def probe_media(probes: DataFrame, column: str = "json") -> DataFrame:
     )
 
 
-def pick_subtitle(tracks: F.Column) -> F.Column:
+def pick_subtitle(tracks: Column) -> Column:
     """The first English text track, else the first text track, else null."""
     first = lambda f: F.get(F.filter(tracks, f), F.lit(0))
     return F.coalesce(first(lambda t: t["is_text"] & F.coalesce(t["language"], F.lit("")).isin("en", "eng")), first(lambda t: t["is_text"]))
+
+
+def extract_subtitles(tracks: DataFrame, make) -> DataFrame:
+    """video_id, srt: text of each video's best subtitle track (video_id, path, subtitle_tracks); null where none is text or it can't be read.
+
+    make() gives, once a task, a function (path, track index) -> text.
+    """
+    d = tracks.select("video_id", "path", pick_subtitle(F.col("subtitle_tracks"))["index"].alias("track"))
+
+    def one(read, path, track) -> str | None:
+        try:
+            return None if pd.isna(track) else read(path, int(track))
+        except Exception:  # noqa: BLE001 - videos without subtitles are as good
+            return None
+
+    def run(batches):
+        read = make()
+        for b in batches:
+            yield pd.DataFrame({"video_id": b["video_id"], "srt": [one(read, p, t) for p, t in zip(b["path"], b["track"], strict=True)]})
+
+    return d.mapInPandas(run, T.StructType([d.schema["video_id"], T.StructField("srt", T.StringType())]))

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# The time line of the format (its point may be a comma), and marks inside a text that aren't shown.
 _TIME = r"(\d+):(\d+):(\d+)[,.](\d+)\s*-->\s*(\d+):(\d+):(\d+)[,.](\d+)"
+_MARKS = r"<[^>]+>|\{[^}]+\}"
 
 
 def parse_srt(files: DataFrame, content: str, keep: list[str]) -> DataFrame:
@@ -18,7 +20,7 @@ def parse_srt(files: DataFrame, content: str, keep: list[str]) -> DataFrame:
     d = d.select(*keep, "__l", at.alias("__at")).filter("__at > 0")
     part = lambda k: F.regexp_extract(F.element_at("__l", F.col("__at")), _TIME, k).cast("bigint")
     time = lambda k: ((part(k) * 60 + part(k + 1)) * 60 + part(k + 2)) * 1000 + part(k + 3)
-    body = F.trim(F.regexp_replace(F.array_join(F.slice("__l", F.col("__at") + 1, F.size("__l")), " "), r"<[^>]+>|\{[^}]+\}", ""))
+    body = F.trim(F.regexp_replace(F.array_join(F.slice("__l", F.col("__at") + 1, F.size("__l")), " "), _MARKS, ""))
     return d.select(*keep, time(1).alias("start_ms"), time(5).alias("end_ms"), body.alias("text"), F.lit("srt").alias("source"), F.lit(True).alias("reliable")).filter("text <> ''")
 
 
