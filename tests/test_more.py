@@ -382,3 +382,49 @@ def test_wrong_dimension_is_an_error(spark):
     d = spark.createDataFrame([(0, "t", "scene", [1.0, 0.0])], "pos int, text string, kind string, embedding array<float>")
     with pytest.raises(Exception, match="dimensions"):
         search_moments(d, "q", [1.0, 0.0, 0.0]).collect()
+
+
+def test_rows_that_are_there_are_not_run_again(spark, tmp_path):
+    from timeloom.plans.stages import Stage, run_stages
+
+    root, asked = str(tmp_path), spark.sparkContext.accumulator(0)
+    empty = {f.name: None for f in schema("chunks")}
+    chunk = lambda k: tuple((empty | {"video_id": "v", "id": str(k), "index": k, "start_ms": k * 10, "end_ms": k * 10 + 10}).values())
+
+    def work(t):
+        asked.add(t["chunks"].count())
+        return t["chunks"].select("video_id", F.col("index").alias("shot"), "start_ms", "end_ms", F.array().cast("array<bigint>").alias("keyframes"))
+
+    stage = Stage("shots", ("chunks",), work, keys=("start_ms", "end_ms"))
+    for n in (2, 5):
+        sinks.write_table(spark.createDataFrame([chunk(k) for k in range(n)], schema("chunks")), root, "chunks")
+        assert run_stages(spark, root, [stage]) == {"shots": 1}
+        assert artifacts.read_table(spark, root, "shots").count() == n and asked.value == n
+    assert run_stages(spark, root, [stage]) == {"shots": 0}
+    assert sinks.compact_runs(spark, root) == 2
+    sinks.append_job(spark, root, "v", "queued")
+    assert artifacts.read_table(spark, root, "jobs").first().status == "queued"
+
+
+def test_command_line(spark, tables, tmp_path, capsys):
+    from timeloom.cli import main
+
+    for k, d in tables.items():
+        sinks.write_table(d, str(tmp_path), k)
+    say = lambda *a: (main([str(tmp_path), *a]), capsys.readouterr())
+    code, out = say("scenes", "v")
+    assert code == 0 and out.out.split("\n")[0].startswith("  1  0:00:00-0:00:20  cut=  - ") and "ERROR: bad" in out.out and out.out.rstrip().endswith("-")
+    assert say("range", "v", "0:00", "0:05")[1].out.split("\n")[0] == "- scene 1 [0:00-0:20] T1: D1"
+    assert say("say", "v", "hello there")[1].out == '- says [0:00] "Hello there Ann" (match 1.00)\n'
+    assert say("chapters", "v", "1:00")[1].out == "  2  0:01:00-0:02:00  C2\n" and "?" in say("transcript", "v")[1].out
+    code, out = say("tag", "v", "nonsense")
+    assert code == 1 and "unknown tag" in out.err
+
+
+def test_ask_events():
+    from timeloom.plans.agent import ask_events
+
+    tools = {"get_characters": lambda: ("x", [], [])}
+    got = list(ask_events("q", [{"action": "get_characters"}], tools, Model({"action": "answer", "answer": "yes"})))
+    assert [k for k, _ in got] == ["status", "step", "answer"] and got[-1][1]["answer"] == "yes"
+    assert list(ask_events("q", [], tools, Model()))[-1][0] == "error"

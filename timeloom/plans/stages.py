@@ -20,6 +20,7 @@ class Stage:
     inputs: tuple[str, ...]
     run: Callable[[dict[str, DataFrame]], DataFrame]
     version: str = "1"
+    keys: tuple[str, ...] = ()  #: natural key of a row, in the first input and the output: rows that are there already aren't run again
 
 
 @contextmanager
@@ -59,7 +60,14 @@ def run_stages(spark: SparkSession, root: str, stages: list[Stage], force: bool
             continue
         chosen = spark.createDataFrame([(v,) for v in prints], "video_id string")
         with track(spark, root, list(prints), stage.name + ":run"):
-            write_table(stage.run({t: d.join(chosen, "video_id", "left_semi") for t, d in tables.items()}), root, stage.name)
+            given = {t: d.join(chosen, "video_id", "left_semi") for t, d in tables.items()}
+            if stage.keys and not force:
+                # what is reused is written anew with the rest, so it is read to the end before its place is overwritten
+                old, given[stage.inputs[0]] = reuse(given[stage.inputs[0]], read_table(spark, root, stage.name), ["video_id", *stage.keys])
+                write_table(stage.run(given).unionByName(old), root, f"{stage.name}__next")
+                write_table(spark.read.schema(old.schema).parquet(f"{root}/{stage.name}__next").join(chosen, "video_id", "left_semi"), root, stage.name)
+            else:
+                write_table(stage.run(given), root, stage.name)
         for v, p in prints.items():
             append_run(spark, root, [v], stage.name, "done", fingerprint=p)
     return done

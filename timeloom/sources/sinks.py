@@ -20,6 +20,20 @@ def append_run(spark: SparkSession, root: str, video_ids: list[str], stage: str,
     d.coalesce(1).write.mode("append").parquet(f"{root}/stage_runs")
 
 
+def append_job(spark: SparkSession, root: str, video_id: str, status: str, error: str | None = None) -> None:
+    """A change of a job's state: queued, running, done or failed."""
+    d = spark.createDataFrame([(video_id, status, error, None)], schema("jobs")).withColumn("updated_at", F.current_timestamp())
+    d.coalesce(1).write.mode("append").parquet(f"{root}/jobs")
+
+
+def compact_runs(spark: SparkSession, root: str) -> int:
+    """Rewrites the many small files of run states as one set of rows, the present states, and returns how many; for quiet times."""
+    now = latest_runs(spark.read.schema(schema("stage_runs")).parquet(f"{root}/stage_runs")).select(schema("stage_runs").names)
+    rows = now.collect()  # one row a video and stage
+    spark.createDataFrame(rows, schema("stage_runs")).coalesce(1).write.mode("overwrite").parquet(f"{root}/stage_runs")
+    return len(rows)
+
+
 def latest_runs(runs: DataFrame) -> DataFrame:
     """Present state of each video and stage."""
     return runs.groupBy("video_id", "stage").agg(F.max_by(F.struct("status", "seconds", "error", "fingerprint", "updated_at"), F.struct("updated_at", "status")).alias("x")).select("video_id", "stage", "x.*")
