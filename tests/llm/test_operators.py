@@ -469,3 +469,219 @@ def test_html_every_page_by_the_winners(spark):
         want[h] = frozenset([p for p in ranked if c[p] >= 0.2 * c.total()][:4])
     got = {r.page_id: r.text for r in html_extract.op2(spark, SF).collect()}
     assert all(got[r.page_id] == html_extract.extract(r.html, want.get(host(r.url), frozenset())) for r in pages)
+
+
+# ---------------------------------------------------------------- hot keys and odd tables
+
+LINE = "a line of plain words that says one thing and ends here. "
+
+
+def test_hot_copies_and_hot_ids(spark):
+    """100,000 copies of a text under different ids, 100,000 different texts under one id: every row comes out, whole."""
+    n = 100_000
+    copies = spark.range(n).selectExpr("id doc_id", f"'{LINE * 3}' text")
+    one_id = spark.range(n).selectExpr("cast(-5 as bigint) doc_id", "concat('text number ', id, ' of one id') text")
+    d = copies.unionByName(one_id).unionByName(spark.createDataFrame([(n + 1, LINE * 3), (n + 2, None)], "doc_id bigint, text string"))
+    got = simhash.near_duplicates(d)
+    groups = got.groupBy("doc_id").agg({"component_id": "max", "*": "count"}).filter(f"doc_id >= {n} or doc_id = -5 or doc_id < 3").collect()
+    assert got.count() == 2 * n + 2
+    per = {r.doc_id: (r["max(component_id)"], r["count(1)"]) for r in groups}
+    assert per[0] == per[1] == per[n + 1] == (0, 1) and per[n + 2] == (n + 2, 1) and per[-5][1] == n
+    rows = to.token_rows(d)
+    sizes = [r["count"] for r in rows.groupBy("shard").count().collect()]
+    assert sum(sizes) == 2 * n + 2 and max(sizes) < 0.55 * (2 * n + 2)
+    assert rows.filter("doc_id = -5").select("shard").distinct().count() > 1
+    digest = to.encode_corpus(d)
+    order = digest.orderBy("start").select("doc_id", "start", "n_tokens").toPandas()
+    assert (order.start.values == np.cumsum(order.n_tokens.values) - order.n_tokens.values).all() and order.doc_id.is_monotonic_increasing
+
+
+def test_stars_of_one_centre(spark):
+    n = 20_000
+    links = spark.range(1, n).selectExpr("id a", "cast(0 as bigint) b").unionByName(spark.range(1, 500).selectExpr(f"id + {n} a", f"id + {n} - 1 b"))
+    roots = simhash.components(links)
+    assert roots.filter("root = 0").count() == n - 1 and roots.filter(f"root = {n}").count() == 499
+
+
+def test_samples_of_repeated_ids(spark):
+    """An id with most of the rows neither floods the sample nor takes its label away; equal texts come once; bounds hold."""
+    from timeloom.llm.sampling import labelled_sample
+
+    hot = spark.range(60_000).selectExpr("cast(7 as bigint) doc_id", "concat('hot ', id % 30000) text", "'en' label")
+    few = spark.range(2_000).selectExpr("id + 100 doc_id", "concat('few ', id) text", "case when id % 2 = 0 then 'fr' end label")
+    docs = hot.unionByName(few)
+    t, counts = labelled_sample(docs, None, 300, 1000)
+    by = {k: [x for x, y in zip(t["text"].to_pylist(), t["label"].to_pylist(), strict=True) if y == k] for k in ("en", "fr")}
+    assert counts == {"en": 60_000, "fr": 1_000} and len(by["fr"]) == 300 and 150 < len(by["en"]) <= 300 and len(set(by["en"])) == len(by["en"])
+    labels = spark.createDataFrame([(7, 1), (None, 1), (9, None), *[(100 + i, i % 2) for i in range(900)]], "doc_id bigint, label int")
+    t, counts = labelled_sample(docs.select("doc_id", "text"), labels, 200, 1000)
+    y = t["label"].to_pylist()
+    assert counts == {0: 450, 1: 451} and y.count(0) == 200 == y.count(1) and len(set(t["text"].to_pylist())) == 400
+    again, _ = labelled_sample(docs.select("doc_id", "text").repartition(5), labels, 200, 1000)
+    assert again["text"].to_pylist() == t["text"].to_pylist()
+    assert len(labelled_sample(docs.limit(0).select("doc_id", "text"), labels, 5, 10)[0]) == 0 == len(labelled_sample(docs, None, 5, 1)[0])
+
+
+def test_classifier_queries_on_odd_tables(spark, tmp_path):
+    """op1, op7 and op9 as queries: empty tables, null and repeated ids, nulls, clashing columns; every row comes out."""
+    rng = random.Random(2)
+    words = {"en": "the and of house water", "fr": "le et maison eau de"}
+    rows = [(i % 190, " ".join(rng.choices(words[k].split(), k=12)) + (" vilescum" if i % 7 == 0 else ""), k, "s", "clash", "clash", "clash") for i in range(200) for k in (("en", "fr")[i % 2],)]
+    rows += [(None, "the house", "en", None, "", "", ""), (201, None, "en", "s", "", "", ""), (202, "", None, "s", "", "", ""), (203, "1 2 3", "fr", "s", "", "", "")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, label string, score string, u string")
+    labels = spark.createDataFrame([(i, i % 2, int(i % 7 == 0)) for i in range(190)] + [(None, 1, 1), (5, None, None)], "doc_id bigint, quality int, toxic int")
+    for name, d, l in (("full", docs, labels), ("none", docs, labels.limit(0)), ("empty", docs.limit(0), labels)):
+        d.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        l.write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        for run, cut in ((language_id.op1, None), (toxicity.op7, 0.5), (quality_classifier.op9, 0.3)):
+            got = run(spark, f"{tmp_path}/{name}").collect()
+            assert len(got) == (0 if name == "empty" else len(rows)) and all(0 <= r.score <= 1 for r in got)
+            for r in got:
+                mod, k = (4, 2) if cut is None else (5, 0)
+                assert r.held_out == (r.doc_id is not None and crc_part(r.doc_id, mod, k))
+                assert cut is None or r.predicted == int(r.score >= cut)
+                assert cut is not None or (r.lang_pred == "und") == (r.doc_id in (201, 202, 203))
+
+
+def plain_bags(text, sizes, buckets):
+    """Hashed subwords of one text, character by character in Python."""
+    mask = (1 << 64) - 1
+
+    def mix(h):
+        h ^= h >> 30
+        h = h * 0xBF58476D1CE4E5B9 & mask
+        h ^= h >> 27
+        h = h * 0x94D049BB133111EB & mask
+        return h ^ h >> 31
+
+    raw = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in (text or "").encode())
+    padded, shift, out = b" " + raw + b" ", 64 - buckets.bit_length() + 1, []
+    for n in sizes:
+        for i in range(len(padded) - n + 1):
+            gram = padded[i : i + n]
+            if b" " in gram[1:-1] or gram[0] == gram[-1] == 32:
+                continue
+            h = 0
+            for b in gram:
+                h = (h * 0x9E3779B97F4A7C15 + b + 1) & mask
+            out.append(mix(h + n & mask) >> shift)
+    for word in raw.split():
+        h = sum((b + 1) * pow(0x9E3779B97F4A7C15, k, 1 << 64) for k, b in enumerate(word)) & mask
+        out.append(mix(h + 77 & mask) >> shift)
+    return out
+
+
+def test_subword_scores_plain(spark):
+    """Language scores of whole texts, very long ones too, against sums over plain subwords."""
+    rng = np.random.default_rng(5)
+    p = language_id.LanguageId(buckets=1 << 12)
+    m = language_id.Model(["a", "b", "c"], rng.normal(size=(p.buckets, 3)), rng.normal(size=3), 0.7, 0.0)
+    texts = ["Héllo, wörld of words", "x", "don't stop 12 me-now ÀÉ", "long words " * 70000, "中文 text", "a" * 700000 + " b"]
+    got = {r.doc_id: r for r in language_id.identify(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), m, p=p).collect()}
+    for i, t in enumerate(texts[:5]):
+        whole = t if len(t) < 1000 else None
+        b = plain_bags(whole, p.sizes, p.buckets) if whole else plain_bags("long words " * 7, p.sizes, p.buckets)
+        z = (m.table[b].mean(axis=0) + m.bias) / 0.7
+        s = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        assert got[i].lang_pred == m.languages[s.argmax()] and got[i].score == pytest.approx(s.max())
+    assert 0 < got[5].score <= 1
+
+
+def test_quality_scores_plain(spark):
+    """Quality scores against a plain sum over words, pairs, shapes and repeats, with the same hashes of single strings."""
+    rng = np.random.default_rng(6)
+    p = quality_classifier.Ftrl(buckets=1 << 12)
+    m = quality_classifier.Model(rng.normal(size=p.buckets), 0.1)
+
+    def one(text):  # features of one or two words alone, from which longer texts are put together
+        data, offsets = common.utf8(pa.array([text]))
+        return sorted(quality_classifier.features(data, offsets, p.buckets)[0].tolist())
+
+    for t in ("One two  two, three! 3x3", "word", "", "A\tb\nc " * 400, "é É x"):
+        w = t.encode().split()
+        ones = [one(x.decode()) for x in w]
+        pairs = [sorted(one(f"{a.decode()} {b.decode()}")) for a, b in zip(w, w[1:], strict=False)]
+        want = [k for x in ones for k in x]
+        for (a, b), pair in zip(zip(ones, ones[1:], strict=False), pairs, strict=True):
+            rest = list(pair)
+            for k in (*a, *b):
+                rest.remove(k)
+            want += rest
+        z = m.weight[want].sum() / max(len(w), 1) + 0.1
+        got = quality_classifier.score_texts(spark.createDataFrame([(1, t)], "doc_id int, text string"), m, p=p).first().score
+        assert got == pytest.approx(1 / (1 + np.exp(-np.clip(z, -40, 40))))
+
+
+def test_toxicity_scores_plain(spark):
+    """Worst segment of each text against plain subwords dealt to segments by the word they belong to."""
+    rng = np.random.default_rng(7)
+    p = toxicity.Toxicity(buckets=1 << 12, chunk_bytes=400)
+    weight = rng.normal(size=p.buckets)
+    texts = ["some words here and there, vilescum!", "", "1 2", "x", "a longer text of many small words " * 8, "Ünï çödé words"]
+    data, offsets = common.utf8(pa.array(texts))
+    got = toxicity.worst(weight, 0.3, data, offsets, p)
+    for t, g in zip(texts, got, strict=True):
+        raw = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in t.encode())
+        per = max(-(-len(raw) // p.segment), 1)
+        segs = {}
+        for n in (*p.sizes, 0):
+            padded = b" " + raw + b" "
+            for i in range(len(padded)):
+                gram = padded[i : i + n]
+                word = n == 0 and padded[i] != 32 and padded[i - 1] == 32
+                if word:
+                    gram = padded[i:].split(b" ")[0]
+                elif n == 0 or len(gram) < n or b" " in gram[1:-1] or gram[0] == gram[-1] == 32:
+                    continue
+                start = max(k for k in range(i + 1) if padded[k] == 32)  # the space before the word
+                segs.setdefault(min(start // p.segment, per - 1), []).append((gram, word))
+        if not segs:
+            assert np.isnan(g)
+            continue
+        score = lambda gram, word: weight[_hash(gram, word, p.buckets)]
+        assert g == pytest.approx(max(np.mean([score(a, w) for a, w in x]) for x in segs.values()) + 0.3)
+
+
+def _hash(gram, word, buckets):
+    mask = (1 << 64) - 1
+    if word:
+        h = sum((b + 1) * pow(0x9E3779B97F4A7C15, k, 1 << 64) for k, b in enumerate(gram)) + 77 & mask
+    else:
+        h = 0
+        for b in gram:
+            h = (h * 0x9E3779B97F4A7C15 + b + 1) & mask
+        h = h + len(gram) & mask
+    h ^= h >> 30
+    h = h * 0xBF58476D1CE4E5B9 & mask
+    h ^= h >> 27
+    h = h * 0x94D049BB133111EB & mask
+    return (h ^ h >> 31) >> 64 - buckets.bit_length() + 1
+
+
+def test_decontam_clashing_names_and_long_items(spark):
+    item = " ".join(f"u{i}" for i in range(3000))
+    bench = spark.createDataFrame([(1, item), (1, item), (2, item), (3, "u5 u6")], "item_id bigint, text string")
+    docs = spark.createDataFrame([(1, " ".join(f"u{i}" for i in range(700, 730)), "a", "b"), (2, "x u5 u6 y", "a", "b"), (2, "x u5 u6 y", "a", "b"), (None, "clean words", "a", "b")], "doc_id bigint, text string, __text string, t string")
+    for p in (decontam.PARAMS, decontam.Winnow(block_bytes=2000)):
+        got = decontam.decontaminate(docs, bench, p=p)
+        assert got.columns[:4] == docs.columns
+        assert sorted((str(r.doc_id), r.n_words, r.n_hit, r.n_items, r.contaminated) for r in got.collect()) == [("1", 30, 30, 2, True), ("2", 4, 2, 1, True), ("2", 4, 2, 1, True), ("None", 2, 0, 0, False)]
+        assert decontam.decontaminate(docs, bench, only_clean=True, p=p).collect() == docs.filter("doc_id is null").collect()
+
+
+def test_other_tokenizers_encode_whole_texts(spark):
+    import os
+
+    import public_tokenizers
+
+    own = public_tokenizers.path("word_bpe_49k.json")
+    for path in sorted(x for x in (os.path.join(os.path.dirname(own), n) for n in os.listdir(os.path.dirname(own))) if x.endswith(".json") and x != own)[:2]:
+        try:
+            e = to.PieceEncoder(path, 50)
+        except Exception:  # noqa: BLE001 - not a tokenizers file
+            continue
+        texts = ["Hello, World!  two", "", "é中\n x"]
+        data, offsets = common.utf8(pa.array(texts))
+        ids, n = to.encode_chunk(e, data, offsets, to.FORMAT)
+        cut = np.cumsum(n)
+        assert [ids[a - k : a].tolist() for a, k in zip(cut, n, strict=True)] == whole_ids(e, texts)

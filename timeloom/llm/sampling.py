@@ -48,7 +48,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame | None, per_class: int, m
         named, counts = _drawn(labels.filter("doc_id is not null and label is not null").select("doc_id", "label").distinct(), hashed("doc_id"), 2 * per_class, classes)
         # at most a little over 2 * per_class ids a class
         rows = docs.select("doc_id", "text").filter(short).join(F.broadcast(named), "doc_id")
-    rows, found = _drawn(rows if labels is not None else rows.filter(short), hashed("doc_id", "text"), per_class, classes)
+    # twice as many, as copies fall together
+    rows, found = _drawn(rows if labels is not None else rows.filter(short), hashed("doc_id", "text"), 2 * per_class, classes)
     u = F.min(hashed("doc_id", "text")).alias("u")
     t = rows.groupBy("label", "text").agg(u).select("text", "label", "u").toArrow().sort_by([("u", "ascending"), ("text", "ascending")])
     taken: dict = {}
@@ -57,4 +58,4 @@ def labelled_sample(docs: DataFrame, labels: DataFrame | None, per_class: int, m
         if taken.get(label, 0) < per_class:
             taken[label] = taken.get(label, 0) + 1
             keep.append(k)
-    return t.take(keep).drop_columns(["u"]), found if counts is None else counts
+    return t.take(pa.array(keep, pa.int64())).drop_columns(["u"]), found if counts is None else counts
