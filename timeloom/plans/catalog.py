@@ -303,16 +303,17 @@ def chapter_plan(spark, sf):
 @query(
     "merge_shots",
     f"""WITH RECURSIVE {IV}, r AS (SELECT video_id, start_ms, end_ms, id % 2 = 0 AS cs, id % 3 <> 0 AS ce, row_number() OVER (PARTITION BY video_id ORDER BY start_ms, end_ms, id % 2 = 0, id % 3 <> 0, id) AS k FROM iv),
-f AS (SELECT video_id, k, start_ms AS s, end_ms AS e, ce, 1 AS grp, true AS live FROM r WHERE k = 1 UNION ALL
+f AS (SELECT video_id, k, start_ms AS s, end_ms AS e, ce, 1 AS grp, start_ms AS kf FROM r WHERE k = 1 UNION ALL
  SELECT r.video_id, r.k, CASE WHEN f.ce AND r.cs AND r.start_ms <= f.e THEN f.s WHEN r.start_ms < f.e AND r.end_ms <= f.e THEN f.s ELSE greatest(r.start_ms, f.e) END,
   CASE WHEN f.ce AND r.cs AND r.start_ms <= f.e THEN greatest(f.e, r.end_ms) WHEN r.start_ms < f.e AND r.end_ms <= f.e THEN f.e ELSE r.end_ms END,
   CASE WHEN f.ce AND r.cs AND r.start_ms <= f.e THEN r.ce WHEN r.start_ms < f.e AND r.end_ms <= f.e THEN f.ce ELSE r.ce END,
-  f.grp + CASE WHEN (f.ce AND r.cs AND r.start_ms <= f.e) OR (r.start_ms < f.e AND r.end_ms <= f.e) THEN 0 ELSE 1 END, true FROM f JOIN r ON r.video_id = f.video_id AND r.k = f.k + 1)
-SELECT video_id, grp AS shot, max(s) AS start_ms, max(e) AS end_ms FROM f GROUP BY 1, 2""",
+  f.grp + CASE WHEN (f.ce AND r.cs AND r.start_ms <= f.e) OR (r.start_ms < f.e AND r.end_ms <= f.e) THEN 0 ELSE 1 END,
+  CASE WHEN NOT (f.ce AND r.cs AND r.start_ms <= f.e) AND r.start_ms < f.e AND r.end_ms <= f.e THEN NULL ELSE r.start_ms END FROM f JOIN r ON r.video_id = f.video_id AND r.k = f.k + 1)
+SELECT video_id, grp AS shot, max(s) AS start_ms, max(e) AS end_ms, array_to_string(list_sort(list_distinct(list(kf))), ',') AS keyframes FROM f GROUP BY 1, 2""",
 )
 def merge_shots(spark, sf):
     e = spans(spark, sf).select("video_id", "start_ms", "end_ms", (F.col("id") % 2 == 0).alias("clipped_start"), (F.col("id") % 3 != 0).alias("clipped_end"), F.array("start_ms").alias("keyframes"))
-    return folds.merge_shots(e).select("video_id", "shot", "start_ms", "end_ms")
+    return folds.merge_shots(e).withColumn("keyframes", F.array_join("keyframes", ","))
 
 
 @query(

@@ -68,8 +68,7 @@ def run_stages(spark: SparkSession, root: str, stages: list[Stage], force: bool
                 write_table(spark.read.schema(old.schema).parquet(f"{root}/{stage.name}__next").join(chosen, "video_id", "left_semi"), root, stage.name)
             else:
                 write_table(stage.run(given), root, stage.name)
-        for v, p in prints.items():
-            append_run(spark, root, [v], stage.name, "done", fingerprint=p)
+        append_run(spark, root, list(prints), stage.name, "done", fingerprint=prints)
     return done
 
 

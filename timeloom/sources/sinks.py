@@ -13,9 +13,10 @@ def write_table(df: DataFrame, root: str, name: str) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("video_id").parquet(f"{root}/{name}")
 
 
-def append_run(spark: SparkSession, root: str, video_ids: list[str], stage: str, status: str, seconds: float | None = None, error: str | None = None, fingerprint: str | None = None) -> None:
-    """One row a video and change of state; nothing is read, so concurrent writers lose nothing."""
-    rows = [(v, stage, status, None, seconds, error, fingerprint) for v in video_ids]
+def append_run(spark: SparkSession, root: str, video_ids: list[str], stage: str, status: str, seconds: float | None = None, error: str | None = None, fingerprint: str | dict[str, str] | None = None) -> None:
+    """One row a video and change of state, one file a call; nothing is read, so concurrent writers lose nothing. fingerprint: one for all, or by video."""
+    of = fingerprint if isinstance(fingerprint, dict) else dict.fromkeys(video_ids, fingerprint)
+    rows = [(v, stage, status, None, seconds, error, of.get(v)) for v in video_ids]
     d = spark.createDataFrame(rows, schema("stage_runs")).withColumn("updated_at", F.current_timestamp())
     d.coalesce(1).write.mode("append").parquet(f"{root}/stage_runs")
 
