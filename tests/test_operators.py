@@ -237,7 +237,9 @@ def test_window_ratio_equals_plain_loop():
         for t, g in zip(lines, got, strict=True):
             want = max(difflib.SequenceMatcher(None, q, t[i : i + len(q)]).ratio() for i in range(0, max(len(t) - len(q), 0) + 1, step))
             assert g == want if want >= 0.5 else g < 0.5
-    for a, b in zip(lines, lines[1:], strict=False):
+    lines += ["".join(rng.choice("abcdef ") for _ in range(400)) for _ in range(6)]
+    lines += [x[:200] + "zz" + x[230:] for x in lines[-6:]]
+    for a, b in [*zip(lines, lines[1:], strict=False), *zip(lines[-12:-6], lines[-6:], strict=True)]:
         assert alike(a, b, 0.4) == (ratio_of(a, b) >= 0.4) and alike(a, b, 0.4, strict=True) == (ratio_of(a, b) > 0.4)
 
 

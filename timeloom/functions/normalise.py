@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from timeloom.config import TAGS
@@ -69,17 +69,22 @@ def _picked(v: Column) -> Column:
     return F.filter(F.when(_field(v, "tags", "array<variant>").isNotNull(), listed).otherwise(F.coalesce(mapped, listed)), lambda x: x["conf"].isNotNull() & (x["bare"] | (x["evidence"] != "")))
 
 
-def tag_map(picked: Column, vocabulary: tuple[str, ...] = TAGS) -> Column:
-    """Confidence of every tag of the vocabulary, the highest picked, two places; 0 if it wasn't."""
-    best = lambda t: F.array_max(F.transform(F.filter(picked, lambda x: x["tag"] == t), lambda x: x["conf"]))
-    return F.map_from_arrays(F.array(*map(F.lit, vocabulary)), F.transform(F.array(*map(F.lit, vocabulary)), lambda t: F.round(F.coalesce(best(t), F.lit(0.0)), 2)))
+def best_of_tags(picked: Column, vocabulary: tuple[str, ...] = TAGS) -> Column:
+    """Map of the picked tags of the vocabulary to struct(c, i, e): highest confidence and its evidence, the first on ties."""
+    ranked = lambda t: F.transform(picked, lambda x, i: F.when(x["tag"] == t, F.struct(x["conf"].alias("c"), (-i).alias("i"), x["evidence"].alias("e"))))
+    names = F.array_distinct(F.filter(F.transform(picked, lambda x: x["tag"]), lambda t: t.isin(*vocabulary)))
+    return _once(names, lambda n: F.map_from_arrays(n, F.transform(n, lambda t: F.array_max(ranked(t)))))
 
 
-def tag_reasons(picked: Column, vocabulary: tuple[str, ...] = TAGS) -> Column:
-    """Evidence of each picked tag: that of its highest confidence, the first on ties."""
-    ranked = lambda t: F.transform(picked, lambda x, i: F.when(x["tag"] == t, F.struct(x["conf"].alias("c"), (-i).alias("i"), x["evidence"].alias("e"))))
-    found = F.transform(F.array(*map(F.lit, vocabulary)), lambda t: F.struct(t.alias("key"), F.array_max(ranked(t))["e"].alias("value")))
-    return F.map_from_entries(F.filter(found, lambda x: x["value"].isNotNull()))
+def tag_map(best: Column, vocabulary: tuple[str, ...] = TAGS) -> Column:
+    """Confidence of every tag of the vocabulary, two places; 0 if it wasn't picked."""
+    names = F.array(*map(F.lit, vocabulary))
+    return F.map_from_arrays(names, F.transform(names, lambda t: F.round(F.coalesce(F.try_element_at(best, t)["c"], F.lit(0.0)), 2)))
+
+
+def tag_reasons(best: Column) -> Column:
+    """Evidence of each picked tag."""
+    return F.transform_values(best, lambda _, b: b["e"])
 
 
 def scene(text: Column) -> Column:
@@ -90,7 +95,7 @@ def scene(text: Column) -> Column:
         return F.struct(
             v.isNotNull().alias("valid"), *[_string(_field(v, k)).alias(k) for k in ("title", "description")], _strings(v, "characters", 6).alias("characters"), _string(_field(v, "location")).alias("location"),
             unknown(_string(_field(v, "time_of_day"))).alias("time_of_day"), _string(_field(v, "mood")).alias("mood"), _strings(v, "events", 5).alias("events"),
-            _once(_picked(v), lambda p: F.struct(tag_map(p).alias("tags"), tag_reasons(p).alias("reasons"))).alias("picked"),
+            _once(_once(_picked(v), lambda p: best_of_tags(p)), lambda b: F.struct(tag_map(b).alias("tags"), tag_reasons(b).alias("reasons"))).alias("picked"),
         )
 
     done = _once(tolerant_json(text), fields)
@@ -137,3 +142,8 @@ def profile(text: Column) -> Column:
         )
 
     return _once(tolerant_json(text), fields)
+
+
+def fields(rows: DataFrame, text: str, read: Callable[[Column], Column], keep: list[str]) -> DataFrame:
+    """Columns `keep` with the fields that `read` finds in a text column: through a generator, so that the JSON is read once a row whatever is selected."""
+    return rows.select(*keep, F.inline(F.array(read(F.col(text)))))

@@ -339,7 +339,9 @@ def text_collapse(spark, sf):
 
 @query("near_duplicate_notes")
 def near_duplicate_notes(spark, sf):
-    return folds.distinct_notes(frames(spark, sf).select("video_id", F.col("ts_ms").alias("pos"), "text"), "video_id")
+    # 16 notes a scene
+    d = read(spark, sf, "documents").select(F.floor(F.col("doc_id") / 16).alias("scene"), F.col("doc_id").alias("pos"), "text")
+    return folds.distinct_notes(d, "scene")
 
 
 @query(

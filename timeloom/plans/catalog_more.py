@@ -190,9 +190,9 @@ SELECT id, valid, CASE WHEN valid THEN 'T' || CAST(id AS VARCHAR) ELSE '' END AS
  CASE WHEN NOT valid THEN '' WHEN m THEN 'fight=' WHEN v >= 0.4 THEN 'death=no number,fight=e1' ELSE 'death=no number,fight=e2' END AS reasons FROM e""",
 )
 def scene_json(spark, sf):
-    d = read(spark, sf, "events").select(F.col("event_id").alias("id"), normalise.scene(F.expr(_SCENE_JSON)).alias("s"))
-    reasons = F.array_join(F.sort_array(F.transform(F.map_entries("s.tag_evidence"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ",")
-    return d.select("id", "s.valid", "s.title", F.array_join("s.characters", ",").alias("characters"), "s.mood", "s.time_of_day", F.col("s.tags")["fight"].alias("fight"), F.col("s.tags")["sad"].alias("sad"), F.size("s.tags").alias("n_tags"), reasons.alias("reasons"))
+    d = normalise.fields(read(spark, sf, "events").select(F.col("event_id").alias("id"), F.expr(_SCENE_JSON).alias("j")), "j", normalise.scene, ["id"])
+    reasons = F.array_join(F.sort_array(F.transform(F.map_entries("tag_evidence"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ",")
+    return d.select("id", "valid", "title", F.array_join("characters", ",").alias("characters"), "mood", "time_of_day", F.col("tags")["fight"].alias("fight"), F.col("tags")["sad"].alias("sad"), F.size("tags").alias("n_tags"), reasons.alias("reasons"))
 
 
 _FRAME_JSON = """'{"caption": " C' || CAST(event_id AS STRING) || chr(10) || 'x ", "on_screen_text": null, "time_of_day": "' || CASE WHEN event_id % 2 = 0 THEN 'night' ELSE ' ' END || '", "people": [{"description": "p' || CAST(event_id % 4 AS STRING) || '", "action": 3}, "odd", {"expression": " sad "}], "objects": ["o", "", "o"], "shot_type": ["wide"]}'"""
@@ -200,9 +200,9 @@ _FRAME_JSON = """'{"caption": " C' || CAST(event_id AS STRING) || chr(10) || 'x
 
 @query("frame_json", "SELECT event_id AS id, 'C' || CAST(event_id AS VARCHAR) || chr(10) || 'x' AS caption, '' AS on_screen_text, CASE WHEN event_id % 2 = 0 THEN 'night' ELSE 'unknown' END AS time_of_day, 'p' || CAST(event_id % 4 AS VARCHAR) || '//,//sad' AS people, 'o,o' AS objects, '' AS shot_type FROM events")
 def frame_json(spark, sf):
-    d = read(spark, sf, "events").select(F.col("event_id").alias("id"), normalise.frame(F.expr(_FRAME_JSON)).alias("f"))
-    people = F.array_join(F.transform("f.people", lambda p: F.concat_ws("/", p["description"], p["action"], p["expression"])), ",")
-    return d.select("id", "f.caption", "f.on_screen_text", "f.time_of_day", people.alias("people"), F.array_join("f.objects", ",").alias("objects"), "f.shot_type")
+    d = normalise.fields(read(spark, sf, "events").select(F.col("event_id").alias("id"), F.expr(_FRAME_JSON).alias("j")), "j", normalise.frame, ["id"])
+    people = F.array_join(F.transform("people", lambda p: F.concat_ws("/", p["description"], p["action"], p["expression"])), ",")
+    return d.select("id", "caption", "on_screen_text", "time_of_day", people.alias("people"), F.array_join("objects", ",").alias("objects"), "shot_type")
 
 
 _PROFILE_JSON = """'{"video_type": "' || CASE WHEN event_id % 2 = 0 THEN 'trailer' ELSE 'film' END || '", "genres": [{"genre": "drama", "confidence": 0.4, "evidence": "d"}, {"genre": "war", "confidence": ' || CAST(value / 300 AS STRING) || ', "evidence": "w"},
@@ -214,17 +214,17 @@ _PROFILE_JSON = """'{"video_type": "' || CASE WHEN event_id % 2 = 0 THEN 'traile
     "SELECT event_id AS id, CASE WHEN event_id % 2 = 0 THEN 'trailer' ELSE 'other' END AS video_type, CASE WHEN least(value / 300, 1.0) > 0.4 THEN 'war,drama' ELSE 'drama,war' END AS genres, round(least(value / 300, 1.0), 2) AS war, 'P' AS plot, 'x,y' AS themes, 'N/' AS characters FROM events",
 )
 def profile_json(spark, sf):
-    d = read(spark, sf, "events").select(F.col("event_id").alias("id"), normalise.profile(F.expr(_PROFILE_JSON)).alias("p"))
-    war = F.get(F.filter("p.genres", lambda g: g["genre"] == "war"), F.lit(0))["confidence"]
-    return d.select("id", "p.video_type", F.array_join(F.transform("p.genres", lambda g: g["genre"]), ",").alias("genres"), war.alias("war"), "p.plot", F.array_join("p.themes", ",").alias("themes"), F.array_join(F.transform("p.characters", lambda c: F.concat_ws("/", c["name"], c["role"])), ",").alias("characters"))
+    d = normalise.fields(read(spark, sf, "events").select(F.col("event_id").alias("id"), F.expr(_PROFILE_JSON).alias("j")), "j", normalise.profile, ["id"])
+    war = F.get(F.filter("genres", lambda g: g["genre"] == "war"), F.lit(0))["confidence"]
+    return d.select("id", "video_type", F.array_join(F.transform("genres", lambda g: g["genre"]), ",").alias("genres"), war.alias("war"), "plot", F.array_join("themes", ",").alias("themes"), F.array_join(F.transform("characters", lambda c: F.concat_ws("/", c["name"], c["role"])), ",").alias("characters"))
 
 
 @query("chapter_json", "SELECT event_id AS id, 'T' AS title, CAST(event_id AS VARCHAR) AS summary, '1,2,3,4,5,6,7,8' AS events, '1,2,3,4,5' AS locations, '' AS mood FROM events")
 def chapter_json(spark, sf):
     nine = '["1","2","3","4","5","6","7","8","9"]'
     text = F.concat(F.lit('{"title": "T", "summary": "'), F.col("event_id").cast("string"), F.lit(f'", "events": {nine}, "locations": {nine}}}'))
-    d = read(spark, sf, "events").select(F.col("event_id").alias("id"), normalise.chapter(text).alias("c"))
-    return d.select("id", "c.title", "c.summary", F.array_join("c.events", ",").alias("events"), F.array_join("c.locations", ",").alias("locations"), "c.mood")
+    d = normalise.fields(read(spark, sf, "events").select(F.col("event_id").alias("id"), text.alias("j")), "j", normalise.chapter, ["id"])
+    return d.select("id", "title", "summary", F.array_join("events", ",").alias("events"), F.array_join("locations", ",").alias("locations"), "mood")
 
 
 @query("tolerant_json", "SELECT event_id AS id, 'a' || chr(10) || CAST(event_id AS VARCHAR) AS x, event_id % 2 = 0 AS valid FROM events")

@@ -14,11 +14,12 @@ from timeloom.models import TextModel, call_model
 
 def _asked(prompts: DataFrame, make: Callable[[], TextModel], system: str, read) -> DataFrame:
     """prompts without the prompt, with the fields of `read` (null for failures) and error."""
-    d = call_model(prompts, make, system).withColumn("r", read(F.col("reply")))
-    error = F.coalesce("error", F.when(~F.coalesce(F.col("r.valid"), F.lit(False)), F.lit("no JSON")))
-    fields = [f.name for f in d.schema["r"].dataType if f.name != "valid"]
-    d = d.withColumn("error", error)
-    return d.select(*[c for c in prompts.columns if c != "prompt"], *[F.when(F.col("error").isNull(), F.col(f"r.{f}")).alias(f) for f in fields], "error")
+    kept = [c for c in prompts.columns if c != "prompt"]
+    d = call_model(prompts, make, system).withColumnRenamed("error", "failed")
+    d = normalise.fields(d, "reply", read, [*kept, "failed"])
+    error = F.coalesce("failed", F.when(~F.coalesce("valid", F.lit(False)), F.lit("no JSON")))
+    names = [c for c in d.columns if c not in (*kept, "failed", "valid")]
+    return d.select(*kept, *[F.when(error.isNull(), F.col(c)).alias(c) for c in names], error.alias("error"))
 
 
 def describe_scenes(scenes: DataFrame, prompts: DataFrame, texts: DataFrame, make: Callable[[], TextModel], system: str = "scene") -> DataFrame:
