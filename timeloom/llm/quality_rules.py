@@ -66,7 +66,8 @@ def repeat_words(w: Column) -> Column:
     Windows are compared by 64-bit hash, in the order of (hash, position), where equal ones are neighbours; only texts
     with such a window sort. Each window then counts the words up to the next one, five at most.
     """
-    grams = F.transform(F.sequence(F.lit(0), F.size(w) - 5), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(5)]))
+    # words are hashed once, windows from their words' hashes
+    grams = let(F.transform(w, lambda x: F.xxhash64(x)), lambda h: F.transform(F.sequence(F.lit(0), F.size(h) - 5), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(5)])))
     in_order = lambda g: F.sort_array(F.transform(g, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     is_dup = lambda s, x, k: F.coalesce(F.get(s, k - 1)["h"] == x["h"], F.lit(False)) | F.coalesce(F.get(s, k + 1)["h"] == x["h"], F.lit(False))
     found = lambda s: F.sort_array(F.transform(F.filter(s, lambda x, k: is_dup(s, x, k)), lambda x: x["i"]))
