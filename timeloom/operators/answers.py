@@ -108,41 +108,58 @@ def evidence_rows(scenes: DataFrame, lines: DataFrame, texts: DataFrame) -> Data
     return ids.select("video_id", "scene", "pos", "e.label", "e.id").join(known, ["video_id", "id"]).select("video_id", "scene", "pos", "label", "id", "x.start_ms", "x.text")
 
 
-def _line(*parts) -> Column:
-    return F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
-
-
-def _score(c: str) -> Column:
-    return F.format_string("%.2f", F.col(c).cast("double"))
+# How the tools' rows, the labels of sources and the rest of the tools' texts are written.
+LINES = {
+    "search_moments": "- %s [%s] (score %s) %s",
+    "find_scenes_by_tag": "- scene %s [%s] %s (score %s) evidence: %s",
+    "get_range": {"scene": "- scene %s [%s] %s: %s", "says": "- says [%s] %s", "on screen": '- on screen [%s] "%s"'},
+    "search_dialogue": '- %s [%s] "%s" (match %s)',
+    "get_chapter_summaries": "- chapter %s [%s] %s: %s",
+    "get_characters": "- %s: scenes %s [%s]%s",
+}
+LABELS = {"search_moments": "%s: %s", "find_scenes_by_tag": "scene %s: %s", "get_range": "scene %s: %s", "search_dialogue": '%s: "%s"', "get_chapter_summaries": "chapter %s: %s"}
+NAMED, MAIN, MAIN_NONE, PEOPLE = ", named in %s lines", "- {} ({}): {}", "- (none)", ("main characters (from the summary):", "people listed per scene:")
+NO_LINE, NO_SCENE, NOTHING, WINDOW = "(no matching line)", "(no scenes tagged {})", "(nothing in this window, which may lie outside the video)", "Window {}-{}"
+SUMMARY = ("type", "genres", "logline", "plot", "ending", "setting", "tone", "themes", "characters", "tag share of scenes")
+CUT = "\n(… cut)"
+#: Characters of a text in a line, and in a label.
+IN_LINE, IN_LABEL = 300, 90
+
+
+def _write(form: str, *values) -> Column:
+    return F.format_string(form, *[F.coalesce((F.col(v) if isinstance(v, str) else v).cast("string"), F.lit("")) for v in values])
 
 
 def told(action: str, rows: DataFrame) -> DataFrame:
     """place, line, start_ms, end_ms, label of a tool's rows; label null for rows that are no source."""
-    at, text = span(F.col("start_ms"), F.col("end_ms")), F.col("text") if "text" in rows.columns else F.lit("")
-    title = F.coalesce("title", F.lit("")) if "title" in rows.columns else F.lit("")
+    at = span(F.col("start_ms"), F.col("end_ms"))
+    begins = fmt(F.col("start_ms")) if "start_ms" in rows.columns else F.lit("")
+    text = F.col("text") if "text" in rows.columns else F.lit("")
+    title = F.col("title") if "title" in rows.columns else F.lit("")
+    score = F.format_string("%.2f", F.col("score").cast("double")) if "score" in rows.columns else F.lit("")
+    short = F.substring(text, 1, IN_LABEL)
     if action == "search_moments":
-        line, label = _line("- ", F.col("kind"), " [", at, "] (score ", _score("score"), ") ", F.substring(text, 1, 300)), _line(F.col("kind"), ": ", F.substring(text, 1, 90))
+        line, named = (("kind", at, score, F.substring(text, 1, IN_LINE)), ("kind", short))
     elif action == "find_scenes_by_tag":
-        label = _line("scene ", F.col("scene").cast("string"), ": ", title)
-        line = _line("- scene ", F.col("scene").cast("string"), " [", at, "] ", title, " (score ", _score("score"), ") evidence: ", F.coalesce("evidence", F.lit("")))
+        line, named = (("scene", at, title, score, "evidence"), ("scene", title))
     elif action == "search_dialogue":
-        line, label = _line("- ", F.col("source"), " [", fmt(F.col("start_ms")), '] "', text, '" (match ', _score("score"), ")"), _line(F.col("source"), ': "', F.substring(text, 1, 90), '"')
-    elif action == "get_range":
-        scene = F.col("kind") == "scene"
-        said = F.when(F.col("kind") == "says", text).otherwise(_line('"', text, '"'))
-        line = F.when(scene, _line("- scene ", F.col("id"), " [", at, "] ", title, ": ", F.coalesce(text, F.lit("")))).otherwise(_line("- ", F.col("kind"), " [", fmt(F.col("start_ms")), "] ", said))
-        label = F.when(scene, _line("scene ", F.col("id"), ": ", title))
+        line, named = (("source", begins, text, score), ("source", short))
     elif action == "get_chapter_summaries":
-        label = _line("chapter ", F.col("chapter").cast("string"), ": ", title)
-        line = _line("- chapter ", F.col("chapter").cast("string"), " [", at, "] ", title, ": ", F.coalesce("summary", F.lit("")))
+        line, named = (("chapter", at, title, "summary"), ("chapter", title))
     elif action == "get_characters":
-        named = F.when(F.col("mentions") > 0, _line(", named in ", F.col("mentions").cast("string"), " lines")).otherwise("")
+        rows = rows.withColumns({"start_ms": F.col("first_ms"), "end_ms": F.col("last_ms")})
         listed = F.array_join(F.transform("scenes", lambda x: x.cast("string")), ", ")
-        line = _line("- ", F.col("name"), ": scenes ", listed, " [", span(F.col("first_ms"), F.col("last_ms")), "]", named)
-        rows, label = rows.withColumns({"start_ms": F.col("first_ms"), "end_ms": F.col("last_ms")}), F.lit(None).cast("string")
+        line, named = (("name", listed, at, F.when(F.col("mentions") > 0, _write(NAMED, "mentions"))), None)
+    elif action == "get_range":
+        forms, scene = LINES[action], F.col("kind") == "scene"
+        whole = F.when(scene, _write(forms["scene"], "id", at, title, text))
+        for kind in ("says", "on screen"):
+            whole = whole.when(F.col("kind") == kind, _write(forms[kind], begins, text))
+        return rows.select("place", whole.alias("line"), "start_ms", "end_ms", F.when(scene, _write(LABELS[action], "id", title)).alias("label"))
     else:
         raise ValueError(f"unknown tool {action!r}")
-    return rows.select("place", line.alias("line"), "start_ms", "end_ms", label.alias("label"))
+    label = F.lit(None).cast("string") if named is None else _write(LABELS[action], *named)
+    return rows.select("place", _write(LINES[action], *line).alias("line"), "start_ms", "end_ms", label.alias("label"))
 
 
 class Toolbox:
@@ -170,19 +187,19 @@ class Toolbox:
         from timeloom.operators.retrieval import search_dialogue
 
         found = search_dialogue(spoken_and_shown(self.t["dialogue"], self.t["on_screen_text"]), query)
-        return self._tell("search_dialogue", place(found, F.desc("score"), "start_ms", "id"), none="(no matching line)")
+        return self._tell("search_dialogue", place(found, F.desc("score"), "start_ms", "id"), none=NO_LINE)
 
     def find_scenes_by_tag(self, tag: str):
         from timeloom.operators.retrieval import find_by_tag
 
         found = find_by_tag(self.t["scenes"], self.t["tag_scores"], tag).withColumn("evidence", F.try_element_at("tag_evidence", F.lit(tag)))
-        return self._tell("find_scenes_by_tag", place(found, F.desc("score"), "scene"), none=f"(no scenes tagged {tag})")
+        return self._tell("find_scenes_by_tag", place(found, F.desc("score"), "scene"), none=NO_SCENE.format(tag))
 
     def get_range(self, start_ms: int, end_ms: int):
         end_ms = end_ms if end_ms > start_ms else start_ms + 1000
         clock = lambda ms: f"{ms // 3600000}:{ms // 60000 % 60:02d}:{ms // 1000 % 60:02d}" if ms >= 3600000 else f"{ms // 60000}:{ms // 1000 % 60:02d}"
         rows = range_facts(self.t["scenes"], self.t["dialogue"], self.t["on_screen_text"], start_ms, end_ms, self.s)
-        text, times, items = self._tell("get_range", rows, (f"Window {clock(max(start_ms, 0))}-{clock(max(end_ms, 0))}",), "(nothing in this window, which may lie outside the video)")
+        text, times, items = self._tell("get_range", rows, (WINDOW.format(clock(max(start_ms, 0)), clock(max(end_ms, 0))),), NOTHING)
         return text, [*times, start_ms, end_ms], items
 
     def get_movie_summary(self):
@@ -190,18 +207,18 @@ class Toolbox:
         genres = "; ".join(f"{g.genre} {g.confidence} ({g.evidence})" for g in r.genres or ())
         who = "; ".join(f"{c.name} ({c.role})" for c in r.characters or ())
         share = ", ".join(f"{t} {int(v * 100)}%" for t, v in sorted((r.tag_stats or {}).items(), key=lambda x: -x[1]))
-        facts = [("type", r.video_type), ("genres", genres), ("logline", r.logline), ("plot", r.plot), ("ending", r.ending), ("setting", r.setting), ("tone", r.tone), ("themes", ", ".join(r.themes or ())), ("characters", who), ("tag share of scenes", share)]
-        return "\n".join(f"{k}: {v}" for k, v in facts), [], []
+        facts = (r.video_type, genres, r.logline, r.plot, r.ending, r.setting, r.tone, ", ".join(r.themes or ()), who, share)
+        return "\n".join(f"{k}: {v}" for k, v in zip(SUMMARY, facts, strict=True)), [], []
 
     def get_chapter_summaries(self, start_ms: int | None = None, end_ms: int | None = None):
         return self._tell("get_chapter_summaries", chapter_summaries(self.t["chapters"], start_ms, end_ms))
 
     def get_characters(self):
-        main = [f"- {r.name} ({r.role}): {r.description}" for r in main_characters(self.t["profiles"]).orderBy("place").collect()]
-        head = ("main characters (from the summary):", *(main or ["- (none)"]), "people listed per scene:")
+        main = [MAIN.format(r.name, r.role, r.description) for r in main_characters(self.t["profiles"]).orderBy("place").collect()]
+        head = (PEOPLE[0], *(main or [MAIN_NONE]), PEOPLE[1])
         return self._tell("get_characters", appearances(self.t["scenes"], self.t["dialogue"], self.t["on_screen_text"]), head)
 
 
 def observation(text: Column, s: Settings = DEFAULTS) -> Column:
     """A tool's text as the model is told it."""
-    return cut_text(text, s.observation_chars, "\n(… cut)")
+    return cut_text(text, s.observation_chars, CUT)
