@@ -111,3 +111,11 @@ def test_pipeline_empty_with_clashing_columns(spark):
     for name, stage in corpus_pipeline.STAGES:
         docs = materialise(stage(spark, docs, SF), "test")
         assert docs.count() == 0 and (name == "token output" or docs.columns == [c.split()[0] for c in KIND.split(", ")])
+
+
+def test_run_is_all_stages(spark):
+    docs = table(spark, SF, "documents")
+    for _, stage in corpus_pipeline.STAGES:
+        docs = materialise(stage(spark, docs, SF), "test")
+    key = lambda d: sorted((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in d.collect())
+    assert key(corpus_pipeline.run(spark, SF)) == key(docs)
