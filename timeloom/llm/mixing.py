@@ -67,7 +67,7 @@ class _Tables:
 
     def cut(self, df: DataFrame, name: str) -> DataFrame:
         """df with its lineage cut."""
-        return self.spark.createDataFrame(df.collect(), df.schema).coalesce(1) if self.small else materialise(df, name)
+        return self.spark.createDataFrame(df.toArrow(), df.schema) if self.small else materialise(df, name)
 
     def join(self, rows: DataFrame, per: DataFrame, key: str = "k") -> DataFrame:
         return rows.join(F.broadcast(per), key) if self.small else skewed_join(rows, per, key)
