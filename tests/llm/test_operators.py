@@ -662,7 +662,7 @@ def test_decontam_clashing_names_and_long_items(spark):
     item = " ".join(f"u{i}" for i in range(3000))
     bench = spark.createDataFrame([(1, item), (1, item), (2, item), (3, "u5 u6")], "item_id bigint, text string")
     docs = spark.createDataFrame([(1, " ".join(f"u{i}" for i in range(700, 730)), "a", "b"), (2, "x u5 u6 y", "a", "b"), (2, "x u5 u6 y", "a", "b"), (None, "clean words", "a", "b")], "doc_id bigint, text string, __text string, t string")
-    for p in (decontam.PARAMS, decontam.Winnow(block_bytes=2000)):
+    for p in (decontam.PARAMS, decontam.Winnow(block_bytes=8000)):
         got = decontam.decontaminate(docs, bench, p=p)
         assert got.columns[:4] == docs.columns
         assert sorted((str(r.doc_id), r.n_words, r.n_hit, r.n_items, r.contaminated) for r in got.collect()) == [("1", 30, 30, 2, True), ("2", 4, 2, 1, True), ("2", 4, 2, 1, True), ("None", 2, 0, 0, False)]
