@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from timeloom.llm import decontam, html_extract, language_id, license_scan, mixing, quality_classifier, quality_rules, simhash, token_output, toxicity
+from timeloom.llm import (
+    decontam, filter_audit, html_extract, language_id, license_scan, mixing, packing, phrases, quality_classifier, quality_rules, simhash, token_output, toxicity,
+)
 
 QUERIES = {
     "op1_language_id": language_id.op1,
@@ -15,8 +17,13 @@ QUERIES = {
     "op8_quality_rules": quality_rules.op8,
     "op9_quality_classifier": quality_classifier.op9,
     "op10_mixing": mixing.op10,
+    "op11_phrase_mining": phrases.op11,
+    "op12_packing": packing.op12,
+    "op13_filter_audit": filter_audit.op13,
 }
 ORACLES = {
     "op3_decontamination": decontam.SQL,
     "op8_quality_rules": quality_rules.SQL,
+    "op11_phrase_mining": phrases.SQL,
+    "op13_filter_audit": filter_audit.SQL,
 }
