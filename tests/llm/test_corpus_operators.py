@@ -152,7 +152,7 @@ def brute_phrases(rows, p):
     return sorted(out)
 
 
-@pytest.mark.parametrize("p", [replace(phrases.MINING, min_count=3, top=7), replace(phrases.MINING, min_count=2, max_words=4, bucket_bits=9, slices=4, chunk_bytes=300), replace(phrases.MINING, min_count=300, max_words=2)])
+@pytest.mark.parametrize("p", [replace(phrases.MINING, min_count=3, top=7), replace(phrases.MINING, min_count=2, max_words=4, bucket_bits=9, slice_bits=5, chunk_bytes=300), replace(phrases.MINING, min_count=300, max_words=2)])
 def test_phrases_brute(spark, p):
     rnd = random.Random(5)
     words = ["a", "B", "c,", "dd.", "é", "x y", "longer-than-eight", "longer-than-eights", "w\x1cv", "e!", "\v", "\r\n", "\t", " "]

@@ -37,9 +37,9 @@ class Mining:
     min_count: int = 10
     cover_pct: int = 50  #: a phrase is dropped if a longer one has this share of its count
     top: int = 2000  #: reported per language
-    bucket_bits: int = 22  #: 2^bits buckets a bitmap: 512 KB each
-    slices: int = 64
-    chunk_bytes: int = 4 << 20
+    bucket_bits: int = 24  #: 2^bits buckets a bitmap: 2 MB each
+    slice_bits: int = 16  #: 2^bits buckets travel together
+    chunk_bytes: int = 2 << 20
 
 
 MINING = Mining()
@@ -175,11 +175,12 @@ def _bits(bitmap: np.ndarray, h: np.ndarray, p: Mining) -> np.ndarray:
 
 
 class Buckets:
-    """Counts by bucket, up to the threshold."""
+    """Counts by bucket, up to the threshold. They travel in slices: plain, or where fewer are filled as 16-bit places and then counts."""
 
     def __init__(self, p: Mining):
         self.p = p
-        self.kind = np.uint8 if p.min_count < 256 else np.uint32
+        self.kind = np.dtype(np.uint8 if p.min_count < 256 else np.uint32)
+        self.slice = 1 << min(p.slice_bits, p.bucket_bits)
         self.counts = np.zeros(1 << p.bucket_bits, self.kind)
 
     def add(self, h: np.ndarray, n: np.ndarray) -> None:
@@ -188,10 +189,23 @@ class Buckets:
         self.counts[b] = np.minimum(sums, self.p.min_count).astype(self.kind)
 
     def rows(self, names: list[str]) -> Iterator[pa.RecordBatch]:
-        for k, part in enumerate(np.split(self.counts, self.p.slices)):
-            if part.any():
+        for k in range(0, len(self.counts), self.slice):
+            part = self.counts[k : k + self.slice]
+            at = np.flatnonzero(part)
+            if len(at):
+                few = len(at) * (2 + self.kind.itemsize) < part.nbytes
+                raw = at.astype(np.uint16).tobytes() + part[at].tobytes() if few else part.tobytes()
                 none = pa.nulls(1, pa.string())
-                yield pa.RecordBatch.from_arrays([none, none, pa.array([0], pa.int64()), pa.array([k], pa.int32()), pa.array([part.tobytes()], pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([none, none, pa.array([0], pa.int64()), pa.array([k // self.slice], pa.int32()), pa.array([raw], pa.binary())], names)
+
+    def add_slice(self, k: int, raw: bytes) -> None:
+        part, size = self.counts[k * self.slice : (k + 1) * self.slice], self.kind.itemsize
+        if len(raw) == part.nbytes:
+            at, more = slice(None), np.frombuffer(raw, self.kind)
+        else:
+            n = len(raw) // (2 + size)
+            at, more = np.frombuffer(raw, np.uint16, n), np.frombuffer(raw[2 * n :], self.kind)
+        part[at] = np.minimum(part[at].astype(np.int64) + more, self.p.min_count).astype(self.kind)
 
 
 _ROWS = "lang string, phrase string, f bigint, slice int, counts binary"
@@ -201,18 +215,18 @@ def bitmap(rows: DataFrame, p: Mining) -> np.ndarray:
     """One bit a bucket, set where the sum over rows (slice, counts) reaches min_count: summed in Spark, 2^bits bits to the driver."""
 
     def run(batches):
-        sums: dict[int, np.ndarray] = {}
-        kind = np.uint8 if p.min_count < 256 else np.uint32
+        sums, seen = Buckets(p), set()
         for b in batches:
             for k, c in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                x = np.frombuffer(c.as_buffer(), kind)
-                sums[k] = np.minimum(sums[k].astype(np.uint64) + x, p.min_count).astype(kind) if k in sums else x
-        bits = [np.packbits(x >= p.min_count).tobytes() for x in sums.values()]
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(bits, pa.binary())], ["slice", "bits"])
+                sums.add_slice(k, c.as_py())
+                seen.add(k)
+        of = sums.counts.reshape(-1, sums.slice)
+        bits = [np.packbits(of[k] >= p.min_count).tobytes() for k in seen]
+        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int32()), pa.array(bits, pa.binary())], ["slice", "bits"])
 
-    out = np.zeros(1 << p.bucket_bits >> 3, np.uint8).reshape(p.slices, -1)
+    out = np.zeros(1 << p.bucket_bits >> 3, np.uint8).reshape(-1, 1 << min(p.slice_bits, p.bucket_bits) >> 3)
     summed = arrow_map(rows.filter("slice is not null").select("slice", "counts").repartition("slice"), run, "slice int, bits binary")
-    for k, bits in summed.collect():  # at most `slices` rows, of fixed size
+    for k, bits in summed.collect():  # a row a slice, of fixed size
         out[k] = np.frombuffer(bits, np.uint8)
     return out.reshape(-1)
 
