@@ -450,13 +450,18 @@ def latest_runs(spark, sf):
     return sinks.latest_runs(d).select("video_id", "stage", "status")
 
 
-@query("reuse_by_key", "SELECT event_id AS id, event_id % 3 = 0 AS reused FROM events")
+@query("reuse_by_key", "SELECT event_id AS id, event_id % 3 <> 0 AND event_id % 5 <> 0 AND (event_id + 1) % 7 <> 0 AND (event_id < 50 OR event_id % 4 <> 0) AS reused FROM events")
 def reuse_by_key(spark, sf):
-    from timeloom.plans.stages import reuse
-
-    e = read(spark, sf, "events").select(F.col("event_id").alias("id"), "value")
-    old, todo = reuse(e, e.filter("id % 3 = 0"), ["id", "value"])
-    return old.select("id", F.lit(True).alias("reused")).unionByName(todo.select("id", F.lit(False).alias("reused")))
+    """Rows of another value, of another note, and rows or notes that weren't there before, run again; the order of columns' sources doesn't matter."""
+    from timeloom.plans.stages import Stage, reuse, row_prints
+
+    e = read(spark, sf, "events").select(F.col("user_id").cast("string").alias("video_id"), F.col("event_id").alias("id"), "value", "event_type")
+    notes = e.filter("(id + 1) % 7 = 0 or id % 4 = 0").select("video_id", "id", F.lit("note").alias("note"))
+    stage = Stage("scenes", ("events", "notes"), lambda t: t["events"], keys=("id",), model="m")
+    old_notes = notes.withColumn("note", F.when(F.col("id") < 50, "note").otherwise("other")).filter("(id + 1) % 7 <> 0")
+    old = e.withColumn("value", F.when(F.col("id") % 3 == 0, F.coalesce("value", F.lit(0.0)) + 1).otherwise(F.col("value"))).filter("id % 5 <> 0")
+    marked = reuse(row_prints(stage, {"events": e, "notes": notes}), row_prints(stage, {"events": old, "notes": old_notes}))
+    return marked.select(F.get_json_object("row_key", "$.id").cast("bigint").alias("id"), "reused")
 
 
 @query("stale_files", "SELECT CAST(event_id AS VARCHAR) || '.jpg' AS file FROM events WHERE event_id % 4 = 0")

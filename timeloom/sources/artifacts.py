@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from timeloom.schemas import schema
+from timeloom.sources import generations
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -25,6 +26,8 @@ def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
     """An artifact table; absent means empty, with its schema. Filters on video_id prune partitions."""
     path = f"{root}/{name}"
     kind = schema(name)
+    if generations.head(spark, root, name):
+        return generations.read(spark, root, name, kind)
     if not _exists(spark, path):
         return spark.createDataFrame([], kind)
     return spark.read.schema(kind).parquet(path)

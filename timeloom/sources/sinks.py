@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from timeloom.schemas import schema
+from timeloom.sources import generations
 
 
 def write_table(df: DataFrame, root: str, name: str) -> None:
-    """Replace the partitions of the videos in df; others stay."""
+    """Replace the partitions of the videos in df; others stay. A table in generations gets one more."""
+    if number := generations.head(df.sparkSession, root, name):
+        generations.commit(df.sparkSession, root, name, {"rows": df}, df.select("video_id"), number)
+        return
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("video_id").parquet(f"{root}/{name}")
 
 
@@ -27,12 +33,23 @@ def append_job(spark: SparkSession, root: str, video_id: str, status: str, error
     d.coalesce(1).write.mode("append").parquet(f"{root}/jobs")
 
 
-def compact_runs(spark: SparkSession, root: str) -> int:
-    """Rewrites the many small files of run states as one set of rows, the present states, and returns how many; for quiet times."""
-    now = latest_runs(spark.read.schema(schema("stage_runs")).parquet(f"{root}/stage_runs")).select(schema("stage_runs").names)
-    rows = now.collect()  # one row a video and stage
-    spark.createDataFrame(rows, schema("stage_runs")).coalesce(1).write.mode("overwrite").parquet(f"{root}/stage_runs")
-    return len(rows)
+def compact_runs(spark: SparkSession, root: str, older_than: float = 0.0) -> int:
+    """Merge the many small files of run states (of at least so many seconds' age) to the present states, in Spark; returns how many files went.
+
+    The files that are there at the beginning are read and, once their present states are written beside them, deleted one by one: a row
+    appended meanwhile is in none of them and stays. A state that is there twice, after a crash before the last deletion, counts once.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/stage_runs")
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    born = lambda f: f.getModificationTime() / 1000 <= time.time() - older_than
+    files = [f.getPath() for f in fs.listStatus(path) if f.getPath().getName().startswith("part-") and born(f)]
+    if len(files) < 2:
+        return 0
+    now = latest_runs(spark.read.schema(schema("stage_runs")).parquet(*[f.toString() for f in files])).select(schema("stage_runs").names)
+    now.write.mode("append").parquet(f"{root}/stage_runs")
+    for f in files:
+        fs.delete(f, False)
+    return len(files)
 
 
 def latest_runs(runs: DataFrame) -> DataFrame:
