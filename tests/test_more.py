@@ -256,30 +256,6 @@ def test_normalisers_of_odd_json(spark):
     assert d.select(normalise.profile(F.col("j")).alias("x")).filter("x.video_type = 'other' and size(x.genres) = 0").count() == len(odd)
 
 
-def test_answer_text_in_pieces():
-    text = 'Line "one"\n\ttwo \\ é 😀 / end'
-    for whole in (json.dumps({"action": "answer", "answer": text, "more": 1}), json.dumps({"answer": text, "action": "answer"}), json.dumps({"action": "answer", "answer": text}, ensure_ascii=False)):
-        for size in (1, 2, 3, 7, 1000):
-            s = jobs.AnswerText()
-            shown = [s.feed(whole[i : i + size]) for i in range(0, len(whole), size)]
-            assert "".join(shown) == text
-    s = jobs.AnswerText()
-    assert s.feed('{"answer": "held') == "" and s.feed('", "action": "get_range"}') == "" and s.is_answer is False
-    assert jobs.AnswerText(False).feed(r'{"answer": "a\q\ud83d') == "aq"
-
-
-def test_answer_stream(spark, tmp_path):
-    whole = json.dumps({"action": "answer", "answer": "yes, at 0:10"})
-    rows = [("a", i, whole[i : i + 1], i == len(whole) - 1) for i in range(len(whole))] + [("b", 0, '{"action": "get_range"}', True)]
-    kind = "ask_id string, seq bigint, piece string, done boolean"
-    for k in (0, 1):
-        spark.createDataFrame([r for r in rows if (r[1] > 20) == bool(k)], kind).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).option("latestFirst", False).parquet(str(tmp_path / "in"))
-    jobs.answer_stream(stream).writeStream.format("memory").queryName("shown").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start().awaitTermination(120)
-    got = spark.table("shown").orderBy("ask_id", "seq", F.desc("event")).collect()
-    assert "".join(r.text for r in got if r.ask_id == "a") == "yes, at 0:10" and [r.event for r in got if r.ask_id == "b"] == ["end"]
-
-
 def test_reply_pieces(spark):
     d = spark.createDataFrame([('{"response": "a\nb", "done": false}',), ('{"done": true}',), ("",), ("oops",), ('{"error": "e"}',)], "value string")
     assert [(r.piece, r.done, r.error) for r in jobs.reply_pieces(d).collect()] == [("a\nb", False, None), ("", True, None), ("", False, "not a reply: oops"), ("", False, "e")]
@@ -418,12 +394,3 @@ def test_command_line(spark, tables, tmp_path, capsys):
     assert say("chapters", "v", "1:00")[1].out == "  2  0:01:00-0:02:00  C2\n" and "?" in say("transcript", "v")[1].out
     code, out = say("tag", "v", "nonsense")
     assert code == 1 and "unknown tag" in out.err
-
-
-def test_ask_events():
-    from timeloom.plans.agent import ask_events
-
-    tools = {"get_characters": lambda: ("x", [], [])}
-    got = list(ask_events("q", [{"action": "get_characters"}], tools, Model({"action": "answer", "answer": "yes"})))
-    assert [k for k, _ in got] == ["status", "step", "answer"] and got[-1][1]["answer"] == "yes"
-    assert list(ask_events("q", [], tools, Model()))[-1][0] == "error"

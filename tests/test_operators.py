@@ -190,17 +190,6 @@ def test_best_variant(spark):
     assert aggregates.best_variant(d).first().text == "abd"
 
 
-def test_progress_stream_equals_batch(spark, tmp_path):
-    from timeloom.streaming.jobs import progress_changes
-
-    rows = [("v", i, s) for i, s in enumerate("aabba")] + [("w", 0, "a")]
-    spark.createDataFrame(rows, "video_id string, t int, state string").selectExpr("video_id", "timestamp_seconds(t) ts", "state").write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema("video_id string, ts timestamp, state string").parquet(str(tmp_path / "in"))
-    q = progress_changes(stream).writeStream.format("memory").queryName("progress").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start()
-    q.awaitTermination(120)
-    assert sorted((r.video_id, r.state) for r in spark.table("progress").collect()) == [("v", "a"), ("v", "a"), ("v", "b"), ("w", "a")]
-
-
 def test_job_stream(spark, tmp_path):
     from timeloom.streaming.jobs import job_queue
 

@@ -5,6 +5,7 @@ A model is loaded once a task, in the iterator of mapInPandas; failures become e
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -18,6 +19,10 @@ class TextModel(Protocol):
     def generate_json(self, system: str, prompt: str) -> dict: ...
 
 
+class StreamingModel(TextModel, Protocol):
+    def stream_json(self, system: str, prompt: str) -> Iterator[str]: ...
+
+
 class Embedder(Protocol):
     def embed(self, texts: list[str]) -> list[list[float]]: ...
 
@@ -84,6 +89,34 @@ def call_model(rows: DataFrame, make: Callable[[], TextModel], system: str, prom
     return rows.mapInPandas(run, schema)
 
 
+def stream_replies(rows: DataFrame, make: Callable[[], StreamingModel], system: str, key: str = "ask_id", prompt: str = "prompt") -> DataFrame:
+    """key, seq, piece, done, error: replies in the pieces the model writes, one after the other, for `live.answer_stream` or a table.
+
+    A reply ends with an empty piece that is done, or with an error. Pieces leave the task in batches as they come; no reply is held whole.
+    """
+    schema = T.StructType([rows.schema[key], T.StructField("seq", T.LongType()), T.StructField("piece", T.StringType()), T.StructField("done", T.BooleanType()), T.StructField("error", T.StringType())])
+
+    def pieces(model: StreamingModel, text: str) -> Iterator[tuple]:
+        n = 0
+        try:
+            for piece in model.stream_json(system, text):
+                yield n, piece, False, None
+                n += 1
+            yield n, "", True, None
+        except Exception as e:  # noqa: BLE001 - an error row
+            yield n, "", True, str(e) or type(e).__name__
+
+    def run(batches: Iterator[pd.DataFrame]):
+        model = make()
+        for b in batches:
+            for k, text in zip(b[key], b[prompt], strict=True):
+                told = pieces(model, text)
+                while some := list(itertools.islice(told, 256)):
+                    yield pd.DataFrame([(k, *x) for x in some], columns=schema.names)
+
+    return rows.select(key, prompt).mapInPandas(run, schema)
+
+
 def describe_images(rows: DataFrame, make: Callable[[], Vision], image: str = "content", batch: int = 16) -> DataFrame:
     """rows without the image, with `reply` (JSON) and `error`. Images go to the model in batches, one by one where a batch fails; keys travel with them."""
     import json

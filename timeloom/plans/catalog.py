@@ -19,6 +19,7 @@ from timeloom.functions.vectors import dot, l2_normalise, tag_blend
 from timeloom.operators import aggregates as ag
 from timeloom.operators import folds, grounding, intervals, retrieval, windows
 from timeloom.sources.subtitles import parse_srt
+from timeloom.streaming import live
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -370,8 +371,9 @@ def tail_n(spark, sf):
 
 @query("progress_changes", f"WITH {IV} SELECT video_id, id, kind FROM iv QUALIFY kind IS DISTINCT FROM lag(kind) OVER (PARTITION BY video_id ORDER BY start_ms, id)")
 def progress_changes(spark, sf):
-    w = Window.partitionBy("video_id").orderBy("start_ms", "id")
-    return spans(spark, sf).withColumn("was", F.lag("kind").over(w)).filter(~F.col("kind").eqNullSafe(F.col("was"))).select("video_id", "id", "kind")
+    """The stream's own operator over the rows as one batch; its state carries the row's number along with what is compared."""
+    d = spans(spark, sf).select("video_id", F.timestamp_millis("start_ms").alias("ts"), F.lit("running").alias("status"), F.col("kind").alias("state"), F.col("id").alias("place"))
+    return live.progress_events(d, tell=("place",)).filter("event = 'progress'").select("video_id", F.col("place").alias("id"), F.col("state").alias("kind"))
 
 
 # ---------------------------------------------------------------- vectors and retrieval

@@ -533,11 +533,30 @@ def progress_lines(spark, sf):
     return read(spark, sf, "events").select(e.alias("id"), jobs.progress_lines(text).alias("p")).select("id", "p.*")
 
 
-@query("answer_text", """SELECT event_id AS id, CASE WHEN event_id % 2 = 0 THEN 'said "x" ' || chr(10) || CAST(event_id AS VARCHAR) || ' é' END AS answer FROM events""")
+#: Replies by shape: answers whole, cut off, with the action last, escaped, of two halves; calls of a tool; something else.
+_SHAPES = 7
+
+
+@query("answer_text", f"""SELECT conv_id, turn, CASE (conv_id + turn) % {_SHAPES} WHEN 0 THEN text WHEN 1 THEN left(text, length(text) // 2) WHEN 2 THEN text WHEN 3 THEN text
+  WHEN 4 THEN '😀' || chr(65533) || text WHEN 6 THEN '' END AS answer FROM conversations""")
 def answer_text(spark, sf):
-    e = F.col("event_id")
-    reply = F.concat(F.lit('{"action": "'), F.when(e % 2 == 0, "answer").otherwise("get_range"), F.lit('", "answer" : "said \\"x\\" \\n'), e.cast("string"), F.lit(' \\u00e9", "more": 1'))
-    return jobs.answers_so_far(read(spark, sf, "events").select(e.alias("id"), reply.alias("reply")), "reply").select("id", "answer")
+    d = read(spark, sf, "conversations").select("conv_id", "turn", "text")
+    quoted = lambda c: F.concat(F.lit('"'), F.regexp_replace(F.to_json(F.struct(c.alias("x"))), r'^\{"x":"|"\}$', ""), F.lit('"'))
+    said, text = quoted(F.col("text")), F.col("text")
+    escaped = F.regexp_replace(F.regexp_replace(said, "é", r"\\u00E9"), "e", r"\\u0065")
+    reply = F.concat(F.lit('{"more": {"answer": "no", "x": [{"action": "no"}]}, "action" :"answer", "answer" : '), said, F.lit("}"))
+    half = F.substr(text, F.lit(1), F.floor(F.length("text") / 2).cast("int"))
+    shapes = (
+        reply,
+        F.concat(F.lit('{"action":"answer","answer":'), F.regexp_replace(quoted(half), '"$', "")),
+        F.concat(F.lit('{"answer": '), said, F.lit(', "action": "answer"}')),
+        F.concat(F.lit('{"action": "\\u0061nswer", "ans\\u0077er": '), escaped, F.lit(', "answer": "second"}')),
+        F.concat(F.lit('{"action": "answer", "answer": "\\ud83d\\ude00\\ud83d'), F.substr(said, F.lit(2))),
+        F.concat(F.lit('{"action": "search_moments", "answer": '), said, F.lit(', "query": "x"}')),
+        F.lit('{"action": "answer", "answer": null, "query": "answer"}'),
+    )
+    pick = F.element_at(F.array(*shapes), ((F.col("conv_id") + F.col("turn")) % _SHAPES + 1).cast("int"))
+    return jobs.answers_so_far(d.select("conv_id", "turn", pick.alias("reply")), "reply").select("conv_id", "turn", "answer")
 
 
 @query(

@@ -1,12 +1,10 @@
-"""Streams: a queue of jobs from files, landed media, progress that reports changes only, answers as they are written, windows of chunks.
+"""Streams: a queue of jobs from files, landed media, replies of models, windows of chunks; `live` has the streams with state of their own.
 
 Sessions and windows with watermarks are additions of this engine; their batch twins are in operators.folds and here.
 """
 
 from __future__ import annotations
 
-import json
-import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -14,9 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from timeloom.functions.text import valid_file
+from timeloom.streaming.scanner import AnswerText
 
 JOB = "video_id STRING, queued_at TIMESTAMP"
 
@@ -36,23 +34,6 @@ def job_queue(spark: SparkSession, landing: str, checkpoint: str, work: Callable
     return once.writeStream.foreachBatch(first_of_each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def progress_changes(events: DataFrame) -> DataFrame:
-    """Of a stream (video_id string, ts timestamp, state string) the rows whose state differs from the last one reported."""
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        rows = pd.concat(list(frames)).sort_values("ts")
-        keep = []
-        for ts, now in rows[["ts", "state"]].itertuples(index=False):
-            if now != last:
-                keep.append((key[0], ts, now))
-                last = now
-        state.update((last,))
-        yield pd.DataFrame(keep, columns=["video_id", "ts", "state"])
-
-    return events.groupBy("video_id").applyInPandasWithState(step, "video_id string, ts timestamp, state string", "state string", "append", GroupStateTimeout.NoTimeout)
-
-
 def text_sessions(frames: DataFrame, gap: str = "6 seconds", late: str = "1 minute") -> DataFrame:
     """Addition: runs of frames (video_id, ts) no more than the gap apart; the end is the last frame, not the window's."""
     s = frames.withWatermark("ts", late).groupBy("video_id", F.session_window("ts", gap).alias("w")).agg(F.min("ts").alias("first"), F.max("ts").alias("last"), F.count("*").alias("n"))
@@ -62,10 +43,13 @@ def text_sessions(frames: DataFrame, gap: str = "6 seconds", late: str = "1 minu
 def padded_windows(rows: DataFrame, size_ms: int, pad_ms: int) -> DataFrame:
     """rows (video_id, ts_ms, ...) once for each chunk whose padded range holds them: core_ms, own (in the core itself). For streams and batches.
 
-    pad_ms is at most size_ms, so only a core and its neighbours can hold a row.
+    A row is offered to as many cores as a padding reaches.
     """
+    if size_ms <= 0 or pad_ms < 0:
+        raise ValueError("windows need a size, and padding can't be negative")
+    reach = -(-pad_ms // size_ms)
     core = F.floor(F.col("ts_ms") / size_ms)
-    d = rows.withColumn("core_ms", F.explode(F.array(*[(core + k) * size_ms for k in (-1, 0, 1)])))
+    d = rows.withColumn("core_ms", F.explode(F.transform(F.sequence(F.lit(-reach), F.lit(reach)), lambda k: (core + k) * size_ms)))
     inside = (F.col("ts_ms") >= F.col("core_ms") - pad_ms) & (F.col("ts_ms") < F.col("core_ms") + size_ms + pad_ms)
     return d.filter(inside).withColumn("own", (F.col("ts_ms") >= F.col("core_ms")) & (F.col("ts_ms") < F.col("core_ms") + size_ms))
 
@@ -77,44 +61,6 @@ def progress_lines(text: Column) -> Column:
     return F.struct(some("out_time_us").try_cast("bigint").alias("out_time_us"), F.coalesce(some("progress") == "end", F.lit(False)).alias("ended"))
 
 
-_ANSWER = re.compile(r'"answer"\s*:\s*"')
-_ACTION = re.compile(r'"action"\s*:\s*"(\w+)"')
-#: As much of a JSON string as is whole: plain characters and complete escapes; a lead surrogate waits for its other half.
-_WHOLE = re.compile(r'(?:[^"\\]|\\u(?![dD][89abAB])[0-9a-fA-F]{4}|\\u[dD][89abAB][0-9a-fA-F]{2}\\u[0-9a-fA-F]{4}|\\[^u])*')
-_ESCAPE = re.compile(r"\\(.)", re.S)
-
-
-class AnswerText:
-    """The text of a reply's `answer` while the JSON is being written; nothing before the action is known to be an answer, if asked for.
-
-    Each feed reads on from where the last one stopped.
-    """
-
-    def __init__(self, need_action: bool = True):
-        self.text, self.at, self.is_answer = "", None, None if need_action else True
-        self.held = ""
-
-    def feed(self, piece: str) -> str:
-        """What can be shown now."""
-        self.text += piece
-        if self.is_answer is None and (m := _ACTION.search(self.text)):
-            self.is_answer = m[1] == "answer"
-        if self.is_answer is False:
-            return ""
-        if self.at is None and (m := _ANSWER.search(self.text)):
-            self.at = m.end()
-        if self.at is not None:
-            whole = _WHOLE.match(self.text, self.at)
-            self.at = whole.end()
-            # escapes that JSON doesn't know stand for their letter
-            known = _ESCAPE.sub(lambda m: m[0] if m[1] in '"\\/bfnrtu' else m[1], whole[0])
-            self.held += json.loads(f'"{known}"', strict=False)
-        if not self.is_answer:
-            return ""
-        shown, self.held = self.held, ""
-        return shown
-
-
 def answers_so_far(rows: DataFrame, reply: str) -> DataFrame:
     """rows with `answer`: what could be shown of each reply as far as it is written; null for replies that call a tool."""
 
@@ -130,28 +76,6 @@ def answers_so_far(rows: DataFrame, reply: str) -> DataFrame:
     return rows.mapInPandas(run, T.StructType([*rows.schema.fields, T.StructField("answer", T.StringType())]))
 
 
-def answer_stream(pieces: DataFrame) -> DataFrame:
-    """Of a stream of pieces (ask_id string, seq bigint, piece string, done boolean) the events to show: ask_id, seq, event (token or end), text.
-
-    The state of a request is the JSON read so far; pieces of a batch are taken by seq.
-    """
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        stream = AnswerText()
-        stream.feed(state.get[0] if state.exists else "")
-        out = []
-        rows = pd.concat(list(frames)).sort_values("seq")
-        for seq, piece, done in rows[["seq", "piece", "done"]].itertuples(index=False):
-            if shown := stream.feed(piece or ""):
-                out.append((key[0], seq, "token", shown))
-            if done:
-                out.append((key[0], seq, "end", ""))
-        state.update((stream.text,))
-        yield pd.DataFrame(out, columns=["ask_id", "seq", "event", "text"])
-
-    return pieces.groupBy("ask_id").applyInPandasWithState(step, "ask_id string, seq bigint, event string, text string", "text string", "append", GroupStateTimeout.NoTimeout)
-
-
 def reply_pieces(lines: DataFrame, line: str = "value") -> DataFrame:
     """Lines of a model server's NDJSON stream as pieces: piece, done, error; lines that aren't JSON are errors."""
     j = F.from_json(line, "response string, done boolean, error string", {"allowUnquotedControlChars": "true"})
