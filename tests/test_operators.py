@@ -1,9 +1,7 @@
 """Boundary cases worked by hand, and folds against plain models."""
 
 import dataclasses
-import io
 import random
-import wave
 
 from pyspark.sql import functions as F
 
@@ -141,16 +139,6 @@ def test_srt(spark):
     assert [(r.start_ms, r.end_ms, r.text) for r in got] == [(1500, 3000, "Hello there"), (3600005, 3601000, "a 2 b 2")]
 
 
-def test_wav(spark, tmp_path):
-    buf = io.BytesIO()
-    with wave.open(buf, "wb") as w:
-        w.setnchannels(1), w.setsampwidth(2), w.setframerate(16000)
-        w.writeframes((16384).to_bytes(2, "little") * 160)
-    f = spark.createDataFrame([("p", bytearray(buf.getvalue())), ("q", bytearray(b"x"))], "path string, content binary")
-    got = {r.path: r for r in artifacts.wav_slices(f, spark.createDataFrame([("p", 5, 100), ("q", 0, 1)], "path string, start_ms bigint, end_ms bigint")).collect()}
-    assert len(got["p"].samples) == 80 and got["p"].samples[0] == 0.5 and got["q"].error
-
-
 def test_stages_resume(spark, tmp_path):
     root = str(tmp_path)
     rows = [("a", "x", 0, 0, 10, 0, 10, None), ("b", "x", 0, 0, 10, 0, 10, None)]

@@ -1,12 +1,7 @@
-"""Readers of artifacts: JSON documents a video, Parquet tables by video, WAV slices, images and media probes. No inference of types."""
+"""Readers of artifacts: JSON documents a video, Parquet tables by video, images and media probes. No inference of types."""
 
 from __future__ import annotations
 
-import io
-import struct
-import wave
-
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -72,32 +67,6 @@ def read_binary(spark: SparkSession, glob: str) -> DataFrame:
     return spark.read.format("binaryFile").load(glob).select("path", "content", "length")
 
 
-def wav_slices(files: DataFrame, spans: DataFrame) -> DataFrame:
-    """Samples in [-1, 1) of [start_ms, end_ms) of 16 kHz mono 16-bit files, clamped to the file. spans: path, start_ms, end_ms."""
-    joined = spans.join(files.select("path", "content"), "path")
-    out = T.StructType([*spans.select("path", "start_ms", "end_ms").schema.fields, T.StructField("samples", T.ArrayType(T.FloatType())), T.StructField("error", T.StringType())])
-
-    def run(batches):
-        for b in batches:
-            samples, errors = [], []
-            for content, s, e in zip(b["content"], b["start_ms"], b["end_ms"], strict=True):
-                try:
-                    with wave.open(io.BytesIO(bytes(content))) as w:
-                        if (w.getframerate(), w.getnchannels(), w.getsampwidth()) != (16000, 1, 2):
-                            raise ValueError("expected 16 kHz mono 16-bit")
-                        n = w.getnframes()
-                        i, j = (min(max(int(t) * 16, 0), n) for t in (s, e))
-                        w.setpos(i)
-                        samples.append((np.frombuffer(w.readframes(max(j - i, 0)), "<i2") / np.float32(32768)).astype("f4"))
-                        errors.append(None)
-                except (ValueError, EOFError, wave.Error, struct.error) as x:
-                    samples.append(None)
-                    errors.append(str(x) or type(x).__name__)
-            yield pd.DataFrame({"path": b["path"], "start_ms": b["start_ms"], "end_ms": b["end_ms"], "samples": samples, "error": errors})
-
-    return joined.select("path", "content", "start_ms", "end_ms").mapInPandas(run, out)
-
-
 def probe_media(probes: DataFrame, column: str = "json") -> DataFrame:
     """Facts about media from the JSON of a media probe: the first video stream that isn't cover art, duration in ms, frame rate."""
     stream = "struct<index:int,codec_type:string,codec_name:string,width:int,height:int,avg_frame_rate:string,disposition:struct<attached_pic:int>,tags:struct<language:string>>"
