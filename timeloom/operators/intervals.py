@@ -53,20 +53,30 @@ def owned_rows(rows: DataFrame, chunks: DataFrame) -> DataFrame:
 def nearest(unplaced: DataFrame, spans: DataFrame, at: Column, width_ms: int) -> DataFrame:
     """For each row the span of its video nearest to `at` (0 inside, else to either edge; the earliest on ties).
 
-    The span that holds the point comes from the bucketed join; of the others only the last to end and the next to begin can be nearest,
-    which two passes over the sorted edges find: no row meets all spans of its video.
+    The span that holds the point comes from the bucketed join; of the others only the last to end and the next to begin can be nearest. Those
+    are looked for among the edges of the point's own bucket; where it has none on that side, the nearest bucket's edge counts, which
+    is carried along a table of one row a bucket: no window sorts a whole video, and no row meets all spans of its video.
     """
     s = spans.select("video_id", "shot", "start_ms", "end_ms")
     x = unplaced.withColumn("__pt", at.cast("bigint"))
     points = x.select("video_id", "__pt").distinct()
     inside = point_join(points, s, "__pt", width_ms).groupBy("video_id", "__pt").agg(F.min("b_shot").alias("__in"))
-    edge = lambda c, k: s.groupBy("video_id", F.col(c).alias("t")).agg(F.min("shot").alias("shot")).select("video_id", "t", F.lit(k).alias("k"), F.struct("t", "shot").alias("edge"))
-    none = F.lit(None).cast(edge("end_ms", 0).schema["edge"].dataType)
-    marks = points.select("video_id", F.col("__pt").alias("t"), F.lit(1).alias("k"), none.alias("edge"))
-    seen = lambda w: F.last("edge", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    video = Window.partitionBy("video_id")
-    ended = marks.unionByName(edge("end_ms", 0)).withColumn("__e", seen(video.orderBy("t", "k"))).filter("k = 1").select("video_id", F.col("t").alias("__pt"), "__e")
-    begun = marks.unionByName(edge("start_ms", 2)).withColumn("__b", seen(video.orderBy(F.desc("t"), F.desc("k")))).filter("k = 1").select("video_id", F.col("t").alias("__pt"), "__b")
+    bucket = F.floor(F.col("t") / width_ms).alias("bucket")
+    edge = lambda c: s.filter(F.col(c).isNotNull()).groupBy("video_id", F.col(c).alias("t")).agg(F.min("shot").alias("shot")).select("video_id", "t", bucket, F.struct("t", "shot").alias("edge"))
+    edges = edge("end_ms")
+    none = F.lit(None).cast(edges.schema["edge"].dataType)
+    marks = points.filter("__pt is not null").select("video_id", F.col("__pt").alias("t")).select("video_id", "t", bucket, none.alias("edge"), F.lit(True).alias("point"))
+
+    def side(c: str, pick, turn, name: str) -> DataFrame:
+        """The picked edge (last before, or first after) of each point."""
+        every = marks.unionByName(edge(c).withColumn("point", F.lit(False)))
+        own = Window.partitionBy("video_id", "bucket").orderBy(turn("t"), "point").rowsBetween(Window.unboundedPreceding, 0)
+        along = Window.partitionBy("video_id").orderBy(turn("bucket")).rowsBetween(Window.unboundedPreceding, -1)
+        carried = every.groupBy("video_id", "bucket").agg(pick("edge").alias("best")).withColumn("carried", F.last("best", ignorenulls=True).over(along)).drop("best")
+        found = every.withColumn("own", F.last("edge", ignorenulls=True).over(own)).filter("point").join(carried, ["video_id", "bucket"])
+        return found.select("video_id", F.col("t").alias("__pt"), F.coalesce("own", "carried").alias(name))
+
+    ended, begun = side("end_ms", F.max, F.asc, "__e"), side("start_ms", F.min, F.desc, "__b")
     near = lambda d, shot: F.when(shot.isNotNull(), F.struct(d.cast("bigint").alias("distance"), shot.alias("shot")))
     best = F.least(near(F.lit(0), F.col("__in")), near(F.col("__pt") - F.col("__e.t"), F.col("__e.shot")), near(F.col("__b.t") - F.col("__pt"), F.col("__b.shot")))
     found = inside.join(ended, ["video_id", "__pt"]).join(begun, ["video_id", "__pt"]).select("video_id", "__pt", best.alias("best"))

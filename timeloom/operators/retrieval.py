@@ -52,7 +52,7 @@ def tag_scores(scenes: DataFrame, tags: DataFrame, s: Settings = DEFAULTS) -> Da
     few = tags.limit(TAGS_BROADCAST + 1).count() <= TAGS_BROADCAST
     pairs = scenes.crossJoin(F.broadcast(tags)) if few else scenes.hint("shuffle_replicate_nl").crossJoin(tags)
     x = pairs.select("video_id", "scene", "tag", F.coalesce(F.try_element_at("tags", F.col("tag")), F.lit(0.0)).alias("confidence"), F.round(dot(F.col("embedding"), F.col("tag_embedding")), 6).alias("sim"))
-    return ordinal_rank(x, ["video_id", "tag"], "sim", "scene").withColumn("score", tag_blend(F.col("confidence"), F.col("rank"), s))
+    return ordinal_rank(x, ["video_id", "tag"], "sim", "scene", large=None).withColumn("score", tag_blend(F.col("confidence"), F.col("rank"), s))
 
 
 def search_dialogue(lines: DataFrame, query: str, k: int = 8, least: float = 0.65, ties: tuple[str, ...] = ()) -> DataFrame:

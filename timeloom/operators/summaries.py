@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from timeloom.config import DEFAULTS, Settings
+from timeloom.operators.ordering import LARGE, positions
 from timeloom.functions import text as tx
 from timeloom.operators.intervals import overlap_join, point_join
 
@@ -65,12 +66,10 @@ def require_done(runs: DataFrame, stage: str, video_id) -> None:
         raise RuntimeError(f"stage {stage!r} is not done for {video_id!r}")
 
 
-def queue_positions(jobs: DataFrame) -> DataFrame:
-    """Waiting jobs (video_id, status, queued_at) with their place in the queue, the first is 1.
-
-    Jobs that wait are few; all of them are ranked in one task.
-    """
-    return jobs.filter("status = 'queued'").select("video_id", F.row_number().over(Window.orderBy("queued_at", "video_id")).alias("queue_position"))
+def queue_positions(jobs: DataFrame, large: int | None = LARGE) -> DataFrame:
+    """Waiting jobs (video_id, status, queued_at) with their place in the queue, the first is 1."""
+    waiting = jobs.filter("status = 'queued'").select("video_id", "queued_at", F.lit(0).alias("queue"))
+    return positions(waiting, ["queue"], "queued_at", "video_id", large=large).select("video_id", (F.col("__at") + 1).alias("queue_position"))
 
 
 def newest_first(videos: DataFrame) -> DataFrame:
@@ -78,9 +77,9 @@ def newest_first(videos: DataFrame) -> DataFrame:
     return videos.orderBy(F.desc_nulls_last("created_at"), "video_id")
 
 
-def in_time_order(lines: DataFrame) -> DataFrame:
+def in_time_order(lines: DataFrame, large: int | None = LARGE) -> DataFrame:
     """Rows with their place in a video: by start, then source as it came, then position."""
-    return lines.withColumn("place", F.row_number().over(Window.partitionBy("video_id").orderBy("start_ms", "source_rank", "pos")))
+    return positions(lines, ["video_id"], "start_ms", "source_rank", "pos", large=large).withColumn("place", F.col("__at") + 1).drop("__at", "__n")
 
 
 def pinned_language(chunks: DataFrame, least: float = DEFAULTS.min_lang_prob) -> DataFrame:

@@ -5,17 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from timeloom.operators.ordering import LARGE, positions
 
-def ordinal_rank(df: DataFrame, keys: list[str], value: str, tie: str, out: str = "rank") -> DataFrame:
+
+def ordinal_rank(df: DataFrame, keys: list[str], value: str, tie: str, out: str = "rank", large: int | None = LARGE) -> DataFrame:
     """Position by ascending value over n - 1; 0.5 for a single row. Equal values keep apart, unlike percent_rank."""
-    w = Window.partitionBy(*keys)
-    n = F.count("*").over(w)
-    return df.withColumn(out, F.when(n == 1, 0.5).otherwise((F.row_number().over(w.orderBy(value, tie)) - 1) / (n - 1)))
+    x = positions(df, keys, value, tie, large=large)
+    return x.withColumn(out, F.when(F.col("__n") == 1, 0.5).otherwise(F.col("__at") / (F.col("__n") - 1))).drop("__at", "__n")
 
 
-def numbered(df: DataFrame, prefix: str, *order: str) -> DataFrame:
+def numbered(df: DataFrame, prefix: str, *order: str, large: int | None = LARGE) -> DataFrame:
     """id: d0001, d0002, ... within each video."""
-    return df.withColumn("num", F.format_string(f"{prefix}%04d", F.row_number().over(Window.partitionBy("video_id").orderBy(*order))))
+    return positions(df, ["video_id"], *order, large=large).withColumn("num", F.format_string(f"{prefix}%04d", F.col("__at") + 1)).drop("__at", "__n")
 
 
 def first_per(df: DataFrame, keys: list[str], *order) -> DataFrame:
@@ -26,12 +27,9 @@ def tail(df: DataFrame, keys: list[str], n: int, *order: str) -> DataFrame:
     return df.withColumn("__k", F.row_number().over(Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order]))).filter(F.col("__k") <= n).drop("__k")
 
 
-def thin(df: DataFrame, keys: list[str], limit: int, *order: str) -> DataFrame:
+def thin(df: DataFrame, keys: list[str], limit: int, *order: str, large: int | None = LARGE) -> DataFrame:
     """Evenly spread rows of each key: the indices floor(i * (n / limit)), if there are more than limit."""
-    w = Window.partitionBy(*keys)
-    n = F.count("*").over(w)
-    at = (F.row_number().over(w.orderBy(*order)) - 1).cast("bigint")
-    x = df.withColumn("__n", n).withColumn("__at", at)
+    x = positions(df, keys, *order, large=large)
     wanted = F.transform(F.sequence(F.lit(0), F.lit(limit - 1)), lambda i: F.floor(i * (F.col("__n") / F.lit(float(limit)))))
     return x.filter((F.col("__n") <= limit) | F.array_contains(wanted, F.col("__at"))).drop("__n", "__at")
 
