@@ -453,22 +453,70 @@ def test_html_odd_tables(spark):
 
 def test_html_every_page_by_the_winners(spark):
     """The query against votes and winners worked out in Python."""
+    got = {r.page_id: r.text for r in html_extract.op2(spark, SF).collect()}
+    assert got == texts_of_hosts([(r.page_id, r.url, r.html) for r in common.table(spark, SF, "pages").collect()])
+
+
+def texts_of_hosts(pages):
+    """page_id: text, with everything about hosts in plain Python. pages: (page_id, url, html)."""
     import re
     from collections import Counter, defaultdict
 
-    pages = common.table(spark, SF, "pages").collect()
     host = lambda u: re.sub(r"^(?:www\d*|m|amp|mobile)\.(?=.*\.)", "", (re.match(r"(?:\w+:)?//([^/:]*)", u or "") or ["", ""])[1].lower())
-    votes, scores = defaultdict(Counter), defaultdict(Counter)
-    for r in pages:
-        if v := html_extract.vote(r.html):
-            votes[host(r.url)][v[0]] += 1
-            scores[host(r.url)][v[0]] += v[1]
-    want = {}
+    votes, scores, parts = defaultdict(Counter), defaultdict(Counter), defaultdict(lambda: defaultdict(lambda: defaultdict(set)))
+    for _, url, page in pages:
+        whole = html_extract.Page(page)
+        if v := html_extract.vote(page):
+            votes[host(url)][v[0]] += 1
+            scores[host(url)][v[0]] += v[1]
+        for path, text in whole.repeats():
+            parts[host(url)][path][text].add(tuple(t for t, _, _ in whole.voting))
+    want, gone = {}, {}
     for h, c in votes.items():
         ranked = sorted(c, key=lambda p: (-c[p], -round(scores[h][p], 3), p))
         want[h] = frozenset([p for p in ranked if c[p] >= 0.2 * c.total()][:4])
-    got = {r.page_id: r.text for r in html_extract.op2(spark, SF).collect()}
-    assert all(got[r.page_id] == html_extract.extract(r.html, want.get(host(r.url), frozenset())) for r in pages)
+    for h, by_path in parts.items():
+        counts = {p: [len(x) for x in texts.values()] for p, texts in by_path.items()}
+        gone[h] = frozenset(p for p, n in counts.items() if max(n) >= 2 and 2 * max(n) >= sum(n))
+    return {i: html_extract.extract(page, want.get(host(url), frozenset()), gone.get(host(url), frozenset())) for i, url, page in pages}
+
+
+LETTER = "Subscribe to our weekly letter today. It is full of good advice for all readers."
+BESIDE_NAMES = ["sidebar", "sidebar widget-area", "notice", "header", "site-header", "footer", "menu", "related", "widget", "disclaimer", "banner", "share", "cookie-notice", "newsletter", "comment", "user-reviews discussion"]
+
+
+@pytest.mark.parametrize("cls", BESIDE_NAMES)
+@pytest.mark.parametrize("frame", ["{a}{b}", "<div class=page>{a}{b}</div>", "<div class=page>{b}{a}</div>", "<div class=page><main>{a}</main>{b}</div>"])
+def test_html_named_parts_with_sentences_beside_the_article(cls, frame):
+    a, b = f'<div class="content"><h1>{HEAD}</h1><p>{PROSE}</p></div>', f'<div class="{cls}"><p>{LETTER}</p></div>'
+    assert own_text(f"<body>{frame.format(a=a, b=b)}</body>") == f"{HEAD}\n{PROSE.strip()}"
+
+
+def test_html_comments_heading_and_headline_in_a_header():
+    article = f"<div class=content><p>{PROSE}</p></div>"
+    assert own_text(f'<body><h1>{HEAD}</h1>{article}<div id="comments"><h3>Comments</h3><div class=comment>Nice.</div></div></body>') == f"{HEAD}\n{PROSE.strip()}"
+    assert own_text(f'<div class=page><div class="header"><h1>{HEAD}</h1><p>{LEAD}</p></div>{article}</div>').split("\n") == [HEAD, LEAD.strip(), PROSE.strip()]
+
+
+def test_html_hosts_decide_on_parts_inside(spark):
+    """Ten pages a host: what stands in the article under a name goes if it is the same on other pages, and stays if it is the page's own."""
+    body = lambda i: "".join(f"<p>Page {i} tells of thing {k}, and says what there is to say about it.</p>" for k in range(6))
+    page = lambda i, cls, note: f'<body><div class=page><div class="content"><h1>Title {i}</h1>{body(i)}<div class="{cls}"><p>{note}</p></div></div></div></body>'
+    own = lambda i: f"This holds for page {i} alone. Mind it well, reader {i}."
+    rows = []
+    for h, cls in enumerate(["notice", "widget", "banner", "disclaimer"]):
+        rows += [(f"http://same{h}.example/{i}", page(i, cls, LETTER)) for i in range(10)]
+        rows += [(f"http://own{h}.example/{i}", page(i, cls, own(i))) for i in range(10)]
+        rows += [(f"http://copies{h}.example/{i}", page(7, cls, own(7))) for i in range(10)]
+        rows += [(f"http://beside{h}.example/{i}", page(i, "x", own(i)).replace("</div></div></body>", f'</div><div class="{cls}"><p>{own(i)}</p></div></div></body>')) for i in range(10)]
+    rows = [(i, u, x) for i, (u, x) in enumerate(rows)]
+    got = {r.page_id: r.text for r in html_extract.extract_pages(spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(3)).collect()}
+    assert got == texts_of_hosts(rows)
+    for i, url, _ in rows:
+        kind, k = url.split("//")[1].split("/")[0].rstrip(".example").rstrip("0123"), int(url.rsplit("/", 1)[1])
+        k = 7 if kind == "copies" else k
+        lines = [f"Title {k}", *[f"Page {k} tells of thing {j}, and says what there is to say about it." for j in range(6)]]
+        assert got[i].split("\n") == lines + ([] if kind == "same" else [own(k)]), (url, got[i])
 
 
 # ---------------------------------------------------------------- hot keys and odd tables

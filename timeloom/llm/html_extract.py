@@ -12,9 +12,11 @@
 Inside the chosen containers the text is that of all blocks but those in parts that are never main text (scripts, styles,
 navigation, headers and footers of the page, asides, forms, hidden elements, and elements with a class, id or role that is as a whole
 the name of an advert, menu, notice, share bar or reader comments). Such names alone prove little, so a named part (or form) that holds
-most of the page's sentence text stays, unless it is of reader comments or an advert beside an article element; one named like a menu, header, notice, search or list of related
-pages goes only if most of its text is links, list items or labels; an id that repeats its heading is a mark to link to; and a page
-all of whose text has such names is read as if it had none. Named parts have no vote. Character references are decoded, white space inside
+most of the page's sentence text stays, unless it is of reader comments or an advert beside an article element; and a page all of whose text has
+such names is read as if it had none. Named parts have no vote. A part named like a sidebar, menu, header, notice, search or list of
+related pages goes if it stands beside the best container (or the article around it) instead of in it, but for one with the page's only
+headline, or if most of its text is links, list items or labels; in it, the host decides: a part goes if its text is the same on at least two different
+pages and on half of those that have a part of its path. An id that repeats its heading is a mark to link to, and counts as such a name. Character references are decoded, white space inside
 a block is one space, blocks are trimmed and joined by a line feed; nothing else is dropped or cut.
 
 Defined results: a null or empty page has the text "" (n_chars 0); a page without any container too. A null or odd URL is the host "".
@@ -31,6 +33,7 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -57,13 +60,13 @@ INLINE = frozenset("a abbr b bdi bdo big cite code del dfn em font i ins kbd lab
 COMMENTS = frozenset("comment comments commentlist disqus replies respond".split())
 OWN = frozenset("ad ads consent cookie cookies gdpr login modal newsletter popup signup subscribe".split())
 NAMED = frozenset(
-    "banner breadcrumb breadcrumbs disclaimer footer header masthead menu nav navbar navigation notice pagination pager recommended related search share sharing sidebar skip "
+    "banner breadcrumb breadcrumbs disclaimer discussion discussions footer header masthead menu nav navbar navigation notice pagination pager recommended related reviews search share sharing sidebar skip "
     "social toolbar topbar widget".split()
 )
 #: Words that may stand beside them; any other word (with-sidebar, no-header, related-work) makes it another name.
 BESIDE = frozenset(
-    "a area bar block body bottom box btn button buttons byline cat center column container count desktop div form global group holder home icon icons inner item items js label large left level link links list "
-    "main middle mobile module outer overlay panel page pages picks policy posts primary right row secondary section show site slot small sub text thread to top unit wrap wrapper".split()
+    "a area bar block body bottom box btn button buttons byline cat center column container count customer desktop div form global group holder home icon icons inner item items js label large left level link links list "
+    "main middle mobile module outer overlay panel page pages picks policy posts primary reader readers right row secondary section show site slot small sub text thread to top unit user users wrap wrapper".split()
 )
 #: Words before a name that isn't of a headline's place or of a layout.
 BEFORE = frozenset("article content entry in post story".split())
@@ -104,6 +107,7 @@ class Node:
     kind: str = ""  #: of a part: comments, own, named or form
     part: Node | None = None  #: innermost part, the node itself included
     name: str = ""  #: id of a part that only its id names
+    label: str = ""  #: of a part: its own step
     first: str | None = None
     chars: int = 0
     prose: int = 0
@@ -227,7 +231,7 @@ def parse(page: str, depth: int = PARAMS.depth) -> tuple[list[list[tuple[str, No
         if not node.skip:
             node.kind = _part(tag, found, node)
             if node.kind:
-                node.part = node
+                node.part, node.label = node, _step(tag, cls or found.get("id", ""))
                 parts.append(node)
         stack.append(node)
         opened[tag] += 1
@@ -252,6 +256,10 @@ def _plain(pieces: list[tuple[str, Node]]) -> tuple[str, bool]:
     return text, sum(len(t) for t, n in pieces if n.link) * 2 > sum(len(t) for t, _ in pieces)
 
 
+def part_path(x: Node) -> str:
+    return f"{x.path}|{x.label}"
+
+
 def _up(node: Node | None):
     while node is not None:
         yield node
@@ -261,7 +269,8 @@ def _up(node: Node | None):
 class Page:
     """Blocks of a page, (text, innermost element, mostly links?), as the vote and the extraction see them."""
 
-    def __init__(self, page: str | None):
+    def __init__(self, page: str | None, gone: frozenset[str] = frozenset()):
+        """gone: paths of parts that the host says are no text."""
         raw, self.parts, self.skipped = parse(page or "")
         self.raw = [(*_plain(pieces), pieces) for pieces in raw]
         parts = self.parts
@@ -269,15 +278,48 @@ class Page:
             self._judge(parts)
         #: Parts that may hold no vote, and those that are no text.
         self.silent = {id(x) for x in parts if x.kind}
-        self.dropped = {id(x) for x in parts if x.kind in ("comments", "own", "form") or x.kind and 2 * x.prose < x.chars}
+        self.dropped = {id(x) for x in parts if x.kind in ("comments", "own", "form") or x.kind and (2 * x.prose < x.chars or gone and part_path(x) in gone)}
         self.text = self._blocks(self.dropped)
         if not self.text:  # names said that all of the page is something else
             forms = {id(x) for x in parts if x.kind == "form"}
             self.silent, self.dropped, self.text = forms, forms, self._blocks(forms)
-        if self.dropped:
-            gone = self._within(self.dropped)
-            self.skipped += [(n, len(t.strip())) for _, _, pieces in self.raw for t, n in pieces if id(n.part) in gone]
         self.voting = (self._blocks(self.silent) if self.silent != self.dropped else self.text) or self.text
+        self._leave_beside()
+        if self.dropped:
+            out = self._within(self.dropped)
+            self.skipped += [(n, len(t.strip())) for _, _, pieces in self.raw for t, n in pieces if id(n.part) in out]
+
+    def _left(self) -> list[Node]:
+        """Named parts that are still text."""
+        return [x for x in self.parts if x.kind == "named" and id(x) in self.silent and id(x) not in self.dropped]
+
+    def _leave_beside(self) -> None:
+        """Drop the named parts that stand beside the best container, or the article around it."""
+        left = self._left()
+        if not left or not (best := containers(self.voting)) or best[0][0] <= 0:
+            return
+        host = next((x for x in _up(best[0][1]) if x.tag == "article"), best[0][1])
+        around, known = {id(x) for x in _up(host)}, {}
+        inside = lambda n: _around(n, {id(host)}, known) is not None
+        heads = [n for _, _, pieces in self.raw for _, n in pieces if n.tag == "h1"]
+        titled = set() if any(map(inside, heads)) else {id(u) for n in heads for u in _up(n)}
+        beside = {id(x) for x in left if id(x) not in around and id(x) not in titled and not inside(x)}
+        if beside:
+            self.dropped = self.dropped | beside
+            self.text = self._blocks(self.dropped)
+
+    def repeats(self) -> set[tuple[str, int]]:
+        """(path, hash of the text) of the named parts that are text."""
+        left = {id(x): [] for x in self._left()}
+        if not left:
+            return set()
+        for text, _, pieces in self.raw:
+            x = pieces[0][1].part if text else None
+            while x is not None:
+                if id(x) in left:
+                    left[id(x)].append(text)
+                x = x.outer
+        return {(part_path(x), xxhash.xxh64_intdigest("\n".join(left[id(x)])) >> 1) for x in self.parts if left.get(id(x))}
 
     def _within(self, those: set[int]) -> set[int]:
         """Those parts and all inside them."""
@@ -414,14 +456,17 @@ def widen(host: Node, whole: Page) -> Node:
 
 def vote(page: str | None) -> tuple[str, float] | None:
     """(path, score) of the page's best container, widened."""
-    whole = Page(page)
+    return _vote(Page(page))
+
+
+def _vote(whole: Page) -> tuple[str, float] | None:
     best = containers(whole.voting)
     return (widen(best[0][1], whole).path, best[0][0]) if best and best[0][0] > 0 else None
 
 
-def extract(page: str | None, paths: frozenset[str]) -> str:
-    """Main text of a page by its host's winning paths."""
-    whole = Page(page)
+def extract(page: str | None, paths: frozenset[str], gone: frozenset[str] = frozenset()) -> str:
+    """Main text of a page by its host's winning paths, without the parts the host says are none."""
+    whole = Page(page, gone)
     if not whole.text:
         return ""
 
@@ -461,19 +506,33 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     d = pages.select(F.col(id_col).alias("page_id"), url.alias("url"), host_of(url).alias("host"), F.col(html_col).alias("html"))
 
     def votes(batches):
+        """A vote a page (part null), and a row for each part whose text the host is asked about."""
         for b in batches:
-            found = [(k, v) for k, x in enumerate(b.column(1)) if (v := vote(x.as_py()))]
-            host = b.column(0).take(pa.array([k for k, _ in found], pa.int64()))
-            yield pa.RecordBatch.from_arrays([host, pa.array([v[0] for _, v in found], pa.string()), pa.array([v[1] for _, v in found], pa.float64())], ["host", "path", "score"])
-
-    counted = arrow_map(d.select("host", "html"), votes, "host string, path string, score double").groupBy("host", "path").agg(F.count("*").alias("votes"), F.sum("score").alias("score"))
-    counted = materialise(counted, "html-votes")
-    whole = counted.groupBy("host").agg(F.sum("votes").alias("all"))
+            rows = []
+            for k, x in enumerate(b.column(1)):
+                whole = Page(x.as_py())
+                if v := _vote(whole):
+                    rows.append((k, *v, None, None))
+                if asked := whole.repeats():
+                    this = xxhash.xxh64_intdigest("\n".join(t for t, _, _ in whole.voting)) >> 1
+                    rows += [(k, path, 0.0, h, this) for path, h in asked]
+            host = b.column(0).take(pa.array([r[0] for r in rows], pa.int64()))
+            kinds = (pa.string(), pa.float64(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([host, *[pa.array([r[i + 1] for r in rows], t) for i, t in enumerate(kinds)]], ["host", "path", "score", "part", "page"])
+
+    counted = arrow_map(d.select("host", "html"), votes, "host string, path string, score double, part bigint, page bigint")
+    counted = materialise(counted.groupBy("host", "path", "part", "page").agg(F.count("*").alias("votes"), F.sum("score").alias("score")), "html-votes")
+    ballots = counted.filter("part is null")
+    whole = ballots.groupBy("host").agg(F.sum("votes").alias("all"))
     # at most 1 / min_share paths a host are left to be ranked
-    best = counted.join(whole, "host").filter(F.col("votes") >= p.min_share * F.col("all"))
+    best = ballots.join(whole, "host").filter(F.col("votes") >= p.min_share * F.col("all"))
     hosts = best.groupBy("host").agg(F.array_sort(F.collect_list(F.struct((-F.col("votes")).alias("v"), (-F.round("score", 3)).alias("s"), "path"))).alias("ranked"))
     chosen = F.transform(F.slice("ranked", 1, p.paths), lambda x: x["path"])
-    winners = materialise(hosts.select("host", chosen.alias("paths")), "html-paths")
+    # copies of a page say nothing: a text counts once for each different page
+    same = counted.filter("part is not null").groupBy("host", "path", "part").agg(F.count("*").alias("n"))
+    same = same.groupBy("host", "path").agg(F.sum("n").alias("n"), F.max("n").alias("most")).filter((F.col("most") >= 2) & (2 * F.col("most") >= F.col("n")))
+    gone = same.groupBy("host").agg(F.sort_array(F.collect_set("path")).alias("gone"))
+    winners = materialise(hosts.select("host", chosen.alias("paths")).join(gone, "host", "full"), "html-paths")
     discard(counted)
     if winners.count() <= p.broadcast_hosts:
         joined = d.join(F.broadcast(winners), "host", "left")
@@ -484,12 +543,12 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
 
     def texts(batches):
         for b in batches:
-            paths = b.column(3).to_pylist()
-            out = [extract(x.as_py(), frozenset(y or ())) for x, y in zip(b.column(2), paths, strict=True)]
+            told = zip(b.column(2), b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True)
+            out = [extract(x.as_py(), frozenset(y or ()), frozenset(z or ())) for x, y, z in told]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string())], ["page_id", "url", "text"])
 
     kind = dict(d.dtypes)["page_id"]
-    return arrow_map(joined.select("page_id", "url", "html", "paths"), texts, f"page_id {kind}, url string, text string")
+    return arrow_map(joined.select("page_id", "url", "html", "paths", "gone"), texts, f"page_id {kind}, url string, text string")
 
 
 def op2(spark, sf_dir: str) -> DataFrame:
