@@ -25,7 +25,7 @@ def search_moments(items: DataFrame, query: str, vector: list[float], k: int = 1
     wrong = F.raise_error(F.concat(F.lit(f"the query has {len(vector)} dimensions, an item "), F.size("embedding").cast("string"))).cast("double")
     sim = F.when(F.size("embedding") == len(vector), dot(F.col("embedding"), F.array(*[F.lit(float(x)) for x in vector]))).when(F.col("embedding").isNotNull(), wrong)
     d = d.withColumn("__sim", sim).withColumn("similarity", F.round("__sim", 3))
-    d = d.withColumn("score", search_score(F.col("__sim"), keyword_overlap(keywords(F.lit(query)), F.col("text")), s))
+    d = d.withColumn("score", search_score(F.col("__sim"), keyword_overlap(keywords(F.lit(query)), F.coalesce("text", F.lit(""))), s))
     return d.drop("__sim", "embedding").orderBy(F.desc("score"), "pos").limit(k)
 
 

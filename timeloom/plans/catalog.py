@@ -17,7 +17,7 @@ from timeloom.functions import text as tx
 from timeloom.functions import timecode as tc
 from timeloom.functions.vectors import dot, l2_normalise, tag_blend
 from timeloom.operators import aggregates as ag
-from timeloom.operators import folds, grounding, intervals, retrieval, windows
+from timeloom.operators import folds, grounding, intervals, many, retrieval, windows
 from timeloom.sources.subtitles import parse_srt
 from timeloom.streaming import live
 
@@ -432,6 +432,24 @@ def search_moments(spark, sf):
     return retrieval.search_moments(items, "the reaning and ention of thandand onre", query_vector(spark, sf)).select("pos", "similarity", "score")
 
 
+@query(
+    "search_many",
+    rf"""WITH q AS (SELECT vec_id AS question_id, embedding AS b, list_filter(list_distinct(list_transform(regexp_extract_all(left(text, 60), '[\p{{L}}\p{{N}}_''-]+'), lambda w: lower(w))), lambda w: length(w) >= 6) AS keys
+  FROM embeddings JOIN documents ON vec_id = doc_id WHERE vec_id % 50 = 0),
+i AS (SELECT vec_id AS pos, embedding AS a, list_transform(regexp_extract_all(coalesce(text, ''), '[\p{{L}}\p{{N}}_''-]+'), lambda w: lower(w)) AS w FROM embeddings JOIN documents ON vec_id = doc_id),
+s AS (SELECT question_id, pos, {_DOT} AS sim, CASE WHEN len(keys) > 0 THEN len(list_intersect(keys, w)) / len(keys)::DOUBLE ELSE 0.0::DOUBLE END AS o FROM i, q),
+r AS (SELECT question_id, pos, round(sim, 3) AS similarity, round(sim + 0.15::DOUBLE * o, 3) AS score FROM s)
+SELECT question_id, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, pos)::INT AS place, pos, similarity, score FROM r QUALIFY place <= 10""",
+)
+def search_many(spark, sf):
+    """Questions made of the long words that texts begin with; every row whose id is divisible by 50 asks."""
+    e, d = read(spark, sf, "embeddings"), read(spark, sf, "documents")
+    items = e.join(d, e["vec_id"] == d["doc_id"]).select(F.col("vec_id").alias("pos"), "embedding", F.coalesce("text", F.lit("")).alias("text"))
+    begins = F.array_join(F.filter(F.transform(tx.words(F.substring("text", 1, 60)), F.lower), lambda w: F.length(w) >= 6), " ")
+    questions = items.filter("pos % 50 = 0").select(F.col("pos").alias("question_id"), begins.alias("query"), F.col("embedding").alias("vector"))
+    return many.search_many(items, questions).select("question_id", "place", "pos", "similarity", "score")
+
+
 @query(
     "find_by_tag",
     """WITH s AS (SELECT vec_id, label, round(CAST(embedding[1] AS DOUBLE), 6) + 0.5 AS score FROM embeddings WHERE label = 1), e AS (SELECT vec_id, label, vec_id % 11 = 0 AS graphic FROM embeddings)
