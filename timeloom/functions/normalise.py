@@ -43,8 +43,10 @@ def _list(v: Column, name: str) -> Column:
     return F.coalesce(_field(v, name, "array<variant>"), F.array().cast("array<variant>"))
 
 
-def _objects(v: Column, name: str) -> Column:
-    return F.filter(_list(v, name), lambda x: F.schema_of_variant(x).startswith("OBJECT"))
+def _objects(v: Column, name: str, *keys: str) -> Column:
+    """The objects of a list as structs of the VARIANTs under keys: the list is read once, anything else in it is passed over."""
+    kind = f"array<struct<{', '.join(f'{k}: variant' for k in keys)}>>"
+    return F.filter(F.coalesce(_field(v, name, kind), F.array().cast(kind)), lambda x: x.isNotNull())
 
 
 def confidence(v: Column) -> Column:
@@ -62,11 +64,11 @@ def _once(value: Column, body: Callable[[Column], Column]) -> Column:
 def _picked(v: Column) -> Column:
     """array of struct(tag, conf, evidence) of valid tags, from a list of objects or a map of confidences."""
     item = lambda tag, conf, evidence, bare: F.struct(tag.alias("tag"), conf.alias("conf"), evidence.alias("evidence"), bare.alias("bare"))
-    named = lambda x: F.when(F.schema_of_variant(_field(x, "tag")) == "STRING", _field(x, "tag", "string"))
-    listed = F.transform(_objects(v, "tags"), lambda x: item(named(x), confidence(_field(x, "confidence")), _string(_field(x, "evidence")), _field(x, "evidence").isNull()))
+    named = lambda x: F.when(F.schema_of_variant(x) == "STRING", F.try_variant_get(x, "$", "string"))
+    listed = F.transform(_objects(v, "tags", "tag", "confidence", "evidence"), lambda x: item(named(x["tag"]), confidence(x["confidence"]), _string(x["evidence"]), x["evidence"].isNull()))
     mapped = F.transform(F.map_entries(_field(v, "tags", "map<string,variant>")), lambda e: item(e["key"], confidence(e["value"]), F.lit(""), F.lit(True)))
     # a tag with an empty reason is a guess
-    return F.filter(F.when(_field(v, "tags", "array<variant>").isNotNull(), listed).otherwise(F.coalesce(mapped, listed)), lambda x: x["conf"].isNotNull() & (x["bare"] | (x["evidence"] != "")))
+    return F.filter(F.coalesce(mapped, listed), lambda x: x["conf"].isNotNull() & (x["bare"] | (x["evidence"] != "")))
 
 
 def best_of_tags(picked: Column, vocabulary: tuple[str, ...] = TAGS) -> Column:
@@ -107,7 +109,7 @@ def frame(text: Column) -> Column:
 
     def fields(v):
         s = lambda k: _string(_field(v, k)).alias(k)
-        people = F.transform(_objects(v, "people"), lambda x: F.struct(*[_string(_field(x, k)).alias(k) for k in ("description", "action", "expression")]))
+        people = F.transform(_objects(v, "people", "description", "action", "expression"), lambda x: F.struct(*[_string(x[k]).alias(k) for k in ("description", "action", "expression")]))
         day = _string(_field(v, "time_of_day"))
         return F.struct(v.isNotNull().alias("valid"), s("caption"), s("on_screen_text"), F.slice(people, 1, 6).alias("people"), s("setting"), F.when(day != "", day).otherwise("unknown").alias("time_of_day"), _strings(v, "objects", 8).alias("objects"), s("shot_type"), s("mood"))
 
@@ -128,13 +130,13 @@ def profile(text: Column) -> Column:
 
     def fields(v):
         s = lambda k: _string(_field(v, k)).alias(k)
-        named = lambda x: F.when(F.schema_of_variant(_field(x, "genre")) == "STRING", _field(x, "genre", "string"))
-        read = F.transform(_objects(v, "genres"), lambda x: F.struct(named(x).alias("genre"), confidence(_field(x, "confidence")).alias("confidence"), _string(_field(x, "evidence")).alias("evidence")))
+        named = lambda x: F.when(F.schema_of_variant(x) == "STRING", F.try_variant_get(x, "$", "string"))
+        read = F.transform(_objects(v, "genres", "genre", "confidence", "evidence"), lambda x: F.struct(named(x["genre"]).alias("genre"), confidence(x["confidence"]).alias("confidence"), _string(x["evidence"]).alias("evidence")))
         good = F.filter(read, lambda g: g["genre"].isin(*GENRES) & (g["evidence"] != "") & g["confidence"].isNotNull())
         first = _once(good, lambda a: F.filter(a, lambda g, i: F.array_position(F.transform(a, lambda x: x["genre"]), g["genre"]) == i + 1))
         ranked = F.sort_array(F.transform(first, lambda g, i: F.struct((-g["confidence"]).alias("c"), i.alias("i"), g.alias("g"))))
         genres = F.transform(ranked, lambda x: F.struct(x["g"]["genre"].alias("genre"), F.round(x["g"]["confidence"], 2).alias("confidence"), x["g"]["evidence"].alias("evidence")))
-        people = F.transform(_objects(v, "characters"), lambda x: F.struct(*[_string(_field(x, k)).alias(k) for k in ("name", "role", "description")]))
+        people = F.transform(_objects(v, "characters", "name", "role", "description"), lambda x: F.struct(*[_string(x[k]).alias(k) for k in ("name", "role", "description")]))
         kind = F.when(F.schema_of_variant(_field(v, "video_type")) == "STRING", _field(v, "video_type", "string"))
         return F.struct(
             v.isNotNull().alias("valid"), F.when(kind.isin(*VIDEO_TYPES), kind).otherwise("other").alias("video_type"), genres.alias("genres"), s("logline"), s("plot"),
