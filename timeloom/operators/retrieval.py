@@ -10,6 +10,7 @@ from timeloom.functions.fuzzy import window_ratio
 from timeloom.functions.text import keyword_overlap, keywords, words
 from timeloom.functions.vectors import dot, search_score, tag_blend
 from timeloom.operators.intervals import in_window, scene_at
+from timeloom.operators.ordering import positions
 from timeloom.operators.windows import ordinal_rank, thin
 
 
@@ -72,14 +73,15 @@ def search_dialogue(lines: DataFrame, query: str, k: int = 8, least: float = 0.6
     return out.orderBy(F.desc("score"), "start_ms", "id", *ties).limit(k)
 
 
-def build_items(scenes: DataFrame, lines: DataFrame, texts: DataFrame, width_ms: int = 600_000) -> DataFrame:
+def build_items(scenes: DataFrame, lines: DataFrame, texts: DataFrame, width_ms: int = 600_000, large: int | None = None) -> DataFrame:
     """Everything worth searching, with positions: scenes that didn't fail, reliable lines, on-screen texts; blank ones are left out.
 
     scenes: video_id, scene, start_ms, end_ms, error, text (its scene_text); lines and texts: video_id, id, start_ms, end_ms, text.
+    Positions go by kind, start, id and scene; a line in several scenes has one for each of them. large: see `ordering.positions`.
     """
     story = scenes.filter("error is null").withColumn("id", F.col("scene").cast("string"))
     placed = lambda d: scene_at(d.select("video_id", F.col("id").cast("string").alias("id"), "start_ms", "end_ms", F.trim("text").alias("text")).filter("text <> ''"), scenes.select("video_id", "scene", "start_ms", "end_ms"), width_ms)
     parts = (("scene", story), ("dialogue", placed(lines.filter("reliable"))), ("text", placed(texts)))
     rows = [d.select("video_id", F.lit(rank).alias("__r"), F.concat(F.lit(f"{kind}:"), F.col("id")).alias("id"), F.lit(kind).alias("kind"), "scene", "start_ms", "end_ms", "text", F.col("id").alias("ref")) for rank, (kind, d) in enumerate(parts)]
     d = rows[0].unionByName(rows[1]).unionByName(rows[2])
-    return d.withColumn("pos", F.row_number().over(Window.partitionBy("video_id").orderBy("__r", "start_ms", "ref")) - 1).drop("__r")
+    return positions(d, ["video_id"], "__r", "start_ms", "ref", "scene", large=large).withColumn("pos", F.col("__at")).drop("__r", "__at", "__n")

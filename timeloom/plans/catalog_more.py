@@ -164,14 +164,12 @@ def evidence_rows(spark, sf):
 p AS (SELECT video_id, 'dialogue' AS kind, 1 AS r, CAST(id AS VARCHAR) AS ref, start_ms, end_ms, text FROM lines WHERE reliable UNION ALL SELECT video_id, 'text', 2, CAST(id AS VARCHAR), start_ms, end_ms, text FROM texts),
 j AS (SELECT p.video_id, p.kind, p.r, p.ref, p.start_ms, p.end_ms, p.text, coalesce(s.scene, CASE WHEN (p.start_ms + p.end_ms) // 2 >= m.e THEN m.s END) AS scene FROM p LEFT JOIN scenes s ON s.video_id = p.video_id AND s.start_ms <= (p.start_ms + p.end_ms) // 2 AND (p.start_ms + p.end_ms) // 2 < s.end_ms LEFT JOIN last l ON l.video_id = p.video_id),
 u AS (SELECT video_id, 'scene' AS kind, 0 AS r, CAST(scene AS VARCHAR) AS ref, start_ms, end_ms, description AS text, scene FROM scenes WHERE error IS NULL UNION ALL BY NAME SELECT * FROM j)
-SELECT video_id, kind || ':' || ref AS id, kind, scene, start_ms, text, ref, dense_rank() OVER (PARTITION BY video_id ORDER BY r, start_ms, ref) - 1 AS pos FROM u""",
+SELECT video_id, kind || ':' || ref AS id, kind, scene, start_ms, text, ref, row_number() OVER (PARTITION BY video_id ORDER BY r, start_ms, ref, scene NULLS FIRST) - 1 AS pos FROM u""",
 )
 def build_items(spark, sf):
+    """The operator's own positions; scenes of the stand-in overlap, so a line may lie in several and has a position in each."""
     d = retrieval.build_items(rows(spark, sf, "scenes").withColumn("text", F.col("description")), rows(spark, sf, "lines"), rows(spark, sf, "texts"), 2 * HOUR)
-    # scenes of the stand-in overlap, so a line may lie in several: one position for each line
-    first = windows.first_per(d, ["video_id", "id"], "scene").select("video_id", "id", "start_ms", "ref", F.when(F.col("kind") == "scene", 0).when(F.col("kind") == "dialogue", 1).otherwise(2).alias("r"))
-    pos = first.withColumn("p", F.row_number().over(catalog.Window.partitionBy("video_id").orderBy("r", "start_ms", "ref")) - 1).select("video_id", "id", "p")
-    return d.join(pos, ["video_id", "id"]).select("video_id", "id", "kind", "scene", "start_ms", "text", "ref", F.col("p").cast("bigint").alias("pos"))
+    return d.select("video_id", "id", "kind", "scene", "start_ms", "text", "ref", "pos")
 
 
 # ---------------------------------------------------------------- JSON of models
@@ -195,14 +193,28 @@ def scene_json(spark, sf):
     return d.select("id", "valid", "title", F.array_join("characters", ",").alias("characters"), "mood", "time_of_day", F.col("tags")["fight"].alias("fight"), F.col("tags")["sad"].alias("sad"), F.size("tags").alias("n_tags"), reasons.alias("reasons"))
 
 
-_FRAME_JSON = """'{"caption": " C' || CAST(event_id AS STRING) || chr(10) || 'x ", "on_screen_text": null, "time_of_day": "' || CASE WHEN event_id % 2 = 0 THEN 'night' ELSE ' ' END || '", "people": [{"description": "p' || CAST(event_id % 4 AS STRING) || '", "action": 3}, "odd", {"expression": " sad "}], "objects": ["o", "", "o"], "shot_type": ["wide"]}'"""
+#: The words of a turn, in SQL of either engine.
+_WORDS_SPARK = "filter(split(translate(text, '\\n\\t', '  '), ' '), w -> w <> '')"
+_WORDS_DUCK = "list_filter(string_split(replace(replace(text, chr(10), ' '), chr(9), ' '), ' '), lambda w: w <> '')"
 
 
-@query("frame_json", "SELECT event_id AS id, 'C' || CAST(event_id AS VARCHAR) || chr(10) || 'x' AS caption, '' AS on_screen_text, CASE WHEN event_id % 2 = 0 THEN 'night' ELSE 'unknown' END AS time_of_day, 'p' || CAST(event_id % 4 AS VARCHAR) || '//,//sad' AS people, 'o,o' AS objects, '' AS shot_type FROM events")
+@query(
+    "frame_json",
+    f"""WITH d AS (SELECT conv_id, turn, text, {_WORDS_DUCK} AS w FROM conversations)
+SELECT conv_id, turn, trim(text, ' ') AS caption, CASE WHEN turn % 2 = 0 THEN w[1] ELSE '' END AS on_screen_text, CASE WHEN turn % 3 = 0 THEN 'night' ELSE 'unknown' END AS time_of_day,
+ array_to_string(list_transform(w[1:6], lambda x: x || '/' || CASE WHEN turn % 2 = 0 THEN x ELSE '' END || '/'), ',') AS people, array_to_string(w[1:8], ',') AS objects, '' AS shot_type FROM d""",
+)
 def frame_json(spark, sf):
-    d = normalise.fields(read(spark, sf, "events").select(F.col("event_id").alias("id"), F.expr(_FRAME_JSON).alias("j")), "j", normalise.frame, ["id"])
-    people = F.array_join(F.transform("people", lambda p: F.concat_ws("/", p["description"], p["action"], p["expression"])), ",")
-    return d.select("id", "caption", "on_screen_text", "time_of_day", people.alias("people"), F.array_join("objects", ",").alias("objects"), "shot_type")
+    """Frames told in the words of turns: people with and without an action, numbers and texts among them, more than are kept."""
+    d = read(spark, sf, "conversations").withColumn("w", F.expr(_WORDS_SPARK))
+    even = F.col("turn") % 2 == 0
+    people = F.transform("w", lambda x: F.struct(F.concat(F.lit(" "), x).alias("description"), F.when(even, x).alias("action"), F.lit("  ").alias("expression")))
+    day = F.when(F.col("turn") % 3 == 0, "night ").when(F.col("turn") % 3 == 1, " ")
+    j = F.to_json(F.struct(F.concat(F.lit(" "), F.col("text")).alias("caption"), F.when(even, F.get("w", F.lit(0))).alias("on_screen_text"), people.alias("people"), day.alias("time_of_day"), F.col("w").alias("objects"), F.array(F.lit("wide")).alias("shot_type")))
+    j = F.replace(F.replace(j, F.lit('"people":['), F.lit('"people":["odd",3,null,[{}],')), F.lit('"objects":['), F.lit('"objects":[7,"",{},'))
+    x = normalise.fields(d.select("conv_id", "turn", j.alias("j")), "j", normalise.frame, ["conv_id", "turn"])
+    told = F.array_join(F.transform("people", lambda p: F.concat_ws("/", p["description"], p["action"], p["expression"])), ",")
+    return x.select("conv_id", "turn", "caption", "on_screen_text", "time_of_day", told.alias("people"), F.array_join("objects", ",").alias("objects"), "shot_type")
 
 
 _PROFILE_JSON = """'{"video_type": "' || CASE WHEN event_id % 2 = 0 THEN 'trailer' ELSE 'film' END || '", "genres": [{"genre": "drama", "confidence": 0.4, "evidence": "d"}, {"genre": "war", "confidence": ' || CAST(value / 300 AS STRING) || ', "evidence": "w"},
@@ -219,20 +231,40 @@ def profile_json(spark, sf):
     return d.select("id", "video_type", F.array_join(F.transform("genres", lambda g: g["genre"]), ",").alias("genres"), war.alias("war"), "plot", F.array_join("themes", ",").alias("themes"), F.array_join(F.transform("characters", lambda c: F.concat_ws("/", c["name"], c["role"])), ",").alias("characters"))
 
 
-@query("chapter_json", "SELECT event_id AS id, 'T' AS title, CAST(event_id AS VARCHAR) AS summary, '1,2,3,4,5,6,7,8' AS events, '1,2,3,4,5' AS locations, '' AS mood FROM events")
+@query(
+    "chapter_json",
+    f"""WITH d AS (SELECT conv_id, turn, text, {_WORDS_DUCK} AS w, turn % 5 <> 4 AS valid FROM conversations)
+SELECT conv_id, turn, valid, CASE WHEN valid AND turn % 5 <> 3 THEN w[1] ELSE '' END AS title, CASE WHEN valid THEN trim(text, ' ') ELSE '' END AS summary, CASE WHEN valid THEN array_to_string(w[1:8], ',') ELSE '' END AS events,
+ CASE WHEN valid AND turn % 5 <> 2 THEN array_to_string(w[3:7], ',') ELSE '' END AS locations, '' AS mood FROM d""",
+)
 def chapter_json(spark, sf):
-    nine = '["1","2","3","4","5","6","7","8","9"]'
-    text = F.concat(F.lit('{"title": "T", "summary": "'), F.col("event_id").cast("string"), F.lit(f'", "events": {nine}, "locations": {nine}}}'))
-    d = normalise.fields(read(spark, sf, "events").select(F.col("event_id").alias("id"), text.alias("j")), "j", normalise.chapter, ["id"])
-    return d.select("id", "title", "summary", F.array_join("events", ",").alias("events"), F.array_join("locations", ",").alias("locations"), "mood")
+    """Chapters told in the words of turns: titles that are numbers, places that are no list, blanks and numbers among events, and replies cut off."""
+    d = read(spark, sf, "conversations").withColumn("w", F.expr(_WORDS_SPARK))
+    pad = F.transform("w", lambda x: F.concat(F.lit(" "), x, F.lit("  ")))
+    events = F.flatten(F.transform(pad, lambda x: F.array(F.lit(" "), x)))
+    told = F.to_json(F.struct(F.concat(F.lit("  "), F.get("w", F.lit(0))).alias("title"), F.concat(F.lit(" "), F.col("text"), F.lit(" ")).alias("summary"), events.alias("events"), F.slice("w", 3, 9).alias("locations")))
+    told = F.when(F.col("turn") % 5 == 3, F.regexp_replace(told, '"title":"[^"]*"', '"title":17')).when(F.col("turn") % 5 == 2, F.regexp_replace(told, '"locations":', '"locations":"none","other":')).otherwise(told)
+    told = F.when(F.col("turn") % 5 == 4, F.substr(told, F.lit(1), F.length(told) - 1)).otherwise(told)
+    x = normalise.fields(d.select("conv_id", "turn", told.alias("j")), "j", normalise.chapter, ["conv_id", "turn"])
+    return x.select("conv_id", "turn", "valid", "title", "summary", F.array_join("events", ",").alias("events"), F.array_join("locations", ",").alias("locations"), "mood")
+
+
+#: Texts of the conversations, with quotes and line feeds, as both engines read them.
+_SAID = "replace(text, ',', '\"')"
 
 
-@query("tolerant_json", "SELECT event_id AS id, 'a' || chr(10) || CAST(event_id AS VARCHAR) AS x, event_id % 2 = 0 AS valid FROM events")
+@query(
+    "tolerant_json",
+    f"SELECT conv_id, turn, CASE WHEN turn % 4 IN (0, 1) THEN {_SAID} END AS x, CASE WHEN turn % 4 = 1 THEN conv_id END AS n, turn % 4 <> 3 AS valid FROM conversations",
+)
 def tolerant_json(spark, sf):
-    text = F.concat(F.lit('{"x": "a\n'), F.col("event_id").cast("string"), F.lit('"'), F.when(F.col("event_id") % 2 == 0, "}").otherwise(""))
+    """Whole objects, with raw line feeds and tabs in strings; lists, which have no fields; texts that end too early."""
+    escaped = F.replace(F.expr(_SAID), F.lit('"'), F.lit('\\"'))
+    whole = F.concat(F.lit('\t{"x":\n"'), escaped, F.lit('", "n": '), F.when(F.col("turn") % 4 == 1, F.col("conv_id").cast("string")).otherwise('"none"'), F.lit("}"))
+    cut = F.substr(whole, F.lit(1), (F.length(whole) - 1 - F.col("conv_id") % 9).cast("int"))
+    text = F.when(F.col("turn") % 4 == 2, F.concat(F.lit("["), whole, F.lit("]"))).when(F.col("turn") % 4 == 3, cut).otherwise(whole)
     v = normalise.tolerant_json(text)
-    whole = F.coalesce(F.try_variant_get(v, "$.x", "string"), F.concat(F.lit("a\n"), F.col("event_id").cast("string")))
-    return read(spark, sf, "events").select(F.col("event_id").alias("id"), whole.alias("x"), v.isNotNull().alias("valid"))
+    return read(spark, sf, "conversations").select("conv_id", "turn", F.try_variant_get(v, "$.x", "string").alias("x"), F.try_variant_get(v, "$.n", "bigint").alias("n"), v.isNotNull().alias("valid"))
 
 
 # ---------------------------------------------------------------- figures of the stages
@@ -408,11 +440,18 @@ def scene_text(spark, sf):
     return d.select("video_id", "scene", tx.scene_text(F.col("title"), F.col("description"), F.array().cast("array<string>"), F.col("characters"), F.lit("park"), none, F.col("mood"), F.col("tags")).alias("text"))
 
 
-@query("tag_queries", "SELECT event_id AS id, CASE WHEN event_id % 2 = 0 THEN 'a movie scene with dream or vision: what is dreamt' ELSE 'a movie scene with fight: ' END AS query, left('0123456789', CAST(event_id % 11 AS INTEGER)) AS cut FROM events")
+@query(
+    "tag_queries",
+    f"""WITH t AS (SELECT unnest(range(0, {len(TAGS)})) AS k, unnest([{", ".join(f"'{t}'" for t in TAGS)}]) AS tag)
+SELECT conv_id, turn, 'a movie scene with ' || replace(CASE WHEN turn % 2 = 0 THEN tag ELSE replace(left(text, 20), ' ', '_') END, '_', ' ') || ': ' || CASE WHEN turn % 2 = 0 AND k % 2 = 0 THEN 'about ' || tag ELSE '' END AS query,
+ CASE WHEN length(text) > 200 THEN left(text, 200) || '{answers.CUT}' ELSE text END AS cut FROM conversations JOIN t ON k = conv_id % {len(TAGS)}""",
+)
 def tag_queries(spark, sf):
-    e = F.col("event_id")
-    tag = F.when(e % 2 == 0, "dream_or_vision").otherwise("fight")
-    return read(spark, sf, "events").select(e.alias("id"), tx.tag_query(tag, {"dream_or_vision": "what is dreamt"}).alias("query"), tx.cut_text(F.substring(F.lit("0123456789"), F.lit(1), (e % 11).cast("int")), 10).alias("cut"))
+    """Tags of the vocabulary, every other one defined, and words of texts as tags; texts cut with the mark."""
+    known = F.element_at(F.array(*map(F.lit, TAGS)), (F.col("conv_id") % len(TAGS) + 1).cast("int"))
+    tag = F.when(F.col("turn") % 2 == 0, known).otherwise(F.replace(F.substring("text", 1, 20), F.lit(" "), F.lit("_")))
+    asked = tx.tag_query(tag, {t: f"about {t}" for t in TAGS[::2]})
+    return read(spark, sf, "conversations").select("conv_id", "turn", asked.alias("query"), tx.cut_text(F.col("text"), 200, answers.CUT).alias("cut"))
 
 
 @query("pinned_language", f"WITH {IV}, c AS (SELECT video_id, CAST(row_number() OVER (PARTITION BY video_id ORDER BY start_ms, id) AS INTEGER) AS k, kind, CAST(id % 10 AS DOUBLE) / 10 AS p, id % 4 AS n FROM iv), f AS (SELECT video_id, min(k) AS k FROM c WHERE n > 0 AND p >= 0.5 GROUP BY 1) SELECT c.video_id, c.k AS index, g.kind AS pinned FROM c LEFT JOIN f ON f.video_id = c.video_id AND f.k < c.k LEFT JOIN c g ON g.video_id = f.video_id AND g.k = f.k")
@@ -470,23 +509,41 @@ def stale_files(spark, sf):
     return sinks.stale_files(f.select("file"), f.filter("event_id % 4 <> 0").select("file"))
 
 
-@query("map_union", "SELECT event_id AS id, 'a=' || CAST(event_id % 2 + 10 AS VARCHAR) || ',b=1,c=3' AS m FROM events")
+@query(
+    "map_union",
+    """WITH w AS (SELECT conv_id, turn, list_distinct(string_split(left(text, 120), ' ')) AS a, list_distinct(string_split(right(text, 120), ' ')) AS b FROM conversations)
+SELECT conv_id, turn, array_to_string(list_sort(list_transform(list_distinct(list_concat(a, b)), lambda k: k || '=' || CASE WHEN list_contains(b, k) THEN length(k) + turn ELSE length(k) END)), ',') AS m FROM w""",
+)
 def map_union(spark, sf):
-    a, b = F.create_map(F.lit("a"), F.lit(1).cast("bigint"), F.lit("b"), F.lit(1).cast("bigint")), F.create_map(F.lit("a"), F.col("event_id") % 2 + 10, F.lit("c"), F.lit(3).cast("bigint"))
-    m = F.sort_array(F.transform(F.map_entries(summaries.map_union(a, b)), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))))
-    return read(spark, sf, "events").select(F.col("event_id").alias("id"), F.array_join(m, ",").alias("m"))
+    """Maps of the first and of the last words of each turn; where both have a word the second's value counts."""
+    pairs = lambda text, more: F.map_from_entries(F.transform(F.array_distinct(F.split(text, " ")), lambda k: F.struct(k.alias("k"), (F.length(k) + more).cast("bigint").alias("v"))))
+    m = summaries.map_union(pairs(F.substring("text", 1, 120), F.lit(0)), pairs(F.right("text", F.lit(120)), F.col("turn")))
+    listed = F.sort_array(F.transform(F.map_entries(m), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))))
+    return read(spark, sf, "conversations").select("conv_id", "turn", F.array_join(listed, ",").alias("m"))
 
 
-@query("first_texts", "SELECT event_id AS id, 'a,' || CAST(event_id AS VARCHAR) AS t FROM events")
+@query("first_texts", "SELECT conv_id, turn, array_to_string(list_filter(list_transform(string_split(text, '.'), lambda x: trim(x, ' ')), lambda x: x <> '')[1:turn % 4 + 1], '|') AS t FROM conversations")
 def first_texts(spark, sf):
-    t = F.array(F.lit(" a "), F.lit(" "), F.col("event_id").cast("string"), F.lit("z"))
-    return read(spark, sf, "events").select(F.col("event_id").alias("id"), F.array_join(tx.first_texts(t, 2), ",").alias("t"))
+    """The first one to four sentences of each turn."""
+    parts = F.split("text", r"\.")
+    picked = F.element_at(F.array(*[tx.first_texts(parts, n) for n in (1, 2, 3, 4)]), (F.col("turn") % 4 + 1).cast("int"))
+    return read(spark, sf, "conversations").select("conv_id", "turn", F.array_join(picked, "|").alias("t"))
+
 
+#: What may stand in a caption: graphics, and what only looks like one.
+_PUT = ("a Logo", "logos", "digital  art", "Digital Art.", "digital artist", "an abstract design", "geometric patterns", "(geometric pattern)", "catalogo", "a man")
 
-@query("caption_flags", "SELECT event_id AS id, event_id % 2 = 0 AS graphic, CASE WHEN event_id % 3 = 0 THEN 'said' ELSE '[speech in another language]' END AS text FROM events")
+
+@query(
+    "caption_flags",
+    f"""WITH p AS (SELECT unnest(range(0, {len(_PUT)})) AS k, unnest([{", ".join(f"'{w}'" for w in _PUT)}]) AS w)
+SELECT conv_id, turn, regexp_matches(left(text, 30) || ' ' || w || ' ' || right(text, 30), '(?i){tx.GRAPHIC.replace("'", "''")}') AS graphic,
+ CASE WHEN (conv_id * turn) % 3 = 0 THEN text ELSE '{tx.MASK}' END AS text FROM conversations JOIN p ON k = (conv_id + turn) % {len(_PUT)}""",
+)
 def caption_flags(spark, sf):
-    e = F.col("event_id")
-    return read(spark, sf, "events").select(e.alias("id"), tx.is_graphic(F.when(e % 2 == 0, "A LOGO here").otherwise("logos")).alias("graphic"), tx.masked(F.lit("said"), e % 3 == 0).alias("text"))
+    put = F.element_at(F.array(*[F.lit(w) for w in _PUT]), ((F.col("conv_id") + F.col("turn")) % len(_PUT) + 1).cast("int"))
+    caption = F.concat_ws(" ", F.substring("text", 1, 30), put, F.right("text", F.lit(30)))
+    return read(spark, sf, "conversations").select("conv_id", "turn", tx.is_graphic(caption).alias("graphic"), tx.masked(F.col("text"), (F.col("conv_id") * F.col("turn")) % 3 == 0).alias("text"))
 
 
 # ---------------------------------------------------------------- times and streams
@@ -526,11 +583,17 @@ def padded_windows(spark, sf):
     return d.groupBy("video_id", "core_ms").agg(F.count("*").alias("n"), F.count_if("own").alias("own"))
 
 
-@query("progress_lines", "SELECT event_id AS id, event_id * 1000 AS out_time_us, event_id % 2 = 0 AS ended FROM events")
+@query(
+    "progress_lines",
+    """SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN NULL WHEN 3 THEN NULL ELSE conv_id * 1000 + turn END AS out_time_us, turn % 4 = 2 AS ended FROM conversations""",
+)
 def progress_lines(spark, sf):
-    e = F.col("event_id")
-    text = F.concat(F.lit("frame=1\nout_time_us=5\nout_time_us="), (e * 1000).cast("string"), F.lit("\nprogress="), F.when(e % 2 == 0, "end").otherwise("continue"), F.lit("\n"))
-    return read(spark, sf, "events").select(e.alias("id"), jobs.progress_lines(text).alias("p")).select("id", "p.*")
+    """Logs with no block yet, with one, with several that have ended, and with a time that is none; a text stands between the lines."""
+    block = lambda at, state: F.concat(F.lit("frame="), F.col("turn").cast("string"), F.lit("\n"), F.replace("text", F.lit("\n"), F.lit(" ")), F.lit("\nout_time_us="), at, F.lit(f"\nprogress={state}\n"))
+    now = (F.col("conv_id") * 1000 + F.col("turn")).cast("string")
+    logs = (F.concat(F.lit("xout_time_us=7\n"), F.col("text")), block(now, "continue"), F.concat(block(F.lit("12"), "continue"), block(F.lit("N/A"), "continue"), block(now, "end")), F.concat(block(now, "end"), block(F.lit("N/A"), "continue")))
+    text = F.element_at(F.array(*logs), (F.col("turn") % 4 + 1).cast("int"))
+    return read(spark, sf, "conversations").select("conv_id", "turn", jobs.progress_lines(text).alias("p")).select("conv_id", "turn", "p.*")
 
 
 #: Replies by shape: answers whole, cut off, with the action last, escaped, of two halves; calls of a tool; something else.
