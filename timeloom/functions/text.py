@@ -85,6 +85,11 @@ def tags_over(tags: Column, threshold: float) -> Column:
     return F.map_keys(F.map_filter(tags, lambda _, v: v >= threshold))
 
 
+def tags_present(tags: Column) -> Column:
+    """The tags above zero."""
+    return F.map_filter(tags, lambda _, v: v > 0)
+
+
 def best_tags(tags: Column, threshold: float = 0.5, most: int | None = None, by_name: bool = False) -> Column:
     """Names of the tags (map of confidences) at the threshold or above, best first; ties in the map's order, or by_name the last name first."""
     entries = F.filter(F.transform(F.map_entries(tags), lambda e, i: F.struct(e["value"].alias("v"), i.alias("i"), e["key"].alias("k"))), lambda x: x["v"] >= threshold)

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import itertools
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager, suppress
 from typing import Protocol
 
 import pandas as pd
@@ -35,6 +36,10 @@ class Recogniser(Protocol):
     def transcribe(self, samples, language: str | None, offset_ms: int) -> list[dict]: ...
 
 
+class LanguageDetector(Protocol):
+    def detect_language(self, samples) -> tuple[str, dict[str, float]]: ...
+
+
 class ShotDetector(Protocol):
     def detect(self, content: bytes, start_ms: int, end_ms: int) -> list[tuple[int, int]]: ...
 
@@ -46,6 +51,23 @@ def ready(model: object) -> None:
         check()
 
 
+@contextmanager
+def loaded(make: Callable[[], object]) -> Iterator:
+    """A task's model, from being made to the task's end: `load` and `warm_up` before the first row, `unload` after the last or after a failure, each if it has one.
+
+    A model that warms up badly works all the same; one that can't be loaded fails the task.
+    """
+    model = make()
+    told = lambda name: getattr(model, name, lambda: None)
+    try:
+        told("load")()
+        with suppress(Exception):
+            told("warm_up")()
+        yield model
+    finally:
+        told("unload")()
+
+
 def hash_embedding(text: Column, dim: int = 16) -> Column:
     """Stand-in embedder: signed counts of word hashes, unit length; built-ins only."""
     words = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_'-]+"), F.lit(0))
@@ -71,20 +93,20 @@ def call_model(rows: DataFrame, make: Callable[[], TextModel], system: str, prom
     schema = T.StructType([*rows.schema.fields, T.StructField("reply", T.StringType()), T.StructField("error", T.StringType())])
 
     def run(batches: Iterator[pd.DataFrame]):
-        model = make()
-        for b in batches:
-            replies, errors = [], []
-            for p in b[prompt]:
-                reply = error = None
-                for _ in range(retries + 1):
-                    try:
-                        reply, error = json.dumps(model.generate_json(system, p), sort_keys=True), None
-                        break
-                    except Exception as e:  # noqa: BLE001 - an error row, as the contract has it
-                        error = str(e)
-                replies.append(reply)
-                errors.append(error)
-            yield b.assign(reply=replies, error=errors)
+        with loaded(make) as model:
+            for b in batches:
+                replies, errors = [], []
+                for p in b[prompt]:
+                    reply = error = None
+                    for _ in range(retries + 1):
+                        try:
+                            reply, error = json.dumps(model.generate_json(system, p), sort_keys=True), None
+                            break
+                        except Exception as e:  # noqa: BLE001 - an error row, as the contract has it
+                            error = str(e)
+                    replies.append(reply)
+                    errors.append(error)
+                yield b.assign(reply=replies, error=errors)
 
     return rows.mapInPandas(run, schema)
 
@@ -107,12 +129,12 @@ def stream_replies(rows: DataFrame, make: Callable[[], StreamingModel], system:
             yield n, "", True, str(e) or type(e).__name__
 
     def run(batches: Iterator[pd.DataFrame]):
-        model = make()
-        for b in batches:
-            for k, text in zip(b[key], b[prompt], strict=True):
-                told = pieces(model, text)
-                while some := list(itertools.islice(told, 256)):
-                    yield pd.DataFrame([(k, *x) for x in some], columns=schema.names)
+        with loaded(make) as model:
+            for b in batches:
+                for k, text in zip(b[key], b[prompt], strict=True):
+                    told = pieces(model, text)
+                    while some := list(itertools.islice(told, 256)):
+                        yield pd.DataFrame([(k, *x) for x in some], columns=schema.names)
 
     return rows.select(key, prompt).mapInPandas(run, schema)
 
@@ -131,19 +153,19 @@ def describe_images(rows: DataFrame, make: Callable[[], Vision], image: str = "c
             return None, str(e) or type(e).__name__
 
     def run(batches: Iterator[pd.DataFrame]):
-        model = make()
-        for b in batches:
-            found: list[tuple[str | None, str | None]] = []
-            for i in range(0, len(b), batch):
-                part = [bytes(x) for x in b[image][i : i + batch]]
-                try:
-                    replies = model.describe(part)
-                    if len(replies) != len(part):
-                        raise ValueError("replies and images differ in number")
-                    found += [(json.dumps(r, sort_keys=True), None) for r in replies]
-                except Exception:  # noqa: BLE001 - the bad one is found one by one
-                    found += [one(model, x) for x in part]
-            yield b[kept].assign(reply=[r for r, _ in found], error=[e for _, e in found])
+        with loaded(make) as model:
+            for b in batches:
+                found: list[tuple[str | None, str | None]] = []
+                for i in range(0, len(b), batch):
+                    part = [bytes(x) for x in b[image][i : i + batch]]
+                    try:
+                        replies = model.describe(part)
+                        if len(replies) != len(part):
+                            raise ValueError("replies and images differ in number")
+                        found += [(json.dumps(r, sort_keys=True), None) for r in replies]
+                    except Exception:  # noqa: BLE001 - the bad one is found one by one
+                        found += [one(model, x) for x in part]
+                yield b[kept].assign(reply=[r for r, _ in found], error=[e for _, e in found])
 
     return rows.mapInPandas(run, schema)
 
@@ -154,16 +176,16 @@ def _each(rows: DataFrame, kept: list[str], make, call, out: str) -> DataFrame:
     schema = T.StructType([*[rows.schema[c] for c in kept], *fields, T.StructField("error", T.StringType())])
 
     def run(batches: Iterator[pd.DataFrame]):
-        model = make()
-        for b in batches:
-            found = []
-            for row in b.to_dict("records"):
-                key = tuple(row[c] for c in kept)
-                try:
-                    found += [(*key, *x, None) for x in call(model, row)]
-                except Exception as e:  # noqa: BLE001 - an error row
-                    found.append((*key, *[None] * len(fields), str(e) or type(e).__name__))
-            yield pd.DataFrame(found, columns=schema.names)
+        with loaded(make) as model:
+            for b in batches:
+                found = []
+                for row in b.to_dict("records"):
+                    key = tuple(row[c] for c in kept)
+                    try:
+                        found += [(*key, *x, None) for x in call(model, row)]
+                    except Exception as e:  # noqa: BLE001 - an error row
+                        found.append((*key, *[None] * len(fields), str(e) or type(e).__name__))
+                yield pd.DataFrame(found, columns=schema.names)
 
     return rows.mapInPandas(run, schema)
 
@@ -180,6 +202,45 @@ def transcribe(slices: DataFrame, make: Callable[[], Recogniser]) -> DataFrame:
     return _each(slices, ["video_id", "chunk_id"], make, call, ddl).withColumnsRenamed({"seg_start_ms": "start_ms", "seg_end_ms": "end_ms"})
 
 
+def span_of_segment(start_ms: int, end_ms: int, offset_ms: int, n: int, rate: int = 16_000) -> tuple[int, int] | None:
+    """Samples around a segment that are listened to: two seconds at least, clamped to the n there are; None under a quarter of a second."""
+    mid, half = (start_ms + end_ms) / 2 - offset_ms, max((end_ms - start_ms) / 2, 1000)
+    first, past = max(0, int((mid - half) * rate / 1000)), min(n, int((mid + half) * rate / 1000))
+    return (first, past) if past - first >= rate // 4 else None
+
+
+def check_languages(chunks: DataFrame, make: Callable[[], LanguageDetector]) -> DataFrame:
+    """Segments of chunks (video_id, chunk_id, start_ms, samples, language, segments) with the language each is heard in: lang, and lang_prob of the chunk's own language.
+
+    Words of another tongue, forced into the chunk's language, look like words of it; the sound tells. A segment too short to judge keeps what
+    it had, and so do a chunk's other segments once the detector fails: the check is an extra.
+    """
+    import numpy as np
+
+    kind = chunks.schema["segments"].dataType.elementType
+    schema = T.StructType([chunks.schema["video_id"], chunks.schema["chunk_id"], *kind.fields])
+
+    def run(batches: Iterator[pd.DataFrame]):
+        with loaded(make) as model:
+            for b in batches:
+                out = []
+                for row in b.to_dict("records"):
+                    sound, works = np.asarray(row["samples"] if row["samples"] is not None else [], np.float32), True
+                    for s in row["segments"] if row["segments"] is not None else ():
+                        s = dict(s)
+                        span = span_of_segment(s["start_ms"], s["end_ms"], row["start_ms"], len(sound)) if works else None
+                        if span:
+                            try:
+                                top, shares = model.detect_language(sound[slice(*span)])
+                                s |= {"lang": top, "lang_prob": round(float(dict(shares or {}).get(row["language"], 0.0)), 3)}
+                            except Exception:  # noqa: BLE001 - see above
+                                works = False
+                        out.append((row["video_id"], row["chunk_id"], *[s[n] for n in kind.names]))
+                yield pd.DataFrame(out, columns=schema.names)
+
+    return chunks.select("video_id", "chunk_id", "start_ms", "samples", "language", "segments").mapInPandas(run, schema)
+
+
 def detect_shots(windows: DataFrame, make: Callable[[], ShotDetector]) -> DataFrame:
     """Shots of windows (video_id, chunk_id, start_ms, end_ms, content): one row in, many out."""
     d = windows.withColumnsRenamed({"start_ms": "w_start", "end_ms": "w_end"})

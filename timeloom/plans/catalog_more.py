@@ -509,6 +509,17 @@ def stale_files(spark, sf):
     return sinks.stale_files(f.select("file"), f.filter("event_id % 4 <> 0").select("file"))
 
 
+@query(
+    "tags_present",
+    """SELECT conv_id, turn, array_to_string(list_sort(list_filter(list_distinct(string_split(left(text, 80), ' ')), lambda w: length(w) % 4 > 1)), ',') AS tags FROM conversations""",
+)
+def tags_present(spark, sf):
+    """Scenes as they are listed show no tag of confidence 0 (or below, or null): words of turns as tags, by their length."""
+    share = lambda w: F.when(F.length(w) % 4 == 0, 0.0).when(F.length(w) % 4 == 1, F.when(F.length(w) > 4, -0.5)).otherwise(0.25)
+    words = F.transform(F.array_distinct(F.split(F.substring("text", 1, 80), " ")), lambda w: F.struct(w.alias("k"), share(w).alias("v")))
+    return read(spark, sf, "conversations").select("conv_id", "turn", F.array_join(F.sort_array(F.map_keys(tx.tags_present(F.map_from_entries(words)))), ",").alias("tags"))
+
+
 @query(
     "map_union",
     """WITH w AS (SELECT conv_id, turn, list_distinct(string_split(left(text, 120), ' ')) AS a, list_distinct(string_split(right(text, 120), ' ')) AS b FROM conversations)
