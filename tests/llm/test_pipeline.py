@@ -1,16 +1,18 @@
 """The pipeline stage by stage: against the operators, and against plain versions."""
 
+import os
 import random
 import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 
 import corpus_pipeline
 from tests.conftest import SF
 from tests.llm import plain
 from tests.llm.test_operators import brute_targets, whole_ids
-from timeloom.llm import decontam, quality_rules, simhash
+from timeloom.llm import common, decontam, quality_rules, simhash
 from timeloom.llm import token_output as to
 from timeloom.llm.common import materialise, table
 
@@ -119,3 +121,21 @@ def test_run_is_all_stages(spark):
         docs = materialise(stage(spark, docs, SF), "test")
     key = lambda d: sorted((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in d.collect())
     assert key(corpus_pipeline.run(spark, SF)) == key(docs)
+
+
+def test_nothing_but_the_result_remains(spark):
+    before = set(common._written)
+    out = corpus_pipeline.run(spark, SF)
+    left = [p.rpartition("/")[2].rpartition("-")[0] for p in set(common._written) - before]
+    assert left == ["tokens"] and out.count() > 0
+    folder = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    assert {p.rpartition("/")[2] for p in common._written} >= {x for x in os.listdir(folder) if x.startswith(("stage-", "mix-", "simhash-", "dedup-", "decontam-", "hot-", "tokens-"))}
+
+
+def test_scopes_delete_after_failures(spark):
+    before = set(common._written)
+    with pytest.raises(ValueError), common.scope("kept"):
+        materialise(spark.range(3), "kept")
+        materialise(spark.range(3), "gone")
+        raise ValueError
+    assert [p.rpartition("/")[2][:5] for p in set(common._written) - before] == ["kept-"]

@@ -6,6 +6,7 @@ import atexit
 import tempfile
 import uuid
 from collections.abc import Collection, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -63,6 +64,18 @@ def discard(*tables: DataFrame) -> None:
         _delete(t._timeloom_path)
 
 
+@contextmanager
+def scope(*keep: str) -> Iterator[None]:
+    """What is written inside is deleted at the end, but for tables whose name is in keep: for stages whose own result is written by then."""
+    before = set(_written)
+    try:
+        yield
+    finally:
+        for path in set(_written) - before:
+            if path.rpartition("/")[2].rpartition("-")[0] not in keep:
+                _delete(path)
+
+
 def _delete(path: str) -> None:
     spark = _written.pop(path, None)
     if spark is not None and spark.sparkContext._jsc is not None:
