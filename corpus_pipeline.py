@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from timeloom.llm import decontam, mixing, quality_rules, simhash, token_output
-from timeloom.llm.common import discard, fresh, materialise, table
+from timeloom.llm.common import discard, fresh, materialise, scope, table
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,12 +61,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each stage's table is deleted when the next one is written."""
+    """All stages over documents; what a stage wrote on its way is deleted once its own table is there, and that when the next one's is."""
     docs, last = table(spark, sf_dir, "documents"), None
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = materialise(docs, f"stage-{k + 1}")
+        own = f"stage-{k + 1}" if k < len(STAGES) - 1 else "tokens"
+        with scope(own):
+            docs = stage(spark, docs, sf_dir)
+            if k < len(STAGES) - 1:
+                docs = materialise(docs, own)
         if last is not None:  # the last stage has written its tokens
             discard(last)
         last = docs
