@@ -83,3 +83,35 @@ def test_queries(spark, name):
     for t in ("events", "conversations", "embeddings", "documents", "labels"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     same(catalog.QUERIES[name](spark, SF).toPandas(), con.execute(catalog.ORACLES[name]).df())
+
+
+@pytest.mark.parametrize("hard", [0.02, 0.3, 1.0])
+def test_scenes_of_a_large_video(spark, hard):
+    """Folded between hard cuts and in one piece; tails that join and that don't, videos of one shot and of one scene."""
+    rnd = random.Random(int(hard * 100))
+    rows = []
+    for v in ["hot", "warm", *map(str, range(12))]:
+        n, at = {"hot": 700, "warm": 90}.get(v, rnd.randint(1, 6)), 0
+        for i in range(n):
+            long = rnd.choice([500, 4000, 20_000, 90_000, 400_000] if i < n - 1 else [500, 90_000])
+            score = 2.5 if rnd.random() < hard else rnd.choice([None, -0.2, 0.3, 0.7, 0.9])
+            rows.append((v, i + 1, at, at + long, rnd.random() < 0.2, score))
+            at += long
+    d = spark.createDataFrame(rows, "video_id string, shot int, start_ms bigint, end_ms bigint, graphic boolean, score double").repartition(4)
+    key = lambda x: sorted(map(tuple, x.collect()))
+    plain = key(folds.segment(d, large=None))
+    assert plain == key(folds.segment(d, large=50, size=60)) and plain == key(folds.segment(d, large=0, size=60)) and len(plain) > 20
+
+
+@pytest.mark.parametrize("gap", [0, 1, 30])
+def test_shots_of_a_large_video(spark, gap):
+    rnd = random.Random(gap)
+    rows = []
+    for v, n in (("hot", 500), ("a", 3), ("b", 40)):
+        at = 0
+        for _ in range(n):
+            at += rnd.choice([0, 5, 10, gap + 12])
+            rows.append((v, at, at + rnd.choice([0, 3, 10, 25]), rnd.random() < 0.4, rnd.random() < 0.4, [at, at + 1]))
+    d = spark.createDataFrame(rows, "video_id string, start_ms bigint, end_ms bigint, clipped_start boolean, clipped_end boolean, keyframes array<bigint>").repartition(3)
+    key = lambda x: sorted((r.video_id, r.shot, r.start_ms, r.end_ms, tuple(r.keyframes)) for r in x.collect())
+    assert key(folds.merge_shots(d, large=None)) == key(folds.merge_shots(d, large=30, size=50)) == key(folds.merge_shots(d, F.lit(10**9), large=0, size=50))

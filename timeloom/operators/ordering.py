@@ -13,6 +13,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -112,3 +113,15 @@ def sessions(df: DataFrame, keys: list[str], at: str, gap: int, *tie: str, large
     begun = begun.withColumn("__before", F.coalesce(F.sum("__c").over(ranges.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__c")
     x = _with_ranges(x, keys, begun).withColumn("session", F.col("__before") + F.sum("__new").over(own.rowsBetween(Window.unboundedPreceding, 0)))
     return out.unionByName(x.select(out.columns))
+
+
+def before_in_ranges(ranged: DataFrame, keys: list[str], by: list[Column], value: Column, total: Callable, out: str) -> DataFrame:
+    """Rows of `split_large` with `out`: total (F.sum or F.max) of value over the rows before, null for a key's first."""
+    d = ranged.withColumn("__v", value)
+    ranges = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    per = d.groupBy(*keys, "__range").agg(total("__v").alias("__t"))
+    per = per.withColumn("__before", total("__t").over(ranges)).drop("__t")
+    own = total("__v").over(Window.partitionBy(*keys, "__range").orderBy(*by).rowsBetween(Window.unboundedPreceding, -1))
+    x = _with_ranges(d, keys, per).withColumn("__own", own)
+    both = F.col("__before") + F.col("__own") if total is F.sum else F.greatest("__before", "__own")
+    return x.withColumn(out, F.coalesce(both, "__before", "__own")).drop("__v", "__before", "__own")
