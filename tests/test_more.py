@@ -155,6 +155,17 @@ def test_mentions_of_odd_names(spark):
     assert got == {x: sum(bool(re.search(r"\b" + re.escape(x) + r"\b", t.lower())) for t in lines) for x in names}
 
 
+def test_words_of_lines_are_not_broadcast(spark, tmp_path):
+    """A small file of many words: its size says nothing about theirs, so no join may broadcast the words or carry their lines with them."""
+    spark.range(300).selectExpr("'v' video_id", "id", "repeat('Ann Bob and so on ', 200) text").coalesce(1).write.parquet(str(tmp_path / "lines"))
+    names = spark.createDataFrame([("v", "ann"), ("v", "ann bob"), ("v", "so off")], "video_id string, key string")
+    got = aggregates.mention_counts(names, spark.read.parquet(str(tmp_path / "lines")))
+    plan = got._jdf.queryExecution().sparkPlan().toString().splitlines()
+    assert not [x for x in plan if "BroadcastHashJoin" in x and "word#" in x]
+    assert not [x for x in plan if "Generate explode" in x and "line#" in x.split(")), [")[-1]]
+    assert {r.key: r.mentions for r in got.collect()} == {"ann": 300, "ann bob": 300, "so off": 0}
+
+
 @pytest.fixture(scope="module")
 def tables(spark):
     make = lambda name, rows: spark.createDataFrame(rows, schema(name))

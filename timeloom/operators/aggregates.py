@@ -46,14 +46,19 @@ WORD_CHAR = r"[\p{L}\p{N}_]"
 def mention_counts(names: DataFrame, lines: DataFrame) -> DataFrame:
     """Lines that mention each name (key, lower case) as whole words: an equality join on the name's first word, then the name between word ends.
 
-    names: video_id, key; lines: video_id, id, text. Names without a word are in no line.
+    names: video_id, key; lines: video_id, id, text. Names without a word are in no line. Words are joined without their lines; only where a name
+    has more than its word is the line fetched. Both joins are merges: a table of words is estimated at the size of its compressed file, many
+    times too small, and would be broadcast.
     """
     first = F.regexp_extract("key", f"({WORD_CHAR}+)", 1)
-    n = names.select("video_id", "key", first.alias("word")).distinct()
-    w = lines.select("video_id", "id", F.lower("text").alias("line")).withColumn("word", F.explode(F.array_distinct(F.regexp_extract_all("line", F.lit(f"{WORD_CHAR}+"), F.lit(0)))))
-    plain = F.col("key") == F.col("word")  # a name of one word needs no pattern
+    n = names.select("video_id", "key", first.alias("word")).distinct().filter("word <> ''")
+    said = lines.select("video_id", "id", F.lower("text").alias("line"))
+    w = said.select("video_id", "id", F.explode(F.array_distinct(F.regexp_extract_all("line", F.lit(f"{WORD_CHAR}+"), F.lit(0)))).alias("word"))
+    met = n.join(w.hint("merge"), ["video_id", "word"])
+    plain = met.filter("key = word").select("video_id", "key", "id")  # a name of one word needs no pattern
     edge = F.concat(F.lit(f"(?<!{WORD_CHAR})\\Q"), F.replace(F.col("key"), F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit(f"\\E(?!{WORD_CHAR})"))
-    hit = n.filter("word <> ''").join(w, ["video_id", "word"]).filter(plain | F.regexp_like(F.col("line"), edge))
+    longer = met.filter("key <> word").join(said.hint("merge"), ["video_id", "id"]).filter(F.regexp_like(F.col("line"), edge)).select("video_id", "key", "id")
+    hit = plain.unionByName(longer)
     return names.select("video_id", "key").join(hit.groupBy("video_id", "key").agg(F.count_distinct("id").alias("mentions")), ["video_id", "key"], "left").na.fill(0, ["mentions"])
 
 
