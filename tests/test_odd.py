@@ -24,3 +24,15 @@ def test_descriptions_in_odd_letters(spark, tmp_path):
     texts += ["a still. \xa0\u00dfx \u3000", " \u1f80x", "x a scene. The image is from a movie\u2028", "The \u0131mage \u017fhow\u017f \u00dfen.", "a\x01\x01b", "", None, "\r\n", "x is written in white text\x85 y"]
     texts += [f"from a movie. {t}" for t in texts if t]
     check(spark, tmp_path, "clean_description", documents=pd.DataFrame({"doc_id": range(len(texts)), "text": texts}))
+
+
+def events(values, at=lambda k: k * 3_600_000):
+    """Events of two users."""
+    n = len(values)
+    ts = pd.Series([pd.Timestamp("2024-01-01") + pd.Timedelta(milliseconds=at(k // 2)) for k in range(n)]).astype("datetime64[us]")
+    return pd.DataFrame({"event_id": range(n), "ts": ts, "user_id": [k % 2 for k in range(n)], "event_type": "view", "value": [float(v) for v in values], "props": "{}"})
+
+
+def test_rows_of_no_length_at_the_beginning_are_owned(spark, tmp_path):
+    got = check(spark, tmp_path, "midpoint_ownership", events=events([0, 0, 0, 5, 0, -0.5] + [30, 0.0] * 60))
+    assert len(got) == 126 and set(got[got.row_id < 2].chunk_id) == {"chunk_0000"}

@@ -104,7 +104,9 @@ def midpoint_ownership(spark, sf):
     c = folds.plan_chunks(m, WIDE)
     e = spans(spark, sf).join(m.select("video_id", "zero"), "video_id")
     e = e.select("video_id", F.col("id").alias("row_id"), (F.col("start_ms") - F.col("zero")).alias("start_ms"), (F.col("end_ms") - F.col("zero")).alias("end_ms"))
-    found = intervals.overlap_join(e, c.select("video_id", F.col("id").alias("chunk_id"), "start_ms", F.greatest("end_ms", F.col("core_end_ms") + WIDE.overlap_ms).alias("end_ms")), WIDE.chunk_ms)
+    # not cut to the video: a row of no length at its very beginning overlaps no range that begins with it
+    padded = c.select("video_id", F.col("id").alias("chunk_id"), (F.col("core_start_ms") - WIDE.overlap_ms).alias("start_ms"), (F.col("core_end_ms") + WIDE.overlap_ms).alias("end_ms"))
+    found = intervals.overlap_join(e, padded, WIDE.chunk_ms)
     rows = found.select(F.col("a_video_id").alias("video_id"), F.col("a_row_id").alias("row_id"), F.col("b_chunk_id").alias("chunk_id"), F.col("a_start_ms").alias("start_ms"), F.col("a_end_ms").alias("end_ms"))
     return intervals.owned_rows(rows, c).select("video_id", "row_id", "chunk_id")
 
