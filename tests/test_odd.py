@@ -36,3 +36,12 @@ def events(values, at=lambda k: k * 3_600_000):
 def test_rows_of_no_length_at_the_beginning_are_owned(spark, tmp_path):
     got = check(spark, tmp_path, "midpoint_ownership", events=events([0, 0, 0, 5, 0, -0.5] + [30, 0.0] * 60))
     assert len(got) == 126 and set(got[got.row_id < 2].chunk_id) == {"chunk_0000"}
+
+
+#: Values whose confidences lie halfway between two places, three times each.
+HALVES = [1.5 + 3 * (k // 3) for k in range(330)] + [0, 120, 150, 300]
+
+
+def test_profiles_round_as_doubles_do(spark, tmp_path):
+    got = check(spark, tmp_path, "profile_json", events=events(HALVES)).set_index("id").war
+    assert (got[HALVES.index(43.5)], got[HALVES.index(172.5)], got[HALVES.index(100.5)]) == (0.14, 0.57, 0.34)

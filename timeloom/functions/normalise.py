@@ -56,6 +56,11 @@ def confidence(v: Column) -> Column:
     return F.when(empty, 0.0).when(number.isNotNull(), F.least(F.greatest(number, F.lit(0.0)), F.lit(1.0)))
 
 
+def two_places(x: Column) -> Column:
+    """Rounded to two places, as the double times 100 rounds; F.round goes by the shortest decimal instead, so 0.145 differs."""
+    return F.round(x * 100.0) / 100.0
+
+
 def _once(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value computed once a row."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
@@ -135,7 +140,7 @@ def profile(text: Column) -> Column:
         good = F.filter(read, lambda g: g["genre"].isin(*GENRES) & (g["evidence"] != "") & g["confidence"].isNotNull())
         first = _once(good, lambda a: F.filter(a, lambda g, i: F.array_position(F.transform(a, lambda x: x["genre"]), g["genre"]) == i + 1))
         ranked = F.sort_array(F.transform(first, lambda g, i: F.struct((-g["confidence"]).alias("c"), i.alias("i"), g.alias("g"))))
-        genres = F.transform(ranked, lambda x: F.struct(x["g"]["genre"].alias("genre"), F.round(x["g"]["confidence"], 2).alias("confidence"), x["g"]["evidence"].alias("evidence")))
+        genres = F.transform(ranked, lambda x: F.struct(x["g"]["genre"].alias("genre"), two_places(x["g"]["confidence"]).alias("confidence"), x["g"]["evidence"].alias("evidence")))
         people = F.transform(_objects(v, "characters", "name", "role", "description"), lambda x: F.struct(*[_string(x[k]).alias(k) for k in ("name", "role", "description")]))
         kind = F.when(F.schema_of_variant(_field(v, "video_type")) == "STRING", _field(v, "video_type", "string"))
         return F.struct(
