@@ -45,3 +45,8 @@ HALVES = [1.5 + 3 * (k // 3) for k in range(330)] + [0, 120, 150, 300]
 def test_profiles_round_as_doubles_do(spark, tmp_path):
     got = check(spark, tmp_path, "profile_json", events=events(HALVES)).set_index("id").war
     assert (got[HALVES.index(43.5)], got[HALVES.index(172.5)], got[HALVES.index(100.5)]) == (0.14, 0.57, 0.34)
+
+
+def test_scenes_round_as_doubles_do(spark, tmp_path):
+    got = check(spark, tmp_path, "scene_json", events=events(HALVES)).set_index("id").fight
+    assert got[HALVES.index(55.5)] == 0.09  # 55.5 / 300 - 0.1 is just below 0.085, times 100 it is 8.5

@@ -86,7 +86,7 @@ def best_of_tags(picked: Column, vocabulary: tuple[str, ...] = TAGS) -> Column:
 def tag_map(best: Column, vocabulary: tuple[str, ...] = TAGS) -> Column:
     """Confidence of every tag of the vocabulary, two places; 0 if it wasn't picked."""
     names = F.array(*map(F.lit, vocabulary))
-    return F.map_from_arrays(names, F.transform(names, lambda t: F.round(F.coalesce(F.try_element_at(best, t)["c"], F.lit(0.0)), 2)))
+    return F.map_from_arrays(names, F.transform(names, lambda t: two_places(F.coalesce(F.try_element_at(best, t)["c"], F.lit(0.0)))))
 
 
 def tag_reasons(best: Column) -> Column:
