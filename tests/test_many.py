@@ -65,3 +65,28 @@ def test_query(spark):
     got = catalog.QUERIES["search_many"](spark, SF)
     same(got.toPandas(), con.execute(catalog.ORACLES["search_many"]).df())
     assert got.select(F.count_distinct("question_id")).first()[0] > 1
+
+
+def test_blocks_share_a_scan(spark):
+    """Blocks of questions are no scans of their own, and texts don't pass through Python."""
+    rnd = random.Random(3)
+    items = spark.createDataFrame([(i, "t", "fire water", unit(rnd)) for i in range(30)], ITEM)
+    questions = spark.createDataFrame([(i, "fire", unit(rnd)) for i in range(12)], "question_id int, query string, vector array<double>")
+    found = many.search_many(items, questions, 3, block=4)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "text" not in next(x for x in plan.splitlines() if "MapInArrow" in x)
+    assert found.count() == 36
+
+
+def test_frequent_and_rare_keywords(spark):
+    """Keywords of nearly all questions go into the product, those of few are added: both as in single searches."""
+    rnd = random.Random(5)
+    said = ["every", *[f"rare{i}" for i in range(40)]]
+    rows = [(i, "t", " ".join(rnd.choices(said, k=5)), unit(rnd)) for i in range(300)]
+    items = spark.createDataFrame(rows, ITEM).repartition(3)
+    asked = [(i, f"every rare{i} rare{(i + 1) % 40}", unit(rnd)) for i in range(40)]
+    got = {}
+    for r in many.search_many(items, spark.createDataFrame(asked, "question_id int, query string, vector array<double>"), 5).collect():
+        got.setdefault(r.question_id, []).append((r.place, r.pos, r.similarity, r.score))
+    for q, text, v in asked[::8]:
+        assert sorted(got[q]) == [(n, r.pos, r.similarity, r.score) for n, r in enumerate(retrieval.search_moments(items, text, v, 5).collect(), 1)]
