@@ -230,3 +230,15 @@ def test_audit_words_travel_once(spark):
     """The aggregates by word and by text need no shuffle beyond the one of the texts."""
     plan = filter_audit.word_counts(filter_audit._keyed(common.table(spark, SF, "documents"), "doc_id", "text", "lang"))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "PythonUDF" not in plan
+
+
+def test_packing_units_go_many_in_a_call():
+    """Units between marks are encoded as one by one, those that hold marks themselves too; a call takes hundreds."""
+    import public_tokenizers
+
+    e = packing.UnitEncoder(public_tokenizers.path(packing.PACK.tokenizer), packing.PACK)
+    texts = [f" w{i}".encode() for i in range(600)] + [b"<|endoftext|>", b"<|endoftext", b"|>", b" ", b"\xff", "é ".encode(), b"a<|endoftext|>b"] + [f"x{i}'s".encode() for i in range(300)]
+    want, calls = e.whole(texts), []
+    plain, e.whole = e.whole, lambda few: calls.append(len(few)) or plain(few)
+    assert e.joined(texts) == want
+    assert sum(calls) <= 256  # only the group with marks goes one by one

@@ -80,6 +80,9 @@ class UnitEncoder:
         spec = json.loads(self.tokenizer.to_str())
         self.by_units = (spec["normalizer"], spec["pre_tokenizer"]) == _KNOWN
         self.marks = [t["content"].encode() for t in spec["added_tokens"]]
+        #: A mark that stands apart from whatever is beside it.
+        apart = [t for t in spec["added_tokens"] if not (t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"])]
+        self.between = (apart[0]["content"].encode(), apart[0]["id"]) if self.by_units and apart else None
         self.new: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
@@ -87,20 +90,40 @@ class UnitEncoder:
         coded = self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
         return [array("i", x.ids).tobytes() for x in coded]
 
+    def joined(self, texts: list[bytes]) -> list[bytes]:
+        """`whole` of short texts, many in one call with a mark between each two."""
+        if self.between is None:
+            return self.whole(texts)
+        mark, number = self.between
+        out = []
+        for i in range(0, len(texts), 256):
+            few = texts[i : i + 256]
+            line = mark.join(few)
+            own = sum(line.count(m) for m in self.marks) - (len(few) - 1)
+            ids = np.array(self.tokenizer.encode_batch_fast([line.decode("utf-8", "replace")], add_special_tokens=False)[0].ids, "<i4") if not own else None
+            at = (4 * np.flatnonzero(ids == number)).tolist() if not own else []
+            if own or len(at) != len(few) - 1:
+                out += self.whole(few)  # texts with marks of their own
+            else:
+                raw = ids.tobytes()
+                out += [raw[x:y] for x, y in zip([0, *[x + 4 for x in at]], [*at, len(raw)], strict=True)]
+        return out
+
     def encode(self, keys: list[bytes]) -> list[bytes]:
         """keys: all different."""
         coded = list(map(self.new.get, keys))
         gaps = [i for i, c in enumerate(coded) if c is None]
         if gaps:
-            found = {keys[i]: c for i in gaps if (c := self.old.get(keys[i])) is not None}
-            missing = [keys[i] for i in gaps if keys[i] not in found]
-            found.update(zip(missing, self.whole(missing), strict=True))
+            asked = [keys[i] for i in gaps]
+            found = list(map(self.old.get, asked))
+            fresh = iter(self.joined([k for k, c in zip(asked, found, strict=True) if c is None]))
+            found = [next(fresh) if c is None else c for c in found]
             if len(self.new) + len(found) > self.p.known:
                 self.old, self.new = self.new, {}
-            for i in gaps:
-                coded[i] = found[keys[i]]
-                if len(keys[i]) <= self.p.known_bytes:
-                    self.new[keys[i]] = coded[i]
+            for i, c in zip(gaps, found, strict=True):
+                coded[i] = c
+            most = self.p.known_bytes
+            self.new.update([x for x in zip(asked, found, strict=True) if len(x[0]) <= most])
         return coded
 
 
@@ -140,8 +163,9 @@ def units(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     kind[lead] = kind[lead + 1] = _LETTER
     turn = np.flatnonzero((kind[1:] != kind[:-1]) & ~space[1:] & ~space[:-1] & ~edge[1:n]) + 1
     word = np.searchsorted(ends, turn, side="right")
-    unknown = np.unique(np.searchsorted(ends, np.flatnonzero(kind == _ODD), side="right"))
-    flag[turn[~np.isin(word, unknown)]] = True
+    unknown = np.zeros(len(ends) + 1, bool)
+    unknown[np.searchsorted(ends, np.flatnonzero(kind == _ODD), side="right")] = True
+    flag[turn[~unknown[word]]] = True
     return np.flatnonzero(flag[:n])
 
 
@@ -153,8 +177,9 @@ def _odd(e: UnitEncoder, data: bytes, offsets: np.ndarray) -> np.ndarray:
         while at >= 0:
             found.append(at)
             at = data.find(mark, at + 1)
+    there = {c for c in {o[0] for o in _OTHER_SPACE} if data.find(c) >= 0}
     for c in _OTHER_SPACE:
-        at = data.find(c)
+        at = data.find(c) if c[0] in there else -1
         while at >= 0:
             after = at + len(c)
             text = int(np.searchsorted(offsets, at, side="right")) - 1
@@ -187,7 +212,7 @@ def encode_block(e: UnitEncoder, data: np.ndarray, offsets: np.ndarray, end_id:
         starts = starts[np.cumsum(inside)[starts] == 0]
         starts = np.unique(np.concatenate((starts, offsets[whole][offsets[whole] < offsets[whole + 1]])))
     ends = np.append(starts[1:], len(data)) if len(starts) else starts
-    text = np.searchsorted(offsets, starts, side="right") - 1
+    text = np.repeat(np.arange(n), np.diff(np.searchsorted(starts, offsets)))
     found = distinct_words(data, starts, ends, np.zeros(len(starts), np.int64)) if len(starts) else (starts, starts)
     if found is None:
         one, number = np.unique(np.array([raw[x:y] for x, y in zip(starts.tolist(), ends.tolist(), strict=True)], object), return_index=True, return_inverse=True)[1:]
@@ -233,8 +258,9 @@ def encode_long(e: UnitEncoder, data: np.ndarray, p: Pack) -> tuple[np.ndarray,
 def offered(docs: np.ndarray, stops: np.ndarray, p: Pack) -> tuple[np.ndarray, np.ndarray]:
     """Positions where windows may be cut, 0 and the end among them, and what a cut there costs."""
     total = int(docs[-1])
-    ends = np.union1d(docs, stops[stops < total])
-    ends = np.concatenate(([0], ends[ends > 0]))
+    mark = np.zeros(total + 1, bool)
+    mark[0] = mark[docs] = mark[stops] = True
+    ends = np.flatnonzero(mark)
     gap = np.diff(ends)
     wide = np.flatnonzero(gap > p.capacity)
     more = (gap[wide] - 1) // p.capacity
@@ -243,23 +269,24 @@ def offered(docs: np.ndarray, stops: np.ndarray, p: Pack) -> tuple[np.ndarray, n
     full = ends[:-1] + p.capacity
     reach = ends[np.searchsorted(ends, full, side="right") - 1]
     full = full[(full < total) & (full - reach > p.inside - p.sentence)]
-    at = np.unique(np.concatenate((ends, chain, full)))
-    cost = np.full(len(at), p.inside, np.int64)
-    cost[np.searchsorted(at, ends)] = p.sentence
-    cost[np.searchsorted(at, docs)] = 0
-    cost[0] = 0
-    return at, cost
+    price = np.full(total + 1, p.inside, np.int8 if max(p.inside, p.sentence) < 128 else np.int64)
+    price[ends], price[docs], price[0] = p.sentence, 0, 0
+    mark[chain] = mark[full] = True
+    at = np.flatnonzero(mark)
+    return at, price[at].astype(np.int64)
 
 
 def best_cuts(at: np.ndarray, cost: np.ndarray, p: Pack) -> list[int]:
     """The cheapest cuts, first and last position among them."""
     m, capacity = len(at), p.capacity
     powers = [1 << k for k in range(p.capacity.bit_length()) if 1 << k <= p.capacity]
-    near = []
+    near, number = [], np.full(int(at[-1]) + 1, -1, np.int32)
+    number[at] = np.arange(m)
     for size in powers:
-        i = np.searchsorted(at, at - size)
-        hit = np.flatnonzero(at[i] == at - size)
-        near.append(np.stack((hit, i[hit])))
+        first = int(np.searchsorted(at, size))
+        i = number[at[first:] - size]
+        hit = np.flatnonzero(i >= 0)
+        near.append(np.stack((hit + first, i[hit])))
     near = np.concatenate(near, 1)
     near = near[:, np.argsort(near[0], kind="stable")]
     later, before = [*near[0].tolist(), m], near[1].tolist()
