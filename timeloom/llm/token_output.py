@@ -119,14 +119,15 @@ class PieceEncoder:
         coded = list(map(self.new.get, keys))
         gaps = [i for i, c in enumerate(coded) if c is None]
         if gaps:
-            missing = [keys[i] for i in gaps]
-            found = {k: c for k in missing if (c := self.old.get(k)) is not None}
-            found |= self._learn([k for k in missing if k not in found])
+            asked = [keys[i] for i in gaps]
+            found = list(map(self.old.get, asked))
+            fresh = self._learn([k for k, c in zip(asked, found, strict=True) if c is None])
+            found = [fresh[k] if c is None else c for k, c in zip(asked, found, strict=True)]
             if len(self.new) + len(found) > self.keep:
                 self.old, self.new = self.new, {}
-            self.new |= found
-            for i, k in zip(gaps, missing, strict=True):
-                coded[i] = found[k]
+            self.new.update(zip(asked, found, strict=True))
+            for i, c in zip(gaps, found, strict=True):
+                coded[i] = c
         return coded
 
 
@@ -219,7 +220,7 @@ def encode_texts(e: PieceEncoder, data: np.ndarray, offsets: np.ndarray, end_id:
         ids = [np.array([*x.ids, end_id], np.int32) for x in e.tokenizer.encode_batch([raw[i:j].decode() for i, j in itertools.pairwise(cuts)], add_special_tokens=False)]
         return np.concatenate(ids or [np.zeros(0, np.int32)]), np.array([len(x) for x in ids], np.int64)
     buf, starts, ends, raw = pieces(data, offsets)
-    text = np.searchsorted(offsets, starts, side="right") - 1
+    text = np.repeat(np.arange(n), np.diff(np.searchsorted(starts, offsets)))
     found = distinct_words(buf, starts, ends, raw)
     one, number = found if found else np.unique([buf[x:y].tobytes() + bytes([r]) for x, y, r in zip(starts, ends, raw, strict=True)], return_index=True, return_inverse=True)[1:]
     b = buf.tobytes()
